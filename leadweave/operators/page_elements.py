@@ -102,7 +102,9 @@ def page_nodes(source: str) -> list[tuple]:
             end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(source, position)
             body = source[position : end.start() if end else len(source)]
             position = end.end() if end else len(source)
-            add(tag, attrs, body if tag in ("script", "style") else html_entities.unescape(body))
+            node = add(tag, attrs, body if tag in ("script", "style") else "")
+            if tag in ("title", "textarea") and body:
+                nodes.append((node + 1, node, "#text", {}, html_entities.unescape(body), line, path + [node, node + 1]))
             continue
         node = add(tag, attrs, "")
         if tag in VOID:
