@@ -60,5 +60,17 @@ def is_true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def barrier(df: DataFrame, *names: str) -> DataFrame:
+    """Keep later filters and join keys on ``names`` above the projections that compute them.
+
+    Catalyst moves a predicate below a projection by writing the projected expression out in
+    its place. Over a chain of string rewrites that multiplies the expression at every step;
+    a predicate on the output of a generator stays where it is. One struct per row, generated
+    code, no exchange.
+    """
+    kept = [c for c in df.columns if c not in names]
+    return df.select(*kept, F.inline(F.array(F.struct(*names))))
+
+
 def drop_prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])

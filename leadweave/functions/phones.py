@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.functions.expr import ColumnLike, as_col, blank_to_null, drop_prefixed, exact_lookup, text_or_empty
+from leadweave.functions.expr import ColumnLike, as_col, barrier, blank_to_null, drop_prefixed, exact_lookup, text_or_empty
 
 # FIXED VALUES: country code, valid national numbers and possible mobiles of each region.
 COUNTRY_CODES = {"CL": "56", "AR": "54", "MX": "52", "US": "1", "ES": "34"}
@@ -173,7 +173,7 @@ def with_contact_number(df: DataFrame, raw: str, out: str, region: ColumnLike =
         out + "_note": F.when(number.isNull() | (number == d), None).when(full.isNotNull(), rewritten).otherwise(without_code),
         out + "_broken": F.when(number.isNotNull(), full.isNull()),
     })
-    return drop_prefixed(df, t)
+    return barrier(drop_prefixed(df, t), out + "_number", out + "_note", out + "_broken")
 
 
 PHONE_CANDIDATE_PATTERN = (

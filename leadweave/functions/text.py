@@ -162,7 +162,8 @@ def spanish_date(day: ColumnLike) -> Column:
 
 
 def decimal_comma(value: ColumnLike) -> Column:
-    return F.replace(F.format_string("%.1f", as_col(value).cast("double")), F.lit("."), F.lit(","))
+    number = as_col(value).cast("double")
+    return F.when(number.isNotNull(), F.replace(F.format_string("%.1f", number), F.lit("."), F.lit(",")))
 
 
 def provenance_text(value: ColumnLike) -> Column:

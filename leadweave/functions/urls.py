@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
 from leadweave.functions.expr import (
-    ColumnLike, any_of, as_col, blank_to_null, drop_prefixed, exact_lookup, suffix_lookup, text_or_empty,
+    ColumnLike, any_of, as_col, barrier, blank_to_null, drop_prefixed, exact_lookup, suffix_lookup, text_or_empty,
 )
 from leadweave.functions.phones import number_key
 
@@ -110,7 +110,7 @@ def with_unwrapped(df: DataFrame, url: str, out: str) -> DataFrame:
     df = df.withColumn(out, F.trim(text_or_empty(url)))
     for _ in range(3):
         df = df.withColumn(out, _unwrap_once(F.col(out)))
-    return df
+    return barrier(df, out)
 
 
 # ------------------------------------------------------------------ joining relative links
@@ -152,7 +152,7 @@ def with_joined(df: DataFrame, base: str, url: str, out: str) -> DataFrame:
         .when(u.startswith("#"), F.concat(origin, path, query, u))
         .otherwise(F.concat(origin, _without_dot_segments(F.col(t + "full")), rest))
     )
-    return drop_prefixed(df.withColumn(out, joined), t)
+    return barrier(drop_prefixed(df.withColumn(out, joined), t), out)
 
 
 # ------------------------------------------------------------------ F2: normal form
@@ -194,7 +194,7 @@ def with_normalized(df: DataFrame, url: str, out: str, base: str | None = None)
             ),
         ),
     )
-    return drop_prefixed(df, t)
+    return barrier(drop_prefixed(df, t), out)
 
 
 # ------------------------------------------------------------------ F8: social profiles
@@ -235,7 +235,7 @@ def with_social(df: DataFrame, url: str, out: str) -> DataFrame:
         out + "_network": F.when(F.col(t + "path").isNotNull(), network),
         out + "_profile": profile,
     })
-    return drop_prefixed(df, t)
+    return barrier(drop_prefixed(df, t), out + "_network", out + "_profile")
 
 
 # ------------------------------------------------------------------ F3: kind of link
@@ -262,7 +262,7 @@ def with_link_kind(df: DataFrame, url: str, out: str, keep: str | None = None) -
         .when(host.isin(fv.MAPS_HOSTS) | ((is_search_host(host) | (host == "goo.gl")) & on_maps_path), fv.KIND_MAPS)
         .otherwise(fv.KIND_OWN),
     )
-    return df if keep else drop_prefixed(df, t)
+    return barrier(df if keep else drop_prefixed(df, t), out)
 
 
 # ------------------------------------------------------------------ F4, F5: place pages
@@ -300,7 +300,7 @@ def with_canonical_place_url(df: DataFrame, url: str, out: str) -> DataFrame:
         .when(host == "", F.concat(F.lit("https:"), path, own_query))
         .otherwise(F.concat(F.lit("https://"), host, path, own_query)),
     )
-    return drop_prefixed(df, t)
+    return barrier(drop_prefixed(df, t), out)
 
 
 # ------------------------------------------------------------------ F6: site key
@@ -329,7 +329,7 @@ def with_site_key(df: DataFrame, url: str, out: str, normal: str | None = None)
         .when(depth.isNull(), host)
         .when(F.size(own) > 0, F.concat(host, F.lit("/"), F.array_join(own, "/"))),
     )
-    return drop_prefixed(df, t)
+    return barrier(drop_prefixed(df, t), out)
 
 
 # ------------------------------------------------------------------ F9: number inside a contact link
@@ -385,4 +385,4 @@ def with_link_print(df: DataFrame, url: str, out: str) -> DataFrame:
         .when(kind == fv.KIND_SOCIAL, fv.PRINT_SOCIAL)
         .otherwise(fv.PRINT_WEB),
     )
-    return drop_prefixed(df, t)
+    return barrier(drop_prefixed(df, t), out + "_kind", out + "_value")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from leadweave import fixed_values as fv
@@ -13,7 +12,7 @@ from leadweave.functions.phones import pretty_number
 from leadweave.functions.scoring import links_reason, links_score, opportunity_level, speed_reason, speed_score
 from leadweave.functions.text import provenance_text
 
-RESPONSE = T.StructType.fromDDL(
+RESPONSE = (
     "parametros array<struct<id:int,puntaje:int,justificacion:string,evidencia:array<string>>>, "
     "problemas array<struct<titulo:string,impacto:string,parametro:int,evidencia:array<string>>>, "
     "oportunidades array<struct<titulo:string,descripcion:string,evidencia:array<string>>>, "

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from leadweave import fixed_values as fv
 from leadweave.functions import text as tx
-from leadweave.functions.expr import is_true, text_or_empty
+from leadweave.functions.expr import barrier, is_true, text_or_empty
 from leadweave.functions.urls import login_wall_reason, site_host, url_path, with_link_kind, with_social
 
 
@@ -147,7 +147,7 @@ def site_status(sites: DataFrame, site: str = "site_id") -> DataFrame:
     late = F.col("_early").isNull()
     reads = late & ~social & F.col("_first_login").isNull() & F.col("_login").isNull() & ~F.col("_wall") & F.col("_dead").isNull()
     no_visit = F.col("kind").isin(fv.KIND_SOCIAL, fv.KIND_CONTACT, fv.KIND_INVALID, fv.KIND_MAPS)
-    return sites.select(
+    out = sites.select(
         site, "url", "kind", status.alias("status"), reason.alias("reason"),
         F.when(no_visit, None).when(late, F.col("_last_url")).otherwise(F.col("f_final_url")).alias("final_url"),
         (late & F.col("_last_url").startswith("https://")).alias("https"),
@@ -155,6 +155,7 @@ def site_status(sites: DataFrame, site: str = "site_id") -> DataFrame:
         # A site down only for its certificate still has its contacts read.
         reads.alias("read_content"),
     )
+    return barrier(out, "status", "reason", "final_url", "https", "rendered", "read_content")
 
 
 # ------------------------------------------------------------------ J18: link pages

@@ -1,4 +1,4 @@
-"""Declared schemas of the stored tables and their additive history."""
+"""Declared schemas (DDL) of the stored tables and their additive history."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 CANDIDATE_DDL = (
     "struct<number:string,url:string,source:string,placement:string,evidence:string,"
     "page_url:string,note:string,broken:boolean>"
@@ -21,11 +17,11 @@ FINDING_DDL = (
 CHECK_DDL = "struct<ok:boolean,detail:string>"
 SCORE_DDL = "struct<id:int,name:string,score:int,reason:string,evidence:array<string>,origin:string>"
 
-SEARCHES = _struct(
+SEARCHES = (
     "id long, query string, limit int, status string, phase string, businesses_found int, websites_found int, "
     "whatsapp_verified int, opportunities_found int, leads_found int, error string, created_at timestamp, finished_at timestamp"
 )
-BUSINESSES = _struct(
+BUSINESSES = (
     "id long, place_id string, google_maps_url string, business_name string, category string, phone_raw string, "
     "phone_e164 string, whatsapp_url string, whatsapp_status string, whatsapp_source string, whatsapp_evidence string, "
     f"whatsapp_candidates array<{CANDIDATE_DDL}>, whatsapp_multiple_numbers boolean, whatsapp_confidence string, "
@@ -35,19 +31,19 @@ BUSINESSES = _struct(
     "rating double, review_count int, services array<string>, description string, field_sources map<string,string>, "
     "broken_web array<string>, first_seen_at timestamp, updated_at timestamp"
 )
-SEARCH_RESULTS = _struct("search_id long, business_id long, position int")
-CONTACTED = _struct(
+SEARCH_RESULTS = ("search_id long, business_id long, position int")
+CONTACTED = (
     "id long, name string, phone_raw string, phone_e164 string, status string, contacted_on string, note string, imported_at timestamp"
 )
-FINGERPRINTS = _struct("id long, kind string, value string, business_id long, contacted_id long, created_at timestamp")
-ANALYSES = _struct(
+FINGERPRINTS = ("id long, kind string, value string, business_id long, contacted_id long, created_at timestamp")
+ANALYSES = (
     "id long, business_id long, url_analyzed string, final_url string, analyzed_at timestamp, rubric_version string, "
     f"model_name string, website_score int, rubric_scores map<string,{SCORE_DDL}>, facts string, findings array<{FINDING_DDL}>, "
     f"seo_local map<string,{CHECK_DDL}>, info_checklist map<string,{CHECK_DDL}>, main_problems array<string>, "
     "opportunities array<string>, strengths array<string>, opportunity_level string, screenshots map<string,string>, "
     "load_time_ms int, psi_mobile_score int, raw_output string, error string"
 )
-PLACE_CARDS = _struct(
+PLACE_CARDS = (
     "run_id long, position int, name string, url string, card_seen boolean, website string, phone_e164 string"
 )
 TABLES = {
@@ -69,7 +65,7 @@ ADDED_COLUMNS = {
 
 def upgrade(df: DataFrame, table: str) -> DataFrame:
     """Bring a snapshot of any earlier schema version to the current one: missing columns get their default."""
-    schema = TABLES[table]
+    schema = T.StructType.fromDDL(TABLES[table])
     defaults = {name: value for version in ADDED_COLUMNS.get(table, {}).values() for name, value in version.items()}
     columns = []
     for field in schema.fields:
