@@ -23,8 +23,8 @@ VIEWS = {
         SELECT c_custkey AS id,
           'place_id:ChI' || lpad(CAST(c_custkey AS STRING), 12, '0') AS place_id,
           'https://www.google.com/maps/place/n' || CAST(c_custkey AS STRING) AS google_maps_url,
-          c_name AS business_name, c_mktsegment AS category, n_name AS city,
-          'Calle ' || CAST(c_custkey AS STRING) || ', 2820000 ' || n_name || ', Chile' AS address,
+          c_name AS business_name, c_mktsegment AS category, translate(n_name, '0123456789_', 'abcdefghij-') AS city,
+          'Calle ' || CAST(c_custkey AS STRING) || ', 2820000 ' || translate(n_name, '0123456789_', 'abcdefghij-') || ', Chile' AS address,
           CASE WHEN c_custkey % 11 = 0 THEN NULL
                WHEN c_custkey % 5 = 0 THEN '+5622' || CAST(2000000 + (c_custkey * 13) % 1201 AS STRING)
                ELSE '+569' || CAST(30000000 + (c_custkey * 7) % 1201 AS STRING) END AS phone_e164,
@@ -161,13 +161,19 @@ VIEWS = {
             WHEN 4 THEN '   '
             ELSE '\t+56 9 3' || CAST(1000000 + s_suppkey % 400 AS STRING) END AS line
         FROM {supplier}""",
-    "lines": """
-        SELECT doc_id, text, lang, source FROM {documents}""",
+    "listings": """
+        SELECT id AS listing_id, CAST(floor(id / 40) AS BIGINT) AS run_id, id % 40 + 1 AS position, id AS rank, 12 AS target,
+          id % 37 = 0 AS known_stored,
+          id % 4 = 0 OR (website IS NOT NULL AND website NOT LIKE '%instagram%') AS card_has_site, id % 31 <> 0 AS readable,
+          coalesce(website_status = 'OK', false) AS site_open,
+          duplicate_reason IS NULL AND discard_reason IS NULL AND (whatsapp_status = 'VERIFICADO' OR coalesce(phone_e164 LIKE '+569%', false)) AS is_lead,
+          'place:' || CAST((id * 3) % 1201 AS STRING) AS place
+        FROM {businesses}""",
 }
 
 
 def _names(sql: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return sorted(set(re.findall(r"\{([a-z]\w*)\}", sql)))
 
 
 def duck(sql: str) -> str:
@@ -184,7 +190,7 @@ def duck(sql: str) -> str:
         visit(name)
 
     def fill(text: str) -> str:
-        return re.sub(r"\{(\w+)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text)
+        return re.sub(r"\{([a-z]\w*)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text)
 
     head = ",\n".join(f"v_{name} AS ({fill(VIEWS[name])})" for name in ordered)
     body = fill(sql).strip()
