@@ -15,15 +15,14 @@ def hot_safe_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: st
     Keys carrying more than a thousandth of all rows (there can be at most a thousand of them,
     which bounds what is broadcast) are looked up by broadcast where their rows already are; the
     others take an ordinary shuffled join. Below ``MIN_HOT_ROWS`` rows per key nothing is hot and
-    the join runs as it is.
+    the join runs as it is. ``rows`` is read more than once: pass a materialised frame.
     """
-    counts = rows.groupBy(*keys).count()
     total = rows.count()
     threshold = max(MIN_HOT_ROWS, total // hot_share)
     if total <= threshold:
         return rows.join(lookup, keys, how)
-    hot = counts.filter(F.col("count") > threshold).select(*keys).limit(hot_share)
-    hot_rows = [r for r in hot.collect()]  # at most ``hot_share`` keys, by construction
+    hot = rows.groupBy(*keys).count().filter(F.col("count") > threshold).select(*keys)
+    hot_rows = hot.collect()  # fewer than ``hot_share`` keys, because each holds that share of the rows
     if not hot_rows:
         return rows.join(lookup, keys, how)
     hot_keys = rows.sparkSession.createDataFrame(hot_rows, hot.schema)

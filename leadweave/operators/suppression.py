@@ -46,7 +46,7 @@ def owner_of_prints(fingerprints: DataFrame, contacted: DataFrame, businesses: D
         F.coalesce("_cname", "_bname").alias("owner_name"), F.col("_cdetail").alias("detail"), F.coalesce("_gone", F.lit(False)).alias("gone"),
     )
     # First by owner, then across owners: bounded state per group, no list of owners.
-    per_owner = owned.groupBy("kind", "value", "contacted_id", "business_id").agg(F.min(row).alias("row"))
+    per_owner = cut_lineage(owned.groupBy("kind", "value", "contacted_id", "business_id").agg(F.min(row).alias("row")))
     best = per_owner.groupBy("kind", "value").agg(F.min("row").alias("first"))
     rest = per_owner.join(best, ["kind", "value"]).filter(~F.col("row").eqNullSafe(F.col("first")))
     second = rest.groupBy("kind", "value").agg(F.min("row").alias("second"))
@@ -55,7 +55,7 @@ def owner_of_prints(fingerprints: DataFrame, contacted: DataFrame, businesses: D
 
 def match_prints(prints: DataFrame, owners: DataFrame, owner: str = "id", own_business: str | None = "id") -> DataFrame:
     """The matching stored owner of each print (own prints excluded), as ``match``."""
-    joined = hot_safe_lookup(prints, owners, ["kind", "value"], "inner")
+    joined = hot_safe_lookup(cut_lineage(prints), owners, ["kind", "value"], "inner")
     if own_business is None:
         return joined.withColumn("match", F.col("first"))
     is_self = F.coalesce(F.col("first.business_id") == F.col(own_business), F.lit(False))
@@ -215,6 +215,8 @@ def suppress_repeats(
     ``skipped``, ``no_website``, ``duplicate``, ``unreadable``, ``duplicate``, ``no_website``,
     ``not_lead``, ``duplicate``, ``lead``. ``stage`` tells the three duplicate tests apart.
     """
+    # Inputs are read many times over the rounds: materialise them once.
+    listings, checks, keys = cut_lineage(listings), cut_lineage(checks), cut_lineage(keys)
     verdicts = decide_listings(listings, checks, keys, max_listings)
     verdicts = cut_lineage(verdicts)
     leaves = _registrations(listings, checks, keys).join(verdicts.select("listing_id", "opened", "accepted"), "listing_id").filter(
@@ -242,23 +244,25 @@ def suppress_repeats(
     def dup(stage: str) -> Column:
         return F.col(stage + "_stored") | F.col("_" + stage).isNotNull()
 
-    outcome = (
-        F.when(F.col("_before") >= F.col("target"), F.struct(F.lit("untouched").alias("outcome"), F.lit(None).cast("string").alias("stage")))
-        .when(F.col("known_stored") | F.col("_key").isNotNull(), F.struct(F.lit("skipped"), F.lit(None).cast("string")))
-        .when(~F.col("card_has_site"), F.struct(F.lit("no_website"), F.lit("card")))
-        .when(dup("card"), F.struct(F.lit("duplicate"), F.lit("card")))
-        .when(~F.col("readable"), F.struct(F.lit("unreadable"), F.lit(None).cast("string")))
-        .when(dup("place"), F.struct(F.lit("duplicate"), F.lit("place")))
-        .when(~F.col("site_open"), F.struct(F.lit("no_website"), F.lit("place")))
-        .when(~F.col("is_lead"), F.struct(F.lit("not_lead"), F.lit(None).cast("string")))
-        .when(dup("post"), F.struct(F.lit("duplicate"), F.lit("post")))
-        .otherwise(F.struct(F.lit("lead"), F.lit(None).cast("string")))
+    # One ordered choice; the part after the colon tells at which stage it was made.
+    verdict = (
+        F.when(F.col("_before") >= F.col("target"), "untouched")
+        .when(F.col("known_stored") | F.col("_key").isNotNull(), "skipped")
+        .when(~F.col("card_has_site"), "no_website:card")
+        .when(dup("card"), "duplicate:card")
+        .when(~F.col("readable"), "unreadable")
+        .when(dup("place"), "duplicate:place")
+        .when(~F.col("site_open"), "no_website:place")
+        .when(~F.col("is_lead"), "not_lead")
+        .when(dup("post"), "duplicate:post")
+        .otherwise("lead")
     )
-    full = full.withColumn("_o", outcome)
-    stage = F.col("_o.stage")
-    by = F.when(F.col("_o.outcome") == "duplicate", F.when(stage == "card", F.col("_card")).when(stage == "place", F.col("_place")).otherwise(F.col("_post")))
+    full = full.withColumn("_v", verdict)
+    outcome = F.substring_index("_v", ":", 1)
+    stage = F.when(F.col("_v").contains(":"), F.substring_index("_v", ":", -1))
+    by = F.when(outcome == "duplicate", F.when(stage == "card", F.col("_card")).when(stage == "place", F.col("_place")).otherwise(F.col("_post")))
     return full.select(
-        "listing_id", "run_id", "position", "rank", F.col("_o.outcome").alias("outcome"), stage.alias("stage"),
+        "listing_id", "run_id", "position", "rank", outcome.alias("outcome"), stage.alias("stage"),
         by["kind"].alias("shared_kind"), by["value"].alias("shared_value"), by["listing_id"].alias("repeat_of"),
     )
 

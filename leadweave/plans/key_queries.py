@@ -25,7 +25,7 @@ CHAIN = f"""
   n2 AS (SELECT *, lower(regexp_extract(a, '{_URL}', 1)) AS scheme, lower(split_part(regexp_extract(a, '{_URL}', 2), ':', 1)) AS host,
       CASE WHEN contains(regexp_extract(a, '{_URL}', 2), ':') THEN split_part(regexp_extract(a, '{_URL}', 2), ':', 2) ELSE '' END AS port,
       regexp_extract(a, '{_URL}', 3) AS path,
-      array_to_string([x for x in string_split(regexp_extract(a, '{_URL}', 4), '&') if x <> '' AND NOT regexp_matches(x, '^(utm_|fbclid|gclid)')], '&') AS q FROM n1),
+      array_to_string([split_part(x, '=', 1) || '=' || url_encode(url_decode(substr(x, length(split_part(x, '=', 1)) + 2))) for x in string_split(regexp_extract(a, '{_URL}', 4), '&') if x <> '' AND NOT regexp_matches(x, '^(utm_|fbclid|gclid)')], '&') AS q FROM n1),
   n3 AS (SELECT *, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END
       || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS normal, regexp_replace(host, '^www\\.', '') AS site FROM n2),
   soc AS (SELECT *, [x for x in string_split(CASE WHEN path = '' THEN '/' ELSE path END, '/') if x <> ''] AS seg,
