@@ -265,6 +265,12 @@ def page_candidates(mentions: DataFrame, key: str = "page_id") -> DataFrame:
     return best.select(key, *[F.col("b." + f).alias(f) for f in fields], F.col("b.arrival").alias("arrival"))
 
 
+def pack_candidates(candidates: DataFrame, key: str = "page_id") -> DataFrame:
+    """Candidates of a page as one array, numbered ones first, then by placement."""
+    order = F.struct(F.col("number").isNull().alias("late"), placement_rank(F.col("placement")).alias("rank"), "arrival", "number", "url", "placement")
+    return candidates.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("candidates"))
+
+
 def page_shortlinks(mentions: DataFrame, key: str = "page_id") -> DataFrame:
     found = mentions.filter(F.col("outcome") == "shortlink")
     fields = ["source", "page_url", "region", "url", "placement", "evidence"]

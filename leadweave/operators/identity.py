@@ -166,8 +166,14 @@ def distinct_prints(rows: DataFrame, owner: str) -> DataFrame:
     return once.select(owner, "kind", "value", F.struct(print_rank(F.col("kind")).alias("kind_rank"), "slot").alias("print_order"))
 
 
-def business_prints(businesses: DataFrame, owner: str = "id") -> DataFrame:
-    """All fingerprints of each business: phone, contact numbers, site, original site, two profiles."""
+# Where a print comes from; the slots order prints of one kind.
+SLOT_PHONE, SLOT_CONTACT, SLOT_CANDIDATES = 0, 1, 2
+SLOT_SITE, SLOT_ORIGINAL_SITE = 1_000_000, 1_000_001
+SLOT_PROFILES = 2_000_000
+
+
+def business_print_rows(businesses: DataFrame, owner: str = "id") -> DataFrame:
+    """Every fingerprint a business carries, with the slot it comes from (not yet distinct)."""
     columns = businesses.columns
     candidates = F.col("whatsapp_candidates") if "whatsapp_candidates" in columns else F.array().cast("array<struct<number:string>>")
     original = F.col("field_sources")["website_maps"] if "field_sources" in columns else F.lit(None).cast("string")
@@ -180,13 +186,18 @@ def business_prints(businesses: DataFrame, owner: str = "id") -> DataFrame:
     )
     links = businesses.select(owner, F.posexplode(F.array("website", original)).alias("slot", "url")).filter(F.coalesce("url", F.lit("")) != "")
     by_link = with_link_print(links, "url", "print").select(
-        owner, F.col("print_kind").alias("kind"), F.col("print_value").alias("value"), (F.col("slot") + 1_000_000).alias("slot")
+        owner, F.col("print_kind").alias("kind"), F.col("print_value").alias("value"), (F.col("slot") + SLOT_SITE).alias("slot")
     )
     profiles = businesses.select(owner, F.posexplode(F.array("instagram", "facebook")).alias("slot", "url")).filter(F.coalesce("url", F.lit("")) != "")
     by_profile = with_social(profiles, "url", "p").select(
-        owner, F.lit(fv.PRINT_SOCIAL).alias("kind"), F.lower("p_profile").alias("value"), (F.col("slot") + 2_000_000).alias("slot")
+        owner, F.lit(fv.PRINT_SOCIAL).alias("kind"), F.lower("p_profile").alias("value"), (F.col("slot") + SLOT_PROFILES).alias("slot")
     )
-    return distinct_prints(by_number.unionByName(by_link).unionByName(by_profile), owner)
+    return by_number.unionByName(by_link).unionByName(by_profile).filter(F.coalesce("value", F.lit("")) != "")
+
+
+def business_prints(businesses: DataFrame, owner: str = "id") -> DataFrame:
+    """Distinct fingerprints of each business: phone, contact numbers, site, original site, two profiles."""
+    return distinct_prints(business_print_rows(businesses, owner), owner)
 
 
 def card_prints(cards: DataFrame, owner: str = "listing_id") -> DataFrame:

@@ -286,6 +286,22 @@ def image_urls(pages: DataFrame, url: str = "url", key: str = "page_id") -> Data
     )
 
 
+def merge_page_lists(pages: DataFrame, *columns: str, site: str = "site_id", order: str = "page_order") -> DataFrame:
+    """Distinct list entries over the pages of each site, page order kept.
+
+    Entries are made distinct per site before they are gathered, so a site with very many pages
+    gathers each entry once.
+    """
+    out = None
+    for column in columns:
+        entries = pages.select(site, order, F.posexplode(column).alias("_at", "_v"))
+        once = entries.groupBy(site, "_v").agg(F.min(F.struct(F.col(order).alias("o"), "_at")).alias("_first"))
+        merged = once.groupBy(site).agg(F.array_sort(F.collect_list(F.struct("_first", "_v"))).alias("_l")).select(
+            site, F.transform("_l", lambda x: x["_v"]).alias(column))
+        out = merged if out is None else out.join(merged, site, "full_outer")
+    return out
+
+
 # ------------------------------------------------------------------ X13, J11: places mentioned
 def place_mentions(pages: DataFrame, catalog: DataFrame, key: str = "page_id") -> DataFrame:
     """Catalog places named in each page's lines, in order of appearance.

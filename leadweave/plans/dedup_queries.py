@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ from leadweave.plans.key_queries import PRINTS_SQL
 from leadweave.plans.mart_queries import IS_LEAD, PROSPECTED
 from leadweave.plans.registry import query
 from leadweave.schemas import upgrade
+from leadweave.session import cut_lineage, work_folder
 from leadweave.streaming import intake
 
-NOW = F.to_timestamp
 _PRETTY = """CASE WHEN {v} LIKE '569%' THEN '+56 9 ' || substr({v}, 4, 4) || ' ' || substr({v}, 8) WHEN {v} LIKE '562%' THEN '+56 2 ' || substr({v}, 4, 4) || ' ' || substr({v}, 8) ELSE '+' || {v} END"""
 
 
@@ -118,14 +118,10 @@ _WALK = f"""WITH RECURSIVE {_CHECKS_SQL},
 
 def listing_inputs(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Listings with their stored-match flags, print checks per stage, and place keys."""
-    from leadweave.operators.identity import print_rank
-    b = d.businesses_full()
-    prints = identity.business_prints(b).withColumnRenamed("id", "listing_id")
-    checks = (
-        identity.card_prints(b.select(F.col("id").alias("listing_id"), "website", "phone_e164")).withColumn("stage", F.lit("card"))
-        .unionByName(identity.business_prints(b.drop("whatsapp_url").withColumn("whatsapp_url", F.lit(None).cast("string"))).withColumnRenamed("id", "listing_id").withColumn("stage", F.lit("place")))
-        .unionByName(prints.withColumn("stage", F.lit("post")))
-    )
+    rows = cut_lineage(identity.business_print_rows(d.businesses_full(), "id").withColumnRenamed("id", "listing_id"))
+    stages = {"card": F.col("slot").isin(identity.SLOT_PHONE, identity.SLOT_SITE), "place": F.col("slot") != identity.SLOT_CONTACT, "post": F.lit(True)}
+    parts = [identity.distinct_prints(rows.filter(test), "listing_id").withColumn("stage", F.lit(stage)) for stage, test in stages.items()]
+    checks = parts[0].unionByName(parts[1]).unionByName(parts[2])
     stored = d.contacted.select(F.lit(fv.PRINT_NUMBER).alias("kind"), F.regexp_replace("phone_e164", r"^\+", "").alias("value"))
     hits = checks.join(stored, ["kind", "value"], "left_semi").groupBy("listing_id").agg(
         *[F.bool_or(F.col("stage") == s).alias(f"{s}_stored") for s in ("card", "place", "post")])
@@ -133,9 +129,13 @@ def listing_inputs(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     return listings, checks, d.listings.select("listing_id", F.col("place").alias("value"))
 
 
+def with_stage(outcomes: DataFrame) -> DataFrame:
+    return outcomes.withColumn(
+        "outcome", F.when(F.col("outcome").isin("duplicate", "no_website"), F.concat_ws(":", "outcome", "stage")).otherwise(F.col("outcome")))
+
+
 def _outcomes(d: Inputs) -> DataFrame:
-    out = suppression.suppress_repeats(*listing_inputs(d))
-    return out.withColumn("outcome", F.when(F.col("outcome").isin("duplicate", "no_website"), F.concat_ws(":", "outcome", "stage")).otherwise(F.col("outcome")))
+    return with_stage(suppression.suppress_repeats(*listing_inputs(d)))
 
 
 query("D4_W19_first_seen_suppression", "listing_id long, outcome string", f"{_WALK} SELECT n AS listing_id, outcome FROM walk WHERE n >= 0")(_outcomes)
@@ -149,32 +149,43 @@ query("D5_known_places", "listing_id long", "SELECT listing_id FROM {listings} l
 
 
 def _streamed(d: Inputs) -> DataFrame:
-    """The same listings decided as a stream of files, one micro-batch after another."""
-    root = tempfile.mkdtemp(prefix="leadweave-intake-")
-    _, checks, keys = listing_inputs(d)
-    source = d.listings.repartitionByRange(4, "rank")
-    for part in range(4):
-        # Files appear in rank order, as a growing feed would write them.
-        source.filter(F.spark_partition_id() == part).coalesce(1).write.mode("append").parquet(f"{root}/feed")
-    return _decide_feed(d, root, checks, keys)
-
-
-def _decide_feed(d: Inputs, root: str, checks: DataFrame, keys: DataFrame) -> DataFrame:
-    spark = d.spark
-    stored = d.contacted.select(F.lit(fv.PRINT_NUMBER).alias("kind"), F.regexp_replace("phone_e164", r"^\+", "").alias("value"))
-    # What was stored before the first batch takes the place of an earlier batch.
-    stored.select("kind", "value", F.lit(-1).cast("long").alias("run_id"), F.lit(-1).cast("long").alias("listing_id")).write.parquet(
-        intake._batch_path(root, "prints", -1))
-    feed = spark.readStream.schema(d.listings.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
-    feed = feed.drop("target")
+    """The same listings decided as a growing feed of files, one micro-batch after another."""
+    spark, root = d.spark, work_folder(d.spark, "intake")
+    listings, checks, keys = listing_inputs(d)
+    checks, keys = cut_lineage(checks), cut_lineage(keys)
+    feed_columns = [c for c in listings.columns if not c.endswith("_stored") or c == "known_stored"]
+    bounds = listings.agg(F.max("rank")).first()[0] // 4 + 1
+    for part in range(4):  # files appear in rank order, as a growing feed writes them
+        listings.select(*[c for c in feed_columns if c != "target"]).filter(F.floor(F.col("rank") / bounds) == part).coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    stored = d.contacted.select(
+        F.lit(fv.PRINT_NUMBER).alias("kind"), F.regexp_replace("phone_e164", r"^\+", "").alias("value"), F.lit(-1).cast("long").alias("run_id"),
+        F.lit(-1).cast("long").alias("listing_id"))
+    stored.write.parquet(f"{root}/prints/batch=-1")  # what was known before the first batch
+    feed = spark.readStream.schema(listings.select(*[c for c in feed_columns if c != "target"]).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
 
     def expand(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = batch.select("listing_id")
         return checks.join(ids, "listing_id", "left_semi"), keys.join(ids, "listing_id", "left_semi")
 
-    running = intake.start_intake(feed.drop("known_stored").withColumn("known_before", F.lit(False)).drop("known_before"), root, 12, expand, fv.MAX_LISTINGS)
-    running.awaitTermination()
-    return spark.read.parquet(f"{root}/outcomes")
+    intake.start_intake(feed, root, 12, expand, fv.MAX_LISTINGS).awaitTermination()
+    return with_stage(spark.read.parquet(f"{root}/outcomes"))
+
+
+query("T1_T3_incremental_intake", "listing_id long, outcome string", f"{_WALK} SELECT n AS listing_id, outcome FROM walk WHERE n >= 0")(_streamed)
+
+
+def _live(d: Inputs) -> DataFrame:
+    """Running counters over a stream of event outcomes, read back after the stream is drained."""
+    spark, root = d.spark, work_folder(d.spark, "live")
+    d.events.select((F.col("user_id") % 7).alias("run_id"), F.col("event_type").alias("outcome")).repartition(3).write.parquet(f"{root}/outcomes")
+    stream = spark.readStream.schema("run_id long, outcome string").option("maxFilesPerTrigger", 1).parquet(f"{root}/outcomes")
+    name = f"live_{uuid.uuid4().hex}"
+    counted = intake.live_counters(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    counted.option("checkpointLocation", f"{root}/progress").start().awaitTermination()
+    return spark.table(name).withColumnRenamed("count", "n")
+
+
+query("T2_live_counters", "run_id long, outcome string, n long", "SELECT user_id % 7 AS run_id, event_type AS outcome, count(*) AS n FROM {events} GROUP BY 1, 2")(_live)
 
 
 # ------------------------------------------------------------------ U1-U5, U7, U12-U14

@@ -146,14 +146,15 @@ query("S6_rubric", "id long, name string, scored_by string, uses long", """SELEC
     f"WHEN {i} THEN '{n}'" for i, n, _ in fv.RUBRIC_PARAMS) + """ END AS name, CASE WHEN r.id IN (5, 9) THEN 'codigo' ELSE 'ia' END AS scored_by, count(*) AS uses
     FROM (SELECT event_id % 10 + 1 AS id FROM {events}) r GROUP BY 1""")(
     lambda d: d.events.select((F.col("event_id") % 10 + 1).cast("int").alias("id")).join(judgments.rubric(d.spark), "id").groupBy("id", "name", "scored_by").agg(F.count("*").alias("uses")))
-# Judged parameters of each user: the events of that user name a parameter and a score.
-_SCORED = "SELECT DISTINCT user_id AS site_id, event_id % 11 + 1 AS id FROM {events}"
+# Judged parameters of each part: its order lines name a parameter and give the score.
 query("A11_R25_total_score", "site_id long, website_score long, error string", f"""
-    WITH s AS (SELECT site_id, id, (site_id + id) % 10 + 1 AS score FROM ({_SCORED}) x WHERE id < 11 OR site_id % 2 = 0),
+    WITH s AS (SELECT l_partkey AS site_id, l_suppkey % 10 + 1 AS id, min(l_linenumber) AS score FROM {{lineitem}} GROUP BY 1, 2
+        UNION ALL SELECT p_partkey, 11, 1 FROM {{part}} WHERE p_size = 1),
       p AS (SELECT site_id, count(DISTINCT id) FILTER (WHERE id <= 10) AS k, count(*) FILTER (WHERE id > 10) AS other, sum(score) AS total FROM s GROUP BY 1)
     SELECT site_id, CASE WHEN k = 10 AND other = 0 THEN total END AS website_score, CASE WHEN k = 10 AND other = 0 THEN NULL ELSE '{fv.MISSING_PARAMS_ERROR}' END AS error FROM p""")(
-    lambda d: judgments.total_scores(d.events.select(F.col("user_id").alias("site_id"), (F.col("event_id") % 11 + 1).alias("id")).distinct().filter(
-        "id < 11 OR site_id % 2 = 0").withColumn("score", (F.col("site_id") + F.col("id")) % 10 + 1)))
+    lambda d: judgments.total_scores(
+        d.lineitem.groupBy(F.col("l_partkey").alias("site_id"), (F.col("l_suppkey") % 10 + 1).alias("id")).agg(F.min("l_linenumber").alias("score")).unionByName(
+            d.part.filter("p_size = 1").select(F.col("p_partkey").alias("site_id"), F.lit(11).cast("long").alias("id"), F.lit(1).alias("score")))))
 query("J19_rubric_rows", "business_id long, id long, score long", """
     WITH a AS (SELECT DISTINCT business_id FROM {analyses}), p AS (SELECT unnest(range(1, 11)) AS id)
     SELECT business_id, id, CASE WHEN (business_id + id) % 3 = 0 THEN (business_id + id) % 10 END AS score FROM a, p""")(

@@ -140,17 +140,28 @@ VIEWS = {
           CASE WHEN event_type = 'error' THEN 'fallo' ELSE NULL END AS error
         FROM {events}""",
     "html_pages": """
-        SELECT page_id, url, html || '<footer class="site-footer"><a href="https://wa.me/569' || CAST(30000000 + page_id * 7 AS STRING)
+        SELECT page_id, url, replace(html, '<head>', '<head><meta name="Description" content="Desc ' || CAST(page_id AS STRING)
+            || '"><link rel="shortcut icon" href="/fav' || CAST(page_id % 5 AS STRING) || '.png"><link rel="canonical" href="/c' || CAST(page_id AS STRING)
+            || '?utm_source=x#y"><meta property="og:title" content="OG ' || CAST(page_id AS STRING) || '">'
+            || CASE WHEN page_id % 6 = 0 THEN '<link rel="stylesheet" href="/wp-content/themes/astra/style.css">' ELSE '' END)
+          || '<h2>Servicios</h2><h2>Zona ' || CAST(page_id AS STRING) || '</h2><p>'
+          || CASE WHEN page_id % 2 = 0 THEN 'Despacho a la comuna de ' ELSE 'Visitamos ' END || translate(n_name, '0123456789_', 'abcdefghij-') || '</p>'
+          || CASE WHEN page_id % 7 = 0 THEN '<div class="joinchat" data-settings=''{"telephone":"569' || CAST(50000000 + page_id AS STRING) || '"}''></div>' ELSE '' END
+          || '<footer class="site-footer"><a href="https://wa.me/569' || CAST(30000000 + page_id * 7 AS STRING)
           || '?text=Hola">WA</a><a href="tel:+569' || CAST(40000000 + page_id AS STRING) || '">Llamar</a>'
           || '<a href="mailto:Ventas' || CAST(page_id AS STRING) || '@neg.cl?subject=x">correo</a>'
           || '<a href="https://www.instagram.com/Neg' || CAST(page_id AS STRING) || '/">IG</a>'
-          || '<img src="/logo' || CAST(page_id % 9 AS STRING) || '.png"><img src="/foto.png" alt="Foto">'
+          || '<a href="https://www.google.com/maps/place/N' || CAST(page_id AS STRING) || '">Mapa</a>'
+          || CASE WHEN page_id % 11 = 0 THEN '<a href="https://chat.whatsapp.com/G' || CAST(page_id AS STRING) || '">Grupo</a>' ELSE '' END
+          || CASE WHEN page_id % 13 = 0 THEN '<a href="https://wa.me/123">Mal</a>' ELSE '' END
+          || CASE WHEN page_id % 17 = 0 THEN '<a href="https://wa.link/c' || CAST(page_id AS STRING) || '">Corto</a>' ELSE '' END
+          || '<img src="/logo' || CAST(page_id % 9 AS STRING) || '.png"><img src="/foto.png" alt="Foto"><img src="data:image/png;base64,x" alt=" ">'
           || CASE WHEN page_id % 3 = 0 THEN '<form action="/c"></form>' ELSE '' END
           || CASE WHEN page_id % 4 = 0 THEN '<iframe src="https://www.google.com/maps/embed?pb=1"></iframe>' ELSE '' END
           || '<p>© ' || CAST(2015 + page_id % 10 AS STRING) || ' Negocio. Garantía total.</p>'
-          || CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@type":"Plumber","name":"N' || CAST(page_id AS STRING) || '"}</script>' ELSE '' END
-          || '</footer>' AS html
-        FROM {pages}""",
+          || CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Plumber","name":"N' || CAST(page_id AS STRING) || '"},{"@type":["Thing","Offer"]}]}</script>' ELSE '' END
+          || '</footer>' AS html, page_id % 50 AS site_id
+        FROM {pages} JOIN {nation} ON n_nationkey = page_id % 25""",
     "contact_lines": """
         SELECT s_suppkey AS line_no,
           CASE s_suppkey % 6

@@ -55,10 +55,13 @@ query("F4_place_key", "url_id long, place string", """SELECT url_id, CASE WHEN r
       THEN 'ftid:' || lower(regexp_extract(url, '!1s(0x[0-9A-Fa-f]+:0x[0-9A-Fa-f]+)', 1))
       WHEN regexp_extract(url, '[?&]cid=(\\d+)', 1) <> '' THEN 'cid:' || regexp_extract(url, '[?&]cid=(\\d+)', 1) END AS place FROM {urls}""")(
     lambda d: d.urls.select("url_id", ur.place_key("url").alias("place")))
-query("F5_canonical_place_url", "url_id long, canonical string", """SELECT url_id, CASE form
-      WHEN 9 THEN 'https://www.google.com/maps/place/N' || CAST(url_id AS VARCHAR) || '/data=!1s0xAB' || CAST(url_id AS VARCHAR) || ':0x1C'
-      ELSE 'https://www.google.com/?cid=' || CAST(100000 + url_id AS VARCHAR) END AS canonical FROM {urls} WHERE form IN (9, 10)""")(
-    lambda d: ur.with_canonical_place_url(d.urls.filter("form IN (9, 10)"), "url", "canonical"))
+query("F5_canonical_place_url", "url_id long, canonical string", f"""WITH {CHAIN}, c AS (
+      SELECT url_id, lower(split_part(regexp_extract(target, '{_URL}', 2), ':', 1)) AS h, regexp_extract(target, '{_URL}', 3) AS p, regexp_extract(target, '{_URL}', 4) AS q FROM u3),
+    k AS (SELECT *, array_to_string([x for x in string_split(q, '&') if regexp_matches(x, '^(cid|q|query|query_place_id|ftid)=.')], '&') AS kept FROM c)
+    SELECT url_id, CASE WHEN regexp_matches(h, '(^|\\.)google\\.[a-z]{{2,3}}(\\.[a-z]{{2}})?$') THEN 'https://www.google.com' || regexp_replace(p, '/@-?[0-9.]+,-?[0-9.]+(,[0-9.]+[a-z]?)*', '')
+        || CASE WHEN kept = '' THEN '' ELSE '?' || kept END
+      WHEN h = '' THEN 'https:' || p || CASE WHEN q = '' THEN '' ELSE '?' || q END ELSE 'https://' || h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical FROM k""")(
+    lambda d: ur.with_canonical_place_url(d.urls, "url", "canonical"))
 query("F6_J13_site_key", "url_id long, key string", f"WITH {CHAIN} SELECT url_id, CASE WHEN normal IS NULL THEN NULL ELSE key END AS key FROM kinds")(
     lambda d: ur.with_site_key(d.urls, "url", "key"))
 query("F7_F10_number_key", "id long, number_key string", r"""

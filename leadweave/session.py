@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,8 @@ def build_session(app_name: str = "leadweave", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so a lost executor never replays the loop.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where nothing is
-    configured (local runs, tests) a folder of our own is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own on a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,4 +36,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             configured = os.path.join(tempfile.mkdtemp(prefix="leadweave-"), "checkpoints")
         context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh subfolder of the shared folder for one job's files."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder so a lost executor never replays the loop.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where nothing is
+    configured (local runs, tests) a folder of our own is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -57,7 +57,7 @@ def decide_batch(
     accepted = seen.filter(F.col("outcome") == "lead").groupBy("run_id").agg(F.count("*").alias("_done"))
     listings = fresh.join(known_ids, "listing_id", "left").join(hits, "listing_id", "left").join(accepted, "run_id", "left")
     listings = listings.withColumns({
-        "known_stored": F.coalesce("_known", F.lit(False)),
+        "known_stored": F.coalesce("_known", F.lit(False)) | (F.col("known_stored") if "known_stored" in batch.columns else F.lit(False)),
         **{f"{s}_stored": F.coalesce(f"_{s}", F.lit(False)) for s in ("card", "place", "post")},
         "target": F.greatest(F.lit(target) - F.coalesce("_done", F.lit(0)), F.lit(0)),
     }).drop("_known", "_card", "_place", "_post", "_done")
