@@ -225,8 +225,9 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            sql = VIEWS[name]
-            return self.spark.sql(sql, **{n: (getattr(self, n) if n in VIEWS else self.table(n)) for n in _names(sql)})
+            # Braces that are no placeholders (JSON inside text) are doubled for Spark's formatter.
+            sql = re.sub(r"\{\{([a-z]\w*)\}\}", r"{\1}", VIEWS[name].replace("{", "{{").replace("}", "}}"))
+            return self.spark.sql(sql, **{n: (getattr(self, n) if n in VIEWS else self.table(n)) for n in _names(VIEWS[name])})
         if name in TABLES:
             return self.table(name)
         raise AttributeError(name)

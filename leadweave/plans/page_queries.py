@@ -15,7 +15,7 @@ from leadweave.plans.inputs import Inputs
 from leadweave.plans.key_queries import CHAIN
 from leadweave.plans.registry import query
 
-_ENTITIES = "replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')"
+_ENTITIES = "replace(replace(replace(replace(replace(replace({t}, '&quot;', chr(34)), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')"
 _BLOCKS = "address|article|aside|blockquote|br|button|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|label|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 # Visible lines by text surgery: drop what is not shown, break at blocks, strip the other tags.
 TEXT_SQL = f"""stripped AS (SELECT page_id, url, site_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(head|script|style|iframe|noscript)[ >].*?</(head|script|style|iframe|noscript)>', '', 'g') AS h FROM {{html_pages}}),
