@@ -65,8 +65,9 @@ def barrier(df: DataFrame, *names: str) -> DataFrame:
 
     Catalyst moves a predicate below a projection by writing the projected expression out in
     its place. Over a chain of string rewrites that multiplies the expression at every step;
-    a predicate on the output of a generator stays where it is. One struct per row, generated
-    code, no exchange.
+    a predicate on the output of a generator stays where it is. It also keeps a column that is
+    used inside an array lambda from being written out there and computed once per element. One
+    struct per row, generated code, no exchange.
     """
     kept = [c for c in df.columns if c not in names]
     return df.select(*kept, F.inline(F.array(F.struct(*names))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
-from leadweave.functions.expr import exact_lookup, is_true
+from leadweave.functions.expr import barrier, exact_lookup, is_true
 from leadweave.functions.phones import with_contact_number
 from leadweave.functions.text import scan_variants
 from leadweave.functions.urls import with_joined
@@ -52,13 +52,14 @@ def with_placement_marks(parsed: DataFrame) -> DataFrame:
     def footer(e: Column) -> Column:
         return (e["tag"] == "footer") | (role(e) == "contentinfo") | has_token(e, fv.FOOTER_TOKENS)
 
-    return parsed.withColumns({
+    marked = parsed.withColumns({
         "_float": ids(lambda e: F.coalesce(e["attrs"]["style"], F.lit("")).rlike(fv.FIXED_STYLE_PATTERN)
                       | F.concat_ws(" ", e["attrs"]["class"], e["attrs"]["id"]).rlike(fv.FLOATING_TOKEN_PATTERN)),
         "_footer": ids(footer),
         "_header": ids(lambda e: e["tag"].isin("header", "nav") | role(e).isin("banner", "navigation")
                        | has_token(e, fv.HEADER_TOKENS)),
     })
+    return barrier(marked, "_float", "_footer", "_header")
 
 
 def placement_of(e: Column) -> Column:

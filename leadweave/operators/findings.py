@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
-from leadweave.functions.expr import blank_to_null, is_true
+from leadweave.functions.expr import barrier, blank_to_null, is_true
 from leadweave.functions.scoring import speed_reason, speed_score
 from leadweave.functions.text import fold_accents
 from leadweave.schemas import FINDING_DDL
@@ -270,4 +270,5 @@ def review_sites(sites: DataFrame, today: Column) -> DataFrame:
         "info_checklist": F.when(facts, info_checks()).otherwise(none),
         "link_errors": F.when(ok, link_errors()).otherwise(F.array().cast(NO_TEXTS)),
     })
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = out.drop(*[c for c in out.columns if c.startswith("_")])
+    return barrier(out, "findings", "seo_local", "info_checklist", "link_errors")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
 from leadweave.functions import text as tx
-from leadweave.functions.expr import blank_to_null, is_true
+from leadweave.functions.expr import barrier, blank_to_null, is_true
 from leadweave.functions.phones import normalize_phone
 from leadweave.functions.urls import place_key, with_canonical_place_url, with_link_kind, with_normalized, with_social, with_unwrapped
 from leadweave.operators.page_facts import attr, first, of_tag, subtree_text
@@ -41,9 +41,10 @@ def listing_cards(pages: DataFrame, region: str = "CL", key: str = "page_id") ->
     )
     # The outermost ancestor that is an ancestor of this place link only.
     others = F.flatten(F.filter("_paths", lambda p, i: i != F.col("_at")))
-    rows = rows.withColumn("_root", first(F.array_except(F.col("_link.path"), others)))
+    rows = barrier(rows.withColumn("_root", first(F.array_except(F.col("_link.path"), others))), "_root")
+    # From here on only the card's own elements travel, not the page's.
     inside = F.filter(E, lambda e: F.array_contains(e["path"], F.col("_root")))
-    rows = rows.withColumn("_card", inside)
+    rows = barrier(rows.withColumn("_card", inside).select(key, "_at", "_link", "_card"), "_card")
     site_links = F.filter(
         "_card",
         lambda e: (e["tag"] == "a") & (attr(e, "href") != "") & (
@@ -92,8 +93,8 @@ def hours_map(labels: Column) -> Column:
         lambda x: x["day"] != "",
     )
     days = F.array(*[F.struct(F.lit(d).alias("name"), tx.fold_accents(F.lit(d)).alias("plain")) for d in fv.WEEKDAYS])
-    entries = F.transform(days, lambda d: F.struct(d["name"], first(F.filter(found, lambda x: x["day"] == d["plain"]))["hours"]))
-    return F.map_from_entries(F.filter(entries, lambda e: e["col2"].isNotNull()))
+    entries = F.transform(days, lambda d: F.struct(d["name"].alias("day"), first(F.filter(found, lambda x: x["day"] == d["plain"]))["hours"].alias("hours")))
+    return F.map_from_entries(F.filter(entries, lambda e: e["hours"].isNotNull()))
 
 
 def about_sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -142,8 +143,8 @@ def places(panels: DataFrame, catalog: DataFrame | None = None, region: str = "C
     outside), ready for ``contact_mentions``.
     """
     main = first(F.filter(E, lambda e: (e["tag"] == "div") & (e["attrs"]["role"] == "main")))["node"]
-    rows = panels.withColumn("_main", F.coalesce(main, first(of_tag("body"))["node"], F.lit(0)))
-    rows = rows.withColumn("_in", F.filter(E, lambda e: F.array_contains(e["path"], F.col("_main"))))
+    rows = barrier(panels.withColumn("_main", F.coalesce(main, first(of_tag("body"))["node"], F.lit(0))), "_main")
+    rows = barrier(rows.withColumn("_in", F.filter(E, lambda e: F.array_contains(e["path"], F.col("_main")))).drop(E), "_in")
     rows = rows.withColumn("_h1", first(F.filter("_in", lambda e: e["tag"] == "h1")))
     rows = rows.withColumn("name", blank_to_null(subtree_text(F.col("_h1.node"), "_in"))).filter(F.col("name").isNotNull())
     # Header: the nearest of six ancestors of the name that shows rating, reviews or category.
@@ -151,10 +152,10 @@ def places(panels: DataFrame, catalog: DataFrame | None = None, region: str = "C
         _label(e).contains("estrellas") | _label(e).contains("reseña")
         | ((e["tag"] == "button") & F.coalesce(e["attrs"]["jsaction"], F.lit("")).contains("category"))
     )
-    rows = rows.withColumn("_marks", F.transform(F.filter("_in", is_mark), lambda e: e["path"]))
+    rows = barrier(rows.withColumn("_marks", F.transform(F.filter("_in", is_mark), lambda e: e["path"])), "_marks")
     above = F.slice(F.reverse(F.col("_h1.path")), 2, 6)
-    rows = rows.withColumn("_top", F.coalesce(
-        first(F.filter(above, lambda n: F.exists("_marks", lambda p: F.array_contains(p, n)))), F.col("_h1.parent")))
+    rows = barrier(rows.withColumn("_top", F.coalesce(
+        first(F.filter(above, lambda n: F.exists("_marks", lambda p: F.array_contains(p, n)))), F.col("_h1.parent"))), "_top")
     rows = rows.withColumn("_head", F.filter("_in", lambda e: F.array_contains(e["path"], F.col("_top"))))
 
     def value_of(test) -> Column:
@@ -182,8 +183,9 @@ def places(panels: DataFrame, catalog: DataFrame | None = None, region: str = "C
     })
     roots = F.when(F.size("_regions") > 0, F.col("_regions")).otherwise(
         F.transform(F.filter("_in", lambda e: e["attrs"]["data-item-id"].isNotNull()), lambda e: e["node"]))
+    rows = barrier(rows.withColumn("_roots", roots), "_roots")
     rows = rows.withColumns({
-        "own": F.filter("_in", lambda e: F.arrays_overlap(e["path"], roots)),
+        "own": F.filter("_in", lambda e: F.arrays_overlap(e["path"], F.col("_roots"))),
         "city": tx.address_locality("address"),
         "phone_e164": F.coalesce(normalize_phone("_tel", region), normalize_phone("phone_raw", region)),
         "place_key": place_key(url),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
 from leadweave.functions import text as tx
-from leadweave.functions.expr import blank_to_null, is_true, suffix_lookup
+from leadweave.functions.expr import barrier, blank_to_null, is_true, suffix_lookup
 from leadweave.functions.phones import normalize_phone, phone_from_tel, phones_in_text
 from leadweave.functions.urls import (
     same_site, site_host, url_host, with_joined, with_link_kind, with_normalized, with_social, with_unwrapped,
@@ -44,7 +44,7 @@ def first(array: Column) -> Column:
 def with_visible_text(pages: DataFrame) -> DataFrame:
     """Adds ``lines`` (one per block, spaces collapsed) and ``visible_text``."""
     skipped = F.transform(of_tag(*fv.SKIP_TAGS, "title"), lambda e: e["node"])
-    pages = pages.withColumn("_skip", skipped)
+    pages = barrier(pages.withColumn("_skip", skipped), "_skip")
     pages = pages.withColumn(
         "_texts",
         F.transform(
@@ -118,7 +118,7 @@ def with_structure_facts(pages: DataFrame) -> DataFrame:
         return F.filter(F.transform(of_tag(tag), lambda e: subtree_text(e["node"])), lambda t: t != "")
 
     root = F.coalesce(first(of_tag("nav"))["node"], first(of_tag("header"))["node"])
-    pages = pages.withColumn("_menu", root)
+    pages = barrier(pages.withColumn("_menu", root), "_menu")
     labels = F.transform(
         F.filter(E, lambda e: (e["tag"] == "a") & is_true(F.array_contains(e["path"], F.col("_menu")))),
         lambda e: subtree_text(e["node"]),
@@ -337,9 +337,9 @@ def place_mentions(pages: DataFrame, catalog: DataFrame, key: str = "page_id") -
             "line_no", "at", "name", "ambiguous", F.col("line").rlike(fv.PLACE_CUE_PATTERN).alias("cue")
         ))).alias("_hits")
     )
-    folded = folded.withColumn(
+    folded = barrier(folded.withColumn(
         "_clear", F.array_distinct(F.transform(F.filter("_hits", lambda h: ~h["ambiguous"] | h["cue"]), lambda h: h["line_no"]))
-    )
+    ), "_clear")
     kept = F.filter("_hits", lambda h: ~h["ambiguous"] | F.array_contains(F.col("_clear"), h["line_no"]))
     return folded.select(key, F.array_distinct(F.transform(kept, lambda h: h["name"])).alias("places")).filter(F.size("places") > 0)
 
