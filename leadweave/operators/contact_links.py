@@ -20,6 +20,7 @@ from leadweave.functions.urls import with_joined
 
 E = "elements"
 HINT = r"(?i)wa\.|whatsapp"
+MATCHES = "array<struct<kind:string,raw:string,link:string>>"
 
 
 def placement_rank(placement: Column) -> Column:
@@ -129,22 +130,28 @@ def _link_matches(text: Column) -> Column:
     """All contact links of a text, in pattern order, each with its raw number and full address."""
     tail = F.lit(f"(?=({fv.LINK_TAIL}))")
 
-    def matches(kind: str, pattern: str, groups: int) -> Column:
+    empty = F.array().cast(MATCHES)
+
+    def matches(kind: str, pattern: str, groups: int, hint: str) -> Column:
         full = F.concat(F.lit(pattern), tail)
         whole = F.regexp_extract_all(text, full, F.lit(0))
         rest = F.regexp_extract_all(text, full, F.lit(groups + 1))
         raw = F.regexp_extract_all(text, full, F.lit(1)) if groups else rest
-        return F.transform(
+        found = F.transform(
             F.arrays_zip(whole.alias("whole"), rest.alias("rest"), raw.alias("raw")),
             lambda m: F.struct(
                 F.lit(kind).alias("kind"), (m["raw"] if groups else F.lit(None).cast("string")).alias("raw"),
                 F.substring(F.concat(m["whole"], m["rest"]), 1, fv.MAX_EVIDENCE).alias("link"),
             ),
         )
-
-    parts = [matches("number", pattern, 1) for pattern in fv.NUMBER_LINK_PATTERNS]
-    parts += [matches(kind, pattern, 0) for kind, pattern in (
-        ("message", fv.MESSAGE_LINK_PATTERN), ("shortlink", fv.SHORT_LINK_PATTERN), ("group", fv.GROUP_LINK_PATTERN))]
+        # The full pattern tries every position of the text; a plain word search decides first.
+        return F.when(text.rlike(hint), found).otherwise(empty)
+
+    hints = [r"(?i)wa\.me/", r"(?i)whatsapp\.com/send", r"(?i)whatsapp://"]
+    parts = [matches("number", pattern, 1, hint) for pattern, hint in zip(fv.NUMBER_LINK_PATTERNS, hints)]
+    parts += [matches(kind, pattern, 0, hint) for kind, pattern, hint in (
+        ("message", fv.MESSAGE_LINK_PATTERN, r"(?i)wa\.me/message/"), ("shortlink", fv.SHORT_LINK_PATTERN, r"(?i)wa\.link/|walink\.co/"),
+        ("group", fv.GROUP_LINK_PATTERN, r"(?i)chat\.whatsapp\.com/"))]
     return F.concat(*parts)
 
 
@@ -175,7 +182,7 @@ def _hits(texts: DataFrame, key: str) -> DataFrame:
     is_script, is_attribute = F.col("origin") == "script", F.col("origin") == "attribute"
     not_ld = F.col("name") != "application/ld+json"
     plugin_name = is_attribute & F.col("cue") & F.col("name").rlike(fv.PLUGIN_ATTRIBUTE_PATTERN)
-    empty = F.array().cast("array<struct<kind:string,raw:string,link:string>>")
+    empty = F.array().cast(MATCHES)
     own_number = F.when(
         plugin_name & (F.col("variant") == 0),
         F.array(F.struct(
@@ -188,12 +195,15 @@ def _hits(texts: DataFrame, key: str) -> DataFrame:
         .when(is_attribute & F.col("cue") & ~plugin_name & F.ltrim("text").rlike(r"^[{\[]"), _plugin_matches(body, near_cue=False))
         .otherwise(empty)
     )
-    # Links of all variants come before settings numbers of the same text.
-    found = variants.withColumn("_links", _link_matches(body)).withColumn("_settings", F.concat(own_number, settings))
+    # Links of all variants come before settings numbers of the same text. One explode for both:
+    # two would read (and parse) the pages twice.
+    def staged(matches: Column, stage: int) -> Column:
+        return F.transform(matches, lambda m, i: F.struct(F.lit(stage).alias("stage"), i.alias("at"), m.alias("m")))
+
     columns = [key, "region", "page_url", "node", "sub", "origin", "placement", "variant", "text"]
-    links = found.select(*columns, F.lit(0).alias("stage"), F.posexplode("_links").alias("at", "m"))
-    numbers = found.select(*columns, F.lit(1).alias("stage"), F.posexplode("_settings").alias("at", "m"))
-    return links.unionByName(numbers).select(
+    found = variants.select(*columns, F.explode(F.concat(staged(_link_matches(body), 0), staged(F.concat(own_number, settings), 1))).alias("_f"))
+    found = found.select(*columns, "_f.stage", "_f.at", "_f.m")
+    return found.select(
         key, "region", "page_url", "origin", F.col("m.kind").alias("kind"), F.col("m.raw").alias("raw"), F.col("m.link").alias("link"),
         F.when((F.col("stage") == 1) & (F.col("origin") == "script"), "flotante").otherwise(F.col("placement")).alias("placement"),
         F.when((F.col("origin") == "attribute") & (F.col("stage") == 0), F.col("text")).otherwise(F.col("m.link")).alias("evidence"),
