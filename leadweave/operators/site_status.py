@@ -72,8 +72,12 @@ def site_status(sites: DataFrame, site: str = "site_id") -> DataFrame:
     rendered = is_true(rendered)
     fetch_error = text_or_empty("f_error") != ""
     no_answer = text_or_empty("f_error").contains(fv.NO_ANSWER_HINT)
-    wall_fetch = tx.is_bot_wall("f_title", F.substring(text_or_empty("f_text"), 1, 5000))
-    wall_render = tx.is_bot_wall("r_title", "r_text")
+    # Text tests that several branches ask for are columns of their own: each runs once per row.
+    sites = sites.withColumns({
+        "_wall_fetch": tx.is_bot_wall("f_title", F.substring(text_or_empty("f_text"), 1, 5000)),
+        "_wall_render": tx.is_bot_wall("r_title", "r_text"),
+    })
+    wall_fetch, wall_render = F.col("_wall_fetch"), F.col("_wall_render")
     bad_status = is_true(F.col("f_status") >= 400)
     asks_render = is_true(F.col("f_status").isin(401, 403, 429, 503)) | wall_fetch
     rescued = rendered & (F.coalesce("r_status", F.lit(200)) < 400) & ~wall_render

@@ -185,3 +185,29 @@ query("E1_E2_named_registries", "id long, filters_passed long, place long", f"""
       row_number() OVER (PARTITION BY query ORDER BY coalesce(rating, 0) DESC, coalesce(reviews, 0) DESC, position, id) AS place FROM l""")(
     lambda d: all_leads(d).select("id", sum(F.when(leads.FILTERS[n](), 1).otherwise(0) for n in ("whatsapp", "probar", "rating", "resenas", "oportunidad")).alias("filters_passed")).join(
         ranked(all_leads(d), "rating"), "id"))
+query("U8_append_analyses", "business_id long, analyses long, failed long", """
+    SELECT business_id, count(*) AS analyses, count(error) AS failed FROM {analyses} GROUP BY 1""")(lambda d: _appended(d))
+
+
+def _appended(d: Inputs) -> DataFrame:
+    """The history after two appends: the failed analyses first, then the others."""
+    folder = work_folder(d.spark, "analyses")
+    exports.append_analyses(d.analyses.filter("error IS NOT NULL"), folder)
+    exports.append_analyses(d.analyses.filter("error IS NULL"), folder)
+    return d.spark.read.parquet(folder).groupBy("business_id").agg(F.count("*").alias("analyses"), F.count("error").alias("failed"))
+
+
+# ------------------------------------------------------------------ E3-E5: what a user plugs in are plain frames
+query("E3_E4_E5_plugged_frames", "listings long, answers long, unusable long, places long", f"""
+    SELECT (SELECT count(*) FROM {{listings}}) AS listings, count(*) FILTER (WHERE turn NOT IN (2, 3) AND role = 'user') AS answers,
+      count(*) FILTER (WHERE turn IN (2, 3) OR role <> 'user') AS unusable, (SELECT count(*) FROM {{nation}}) AS places FROM {{conversations}}""")(lambda d: _plugged(d))
+
+
+def _plugged(d: Inputs) -> DataFrame:
+    """Any frame of cards, of model responses or of catalog names takes the place of the built-in source."""
+    from leadweave.plans.fusion_queries import _responses
+    answers = judgments.read_responses(_responses(d)).agg(
+        F.count_if(F.col("error").isNull()).alias("answers"), F.count_if(F.col("error").isNotNull()).alias("unusable")).withColumn("one", F.lit(1))
+    cards = _cards(d).agg(F.sum("listings").alias("listings")).withColumn("one", F.lit(1))
+    names = _catalog_file(d).agg(F.count("*").alias("places")).withColumn("one", F.lit(1))
+    return answers.join(cards, "one").join(names, "one")

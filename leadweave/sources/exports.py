@@ -1,4 +1,4 @@
-"""Sinks."""
+"""Sinks."""
 
 from __future__ import annotations
 
@@ -69,3 +69,8 @@ def evidence_documents(sites: DataFrame, key: str = "site_id") -> DataFrame:
     return sites.select(
         key, F.to_json(document, {"ignoreNullFields": "false"}).alias("document"),
         F.substring("visible_text", 1, fv.MAX_VISIBLE_TEXT).alias("visible_text"))
+
+
+def append_analyses(rows: DataFrame, path: str) -> None:
+    """U8: add analyses to the append-only history of their businesses."""
+    rows.write.mode("append").parquet(path)
