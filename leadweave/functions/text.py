@@ -68,18 +68,27 @@ def snippet(line: Column, pattern: str) -> Column:
 
 
 # ------------------------------------------------------------------ F22 - F25, F32
-def dead_site_reason(title: ColumnLike, text: ColumnLike) -> Column:
-    """Why a page that loads is no real site, else NULL."""
-    body = F.coalesce(as_col(text), F.lit(""))
-    folded = F.lower(fold_accents(F.concat(F.coalesce(as_col(title), F.lit("")), F.lit("\n"), body)))
+def page_words(title: ColumnLike, text: ColumnLike) -> Column:
+    """Title and text in plain lower-case letters, as the dead-site patterns expect them."""
+    return F.lower(fold_accents(F.concat(F.coalesce(as_col(title), F.lit("")), F.lit("\n"), F.coalesce(as_col(text), F.lit("")))))
+
+
+def dead_reason_of(words: Column, text: ColumnLike) -> Column:
+    """``dead_site_reason`` over words already prepared (they are tested several times)."""
+    short = F.length(F.coalesce(as_col(text), F.lit(""))) <= fv.PLACEHOLDER_MAX_TEXT
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for reason, pattern in fv.DEAD_SITE_PATTERNS.items():
-        chain = chain.when(folded.rlike(pattern), reason)
+        chain = chain.when(words.rlike(pattern), reason)
     for reason, pattern in fv.PLACEHOLDER_PATTERNS.items():
-        chain = chain.when((F.length(body) <= fv.PLACEHOLDER_MAX_TEXT) & folded.rlike(pattern), reason)
+        chain = chain.when(short & words.rlike(pattern), reason)
     return chain
 
 
+def dead_site_reason(title: ColumnLike, text: ColumnLike) -> Column:
+    """Why a page that loads is no real site, else NULL."""
+    return dead_reason_of(page_words(title, text), text)
+
+
 def is_bot_wall(title: ColumnLike, text: ColumnLike) -> Column:
     head = F.substring(F.coalesce(as_col(text), F.lit("")), 1, fv.BOT_WALL_TEXT)
     return F.concat(F.coalesce(as_col(title), F.lit("")), F.lit("\n"), head).rlike(fv.BOT_WALL_PATTERN)

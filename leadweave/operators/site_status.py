@@ -126,9 +126,9 @@ def site_status(sites: DataFrame, site: str = "site_id") -> DataFrame:
         "_last_url": F.when(F.col("_thin"), F.col("r_final_url")).otherwise(F.col("_url")),
         "_last_title": F.when(F.col("_thin"), F.col("r_title")).otherwise(F.col("_title")),
         "_last_text": F.when(F.col("_thin"), F.col("r_text")).otherwise(F.col("_text")),
-    }).withColumns({
+    }).withColumn("_words", tx.page_words("_last_title", "_last_text")).withColumns({
         "_login": login_wall_reason("_last_url"), "_wall": tx.is_bot_wall("_last_title", "_last_text"),
-        "_dead": tx.dead_site_reason("_last_title", "_last_text"),
+        "_dead": tx.dead_reason_of(F.col("_words"), "_last_text"),
     })
     social = F.col("_landed_profile").isNotNull()
     status = (
