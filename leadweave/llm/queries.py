@@ -66,3 +66,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = read_table(spark, folder, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from leadweave.llm.secret_scan import scan_secrets
+
+    return scan_secrets(read_table(spark, folder, "documents"))
