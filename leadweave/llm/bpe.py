@@ -6,8 +6,7 @@ the last of which carries the word end. Pieces are merged many at a time: the sy
 of a batch lie in one flat array; in each round every piece merges its lowest-ranked pair, which is
 looked up by binary search in the sorted keys of all mergeable pairs.
 
-White space never belongs to a piece, so a text is cut at white space first and each distinct chunk
-is encoded once per batch and kept in a bounded table.
+Each distinct piece of a batch is encoded once and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -25,11 +24,10 @@ from pyspark.sql import DataFrame
 
 #: White space as the tokenizer's patterns see it.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Characters that ``str.split`` takes as white space and the tokenizer doesn't.
-NOT_WHITE = regex.compile("[\\x1c-\\x1f]")
-CHUNK = regex.compile(f"[^{WHITE}]+")
 NO_RANK = np.int64(1) << 40
-MAX_CHUNKS = 300_000
+MAX_PIECES = 400_000
+#: Pieces that are encoded and looked up together.
+SLICE = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -50,6 +48,7 @@ class BpeTokenizer:
         vocab = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (vocab | self.special).items()}
+        self.shown = [(str(i), self.tokens.get(i, "")) for i in range(max(self.tokens) + 1)]
         shown = byte_characters()
         self.first_ids = np.array([vocab[c] for c in shown], np.int64)
         self.last_ids = np.array([vocab[c + end] for c in shown], np.int64)
@@ -71,10 +70,8 @@ class BpeTokenizer:
         self.id_texts: list[str] = []
         self.token_texts: list[str] = []
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece; all pieces are merged together, one merge a piece and round."""
-        if not pieces:
-            return []
+    def merge(self, pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of all pieces in one list and where each piece ends in it; one merge a piece and round."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         symbols = self.first_ids[raw]
@@ -104,29 +101,31 @@ class BpeTokenizer:
             symbols, owner = symbols[keep], owner[keep]
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
-        return np.split(symbols[order], np.cumsum(np.bincount(owner, minlength=len(pieces)))[:-1])
+        return symbols[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
 
-    def chunk_pieces(self, chunk: str) -> list[bytes]:
-        """The pieces of text without white space, as UTF-8. A sigma is lowered without regard to its place."""
-        clean = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return [m.encode() for m in self.pieces.findall(clean.lower())]
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text without special tokens. A sigma is lowered without regard to its place."""
+        clean = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.pieces.findall(clean.lower())
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks that aren't in the table yet, together. The table is emptied when it grows too large."""
-        new = [c for c in chunks if c not in self.kept]
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces that aren't in the table yet, together. The table is emptied when it grows too large."""
+        new = [p for p in pieces if p not in self.kept]
+        if len(self.kept) + len(new) > MAX_PIECES:
+            self._clear()
+            new = list(pieces)
         if not new:
             return
-        if len(self.kept) + len(new) > MAX_CHUNKS:
-            self._clear()
-            new = list(chunks)
-        parts = [self.chunk_pieces(c) for c in new]
-        ids = iter(self.merge([p for part in parts for p in part]))
-        for chunk, part in zip(new, parts, strict=True):
-            own = [i for _ in part for i in next(ids).tolist()]
-            self.kept[chunk] = len(self.sizes)
-            self.sizes.append(len(own))
-            self.id_texts.append(" ".join(map(str, own)))
-            self.token_texts.append(self.decode(own))
+        ids, ends = self.merge([p.encode() for p in new])
+        shown = [self.shown[i] for i in ids]
+        numbers, names = [a for a, _ in shown], [b for _, b in shown]
+        begin = 0
+        for piece, end in zip(new, ends, strict=True):
+            self.kept[piece] = len(self.sizes)
+            self.sizes.append(end - begin)
+            self.id_texts.append(" ".join(numbers[begin:end]))
+            self.token_texts.append(" ".join(names[begin:end]))
+            begin = end
 
     def segments(self, text: str) -> list[str]:
         """The text cut at special tokens, which stand alone."""
@@ -134,44 +133,50 @@ class BpeTokenizer:
             return [text]
         return [s for s in regex.split(f"({self.specials.pattern})", text) if s]
 
-    def chunks(self, text: str) -> list[str]:
-        return CHUNK.findall(text) if NOT_WHITE.search(text) else text.split()
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for segment in self.segments(text):
             if segment in self.special:
                 out.append(self.special[segment])
                 continue
-            found = self.chunks(segment)
-            self.learn(set(found))
-            for chunk in found:
-                out += map(int, self.id_texts[self.kept[chunk]].split())
+            found = self.cut(segment)
+            for begin in range(0, len(found), SLICE):
+                part = found[begin : begin + SLICE]
+                self.learn(set(part))
+                for piece in part:
+                    out += map(int, self.id_texts[self.kept[piece]].split())
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, special ones included, as a tokenizer without a decoder does; unknown ids are left out."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
-    def digest_rows(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids and of the decoded text."""
-        count, id_parts, token_parts = 0, [], []
-        for segment in self.segments(text):
-            if segment in self.special:
-                count += 1
-                id_parts.append(str(self.special[segment]))
-                token_parts.append(segment)
-                continue
-            found = self.chunks(segment)
-            # A very long text comes in slices of chunks, so that the table's bound holds.
-            for begin in range(0, len(found), MAX_CHUNKS // 4):
-                part = found[begin : begin + MAX_CHUNKS // 4]
-                self.learn(set(part))
-                at = list(map(self.kept.__getitem__, part))
-                count += sum(map(self.sizes.__getitem__, at))
-                id_parts += filter(None, map(self.id_texts.__getitem__, at))
-                token_parts += filter(None, map(self.token_texts.__getitem__, at))
-        return count, sha256(" ".join(id_parts).encode()).hexdigest(), sha256(" ".join(token_parts).encode()).hexdigest()
+    def digest_rows(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text the number of ids, SHA-256 of the ids and of the decoded text; new pieces of all texts are merged together."""
+        found: list[tuple[int, list[str]]] = []  # text number, pieces or a special token
+        for number, text in enumerate(texts):
+            for segment in self.segments(text):
+                pieces = [segment] if segment in self.special else self.cut(segment)
+                found += [(number, pieces[begin : begin + SLICE]) for begin in range(0, len(pieces), SLICE)]
+        counts, id_parts, token_parts = [0] * len(texts), [[] for _ in texts], [[] for _ in texts]
+        while found:
+            room, batch = SLICE, []
+            while found and (not batch or len(found[0][1]) <= room):
+                batch.append(found.pop(0))
+                room -= len(batch[-1][1])
+            self.learn({p for _, pieces in batch for p in pieces if p not in self.special})
+            for number, pieces in batch:
+                if pieces[0] in self.special:
+                    counts[number] += 1
+                    id_parts[number].append(str(self.special[pieces[0]]))
+                    token_parts[number].append(pieces[0])
+                    continue
+                at = list(map(self.kept.__getitem__, pieces))
+                counts[number] += sum(map(self.sizes.__getitem__, at))
+                id_parts[number] += map(self.id_texts.__getitem__, at)
+                token_parts[number] += map(self.token_texts.__getitem__, at)
+        digest = lambda parts: sha256(" ".join(parts).encode()).hexdigest()
+        return [(n, digest(i), digest(t)) for n, i, t in zip(counts, id_parts, token_parts, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -205,9 +210,7 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             rows = []
             for begin in range(0, batch.num_rows, 64):
-                texts = [t.as_py() or "" for t in batch.column(1)[begin : begin + 64]]
-                _learn_together(coder, texts)
-                rows += map(coder.digest_rows, texts)
+                rows += coder.digest_rows([t.as_py() or "" for t in batch.column(1)[begin : begin + 64]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -215,18 +218,6 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return _mapped(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _learn_together(coder: BpeTokenizer, texts: list[str]) -> None:
-    """Merge the new chunks of several ordinary texts in one batch; texts with special tokens wait for their turn."""
-    plain = [t for t in texts if "<|" not in t and len(t) < 200_000 and not NOT_WHITE.search(t)]
-    found: set[str] = set()
-    for text in plain:
-        found.update(text.split())
-        if len(found) > MAX_CHUNKS // 4:
-            coder.learn(found)
-            found = set()
-    coder.learn(found)
-
-
 def _mapped(docs: DataFrame, id_col: str, text_col: str, run, columns: str) -> DataFrame:
     from pyspark.sql import functions as F
 

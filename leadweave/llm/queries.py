@@ -73,3 +73,12 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from leadweave.llm.secret_scan import scan_secrets
 
     return scan_secrets(read_table(spark, folder, "documents"))
+
+
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from leadweave.llm.bpe import encoding_digests
+
+    return encoding_digests(read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
