@@ -82,3 +82,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from leadweave.llm.bpe import encoding_digests
 
     return encoding_digests(read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from leadweave.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, folder, "documents"), percent=85)
