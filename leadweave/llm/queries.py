@@ -89,3 +89,11 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from leadweave.llm.near_dedup import near_duplicates
 
     return near_duplicates(read_table(spark, folder, "documents"), percent=85)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from leadweave.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = read_table(spark, folder, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read_table(spark, folder, "labels")))
