@@ -97,3 +97,12 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = read_table(spark, folder, "documents")
     return score_toxicity(docs, fit_toxicity(docs, read_table(spark, folder, "labels")))
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from leadweave.llm.lm import score_held_out
+
+    return score_held_out(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
