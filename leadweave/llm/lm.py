@@ -2,8 +2,8 @@
 
 Word counts cover all training texts and are gathered in Spark; so are the subword counts, which
 come from the counted words. They fix what the model predicts: each frequent subword is a class of its
-own and the others share classes by frequency, so P(id) = P(class | context) * P(id | class). The
-attention model gives the first factor and the corpus counts the second.
+own and the others share classes by frequency, so P(id) = P(class | context) * P(id | class, id before).
+The attention model gives the first factor and the corpus counts the second.
 
 The model is trained in numpy by federated averaging: every training text gives the same share of
 its word blocks, each task takes optimiser steps over its own blocks, and the weights are averaged
@@ -36,7 +36,9 @@ OWN_ROWS, SHARED_ROWS = 4096, 1024
 #: Words whose counts every task holds: at most so many, none longer than so many bytes. All other words are joined.
 HOT_WORDS, HOT_BYTES = 1 << 17, 64
 #: Every training text gives one in SHARE of its blocks of BLOCK_WORDS words to the model's training.
-SHARE, BLOCK_WORDS, ROUNDS, BATCH = 32, 12, 2, 128
+SHARE, BLOCK_WORDS, ROUNDS, BATCH = 16, 12, 2, 128
+#: Groups of the id before, by frequency; the weight of P(id | class) where an id and its group are rare together.
+GROUPS, SMOOTH = 128, 10.0
 _CACHE = 300_000
 _COUNTER = 400_000
 LN10 = float(np.log(10))
@@ -59,6 +61,10 @@ class Subwords(dict):
         self.encoding = _encoding(path, pattern)
         self.end = self.encoding.max_token_value + 1
 
+    def begins_word(self) -> np.ndarray:
+        """Which ids begin a word: those that carry its leading space, and the end."""
+        return np.array([self.encoding.decode_single_token_bytes(i).startswith(b" ") for i in range(self.end)] + [True])
+
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= _CACHE:
             self.clear()
@@ -75,26 +81,55 @@ class Subwords(dict):
 
 @dataclass(frozen=True)
 class Classes:
-    """What the corpus counts say about each id: its class, its input row and log P(id | class)."""
+    """What the corpus counts say about each id: class, input row, group, whether it begins a word, and log P(id | class, column).
+
+    A column is the group of the id before; ids that begin a word, and the end, have a column of their own.
+    """
 
     of: np.ndarray
     row: np.ndarray
+    group: np.ndarray
+    first: np.ndarray
     inside: np.ndarray
     prior: np.ndarray  # log P(class)
 
+    def columns(self, ids: np.ndarray) -> np.ndarray:
+        out = np.full(len(ids), GROUPS, np.int64)
+        out[1:][~self.first[ids[1:]]] = self.group[ids[:-1]][~self.first[ids[1:]]]
+        return out
+
+
+def _by_frequency(smooth: np.ndarray, parts: int, own: int) -> np.ndarray:
+    """Part of each rank: the first ``own`` stand alone, the others fill the remaining parts with equal counts."""
+    tail = np.cumsum(smooth[own:]) / smooth[own:].sum()
+    return np.r_[np.arange(own), own + np.minimum((tail * (parts - own)).astype(np.int64), parts - own - 1)]
 
-def make_classes(counts: np.ndarray) -> Classes:
+
+def _ranks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(counts), np.int64)
     rank[order] = np.arange(len(counts))
+    return order, rank
+
+
+def id_groups(counts: np.ndarray) -> np.ndarray:
+    order, rank = _ranks(counts)
+    return _by_frequency(counts[order] + 1.0, GROUPS, GROUPS * 3 // 4)[rank]
+
+
+def make_classes(counts: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> Classes:
+    """``counts`` by id; ``pairs`` by id and column."""
+    order, rank = _ranks(counts)
     smooth = counts[order] + 1.0
-    own = min(OWN_CLASSES, max(0, len(counts) - 1))
-    tail = np.cumsum(smooth[own:]) / smooth[own:].sum()
-    of_rank = np.r_[np.arange(own), own + np.minimum((tail * (CLASSES - own)).astype(np.int64), CLASSES - own - 1)]
+    of_rank = _by_frequency(smooth, CLASSES, OWN_CLASSES)
     total = np.bincount(of_rank, smooth, minlength=CLASSES)
-    inside = np.log(smooth / total[of_rank])
-    row = np.where(np.arange(len(counts)) < OWN_ROWS, np.arange(len(counts)), OWN_ROWS + np.arange(len(counts)) % SHARED_ROWS)
-    return Classes(of_rank[rank].astype(np.int32), row[rank].astype(np.int32), inside[rank], np.log((total + 1e-9) / total.sum()).astype(np.float32))
+    of, alone = of_rank[rank], (smooth / total[of_rank])[rank]
+    totals = np.zeros((CLASSES, GROUPS + 1))
+    np.add.at(totals, of, pairs)
+    inside = np.log((pairs + SMOOTH * alone[:, None]) / (totals[of] + SMOOTH)).astype(np.float32)
+    places = np.arange(len(counts))
+    row = np.where(places < OWN_ROWS, places, OWN_ROWS + places % SHARED_ROWS)
+    return Classes(of.astype(np.int32), row[rank].astype(np.int32), id_groups(counts), first, inside, np.log((total + 1e-9) / total.sum()).astype(np.float32))
 
 
 @dataclass(frozen=True)
@@ -154,7 +189,7 @@ class Scorer:
             inputs = np.empty(len(ids), np.int32)
             inputs[0], inputs[1:] = self.classes.row[self.end], self.classes.row[ids[:-1]]
             classes = self.classes.of[ids]
-            sums[number] += self.classes.inside[ids].sum()
+            sums[number] += self.classes.inside[ids, self.classes.columns(ids)].sum(dtype=np.float64)
             for begin in range(0, len(ids), STRIDE * 1024):  # a very long text comes in parts that overlap as windows do
                 end = min(len(ids), begin + STRIDE * 1024)
                 count, lead = -(-(end - begin) // STRIDE), min(LEAD, begin)
@@ -300,6 +335,33 @@ def subword_counts(vocabulary: DataFrame, ends: int, path: str, pattern: str) ->
     return counts
 
 
+def pair_counts(vocabulary: DataFrame, counts: np.ndarray, path: str, pattern: str) -> np.ndarray:
+    """Corpus count of every id by column (``Classes``), from the counted words; bounded by ids times columns."""
+    group = id_groups(counts)
+    shared = vocabulary.sparkSession.sparkContext.broadcast(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, group = Subwords(path, pattern), shared.value
+        total = np.zeros(len(group) * (GROUPS + 1), np.int64)
+        for batch in batches:
+            found = [subwords[w] for w in batch.column(0).to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            if len(ids):
+                column = np.r_[GROUPS, group[ids[:-1]]]
+                column[(np.cumsum(sizes) - sizes)[sizes > 0]] = GROUPS
+                np.add.at(total, ids * (GROUPS + 1) + column, np.repeat(batch.column(1).to_numpy(), sizes))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+    table = vocabulary.select("word", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(len(counts) * (GROUPS + 1), np.float64)
+    pairs[table["at"].to_numpy()] = table["n"].to_numpy()
+    pairs = pairs.reshape(len(counts), GROUPS + 1)
+    pairs[-1, GROUPS] = counts[-1]
+    return pairs
+
+
 def training_windows(train: DataFrame, path: str, pattern: str) -> DataFrame:
     """``ids`` (WINDOW + 1 of them, -1 where the block ends early): one in SHARE of every text's word blocks.
 
@@ -331,7 +393,7 @@ def train_model(windows: DataFrame, classes: Classes, rate: float = 0.01) -> Mod
     spark = windows.sparkSession
     model = new_model(classes.prior)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model, classes))
+        shared = spark.sparkContext.broadcast((model, replace(classes, inside=None)))
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -373,7 +435,8 @@ def fit_language_model(train: DataFrame, path: str, pattern: str, text_col: str
     vocabulary = stage(word_counts(texts), "words")
     ends = train.count()
     row = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    classes = make_classes(subword_counts(vocabulary, ends, path, pattern))
+    counts = subword_counts(vocabulary, ends, path, pattern)
+    classes = make_classes(counts, Subwords(path, pattern).begins_word(), pair_counts(vocabulary, counts, path, pattern))
     model = train_model(stage(training_windows(texts, path, pattern), "windows"), classes)
     return LanguageModel(classes, model, vocabulary, row["n"] + ends, row["v"] + (ends > 0), ends, path, pattern)
 
