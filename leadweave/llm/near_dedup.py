@@ -3,12 +3,14 @@
 1. Each text becomes the set of its five-word shingles (64-bit hashes). Many universal hash
    functions give one minimum each; runs of minima form bands.
 2. Documents with equal sets are one class, represented by its smallest id. Only representatives go on.
-3. Representatives that share a band are candidates. Every member of a band is compared with the
-   band's smallest id first: by signature, then on full sets. Confirmed links give components.
+3. Representatives that share a band are candidates. Every member of a band is compared with one
+   member of it first, by signature and then on full sets. Each band picks its own (the smallest by a
+   hash of id and band), so a document of a large group meets many others. Links give components.
 4. Bands that still hold several components are searched exhaustively: each member outside the
    band's largest component is compared with all members of other components, block against block,
-   by signature inside the task. Only pairs that pass leave it; they too are confirmed on full
-   sets. So no link inside a band is lost, and no band's pairs are ever written out.
+   by signature and then on full sets inside the task, in the first band that the two share. Only
+   links leave the task, one for each member and component it reaches. So no link inside a band
+   is lost, and a band's pairs are never written out.
 5. Components come from alternating large-star and small-star over the confirmed links.
 
 Words are the runs between x20 and x09 to x0D with A-Z lowered; a text with fewer words than a
@@ -32,7 +34,7 @@ BANDS, BAND_ROWS = 24, 5
 #: A pair whose signatures agree in a smaller share is not confirmed on full sets. At a true
 #: similarity of 0.85 and 120 minima the share is below 0.70 about twice in a million.
 SIGNATURE_SHARE = 0.70
-BLOCK = 256
+BLOCK = 768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _WORD_CACHE = 300_000
@@ -180,42 +182,81 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = now
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs across components inside each (band, block, block) group whose signatures agree; rows come in runs of one group."""
-    def compare(rows_: list[tuple], out: list[tuple[int, int]]) -> None:
-        left, right = [r for r in rows_ if r[0]], [r for r in rows_ if not r[0]]
-        if not left or not right:
-            return
-        sig = [np.frombuffer(b"".join(r[3] for r in side), np.uint32).reshape(len(side), -1) for side in (left, right)]
-        comp = [np.array([r[2] for r in side], np.int64) for side in (left, right)]
-        least = SIGNATURE_SHARE * sig[0].shape[1]
-        for k, own in enumerate(left):
-            other = np.flatnonzero(comp[1] != comp[0][k])
-            if len(other):
-                for j in other[(sig[1][other] == sig[0][k]).sum(axis=1) >= least]:
-                    out.append((own[1], right[j][1]))
+class _Side:
+    """One side of a block comparison: ids, components, signatures and full sets end to end."""
+
+    def __init__(self, rows: list[tuple]):
+        self.node = [r[0] for r in rows]
+        self.component = np.array([r[1] for r in rows], np.int64)
+        self.sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), -1)
+        self.sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        self.size = np.fromiter(map(len, self.sets), np.int64, len(rows))
+
+
+def _links_across(left: _Side, right: _Side, band: int, percent: int, out: list[tuple[int, int]]) -> None:
+    """Links between members of different components whose first shared band is ``band``; one for each left member and component."""
+    for k, own in enumerate(left.sets):
+        ratio = 100 * np.minimum(right.size, len(own)) >= percent * np.maximum(right.size, len(own))
+        other = np.flatnonzero(ratio & (right.component != left.component[k]))
+        if not len(other):
+            continue
+        equal = right.sig[other] == left.sig[k]
+        bands = equal.reshape(len(other), BANDS, BAND_ROWS).all(axis=2)
+        other = other[(equal.mean(axis=1) >= SIGNATURE_SHARE) & (bands.argmax(axis=1) == band)]
+        if not len(other):
+            continue
+        sizes = right.size[other]
+        flat = np.concatenate([right.sets[j] for j in other])
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        linked = other[100 * both >= percent * (len(own) + sizes - both)]
+        for j in linked[np.unique(right.component[linked], return_index=True)[1]]:
+            out.append((left.node[k], right.node[j]))
+
+
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links inside (band, block, block) groups; the rows of a group come one after the other and are at most two blocks."""
+    def links(key: list, rows_: list[tuple], out: list[tuple[int, int]]) -> None:
+        sides = [[r[1:] for r in rows_ if r[0] is side] for side in (True, False)]
+        if all(sides):
+            _links_across(_Side(sides[0]), _Side(sides[1]), key[0], percent, out)
+
+    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows_ = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for *key, is_left, node, component, sig in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
-                if key != group:
-                    compare(rows_, out)
-                    group, rows_ = key, []
-                rows_.append((is_left, node, component, sig))
-            yield _pairs(out)
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                for values in zip(*[part.column(c).to_pylist() for c in range(9)], strict=True):
+                    if list(values[:4]) != group:
+                        links(group, rows_, out)
+                        group, rows_ = list(values[:4]), []
+                    rows_.append(values[4:])
+            yield pairs(out)
         out = []
-        compare(rows_, out)
-        yield _pairs(out)
-
-    def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+        links(group, rows_, out)
+        yield pairs(out)
 
-    dealt = rows.select("_band", "_i", "_j", "_left", "node", "component", "_sig").repartition("_band", "_i", "_j").sortWithinPartitions("_band", "_i", "_j")
+    keys = ["_k", "_band", "_i", "_j"]
+    dealt = rows.select(*keys, "_left", "node", "component", "_sig", "_shingles").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, _shingles``: the full set of each row as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], ["node", "_shingles"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "node long, _shingles binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """For each row of ``docs``: id, ``n_shingles``, ``component_id`` and ``kept`` (id = component_id).
 
@@ -232,30 +273,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = members.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_x")).where("a < _x").drop("_x")
     same_id = members.join(many, "_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
     reps = usable.join(members.where("_id = rep").select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi")
-    banded = reps.select("_id", F.explode("_bands").alias("_band"))
-    shared = banded.groupBy("_band").agg(F.min("_id").alias("_least"), F.count("*").alias("_size")).where("_size > 1")
-    full = stage(banded.join(shared, "_band"), "bands")
+    banded = reps.select("_id", F.posexplode("_bands").alias("_k", "_band"))
+    shared = banded.groupBy("_k", "_band").agg(F.min(F.struct(F.xxhash64("_id", "_band").alias("_order"), "_id"))["_id"].alias("_pivot"), F.count("*").alias("_size")).where("_size > 1")
+    full = stage(banded.join(shared, ["_k", "_band"]), "bands")
 
-    first = full.where("_id != _least").select(F.col("_least").alias("a"), F.col("_id").alias("b")).distinct()
+    first = full.where("_id != _pivot").select(F.least("_pivot", "_id").alias("a"), F.greatest("_pivot", "_id").alias("b")).distinct()
     small = reps.select("_id", "_sig")
     links = stage(confirmed(similar_signatures(first, small), docs, id_col, text_col, percent).unionByName(same_id), "links")
     found = connected_components(links)
 
     # Bands that still hold more than one component: everything outside the largest is compared with the rest.
     placed = stage(full.join(found.withColumnRenamed("node", "_id"), "_id", "left").select(
-        "_band", F.col("_id").alias("node"), F.coalesce("component", "_id").alias("component")), "placed")
-    by_component = placed.groupBy("_band", "component").agg(F.count("*").alias("_n"))
-    open_bands = by_component.groupBy("_band").agg(
+        "_k", "_band", F.col("_id").alias("node"), F.coalesce("component", "_id").alias("component")), "placed")
+    by_component = placed.groupBy("_k", "_band", "component").agg(F.count("*").alias("_n"))
+    open_bands = by_component.groupBy("_k", "_band").agg(
         F.max(F.struct("_n", "component"))["component"].alias("_main"), F.sum("_n").alias("_size"), F.count("*").alias("_parts"), F.max("_n").alias("_most")).where("_parts > 1")
-    open_rows = placed.join(open_bands, "_band").join(small.withColumnRenamed("_id", "node"), "node")
+    open_rows = stage(placed.join(open_bands, ["_k", "_band"]), "open")
+    nodes = open_rows.select("node").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text")).join(nodes, "node", "left_semi")
+    sets = small.withColumnRenamed("_id", "node").join(shingle_sets(texts, "node", "_text"), "node")
     blocks = lambda count: F.ceil(count / F.lit(BLOCK)).cast("int")
     lefts, rights = blocks(F.col("_size") - F.col("_most")), blocks(F.col("_size"))
     mine = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), count).cast("int")
     outside = open_rows.where("component != _main")
     left = outside.withColumn("_i", mine(lefts, 1)).withColumn("_j", F.explode(F.sequence(F.lit(0), rights - 1))).withColumn("_left", F.lit(True))
     right = open_rows.withColumn("_j", mine(rights, 2)).withColumn("_i", F.explode(F.sequence(F.lit(0), lefts - 1))).withColumn("_left", F.lit(False))
-    rest = _block_pairs(left.unionByName(right.select(left.columns)))
-    more = stage(confirmed(rest, docs, id_col, text_col, percent), "links")
+    more = stage(_block_links(left.unionByName(right.select(left.columns)).join(sets, "node"), percent), "links")
     if more.limit(1).count():
         found = connected_components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
