@@ -106,3 +106,18 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     from leadweave.llm.lm import score_held_out
 
     return score_held_out(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_top_k", """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a * c.vec[i] FOR a, i IN q.vec]) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.vec) = len(q.vec) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20""")
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from leadweave.llm.topk import top_k
+
+    return top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
