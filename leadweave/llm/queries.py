@@ -121,3 +121,17 @@ def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
     from leadweave.llm.topk import top_k
 
     return top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from leadweave.llm.license_scan import scan_licenses
+
+    return scan_licenses(read_table(spark, folder, "documents"))
