@@ -135,3 +135,10 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from leadweave.llm.license_scan import scan_licenses
 
     return scan_licenses(read_table(spark, folder, "documents"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from leadweave.llm.quality import score_quality
+
+    return score_quality(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))

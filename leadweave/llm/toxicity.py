@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadweave.llm.common import fold_of
 
@@ -243,7 +244,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score"])
 
     if keep_columns:
-        return docs.mapInArrow(run, kinds.add("_score", "double"))
+        return docs.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("_score", T.DoubleType())]))
     at = 1
     scored = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kinds[id_col].dataType.simpleString()}, _text string, _score double")
     return scored.select(F.col(id_col), (fold_of(F.col(id_col), folds) == held_out).alias("held_out"), F.col("_score").alias("score"),
