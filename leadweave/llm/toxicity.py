@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.llm.common import fold_of
+from leadweave.llm.common import Hidden, fold_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
@@ -39,9 +39,10 @@ class FitOptions:
     max_candidates: int = 50_000
     max_features: int = 4_096
     min_log_odds: float = 1.5
-    classifiers: int = 3
-    steps: int = 600
-    rate: float = 0.05
+    min_strength: float = 3.0
+    classifiers: int = 2
+    steps: int = 2_000
+    rate: float = 0.1
     decay: float = 1e-4
     seed: int = 7
 
@@ -149,7 +150,7 @@ def fit_pu(positive: tuple, unlabelled: tuple, prior: float, size: int, options:
     """Weights and bias that minimise the non-negative PU risk with logistic loss.
 
     risk = prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]). Where the second part is
-    negative, the step goes up it instead, so that the fit doesn't run into it.
+    below zero it is flat, and only the first one moves the weights.
     """
     random = np.random.default_rng(seed)
     weights, moment, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
@@ -165,7 +166,7 @@ def fit_pu(positive: tuple, unlabelled: tuple, prior: float, size: int, options:
         plus = -prior * _sigmoid(-zp) / len(p)                      # of the positive part
         minus_u, minus_p = _sigmoid(zu) / len(u), -prior * _sigmoid(zp) / len(p)  # of the negative part
         if negative < 0:
-            plus, minus_u, minus_p = plus * 0, -minus_u, -minus_p
+            minus_u, minus_p = minus_u * 0, minus_p * 0
         gp = plus + minus_p
         grad[:-1] = np.bincount(at_p, gp[own_p] * val_p, minlength=size) + np.bincount(at_u, minus_u[own_u] * val_u, minlength=size)
         grad[-1] = gp.sum() + minus_u.sum()
@@ -213,7 +214,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     odds = {f: np.log((pos_counts.get(f, 0) + 0.5) / (n_pos + 1)) - np.log((unl_counts.get(f, 0) + 0.5) / (n_unl + 1)) for f in candidates}
     # Strength of evidence: log odds in units of their standard error.
     strength = {f: odds[f] / np.sqrt(1 / (pos_counts.get(f, 0) + 0.5) + 1 / (unl_counts.get(f, 0) + 0.5)) for f in candidates}
-    features = sorted((f for f in candidates if odds[f] >= options.min_log_odds), key=lambda f: (-strength[f], f))[: options.max_features]
+    features = sorted((f for f in candidates if odds[f] >= options.min_log_odds and strength[f] >= options.min_strength), key=lambda f: (-strength[f], f))[: options.max_features]
     if not features:
         return nothing
     sample = unlabelled.where(_hash_share(F.col(id_col), min(1.0, options.max_unlabelled / max(1, total)))).select("_text")
@@ -253,4 +254,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that the model rejects."""
-    return score_toxicity(docs, model, text_col=text_col, keep_columns=True).where(F.col("_score") < threshold).select(*docs.columns)
+    hidden = Hidden(docs)
+    return score_toxicity(hidden.docs, model, text_col=text_col, keep_columns=True).where(F.col("_score") < threshold).select(*hidden.columns())
