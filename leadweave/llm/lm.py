@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import chain
@@ -39,7 +39,7 @@ HOT_WORDS, HOT_BYTES = 1 << 17, 64
 SHARE, BLOCK_WORDS, ROUNDS, BATCH = 16, 12, 2, 128
 #: Groups of the id before, by frequency; the weight of P(id | class) where an id and its group are rare together.
 GROUPS, SMOOTH = 128, 10.0
-_CACHE = 300_000
+_CACHE = 250_000
 _COUNTER = 400_000
 LN10 = float(np.log(10))
 
@@ -56,9 +56,10 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 class Subwords(dict):
     """Word (lower-cased UTF-8) to its subword ids; kept for words seen before, emptied when it grows too large."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, always: Iterable[bytes] = ()):
         super().__init__()
         self.encoding = _encoding(path, pattern)
+        self.always = {w: self[w] for w in always}
         self.end = self.encoding.max_token_value + 1
 
     def begins_word(self) -> np.ndarray:
@@ -68,6 +69,7 @@ class Subwords(dict):
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= _CACHE:
             self.clear()
+            self.update(self.always)
         value = self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
         if len(value) <= 64:
             self[word] = value
@@ -171,15 +173,31 @@ def _causal(first: int) -> np.ndarray:
 
 
 class Scorer:
-    """Tables derived from a model for scoring: projections of every input row and position are computed once."""
+    """Tables derived from a model for scoring: projections of every input row and position are computed once.
+
+    The last row of the tables stands for places before a text. Its key has a component of its own that
+    takes it out of every softmax.
+    """
 
     def __init__(self, model: Model, classes: Classes, end: int):
         self.classes, self.model, self.end = classes, model, end
         scale = np.float32(WIDTH**-0.5)
-        self.q, self.q_place = model.embed @ model.query * scale, model.place[LEAD:] @ model.query * scale
-        self.kv = np.concatenate([model.embed @ model.key, model.embed @ model.value], axis=1)
-        self.kv_place = np.concatenate([model.place @ model.key, model.place @ model.value], axis=1)
+        column = lambda rows, value: np.full((rows, 1), value, np.float32)
+        rows, places = len(model.embed), len(model.place)
+        self.pad = rows
+        embed = np.r_[model.embed, np.zeros((1, WIDTH), np.float32)]
+        self.left = np.c_[embed @ model.query * scale, column(rows + 1, 1), embed]
+        self.left_place = np.c_[model.place[LEAD:] @ model.query * scale, np.zeros((STRIDE, 1 + WIDTH), np.float32)]
+        away = column(rows + 1, 0)
+        away[-1] = -1e4
+        self.right = np.c_[embed @ model.key, away, embed @ model.value]
+        self.right_place = np.c_[model.place @ model.key, column(places, 0), model.place @ model.value]
         self.mask = _causal(LEAD)
+        # Where no exponent can pass 60, the usual shift by the maximum is left out.
+        norm = lambda x: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max())
+        query, key, value = (norm(self.left[:, :WIDTH]) + norm(self.left_place[:, :WIDTH]), norm(self.right[:, :WIDTH]) + norm(self.right_place[:, :WIDTH]),
+                             norm(self.right[:, WIDTH + 1 :]) + norm(self.right_place[:, WIDTH + 1 :]))
+        self.shift = max(query * key, (value + norm(embed)) * norm(model.out.T) + float(np.abs(model.bias).max())) > 60
 
     def log10(self, documents: list[np.ndarray], windows: int = 256) -> np.ndarray:
         """log10 probability of each document, an array of ids whose last is the end id."""
@@ -193,7 +211,7 @@ class Scorer:
             for begin in range(0, len(ids), STRIDE * 1024):  # a very long text comes in parts that overlap as windows do
                 end = min(len(ids), begin + STRIDE * 1024)
                 count, lead = -(-(end - begin) // STRIDE), min(LEAD, begin)
-                line, target = np.full(LEAD + count * STRIDE, -1, np.int32), np.full(count * STRIDE, -1, np.int32)
+                line, target = np.full(LEAD + count * STRIDE, self.pad, np.int32), np.full(count * STRIDE, -1, np.int32)
                 line[LEAD - lead : LEAD + end - begin] = inputs[begin - lead : end]
                 target[: end - begin] = classes[begin:end]
                 lines.append(np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::STRIDE])
@@ -208,24 +226,30 @@ class Scorer:
         return sums / LN10
 
     def _add(self, sums: np.ndarray, rows: np.ndarray, targets: np.ndarray, owners: np.ndarray, windows: int) -> None:
+        lines = np.arange(windows * STRIDE)
         for begin in range(0, len(rows), windows):
-            part, target, owner = rows[begin : begin + windows], targets[begin : begin + windows], owners[begin : begin + windows]
-            known = part >= 0
-            at = np.where(known, part, 0)
-            kv = self.kv[at] + self.kv_place
-            score = (self.q[at[:, LEAD:]] + self.q_place) @ kv[:, :, :WIDTH].transpose(0, 2, 1) + self.mask
-            score += np.where(known, np.float32(0), np.float32(-1e4))[:, None, :]
-            score -= score.max(axis=2, keepdims=True)
+            part, target = rows[begin : begin + windows], targets[begin : begin + windows].ravel()
+            right = self.right[part]
+            right += self.right_place
+            left = self.left[part[:, LEAD:]]
+            left += self.left_place
+            score = left[:, :, : WIDTH + 1] @ right[:, :, : WIDTH + 1].transpose(0, 2, 1)
+            score += self.mask
+            if self.shift:
+                score -= score.max(axis=2, keepdims=True)
             np.exp(score, out=score)
-            score /= score.sum(axis=2, keepdims=True)
-            hidden = score @ kv[:, :, WIDTH:] + self.model.embed[at[:, LEAD:]]
-            keep = target.ravel() >= 0
-            logits = hidden.reshape(-1, WIDTH)[keep] @ self.model.out + self.model.bias
-            wanted = target.ravel()[keep]
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(wanted)), wanted]
+            hidden = score @ right[:, :, WIDTH + 1 :]
+            hidden /= score.sum(axis=2, keepdims=True)
+            hidden += left[:, :, WIDTH + 1 :]
+            logits = hidden.reshape(-1, WIDTH) @ self.model.out
+            logits += self.model.bias
+            if self.shift:
+                logits -= logits.max(axis=1, keepdims=True)
+            own = logits[lines[: len(target)], target]
             np.exp(logits, out=logits)
-            np.add.at(sums, np.repeat(owner, STRIDE)[keep], own - np.log(logits.sum(axis=1)))
+            own -= np.log(logits @ np.ones(CLASSES, np.float32))
+            own[target < 0] = 0
+            sums += np.bincount(owners[begin : begin + windows], own.reshape(-1, STRIDE).sum(axis=1, dtype=np.float64), minlength=len(sums))
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -471,25 +495,29 @@ def score_language(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", t
 
         hot, lm = shared.value
         logs = {w: float(np.log10((n + 1) / size)) for w, n in hot.items()}
-        subwords = Subwords(lm.path, lm.pattern)
+        subwords = Subwords(lm.path, lm.pattern, hot)
         scorer = Scorer(lm.model, lm.classes, subwords.end)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
-                tokens, known, base, cold, ids = [], [], [], [], []
+                tokens, known, base, ids, cold_words, cold_counts, ends = [], [], [], [], [], [], [0]
                 for text in part.column(1):
                     words = lower_words(text.as_py())
                     counts = Counter(words)
-                    rest = {w: n for w, n in counts.items() if w not in logs}
+                    frequent = counts.keys() & logs.keys()
+                    rest = list(counts.keys() - frequent)
+                    times = list(map(counts.__getitem__, rest))
                     tokens.append(len(words) + 1)
-                    known.append(len(words) - sum(rest.values()) + (known_ends > 0))
-                    base.append(sum(logs[w] * n for w, n in counts.items() if w in logs) + float(np.log10((known_ends + 1) / size)))
-                    cold.append([{"word": w, "n": n} for w, n in rest.items()])
+                    known.append(len(words) - sum(times) + (known_ends > 0))
+                    base.append(sum([logs[w] * counts[w] for w in frequent]) + float(np.log10((known_ends + 1) / size)))
+                    cold_words += rest
+                    cold_counts += times
+                    ends.append(len(cold_words))
                     ids.append(subwords.ids(words))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(number, number + part.num_rows), pa.int64()), part.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(scorer.log10(ids), pa.float64()), pa.array(cold, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                    pa.array(scorer.log10(ids), pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(cold_words, pa.binary()), pa.array(cold_counts, pa.int64())], ["word", "n"]))],
                     ["_row", id_col, "n_tokens", "_known", "_base", "score", "_cold"])
                 number += part.num_rows
 
