@@ -181,7 +181,8 @@ FLOATING_TOKEN_PATTERN = r"(?i)float|flotante|fixed|sticky|joinchat|ht-ctc|wh-wi
 FIXED_STYLE_PATTERN = r"(?i)position\s*:\s*fixed"
 HEADER_TOKENS = ["header", "site-header", "main-header", "navbar", "topbar", "top-bar", "masthead", "elementor-location-header"]
 FOOTER_TOKENS = ["footer", "site-footer", "main-footer", "pie", "pie-de-pagina", "elementor-location-footer"]
-MAX_EVIDENCE = 500
+# Eleven to fifteen digits that begin with a country code other than those of the number plan.
+FOREIGN_NUMBER_PATTERN = r"^(?!56|54|52|1|34|0)[2-9]\d{9,14}$"
 CUE_WINDOW = 300
 META_REFRESH_PATTERN = r"(?i)<meta[^>]+http-equiv=[\"']?refresh[^>]*url=([^\"'>\s]+)"
 MAX_HOPS = 5
@@ -250,7 +251,7 @@ PAGE_PRIORITY_PATTERNS = [
 ]
 NOT_A_PAGE_PATTERN = r"(?i)\.(?:pdf|jpe?g|png|gif|webp|svg|zip|rar|docx?|xlsx?|pptx?|mp4|mp3)$"
 HTML_CONTENT_TYPES = ["", "text/html", "application/xhtml+xml"]
-MAX_HTML_BYTES = 5_000_000
+META_CHARSET_PATTERN = r"<meta[^>]+charset=[\"']?([\w-]+)"
 FRIENDLY_ERRORS = [
     (["has been closed", "Target closed", "browser not connected"],
      "Se cerró la ventana del navegador durante la búsqueda. Lo encontrado hasta ese momento quedó guardado. "

@@ -199,7 +199,16 @@ def unescape_entities(text: Column) -> Column:
     column = text
     for entity, char in _ENTITIES.items():
         column = F.replace(column, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), column).otherwise(text)
+    # Numeric references of any letter: each distinct one is replaced once.
+    numeric = F.array_distinct(F.regexp_extract_all(column, F.lit(r"(&#(?:[0-9]{2,5}|[xX][0-9A-Fa-f]{2,4});)"), F.lit(1)))
+
+    def letter(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, r"#[xX]?([0-9A-Fa-f]+)", 1)
+        number = F.when(reference.rlike("#[xX]"), F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
+        return F.when(number.rlike("^(?:[0-9A-C]?[0-9A-F]{1,3}|D[0-7][0-9A-F]{2}|[EF][0-9A-F]{3})$"), F.decode(F.unhex(F.lpad(number, 4, "0")), "UTF-16BE")).otherwise(reference)
+
+    decoded = F.aggregate(numeric, column, lambda done, reference: F.replace(done, reference, letter(reference)))
+    return F.when(text.contains("&#"), decoded).when(text.contains("&"), column).otherwise(text)
 
 
 def scan_variants(text: Column) -> Column:

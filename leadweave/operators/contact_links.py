@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
 from leadweave.functions.expr import barrier, exact_lookup, is_true
-from leadweave.functions.phones import with_contact_number
+from leadweave.functions.phones import contact_digits, with_contact_number
 from leadweave.functions.text import scan_variants
 from leadweave.functions.urls import with_joined
+from leadweave.session import cut_lineage
 
 E = "elements"
-HINT = r"(?i)wa\.|whatsapp"
+# A text without any of these holds no contact link: the hosts of the link patterns and the app's own scheme.
+HINT = r"(?i)" + "|".join(dict.fromkeys([host.replace(".", r"\.") for host in fv.CONTACT_HOSTS if "whatsapp" not in host] + ["whatsapp"]))
 MATCHES = "array<struct<kind:string,raw:string,link:string>>"
 
 
@@ -96,7 +98,7 @@ def _scan_texts(parsed: DataFrame, key: str) -> DataFrame:
     ))
     attributes = F.filter(attributes, lambda a: (a["text"] != "") & (a["cue"] | a["text"].rlike(HINT)))
     scripts = F.transform(
-        F.filter(E, lambda e: (e["tag"] == "script") & e["text"].rlike(r"(?i)wa\.|walink|whatsapp|" + fv.CONTACT_CUE_PATTERN[4:])),
+        F.filter(E, lambda e: (e["tag"] == "script") & e["text"].rlike(HINT + "|" + fv.CONTACT_CUE_PATTERN[4:])),
         lambda e: row(
             e, F.lit(0),
             "script", F.lower(F.coalesce(e["attrs"]["type"], F.lit(""))), e["text"],
@@ -141,7 +143,7 @@ def _link_matches(text: Column) -> Column:
             F.arrays_zip(whole.alias("whole"), rest.alias("rest"), raw.alias("raw")),
             lambda m: F.struct(
                 F.lit(kind).alias("kind"), (m["raw"] if groups else F.lit(None).cast("string")).alias("raw"),
-                F.substring(F.concat(m["whole"], m["rest"]), 1, fv.MAX_EVIDENCE).alias("link"),
+                F.concat(m["whole"], m["rest"]).alias("link"),
             ),
         )
         # The full pattern tries every position of the text; a plain word search decides first.
@@ -251,13 +253,12 @@ def _classified(hits: DataFrame, key: str, source: str) -> DataFrame:
         F.col("c_number").alias("number"),
         F.when(F.col("c_number").isNotNull(), F.concat(F.lit("https://wa.me/"), F.col("c_number"))).otherwise(F.col("address")).alias("url"),
         "placement",
-        F.when(F.col("kind") == "group", F.col("link"))
-        .when(F.col("outcome") == "ignored", F.col("evidence"))
-        .otherwise(F.substring("evidence", 1, fv.MAX_EVIDENCE)).alias("evidence"),
+        F.when(F.col("kind") == "group", F.col("link")).otherwise(F.col("evidence")).alias("evidence"),
         F.col("c_note").alias("note"),
         F.coalesce(F.col("c_broken"), F.lit(False)).alias("broken"),
         F.when(F.col("outcome") == "ignored", reason).alias("reason"),
-        (F.col("outcome") == "ignored").__and__(numbered).alias("ignored_broken"),
+        # A number of a country outside the plan may work: it is unknown, and only a number that no plan could hold is broken.
+        ((F.col("outcome") == "ignored") & numbered & ~contact_digits("raw").rlike(fv.FOREIGN_NUMBER_PATTERN)).alias("ignored_broken"),
         (F.col("origin") == "fallback").cast("int").alias("pass"),
         "arrival",
     )
@@ -312,29 +313,37 @@ def carries_number(url: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def resolve_short_links(urls: DataFrame, redirects: DataFrame, url: str = "url") -> DataFrame:
-    """Final contact address of each distinct short link over the redirect table, at most five hops.
+def resolve_short_links(urls: DataFrame, redirects: DataFrame, url: str = "url", max_hops: int | None = None) -> DataFrame:
+    """Final contact address of each distinct short link over the redirect table.
 
     ``redirects(url, location)`` holds one row per address. Addresses are made distinct first, so
-    a link repeated on a third of all pages is followed once; hops are five unrolled joins.
+    a link repeated on a third of all pages is followed once. Links are followed until every one
+    has ended or come back to an address it has been at; ``max_hops`` ends them earlier.
     """
     state = urls.select(F.col(url).alias("url")).distinct().select(
-        "url", F.col("url").alias("at"), F.lit(None).cast("string").alias("final_url"), F.lit(True).alias("open")
+        "url", F.col("url").alias("at"), F.array("url").alias("path"), F.lit(None).cast("string").alias("final_url"), F.lit(True).alias("open")
     )
     edges = redirects.filter(F.col("location").isNotNull() & (F.col("location") != "")).groupBy(F.col("url").alias("at")).agg(
         F.min("location").alias("location")
     )
-    for _ in range(fv.MAX_HOPS):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = state.join(edges, "at", "left")
         step = with_joined(step.withColumn("location", F.coalesce("location", F.lit(""))), "at", "location", "next")
-        step = step.withColumn("_moved", F.col("open") & (F.col("location") != ""))
+        step = step.withColumn("_moved", F.col("open") & (F.col("location") != "") & ~F.array_contains("path", F.col("next")))
         step = step.withColumn("_done", F.col("_moved") & carries_number(F.col("next")))
         state = step.select(
             "url",
             F.when(F.col("_moved"), F.col("next")).otherwise(F.col("at")).alias("at"),
+            F.when(F.col("_moved"), F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"),
             F.when(F.col("_done"), F.col("next")).otherwise(F.col("final_url")).alias("final_url"),
             (F.col("_moved") & ~F.col("_done")).alias("open"),
         )
+        if max_hops is None:
+            state = cut_lineage(state)
+            if state.filter("open").isEmpty():
+                break
     return state.select("url", "final_url")
 
 

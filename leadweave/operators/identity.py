@@ -22,10 +22,23 @@ def find_business(lookups: DataFrame, businesses: DataFrame, place: str = "place
     """Adds ``business_id``: match by place id; when missing or unmatched, by canonical URL."""
     by_place = businesses.filter(F.col("place_id").isNotNull()).groupBy(F.col("place_id").alias(place)).agg(F.min("id").alias("_by_place"))
     by_url = businesses.filter(F.col("google_maps_url").isNotNull()).groupBy(F.col("google_maps_url").alias(url)).agg(F.min("id").alias("_by_url"))
-    found = lookups.join(by_place, place, "left").join(by_url, url, "left")
+    found = _join_known(_join_known(lookups, by_place, place), by_url, url)
     return found.withColumn("business_id", F.coalesce("_by_place", "_by_url")).drop("_by_place", "_by_url")
 
 
+def _join_known(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows with a NULL key are dealt out evenly: each gets a salt of its own, which matches nothing.
+
+    A plain left join would send all rows without a key to one task.
+    """
+    columns = [c for c in lookup.columns if c != key]
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]), F.lit(100_003))).otherwise(-1)
+    right = lookup.select(F.col(key).cast("string").alias("_known_key"), F.lit(-1).cast("long").alias("_known_salt"), *columns)
+    salted = rows.withColumns({"_salt": salt.cast("long"), "_key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
+    match = (F.col("_key") == F.col("_known_key")) & (F.col("_salt") == F.col("_known_salt"))
+    return salted.join(right, match, "left").select(*rows.columns, *columns)
+
+
 # ------------------------------------------------------------------ U1
 def upsert_businesses(snapshot: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """New snapshot after a batch of partial businesses (NULL means not supplied).
@@ -53,8 +66,10 @@ def upsert_businesses(snapshot: DataFrame, batch: DataFrame, now: Column) -> Dat
             last.append(F.aggregate(maps, F.create_map().cast("map<string,string>"), merge_maps).alias("field_sources"))
         matched = matched.groupBy(identity.alias("_same")).agg(F.max("business_id").alias("business_id"), *last).drop("_same")
     incoming = matched.select(F.col("business_id").alias("_id"), *[F.col(c).alias("_in_" + c) for c in fields], F.lit(True).alias("_given"))
-    # NULL-safe full outer join on the matched id: unmatched batch rows come out as inserts.
-    joined = snapshot.join(incoming, snapshot["id"] == incoming["_id"], "full_outer")
+    # Updates and inserts go apart: a full outer join would send every insert, whose id is NULL, to one task.
+    updated = snapshot.join(incoming.filter(F.col("_id").isNotNull()), snapshot["id"] == incoming["_id"], "left")
+    inserted = incoming.filter(F.col("_id").isNull()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in snapshot.schema], "*")
+    joined = updated.unionByName(inserted)
     columns: dict[str, Column] = {}
     for name in snapshot.columns:
         if name in ("id", "first_seen_at", "updated_at"):
@@ -118,6 +133,22 @@ def update_columns(snapshot: DataFrame, changes: DataFrame, key: str = "id", now
     return joined.withColumns(updates).drop("_changed", *["_c_" + c for c in names])
 
 
+def unmark_duplicates(snapshot: DataFrame, prints: DataFrame, cleared: DataFrame, key: str = "id", owner: str = "business_id",
+                      reason: str = "duplicate_reason") -> tuple[DataFrame, DataFrame]:
+    """U13, back: the businesses of ``cleared`` (column ``key``) are no duplicates any more.
+
+    Returns the snapshot without their reason and the print registry with the prints of ``prints``
+    (all prints of businesses, ``owner`` among the columns) that the cleared ones had given up.
+    ``prints`` has a boolean column ``registered``; businesses that were no duplicates change nothing.
+    """
+    names = cleared.select(F.col(key).alias("_cleared")).distinct()
+    marked = snapshot.join(names, F.col(key) == F.col("_cleared"), "left")
+    was = marked.filter(F.col("_cleared").isNotNull() & F.col(reason).isNotNull()).select(F.col("_cleared").alias("_free"))
+    plain = marked.withColumn(reason, F.when(F.col("_cleared").isNull(), F.col(reason))).drop("_cleared")
+    freed = prints.join(was, F.col(owner) == F.col("_free"), "left")
+    return plain, freed.withColumn("registered", F.col("registered") | F.col("_free").isNotNull()).drop("_free")
+
+
 def missing_ids(snapshot: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return changes.join(snapshot, key, "left_anti").select(key)
 

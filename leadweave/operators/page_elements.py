@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -137,15 +138,32 @@ def _elements_column(sources: list[str | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
 
 
-def parse_pages(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Replace the HTML column by ``elements``; ``keep`` names the columns that travel along."""
+def byte_ranges(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of a string or binary column that hold about ``most`` bytes each, at least one row."""
+    begin, held = 0, 0
+    for at, size in enumerate(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
+        if at > begin and held + size > most:
+            yield begin, at
+            begin, held = at, 0
+        held += size
+    if begin < len(values):
+        yield begin, len(values)
+
+
+def parse_pages(pages: DataFrame, html: str = "html", keep: list[str] | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+    """Replace the HTML column by ``elements``; ``keep`` names the columns that travel along.
+
+    Elements leave the worker every ``batch_bytes`` of HTML, so a batch of large pages never piles up.
+    """
     kept = keep if keep is not None else [c for c in pages.columns if c != html]
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("elements", T.ArrayType(ELEMENT))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            elements = _elements_column(batch.column(html).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [elements], names=[*kept, "elements"])
+            for begin, end in byte_ranges(batch.column(html), batch_bytes):
+                part = batch.slice(begin, end - begin)
+                elements = _elements_column(part.column(html).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [elements], names=[*kept, "elements"])
 
     columns = kept if html in kept else kept + [html]
     return pages.select(*columns).mapInArrow(run, schema)

@@ -112,8 +112,12 @@ def with_head_facts(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.drop("_metas", "_rels", "_icon", "_canonical")
 
 
-def with_structure_facts(pages: DataFrame) -> DataFrame:
-    """Headings, menu labels, forms, images, missing alternative texts and map embeds."""
+def _at_most(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def with_structure_facts(pages: DataFrame, max_h2: int | None = None, max_menu: int | None = None) -> DataFrame:
+    """Headings, menu labels, forms, images, missing alternative texts and map embeds; the limits cut only where a caller names them."""
     def headings(tag: str) -> Column:
         return F.filter(F.transform(of_tag(tag), lambda e: subtree_text(e["node"])), lambda t: t != "")
 
@@ -125,8 +129,8 @@ def with_structure_facts(pages: DataFrame) -> DataFrame:
     )
     return pages.withColumns({
         "h1": headings("h1"),
-        "h2": F.slice(headings("h2"), 1, fv.MAX_H2),
-        "menu_items": F.slice(F.array_distinct(F.filter(labels, lambda t: t != "")), 1, fv.MAX_MENU),
+        "h2": _at_most(headings("h2"), max_h2),
+        "menu_items": _at_most(F.array_distinct(F.filter(labels, lambda t: t != "")), max_menu),
         "forms": F.size(of_tag("form")),
         "images": F.size(of_tag("img")),
         "images_without_alt": F.size(F.filter(of_tag("img"), lambda e: attr(e, "alt") == "")),
@@ -199,11 +203,11 @@ def with_builders(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
 
 
 # ------------------------------------------------------------------ X12, F20, X8: text facts
-def with_text_facts(pages: DataFrame) -> DataFrame:
-    """Trust signals (at most three snippets per kind) and copyright years of the visible text."""
+def with_text_facts(pages: DataFrame, max_snippets: int | None = None) -> DataFrame:
+    """Trust signals (all snippets of each kind, or the first ``max_snippets``) and copyright years of the visible text."""
     signals = [
         F.transform(
-            F.slice(F.filter("lines", lambda s: s.rlike(pattern)), 1, fv.MAX_SNIPPETS),
+            _at_most(F.filter("lines", lambda s: s.rlike(pattern)), max_snippets),
             lambda s: F.struct(F.lit(kind).alias("kind"), tx.snippet(s, pattern).alias("snippet")),
         )
         for kind, pattern in fv.TRUST_PATTERNS.items()
@@ -231,8 +235,11 @@ def with_contact_facts(pages: DataFrame, region: Column | str = "CL") -> DataFra
 
 
 # ------------------------------------------------------------------ X6: hrefs, one row per link
-def page_links(pages: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
-    """Links of each page in order: ``href`` as found, ``link`` unwrapped and absolute, its kind and profile."""
+def page_links(pages: DataFrame, url: str = "url", key: str = "page_id", anchors: bool = False) -> DataFrame:
+    """Links of each page in order: ``href`` as found, ``link`` unwrapped and absolute, its kind and profile.
+
+    ``anchors`` keeps links inside the page, which ``link_facts`` reads as links to the page itself.
+    """
     links = pages.select(
         key, F.col(url).alias("page_url"),
         F.posexplode(F.transform(
@@ -240,7 +247,7 @@ def page_links(pages: DataFrame, url: str = "url", key: str = "page_id") -> Data
             lambda e: F.struct(e["tag"].alias("tag"), attr(e, "href").alias("href")),
         )).alias("position", "_link"),
     ).select(key, "page_url", "position", "_link.*")
-    links = links.filter((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.col("href").startswith("javascript:"))
+    links = links.filter((F.col("href") != "") & (F.lit(anchors) | ~F.col("href").startswith("#")) & ~F.col("href").startswith("javascript:"))
     links = with_unwrapped(links, "href", "target")
     links = with_joined(links, "page_url", "target", "link")
     links = with_normalized(links, "target", "absolute", base="page_url")
@@ -248,8 +255,11 @@ def page_links(pages: DataFrame, url: str = "url", key: str = "page_id") -> Data
     return with_social(links, "link", "social")
 
 
-def link_facts(links: DataFrame, key: str = "page_id") -> DataFrame:
-    """Per page: distinct hrefs, map links, same-site links (at most 300) and profiles per network."""
+def link_facts(links: DataFrame, key: str = "page_id", max_internal: int | None = None) -> DataFrame:
+    """Per page: distinct hrefs, map links, same-site links (all, or the first ``max_internal``) and profiles per network.
+
+    A link inside the page resolves to the page itself; it counts as an internal link, not as an href.
+    """
     entry = F.struct("position", "tag", "href", "link", "absolute", "kind", "social_network", "social_profile")
     folded = links.groupBy(key, "page_url").agg(F.array_sort(F.collect_list(entry)).alias("_links"))
     host = site_host("page_url")
@@ -259,15 +269,15 @@ def link_facts(links: DataFrame, key: str = "page_id") -> DataFrame:
     )
     folded = folded.withColumn("_abs", on_page)
     profiles = F.array_distinct(F.transform(
-        F.filter("_links", lambda x: x["social_profile"].isNotNull()),
+        F.filter("_abs", lambda x: x["social_profile"].isNotNull()),
         lambda x: F.struct(x["social_network"].alias("network"), x["social_profile"].alias("profile")),
     ))
     internal = F.filter("_abs", lambda x: (x["kind"] != fv.KIND_MAPS) & (host != "") & same_site(x["absolute"], host))
     return folded.select(
         key,
-        F.array_distinct(F.transform("_links", lambda x: x["link"])).alias("hrefs"),
+        F.array_distinct(F.transform(F.filter("_links", lambda x: ~x["href"].startswith("#")), lambda x: x["link"])).alias("hrefs"),
         F.array_distinct(F.transform(F.filter("_abs", lambda x: x["kind"] == fv.KIND_MAPS), lambda x: x["absolute"])).alias("maps_links"),
-        F.slice(F.array_distinct(F.transform(internal, lambda x: x["absolute"])), 1, fv.MAX_INTERNAL_LINKS).alias("internal_links"),
+        _at_most(F.array_distinct(F.transform(internal, lambda x: x["absolute"])), max_internal).alias("internal_links"),
         profiles.alias("socials"),
     )
 
@@ -313,8 +323,11 @@ def place_mentions(pages: DataFrame, catalog: DataFrame, key: str = "page_id") -
     lines = pages.select(key, F.posexplode("lines").alias("line_no", "_line")).select(
         key, "line_no", tx.fold_accents("_line").alias("line")
     )
-    lines = lines.withColumn("_words", F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)[\w'.-]*\w"), F.lit(0)))
-    longest = 5
+    lines = lines.withColumn("_words", F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)\w+"), F.lit(0)))
+    names = catalog.select("name", "folded", "ambiguous", F.regexp_extract_all(F.lower("folded"), F.lit(r"(?U)\w+"), F.lit(0)).alias("_name"))
+    longest = names.agg(F.coalesce(F.max(F.size("_name")), F.lit(0))).first()[0]
+    if longest == 0:
+        return lines.groupBy(key).agg(F.array().cast("array<string>").alias("places")).filter(F.size("places") > 0)
     grams = F.array_distinct(F.flatten(F.array(*[
         F.when(
             F.size("_words") >= n,
@@ -324,7 +337,7 @@ def place_mentions(pages: DataFrame, catalog: DataFrame, key: str = "page_id") -
     ])))
     hits = (
         lines.select(key, "line_no", "line", F.explode(grams).alias("gram"))
-        .join(catalog.select("name", "folded", "ambiguous", F.lower("folded").alias("gram")), "gram")
+        .join(names.withColumn("gram", F.array_join("_name", " ")).drop("_name"), "gram")
     )
     quoted = F.concat(F.lit(r"\Q"), F.col("folded"), F.lit(r"\E"))
     upper = F.concat(F.lit(r"\Q"), F.upper("folded"), F.lit(r"\E"))

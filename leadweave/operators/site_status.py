@@ -2,35 +2,66 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from leadweave import fixed_values as fv
 from leadweave.functions import text as tx
 from leadweave.functions.expr import barrier, is_true, text_or_empty
+from leadweave.operators.page_elements import byte_ranges
 from leadweave.functions.urls import login_wall_reason, site_host, url_path, with_link_kind, with_social
 
 
 # ------------------------------------------------------------------ S3, S4
-def decoded_html(body: Column, header_charset: Column, content_type: Column) -> Column:
-    """Text of a captured body: first 5 MB, header charset, else the declared one, else UTF-8.
+_META_CHARSET = re.compile(fv.META_CHARSET_PATTERN.encode(), re.IGNORECASE)
+
 
-    Single-byte western charsets decode through ISO-8859-1 (their letters agree); unknown names
-    fall back to UTF-8. Only HTML content types carry a body.
+def decode_body(body: bytes, header_charset: str | None, max_bytes: int | None = None, head_bytes: int | None = None) -> str:
+    """Text of a captured body in the header's charset, else the declared one, else UTF-8.
+
+    Bytes that don't fit are replaced; a charset that Python doesn't know counts as UTF-8.
     """
-    head = F.substring(body, 1, fv.MAX_HTML_BYTES)
-    declared = F.regexp_extract(F.decode(F.substring(body, 1, 4096), "ISO-8859-1"), r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1)
-    name = F.lower(F.coalesce(F.nullif(header_charset, F.lit("")), F.nullif(declared, F.lit("")), F.lit("utf-8")))
-    text = (
-        F.when(name.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "iso-8859-15"), F.decode(head, "ISO-8859-1"))
-        .when(name.isin("us-ascii", "ascii"), F.decode(head, "US-ASCII"))
-        .when(name == "utf-16", F.decode(head, "UTF-16"))
-        .when(name == "utf-16le", F.decode(head, "UTF-16LE"))
-        .when(name == "utf-16be", F.decode(head, "UTF-16BE"))
-        .otherwise(F.decode(head, "UTF-8"))
-    )
-    return F.when(is_html_type(content_type), text).otherwise("")
+    body = body if max_bytes is None else body[:max_bytes]
+    name = header_charset
+    if not name:
+        declared = _META_CHARSET.search(body if head_bytes is None else body[:head_bytes])
+        name = declared.group(1).decode("ascii", "ignore") if declared else "utf-8"
+    try:
+        text = body.decode(name, "replace")
+    except (LookupError, ValueError):  # no such charset, or one that isn't of text
+        text = body.decode("utf-8", "replace")
+    return text.encode("utf-8", "replace").decode("utf-8")  # lone surrogates can't leave the worker
+
+
+def with_decoded_html(fetches: DataFrame, body: str, charset: str, content_type: str, out: str = "html",
+                      max_bytes: int | None = None, head_bytes: int | None = None, batch_bytes: int = 8 << 20) -> DataFrame:
+    """Adds ``out``: the text of each HTML body, '' for other content types and NULL bodies.
+
+    ``max_bytes`` cuts bodies and ``head_bytes`` the part searched for a declared charset; by default
+    neither is cut. Results leave the worker every ``batch_bytes`` of body.
+    """
+    ready = fetches.withColumns({
+        "_body": F.when(is_html_type(F.col(content_type)), F.col(body).cast("binary")), "_charset": F.trim(F.col(charset).cast("string"))})
+    kept = [c for c in fetches.columns if c != out]
+    schema = T.StructType([fetches.schema[c] for c in kept] + [T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, names = batch.column("_body"), batch.column("_charset")
+            for begin, end in byte_ranges(bodies, batch_bytes):
+                texts = [
+                    decode_body(b.as_py(), n.as_py(), max_bytes, head_bytes) if b.is_valid else ""
+                    for b, n in zip(bodies[begin:end], names[begin:end])
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(c)[begin:end] for c in kept] + [pa.array(texts, pa.string())], names=[*kept, out])
+
+    return ready.select(*kept, "_body", "_charset").mapInArrow(run, schema)
 
 
 def is_html_type(content_type: Column) -> Column:
@@ -44,14 +75,15 @@ def is_transient(status: Column, error_kind: Column) -> Column:
     return is_true(status.isin(fv.TRANSIENT_STATUS)) | is_true(error_kind.isin("timeout", "connect", "http"))
 
 
-def final_attempt(attempts: DataFrame, max_attempts: int = 2, site: str = "site_id") -> DataFrame:
+def final_attempt(attempts: DataFrame, max_attempts: int | None = None, site: str = "site_id") -> DataFrame:
     """The outcome that counts: the first attempt that was not transient, else the last allowed one.
 
     ``attempts(site, attempt, ..., transient, error)``; later attempts after a final one are ignored.
     """
     rest = [c for c in attempts.columns if c not in (site, "attempt")]
     row = F.struct("attempt", *rest)
-    picked = attempts.filter(F.col("attempt") <= max_attempts).groupBy(site).agg(
+    allowed = attempts if max_attempts is None else attempts.filter(F.col("attempt") <= max_attempts)
+    picked = allowed.groupBy(site).agg(
         F.min_by(row, F.when(~F.col("transient"), F.col("attempt"))).alias("final"), F.max_by(row, "attempt").alias("last")
     )
     picked = picked.select(site, F.coalesce("final", "last").alias("r")).select(site, "r.*")
@@ -171,8 +203,8 @@ def own_site_of_link_page(links: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 # ------------------------------------------------------------------ W14
-def pick_inner_pages(links: DataFrame, home: str = "home_url", link: str = "link", site: str = "site_id", limit: int = fv.MAX_INNER_PAGES) -> DataFrame:
-    """Top inner pages of each site: contact before services before about, shorter paths first."""
+def pick_inner_pages(links: DataFrame, home: str = "home_url", link: str = "link", site: str = "site_id", limit: int | None = None) -> DataFrame:
+    """Inner pages (all, or the first ``limit``) of each site: contact before services before about, shorter paths first."""
     path = F.regexp_replace(F.lower(tx.fold_accents(url_path(link))), "/+$", "")
     ranked = links.withColumn("_path", path)
     priority = F.when(F.lit(False), F.lit(None).cast("int"))
@@ -182,7 +214,8 @@ def pick_inner_pages(links: DataFrame, home: str = "home_url", link: str = "link
     ranked = ranked.withColumn("priority", priority).filter(
         F.col("priority").isNotNull() & (F.col("_path") != "") & (F.col("_path") != home_path) & ~F.col("_path").rlike(fv.NOT_A_PAGE_PATTERN)
     )
-    # The first link of each folded path stands for it; then at most ``limit`` rows per site matter.
+    # The first link of each folded path stands for it; and only those few rows per site are ordered.
     once = ranked.groupBy(site, "_path", "priority").agg(F.min_by(link, "position").alias(link))
     order = W.partitionBy(site).orderBy("priority", F.length("_path"), link)
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(site, "rank", link)
+    placed = once.withColumn("rank", F.row_number().over(order)).select(site, "rank", link)
+    return placed if limit is None else placed.filter(F.col("rank") <= limit)

@@ -121,14 +121,18 @@ def _registrations(listings: DataFrame, checks: DataFrame, keys: DataFrame) -> D
     return placed.unionByName(left)
 
 
-def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max_listings: int = fv.MAX_LISTINGS) -> DataFrame:
+def _in_limit(max_listings: int | None) -> Column:
+    return F.lit(True) if max_listings is None else F.coalesce(F.col("position") <= max_listings, F.lit(False))
+
+
+def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max_listings: int | None = None) -> DataFrame:
     """Opened and accepted listings of all runs: ``listing_id, run_id, rank, opened, accepted``.
 
-    ``max_listings`` is the product's limit per run; it also bounds the running count per run.
+    ``max_listings`` leaves out listings at later positions of a run; by default all take part.
     """
     may_open = ~F.col("known_stored") & F.col("card_has_site") & ~F.col("card_stored") & F.col("readable")
     may_accept = may_open & ~F.col("place_stored") & F.col("site_open") & F.col("is_lead") & ~F.col("post_stored")
-    open_state = listings.filter(F.col("position") <= max_listings).select(
+    open_state = listings.filter(_in_limit(max_listings)).select(
         "listing_id", "run_id", "rank", "target", may_open.alias("_open"), may_accept.alias("_accept"),
         F.lit(0).cast("long").alias("before"), F.lit(False).alias("hit_key"), F.lit(False).alias("hit_card"), F.lit(False).alias("hit_any"),
     ).filter("_open").withColumn("opened", F.lit(None).cast("boolean")).withColumn(
@@ -207,7 +211,7 @@ def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max
 
 
 def suppress_repeats(
-    listings: DataFrame, checks: DataFrame, keys: DataFrame, max_listings: int = fv.MAX_LISTINGS
+    listings: DataFrame, checks: DataFrame, keys: DataFrame, max_listings: int | None = None
 ) -> DataFrame:
     """The outcome of every listing, with the accepted listing and print that made it a repeat.
 
@@ -233,12 +237,12 @@ def suppress_repeats(
 
     hits = met.groupBy("listing_id").agg(at("key"), at("card"), at("place"), at("post"))
     accepted = verdicts.filter("accepted").select("listing_id", F.lit(1).alias("_accepted"))
-    in_limit = listings.filter(F.col("position") <= max_listings)
+    in_limit = listings.filter(_in_limit(max_listings))
     in_run = W.partitionBy("run_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     counted = in_limit.join(accepted, "listing_id", "left").withColumn(
         "_before", F.coalesce(F.sum(F.coalesce("_accepted", F.lit(0))).over(in_run), F.lit(0))
     )
-    beyond = listings.filter(F.col("position") > max_listings).withColumns({"_accepted": F.lit(None).cast("int"), "_before": F.lit(2**40)})
+    beyond = listings.filter(~_in_limit(max_listings)).withColumns({"_accepted": F.lit(None).cast("int"), "_before": F.lit(2**40)})
     full = counted.unionByName(beyond).join(hits, "listing_id", "left")
 
     def dup(stage: str) -> Column:

@@ -167,7 +167,7 @@ def _streamed(d: Inputs) -> DataFrame:
         ids = batch.select("listing_id")
         return checks.join(ids, "listing_id", "left_semi"), keys.join(ids, "listing_id", "left_semi")
 
-    intake.start_intake(feed, root, 12, expand, fv.MAX_LISTINGS).awaitTermination()
+    intake.start_intake(feed, root, 12, expand, None).awaitTermination()
     return with_stage(spark.read.parquet(f"{root}/outcomes"))
 
 

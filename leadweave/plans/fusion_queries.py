@@ -121,7 +121,7 @@ query("U10_U11_manual_actions", "id long, whatsapp_check string, whatsapp_confid
 
 # ------------------------------------------------------------------ R27, A18-like maxima are in page queries
 query("R27_final_attempt", "site_id long, attempt long, status long, error string", f"""
-    WITH t AS (SELECT *, coalesce(status IN ({', '.join(map(str, fv.TRANSIENT_STATUS))}), false) OR coalesce(error_kind IN ('timeout', 'connect', 'http'), false) AS transient FROM {{attempts}} WHERE attempt <= 2),
+    WITH t AS (SELECT *, coalesce(status IN ({', '.join(map(str, fv.TRANSIENT_STATUS))}), false) OR coalesce(error_kind IN ('timeout', 'connect', 'http'), false) AS transient FROM {{attempts}}),
       p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY transient, CASE WHEN transient THEN -attempt ELSE attempt END) AS rn FROM t)
     SELECT site_id, attempt, status, CASE WHEN attempt > 1 AND error IS NOT NULL THEN error || ' (se intentó ' || CAST(attempt AS VARCHAR) || ' veces)' ELSE error END AS error FROM p WHERE rn = 1""")(
     lambda d: site_status.final_attempt(d.attempts.withColumn("transient", site_status.is_transient(F.col("status"), F.col("error_kind")))))

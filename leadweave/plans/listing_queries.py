@@ -105,12 +105,23 @@ def _contact_text(d: Inputs) -> DataFrame:
     return scans.contact_lines(d.spark, folder).groupBy("line").agg(F.count("*").alias("lines"))
 
 
-query("S3_S4_decoded_pages", "doc_id long, html string", """SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '' WHEN doc_id % 5 = 3 THEN '<meta charset="iso-8859-1">' || 'áéñ ' || CAST(doc_id AS VARCHAR) ELSE text END AS html FROM {documents}""")(
-    lambda d: d.documents.select("doc_id", F.when(F.col("doc_id") % 5 == 3, F.encode(_text('<meta charset="iso-8859-1">', "áéñ ", _s("doc_id")), "ISO-8859-1")).when(
-        F.col("doc_id") % 5 == 2, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8")).alias("body"),
-        F.when(F.col("doc_id") % 5 == 2, "utf-16").when(F.col("doc_id") % 5 == 1, "no-such-charset").alias("charset"),
-        F.when(F.col("doc_id") % 5 == 4, "application/pdf").otherwise("text/html; charset=x").alias("type")).select(
-        "doc_id", site_status.decoded_html(F.col("body"), F.col("charset"), F.col("type")).alias("html")))
+query("S3_S4_decoded_pages", "doc_id long, html string", """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Hola ' || CAST(doc_id AS VARCHAR) || chr(65533) WHEN doc_id % 11 = 1 THEN '“Hola ' || CAST(doc_id AS VARCHAR) || '”'
+      WHEN doc_id % 11 = 2 THEN 'При ' || CAST(doc_id AS VARCHAR) WHEN doc_id % 5 = 4 THEN '' WHEN doc_id % 5 = 3 THEN '<meta charset="iso-8859-1">' || 'áéñ ' || CAST(doc_id AS VARCHAR) ELSE text END AS html FROM {documents}""")(
+    lambda d: _decoded(d))
+
+
+def _decoded(d: Inputs) -> DataFrame:
+    """Bodies in several charsets: a cut UTF-8 character, windows-1252 quotes, windows-1251 letters, declared, named and unknown ones."""
+    number, kind = F.encode(_s("doc_id"), "UTF-8"), F.col("doc_id") % 11
+    body = F.when(kind == 0, F.concat(F.encode(F.lit("Hola "), "UTF-8"), number, F.unhex(F.lit("C3")))).when(
+        kind == 1, F.concat(F.unhex(F.lit("93486F6C6120")), number, F.unhex(F.lit("94")))).when(kind == 2, F.concat(F.unhex(F.lit("CFF0E820")), number)).when(
+        F.col("doc_id") % 5 == 3, F.encode(_text('<meta charset="iso-8859-1">', "áéñ ", _s("doc_id")), "ISO-8859-1")).when(
+        F.col("doc_id") % 5 == 2, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+    charset = F.when(kind == 0, F.lit(None)).when(kind == 1, "windows-1252").when(kind == 2, "windows-1251").when(F.col("doc_id") % 5 == 2, "utf-16").when(F.col("doc_id") % 5 == 1, "no-such-charset")
+    html = F.when((kind > 2) & (F.col("doc_id") % 5 == 4), "application/pdf").otherwise("text/html; charset=x")
+    return site_status.with_decoded_html(d.documents.select("doc_id", body.alias("body"), charset.alias("charset"), html.alias("type")), "body", "charset", "type").select("doc_id", "html")
+
+
 query("S5_place_catalog", "name string, folded string, ambiguous boolean", """SELECT DISTINCT 'Ñandú ' || n_name AS name, 'Nandu ' || n_name AS folded, n_regionkey = 0 AS ambiguous FROM {nation}""")(lambda d: _catalog_file(d))
 
 
@@ -133,7 +144,7 @@ def _logs(d: Inputs) -> DataFrame:
 _LOG_SQL = """SELECT event_id AS line_no, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
     CASE WHEN event_id % 50 = 0 THEN '  traza sin formato' ELSE event_type || ' ' || CAST(user_id AS VARCHAR) END AS message, CAST(ts AS DATE) AS day FROM {events}"""
 query("S7_log_lines", "line_no long, level string, message string", _LOG_SQL)(_logs)
-query("S7_last_log_lines", "line_no long, message string", f"SELECT line_no, message FROM ({_LOG_SQL}) l WHERE day = DATE '2024-01-15' ORDER BY line_no DESC LIMIT 400")(
+query("S7_last_log_lines", "line_no long, message string", f"SELECT line_no, message FROM ({_LOG_SQL}) l WHERE day = DATE '2024-01-15' ORDER BY line_no DESC")(
     lambda d: scans.last_log_lines(_logs(d), F.lit("2024-01-15").cast("date")))
 query("S8_kept_logs", "line_no long", f"SELECT line_no FROM ({_LOG_SQL}) l WHERE day >= DATE '2024-02-10' - INTERVAL 30 DAY")(lambda d: scans.kept_logs(_logs(d), F.lit("2024-02-10").cast("date")))
 
@@ -160,7 +171,7 @@ def _exported(d: Inputs) -> DataFrame:
 query("S10_filtered_export", ", ".join(f"{c} string" for c in _CSV), _CSV_SQL.replace("{{extra}}", "coalesce(l.rating, 0) > 4.5"))(_exported)
 query("S11_json_documents", "document string", """SELECT '{"id":' || id || ',"business_name":"' || business_name || '","city":"' || city || '","website":' || coalesce('"' || website || '"', 'null') || '}' AS document FROM {businesses}""")(
     lambda d: exports.json_documents(d.businesses.select("id", "business_name", "city", "website")))
-query("S12_evidence_documents", "site_id long, name string, findings long, visible_text string", """SELECT doc_id AS site_id, 'Doc ' || CAST(doc_id AS VARCHAR) AS name, 1 AS findings, substr(text, 1, 6000) AS visible_text FROM {documents}""")(
+query("S12_evidence_documents", "site_id long, name string, findings long, visible_text string", """SELECT doc_id AS site_id, 'Doc ' || CAST(doc_id AS VARCHAR) AS name, 1 AS findings, text AS visible_text FROM {documents}""")(
     lambda d: exports.evidence_documents(d.documents.select(
         F.col("doc_id").alias("site_id"), _text("Doc ", _s("doc_id")).alias("business_name"), F.lit(None).cast("string").alias("city"), F.lit(4.5).alias("rating"), F.lit(3).alias("review_count"), F.col("source").alias("category"),
         F.lit("https://neg.cl/").alias("url"), F.struct(F.col("n_chars")).alias("facts"), F.array(F.struct(F.lit("x").alias("code"), F.lit("y").alias("capture"))).alias("findings"),

@@ -58,7 +58,7 @@ query("X5_structured_data", "page_id long, types string, business_name string",
 query("X6_hrefs", "page_id long, hrefs string", f"WITH {_HREFS} SELECT page_id, array_to_string({_ordered_distinct('links')}, '|') AS hrefs FROM hrefs")(
     lambda d: pf.link_facts(pf.page_links(parsed(d))).select("page_id", F.array_join("hrefs", "|").alias("hrefs")))
 query("X7_W16_link_facts", "page_id long, internal string, maps string", f"""WITH {_HREFS}, i AS (SELECT page_id, [x for x in links if starts_with(x, {_ORIGIN} || '/')] AS own FROM hrefs)
-    SELECT page_id, array_to_string(({_ordered_distinct('own')})[1:300], '|') AS internal, 'https://www.google.com/maps/place/N' || CAST(page_id AS VARCHAR) AS maps FROM i""")(
+    SELECT page_id, array_to_string({_ordered_distinct('own')}, '|') AS internal, 'https://www.google.com/maps/place/N' || CAST(page_id AS VARCHAR) AS maps FROM i""")(
     lambda d: pf.link_facts(pf.page_links(parsed(d))).select("page_id", F.array_join("internal_links", "|").alias("internal"), F.array_join("maps_links", "|").alias("maps")))
 query("A10_page_profiles", "page_id long, profiles string", "SELECT page_id, 'instagram=https://www.instagram.com/neg' || CAST(page_id AS VARCHAR) AS profiles FROM {html_pages}")(
     lambda d: pf.link_facts(pf.page_links(parsed(d))).select("page_id", F.array_join(F.transform("socials", lambda s: F.concat(s["network"], F.lit("="), s["profile"])), "|").alias("profiles")))
@@ -125,7 +125,7 @@ def _redirects(d: Inputs) -> DataFrame:
         k % 8 == 0, F.concat(F.lit("https://api.whatsapp.com/send?phone=569"), (30000000 + k).cast("string"))).when(k % 8 < 7, F.concat(F.lit("/c"), (k - 1).cast("string"))).alias("location"))
 
 
-query("J17_short_links", "url string, final_url string", """SELECT 'https://wa.link/c' || CAST(c_custkey AS VARCHAR) AS url, CASE WHEN c_custkey % 8 <= 4 THEN
+query("J17_short_links", "url string, final_url string", """SELECT 'https://wa.link/c' || CAST(c_custkey AS VARCHAR) AS url, CASE WHEN c_custkey % 8 <= 6 THEN
     'https://api.whatsapp.com/send?phone=569' || CAST(30000000 + c_custkey - c_custkey % 8 AS VARCHAR) END AS final_url FROM {customer}""")(
     lambda d: cl.resolve_short_links(_redirects(d).select("url"), _redirects(d)))
 query("J17_short_link_candidates", "page_id long, outcome string, number string, evidence string", """WITH s AS (SELECT page_id, 'https://wa.link/c' || CAST(page_id AS VARCHAR) AS e FROM {html_pages} WHERE page_id % 17 = 0)
@@ -155,5 +155,5 @@ _INNER = """SELECT o_custkey AS site_id, o_orderkey AS position, 'https://neg.cl
 query("W14_inner_pages", "site_id long, rank long, link string", f"""WITH l AS ({_INNER.replace('STRING', 'VARCHAR')}), p AS (SELECT *, rtrim(lower(strip_accents(substr(link, 15))), '/') AS path FROM l),
       r AS (SELECT *, CASE WHEN regexp_matches(path, 'contact|ubicacion') THEN 0 WHEN regexp_matches(path, 'servicio') THEN 1 WHEN regexp_matches(path, 'nosotros') THEN 2 END AS pr FROM p WHERE path <> '' AND path NOT LIKE '%.pdf'),
       o AS (SELECT site_id, path, pr, arg_min(link, position) AS link FROM r WHERE pr IS NOT NULL GROUP BY 1, 2, 3)
-    SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY pr, length(path), link) AS rank, link FROM o QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY pr, length(path), link) <= 3""")(
+    SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY pr, length(path), link) AS rank, link FROM o""")(
     lambda d: site_status.pick_inner_pages(d.spark.sql(_INNER, orders=d.orders).withColumn("home_url", F.lit("https://neg.cl/"))))

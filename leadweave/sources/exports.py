@@ -51,7 +51,7 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def evidence_documents(sites: DataFrame, key: str = "site_id") -> DataFrame:
+def evidence_documents(sites: DataFrame, key: str = "site_id", max_text: int | None = None) -> DataFrame:
     """What a judge of a site sees: business, facts, findings without capture, code scores, text cut at 6000.
 
     ``sites`` carries business columns, ``url``, ``facts`` (struct), ``findings``, ``code_scores``
@@ -68,7 +68,7 @@ def evidence_documents(sites: DataFrame, key: str = "site_id") -> DataFrame:
     )
     return sites.select(
         key, F.to_json(document, {"ignoreNullFields": "false"}).alias("document"),
-        F.substring("visible_text", 1, fv.MAX_VISIBLE_TEXT).alias("visible_text"))
+        F.col("visible_text") if max_text is None else F.substring("visible_text", 1, max_text).alias("visible_text"))
 
 
 def append_analyses(rows: DataFrame, path: str) -> None:

@@ -62,9 +62,10 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     })
 
 
-def last_log_lines(logs: DataFrame, day: Column, limit: int = fv.LOG_MAX_LINES) -> DataFrame:
-    """The newest lines of one day, newest first; the limit is the page's own."""
-    return logs.filter(F.col("day") == day).orderBy(F.desc("line_no")).limit(limit)
+def last_log_lines(logs: DataFrame, day: Column, limit: int | None = None) -> DataFrame:
+    """The newest lines of one day, newest first; all of them, or ``limit``."""
+    lines = logs.filter(F.col("day") == day).orderBy(F.desc("line_no"))
+    return lines if limit is None else lines.limit(limit)
 
 
 def kept_logs(logs: DataFrame, today: Column, keep_days: int = fv.LOG_KEEP_DAYS) -> DataFrame:

@@ -40,7 +40,7 @@ OUTCOMES = (
 
 def decide_batch(
     spark: SparkSession, batch: DataFrame, batch_id: int, root: str, target: int,
-    expand: Callable[[DataFrame], tuple[DataFrame, DataFrame]], max_listings: int,
+    expand: Callable[[DataFrame], tuple[DataFrame, DataFrame]], max_listings: int | None,
 ) -> None:
     """One micro-batch: drop listings already seen in their run (T3), decide the rest against stored prints.
 
@@ -75,7 +75,7 @@ def decide_batch(
 
 def start_intake(
     listings: DataFrame, root: str, target: int, expand: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
-    max_listings: int, trigger: dict | None = None,
+    max_listings: int | None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start deciding a stream of listings; outcomes, place keys and prints appear under ``root``."""
     spark = listings.sparkSession
