@@ -27,6 +27,18 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER_ASCII).split() if text else []
 
 
+class Hidden:
+    """``docs`` with those columns renamed that an operator's own could clash with: a leading underscore, or a name in ``also``."""
+
+    def __init__(self, docs: DataFrame, also: tuple[str, ...] = ()):
+        self.names = {c: f"kept column {i}" if c.startswith("_") or c.lower() in also else c for i, c in enumerate(docs.columns)}
+        self.docs = docs.withColumnsRenamed({c: n for c, n in self.names.items() if c != n})
+
+    def columns(self) -> list[Column]:
+        """The original columns, under their own names."""
+        return [F.col(f"`{n}`").alias(c) for c, n in self.names.items()]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and a lost executor never replays it."""
     spark = df.sparkSession

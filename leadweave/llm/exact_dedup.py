@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.llm.common import Hidden
+
 DIGEST = ["_sha", "_length", "_check"]
 
 
@@ -50,19 +52,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * An empty table gives an empty result. Other columns pass through, except those with the four
       result names, which are replaced.
     """
-    plain = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    hidden = Hidden(docs.drop("keep_id", "group_size", "kept", "text_sha256"))
+    plain = hidden.docs
     rows = text_digests(plain, text_col)
     # Only texts with copies need the lookup: a row without a match is the only one of its text. Where one text holds
     # very many rows, adaptive execution splits that side of the join; the other has one row for each text.
-    copies = merged_runs(text_digests(docs.select(id_col, text_col), text_col), id_col, keep).where("group_size > 1")
+    copies = merged_runs(text_digests(plain.select(id_col, text_col), text_col), id_col, keep).where("group_size > 1")
     found = rows.join(copies, DIGEST, "left")
     size = F.coalesce("group_size", F.lit(1))
     return found.select(
-        *[F.col(c) for c in plain.columns], F.when(size > 1, F.col("keep_id")).otherwise(F.col(id_col)).alias("keep_id"), size.cast("long").alias("group_size"),
+        *hidden.columns(), F.when(size > 1, F.col("keep_id")).otherwise(F.col(id_col)).alias("keep_id"), size.cast("long").alias("group_size"),
         (F.when(size > 1, F.col("keep_id")).otherwise(F.col(id_col)).eqNullSafe(F.col(id_col))).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """``docs`` without the rows whose text another row keeps, with the columns of ``docs``."""
-    return exact_dedup(docs, id_col, text_col, keep).where("kept").select(*docs.columns)
+    hidden = Hidden(docs, ("keep_id", "group_size", "kept", "text_sha256"))
+    return exact_dedup(hidden.docs, id_col, text_col, keep).where("kept").select(*hidden.columns())

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import SPACES, ranked, stage
+from leadweave.llm.common import SPACES, Hidden, ranked, stage
 
 WEIGHTS = (3, 1, 2)
 _BEFORE = Window.unboundedPreceding, -1
@@ -70,7 +70,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     * The document that crosses the budget isn't taken, so the mix never passes the budget.
     * An empty table gives an empty result; result columns replace columns of the same name.
     """
-    plain = docs.drop("size", "source_size", "target", "taken")
+    hidden = Hidden(docs.drop("size", "source_size", "target", "taken"))
+    plain = hidden.docs
     who, place = ["_none", "_source"], ["_key", "_size"]
 
     def queue(rows: DataFrame) -> DataFrame:
@@ -116,10 +117,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     passes = [F.when(served(F.col("_times")[p], F.lit(p)), 1).otherwise(0) for p in range(max_repeats)]
     times = F.when(F.col("_times").isNotNull(), sum(passes[1:], passes[0])).otherwise(0)
     return finished(queue(plain)).select(
-        *[F.col(c) for c in plain.columns], F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * times).cast("long").alias("taken"))
+        *hidden.columns(), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * times).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    mixed = mix(docs, **options).where("taken > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(*docs.columns)
+    hidden = Hidden(docs, ("size", "source_size", "target", "taken"))
+    mixed = mix(hidden.docs, **options).where("taken > 0")
+    return mixed.select("*", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("_copy")).select(*hidden.columns())
