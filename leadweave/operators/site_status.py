@@ -105,12 +105,12 @@ def site_status(sites: DataFrame, site: str = "site_id") -> DataFrame:
     fetch_error = text_or_empty("f_error") != ""
     no_answer = text_or_empty("f_error").contains(fv.NO_ANSWER_HINT)
     # Text tests that several branches ask for are columns of their own: each runs once per row.
+    bad_status = is_true(F.col("f_status") >= 400)
+    # Walls are told apart here only behind an error status; other pages are tested once, on the text finally used.
     sites = sites.withColumns({
-        "_wall_fetch": tx.is_bot_wall("f_title", F.substring(text_or_empty("f_text"), 1, 5000)),
-        "_wall_render": tx.is_bot_wall("r_title", "r_text"),
+        "_wall_fetch": F.when(bad_status, tx.is_bot_wall("f_title", "f_text")), "_wall_render": F.when(bad_status, tx.is_bot_wall("r_title", "r_text")),
     })
-    wall_fetch, wall_render = F.col("_wall_fetch"), F.col("_wall_render")
-    bad_status = is_true(F.col("f_status") >= 400)
+    wall_fetch, wall_render = is_true(F.col("_wall_fetch")), is_true(F.col("_wall_render"))
     asks_render = is_true(F.col("f_status").isin(401, 403, 429, 503)) | wall_fetch
     rescued = rendered & (F.coalesce("r_status", F.lit(200)) < 400) & ~wall_render
     blocked = (is_true(F.col("r_has_html")) & wall_render) | is_true(F.col("f_status").isin(403, 429))
@@ -158,10 +158,13 @@ def site_status(sites: DataFrame, site: str = "site_id") -> DataFrame:
         "_last_url": F.when(F.col("_thin"), F.col("r_final_url")).otherwise(F.col("_url")),
         "_last_title": F.when(F.col("_thin"), F.col("r_title")).otherwise(F.col("_title")),
         "_last_text": F.when(F.col("_thin"), F.col("r_text")).otherwise(F.col("_text")),
-    }).withColumn("_words", tx.page_words("_last_title", "_last_text")).withColumns({
-        "_login": login_wall_reason("_last_url"), "_wall": tx.is_bot_wall("_last_title", "_last_text"),
-        "_dead": tx.dead_reason_of(F.col("_words"), "_last_text"),
     })
+    # What was decided early needs none of the text tests.
+    undecided = F.col("_early").isNull()
+    sites = sites.withColumn("_login", F.when(undecided, login_wall_reason("_last_url"))).withColumn(
+        "_wall", is_true(F.when(undecided & F.col("_login").isNull(), tx.is_bot_wall("_last_title", "_last_text")))
+    ).withColumn("_words", F.when(undecided & F.col("_login").isNull() & ~F.col("_wall"), tx.page_words("_last_title", "_last_text")))
+    sites = barrier(sites, "_words").withColumn("_dead", F.when(F.col("_words").isNotNull(), tx.dead_reason_of(F.col("_words"), "_last_text")))
     social = F.col("_landed_profile").isNotNull()
     status = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
