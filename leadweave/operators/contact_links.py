@@ -17,6 +17,7 @@ from leadweave.functions.expr import barrier, exact_lookup, is_true
 from leadweave.functions.phones import contact_digits, with_contact_number
 from leadweave.functions.text import scan_variants
 from leadweave.functions.urls import with_joined
+from leadweave.operators.page_facts import in_any, spans
 from leadweave.session import cut_lineage
 
 E = "elements"
@@ -42,9 +43,9 @@ def _tokens(e: Column) -> Column:
 
 
 def with_placement_marks(parsed: DataFrame) -> DataFrame:
-    """Node ids of floating, footer and header elements; a node's placement follows from its ancestors."""
+    """Spans of floating, footer and header elements; a node's placement follows from its ancestors."""
     def ids(test) -> Column:
-        return F.transform(F.filter(E, lambda e: (e["tag"] != "#text") & is_true(test(e))), lambda e: e["node"])
+        return spans(F.filter(E, lambda e: (e["tag"] != "#text") & is_true(test(e))))
 
     def role(e: Column) -> Column:
         return F.lower(F.coalesce(e["attrs"]["role"], F.lit("")))
@@ -67,9 +68,9 @@ def with_placement_marks(parsed: DataFrame) -> DataFrame:
 
 def placement_of(e: Column) -> Column:
     return (
-        F.when(F.arrays_overlap(e["path"], F.col("_float")), "flotante")
-        .when(F.arrays_overlap(e["path"], F.col("_footer")), "footer")
-        .when(F.arrays_overlap(e["path"], F.col("_header")), "header")
+        F.when(in_any(e, F.col("_float")), "flotante")
+        .when(in_any(e, F.col("_footer")), "footer")
+        .when(in_any(e, F.col("_header")), "header")
         .otherwise("cuerpo")
     )
 

@@ -14,7 +14,7 @@ from leadweave.functions import text as tx
 from leadweave.functions.expr import barrier, blank_to_null, is_true
 from leadweave.functions.phones import normalize_phone
 from leadweave.functions.urls import place_key, with_canonical_place_url, with_link_kind, with_normalized, with_social, with_unwrapped
-from leadweave.operators.page_facts import attr, first, of_tag, subtree_text
+from leadweave.operators.page_facts import attr, first, in_any, is_inside, of_tag, spans, subtree, subtree_text
 
 E = "elements"
 
@@ -35,16 +35,17 @@ def listing_cards(pages: DataFrame, region: str = "CL", key: str = "page_id") ->
     """
     is_place = lambda e: (e["tag"] == "a") & attr(e, "href").contains("/maps/place/")
     pages = pages.withColumn("_places", F.filter(E, is_place))
-    rows = pages.select(
-        key, E, F.transform("_places", lambda e: e["path"]).alias("_paths"),
-        F.posexplode("_places").alias("_at", "_link"),
-    )
-    # The outermost ancestor that is an ancestor of this place link only.
-    others = F.flatten(F.filter("_paths", lambda p, i: i != F.col("_at")))
-    rows = barrier(rows.withColumn("_root", first(F.array_except(F.col("_link.path"), others))), "_root")
-    # From here on only the card's own elements travel, not the page's.
-    inside = F.filter(E, lambda e: F.array_contains(e["path"], F.col("_root")))
-    rows = barrier(rows.withColumn("_card", inside).select(key, "_at", "_link", "_card"), "_card")
+    pages = barrier(pages, "_places")
+
+    def card(link: Column, at: Column) -> Column:
+        """The outermost element around a place link and no other: it begins after the link before and ends before the next."""
+        before = F.coalesce(F.get("_places", at - 1)["node"], F.lit(-1))
+        after = F.coalesce(F.get("_places", at + 1)["node"], F.lit(2**31 - 1))
+        root = first(F.filter(E, lambda e: (e["node"] <= link["node"]) & (e["last"] >= link["node"]) & (e["node"] > before) & (e["last"] < after)))
+        return F.struct(link.alias("_link"), F.coalesce(subtree(root), F.slice(E, 1, 0)).alias("_card"))
+
+    # Only the card's own elements travel on, not the page's.
+    rows = pages.select(key, F.posexplode(F.transform("_places", card)).alias("_at", "_c")).select(key, "_at", "_c._link", "_c._card")
     site_links = F.filter(
         "_card",
         lambda e: (e["tag"] == "a") & (attr(e, "href") != "") & (
@@ -59,7 +60,7 @@ def listing_cards(pages: DataFrame, region: str = "CL", key: str = "page_id") ->
     )
     rows = rows.withColumns({
         "url": attr(F.col("_link"), "href"),
-        "name": blank_to_null(F.coalesce(blank_to_null(attr(F.col("_link"), "aria-label")), subtree_text(F.col("_link.node"), "_card", ""))),
+        "name": blank_to_null(F.coalesce(blank_to_null(attr(F.col("_link"), "aria-label")), subtree_text(F.col("_link"), "_card", ""))),
         "_site": attr(first(site_links), "href"),
         "phone_e164": first(phones),
     })
@@ -104,15 +105,15 @@ def about_sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     pages = pages.withColumn("_heads", F.filter(
         F.transform(of_tag("h2"), lambda h: F.struct(
-            subtree_text(h["node"]).alias("title"), h["parent"].alias("box"))),
-        lambda h: (h["title"] != "") & ~h["title"].rlike(fv.NOT_ABOUT_PATTERN) & (h["box"] >= 0),
+            subtree_text(h).alias("title"), F.get(E, h["parent"]).alias("box"))),
+        lambda h: (h["title"] != "") & ~h["title"].rlike(fv.NOT_ABOUT_PATTERN) & h["box"].isNotNull(),
     ))
 
     def items(h: Column) -> Column:
         entries = F.filter(
             F.transform(
-                F.filter(E, lambda e: (e["tag"] == "li") & F.array_contains(e["path"], h["box"])),
-                lambda e: F.coalesce(tx.collapse_spaces(e["attrs"]["aria-label"]), subtree_text(e["node"])),
+                F.filter(subtree(h["box"]), lambda e: e["tag"] == "li"),
+                lambda e: F.coalesce(tx.collapse_spaces(e["attrs"]["aria-label"]), subtree_text(e)),
             ),
             lambda s: s != "",
         )
@@ -136,31 +137,35 @@ def services_of(about: Column) -> Column:
 
 
 # ------------------------------------------------------------------ X20: place panels
-def places(panels: DataFrame, catalog: DataFrame | None = None, region: str = "CL", url: str = "url", key: str = "page_id") -> DataFrame:
+def places(panels: DataFrame, catalog: DataFrame | None = None, region: str = "CL", url: str = "url", key: str = "page_id",
+           header_levels: int | None = None) -> DataFrame:
     """One place per captured panel (panels without a name drop out).
 
     ``own`` keeps the elements the business itself publishes (reviews and other businesses are
     outside), ready for ``contact_mentions``.
     """
-    main = first(F.filter(E, lambda e: (e["tag"] == "div") & (e["attrs"]["role"] == "main")))["node"]
-    rows = barrier(panels.withColumn("_main", F.coalesce(main, first(of_tag("body"))["node"], F.lit(0))), "_main")
-    rows = barrier(rows.withColumn("_in", F.filter(E, lambda e: F.array_contains(e["path"], F.col("_main")))).drop(E), "_in")
+    main = first(F.filter(E, lambda e: (e["tag"] == "div") & (e["attrs"]["role"] == "main")))
+    rows = barrier(panels.withColumn("_main", F.coalesce(main, first(of_tag("body")), first(F.col(E)))), "_main")
+    rows = barrier(rows.withColumn("_in", F.coalesce(subtree(F.col("_main")), F.slice(E, 1, 0))).drop(E), "_in")
     rows = rows.withColumn("_h1", first(F.filter("_in", lambda e: e["tag"] == "h1")))
-    rows = rows.withColumn("name", blank_to_null(subtree_text(F.col("_h1.node"), "_in"))).filter(F.col("name").isNotNull())
-    # Header: the nearest of six ancestors of the name that shows rating, reviews or category.
+    rows = rows.withColumn("name", blank_to_null(subtree_text(F.col("_h1"), "_in"))).filter(F.col("name").isNotNull())
+    # Header: the nearest ancestor of the name that shows rating, reviews or category; ``header_levels`` bounds the search.
     is_mark = lambda e: (
         _label(e).contains("estrellas") | _label(e).contains("reseña")
         | ((e["tag"] == "button") & F.coalesce(e["attrs"]["jsaction"], F.lit("")).contains("category"))
     )
-    rows = barrier(rows.withColumn("_marks", F.transform(F.filter("_in", is_mark), lambda e: e["path"])), "_marks")
-    above = F.slice(F.reverse(F.col("_h1.path")), 2, 6)
-    rows = barrier(rows.withColumn("_top", F.coalesce(
-        first(F.filter(above, lambda n: F.exists("_marks", lambda p: F.array_contains(p, n)))), F.col("_h1.parent"))), "_top")
-    rows = rows.withColumn("_head", F.filter("_in", lambda e: F.array_contains(e["path"], F.col("_top"))))
+    ancestors = F.reverse(spans(F.filter("_in", lambda e: (e["node"] < F.col("_h1.node")) & (e["last"] >= F.col("_h1.node")))))
+    rows = barrier(rows.withColumns({
+        "_marks": spans(F.filter("_in", is_mark)), "_above": ancestors if header_levels is None else F.slice(ancestors, 1, header_levels),
+    }), "_marks", "_above")
+    marked = first(F.filter("_above", lambda top: F.exists("_marks", lambda mark: is_inside(mark, top))))
+    own = F.struct(F.col("_h1.node").alias("node"), F.col("_h1.last").alias("last"))
+    rows = barrier(rows.withColumn("_top", F.coalesce(marked, first(F.col("_above")), own)), "_top")
+    rows = rows.withColumn("_head", subtree(F.col("_top"), "_in"))
 
     def value_of(test) -> Column:
         node = first(F.filter("_in", test))
-        shown = F.coalesce(node["attrs"]["aria-label"], subtree_text(node["node"], "_in"))
+        shown = F.coalesce(node["attrs"]["aria-label"], subtree_text(node, "_in"))
         return F.when(node.isNotNull(), tx.collapse_spaces(F.regexp_replace(shown, fv.LABEL_PREFIX_PATTERN, "")))
 
     item = lambda e: F.coalesce(e["attrs"]["data-item-id"], F.lit(""))
@@ -169,11 +174,10 @@ def places(panels: DataFrame, catalog: DataFrame | None = None, region: str = "C
     reviewed = first(F.filter(head_labels, lambda s: s.rlike(fv.REVIEWS_LABEL_PATTERN)))
     category = first(F.filter("_head", lambda e: (e["tag"] == "button") & F.coalesce(e["attrs"]["jsaction"], F.lit("")).contains("category")))
     phone_item = item(first(F.filter("_in", lambda e: item(e).startswith("phone:tel:"))))
-    own_regions = F.transform(
-        F.filter("_in", lambda e: (e["attrs"]["role"] == "region") & _label(e).rlike(fv.OWN_REGION_PATTERN)), lambda e: e["node"])
+    own_regions = spans(F.filter("_in", lambda e: (e["attrs"]["role"] == "region") & _label(e).rlike(fv.OWN_REGION_PATTERN)))
     rows = rows.withColumns({
         "rating": tx.rating_from_label(rated), "review_count": tx.reviews_from_label(reviewed),
-        "category": F.when(category.isNotNull(), blank_to_null(subtree_text(category["node"], "_head"))),
+        "category": F.when(category.isNotNull(), blank_to_null(subtree_text(category, "_head"))),
         "address": value_of(lambda e: item(e) == "address"),
         "phone_raw": value_of(lambda e: item(e).startswith("phone:tel:")),
         "_tel": F.regexp_replace(phone_item, "^phone:tel:", ""),
@@ -182,10 +186,10 @@ def places(panels: DataFrame, catalog: DataFrame | None = None, region: str = "C
         "_regions": own_regions,
     })
     roots = F.when(F.size("_regions") > 0, F.col("_regions")).otherwise(
-        F.transform(F.filter("_in", lambda e: e["attrs"]["data-item-id"].isNotNull()), lambda e: e["node"]))
+        spans(F.filter("_in", lambda e: e["attrs"]["data-item-id"].isNotNull())))
     rows = barrier(rows.withColumn("_roots", roots), "_roots")
     rows = rows.withColumns({
-        "own": F.filter("_in", lambda e: F.arrays_overlap(e["path"], F.col("_roots"))),
+        "own": F.filter("_in", lambda e: in_any(e, F.col("_roots"))),
         "city": tx.address_locality("address"),
         "phone_e164": F.coalesce(normalize_phone("_tel", region), normalize_phone("phone_raw", region)),
         "place_key": place_key(url),

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from leadweave import fixed_values as fv
 
-# One struct per element and per text node ('#text'). ``path`` holds the node ids from the
-# outermost ancestor down to the node itself; ``line`` counts block boundaries passed.
+# One struct per element and per text node ('#text'), numbered in document order from 0. ``last`` is
+# the number of the last node inside it (its own if it is empty), so a subtree is a slice of the
+# array and an ancestor test compares two numbers; ``line`` counts block boundaries passed.
 ELEMENT = T.StructType([
     T.StructField("node", T.IntegerType()),
     T.StructField("parent", T.IntegerType()),
@@ -27,7 +28,7 @@ ELEMENT = T.StructType([
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
     T.StructField("line", T.IntegerType()),
-    T.StructField("path", T.ArrayType(T.IntegerType())),
+    T.StructField("last", T.IntegerType()),
 ])
 
 # FIXED VALUES of the HTML syntax: elements without content, raw-text elements, and the open
@@ -60,20 +61,21 @@ def _attributes(source: str) -> dict[str, str]:
 def page_nodes(source: str) -> list[tuple]:
     """Nodes of one page in document order (comments dropped, unclosed tags tolerated)."""
     nodes: list[tuple] = []
+    last: list[int] = []
     open_nodes: list[tuple[str, int]] = []
-    path: list[int] = []
     line = position = 0
 
     def close(down_to: int) -> None:
         nonlocal line
         while len(open_nodes) > down_to:
-            tag, _ = open_nodes.pop()
-            path.pop()
+            tag, node = open_nodes.pop()
+            last[node] = len(nodes) - 1
             line += tag in BLOCK
 
     def add(tag: str, attrs: dict[str, str], text: str) -> int:
         node = len(nodes)
-        nodes.append((node, path[-1] if path else -1, tag, attrs, text, line, path + [node]))
+        nodes.append((node, open_nodes[-1][1] if open_nodes else -1, tag, attrs, text, line))
+        last.append(node)
         return node
 
     def add_text(text: str) -> None:
@@ -105,20 +107,22 @@ def page_nodes(source: str) -> list[tuple]:
             position = end.end() if end else len(source)
             node = add(tag, attrs, body if tag in ("script", "style") else "")
             if tag in ("title", "textarea") and body:
-                nodes.append((node + 1, node, "#text", {}, html_entities.unescape(body), line, path + [node, node + 1]))
+                nodes.append((node + 1, node, "#text", {}, html_entities.unescape(body), line))
+                last.append(node + 1)
+                last[node] = node + 1
             continue
         node = add(tag, attrs, "")
         if tag in VOID:
             line += tag in BLOCK
         else:
             open_nodes.append((tag, node))
-            path.append(node)
-    return nodes
+    close(0)
+    return [(*node, end) for node, end in zip(nodes, last, strict=True)]
 
 
 _ARROW_ELEMENT = [
     ("node", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-    ("text", pa.string()), ("line", pa.int32()), ("path", pa.list_(pa.int32())),
+    ("text", pa.string()), ("line", pa.int32()), ("last", pa.int32()),
 ]
 
 

@@ -29,11 +29,31 @@ def attr(element: Column, name: str) -> Column:
     return F.trim(F.coalesce(element["attrs"][name], F.lit("")))
 
 
-def subtree_text(node: Column, texts: Column | str = E, separator: str = " ") -> Column:
+def is_inside(element: Column, top: Column) -> Column:
+    """Is ``element`` the element ``top`` or under it?"""
+    return element["node"].between(top["node"], top["last"])
+
+
+def subtree(top: Column, elements: Column | str = E) -> Column:
+    """An element and everything under it; a slice of the page's array, a filter of any other."""
+    if elements is E:
+        return F.slice(E, top["node"] + 1, top["last"] - top["node"] + 1)
+    return F.filter(elements, lambda e: is_inside(e, top))
+
+
+def subtree_text(top: Column, elements: Column | str = E, separator: str = " ") -> Column:
     """Text under an element, white space collapsed ('' when there is none)."""
-    inner = F.filter(texts, lambda t: (t["tag"] == "#text") & F.array_contains(t["path"], node))
+    inner = F.filter(subtree(top, elements), lambda t: t["tag"] == "#text")
     joined = F.array_join(F.transform(inner, lambda t: t["text"]), separator)
-    return F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
+    return F.coalesce(F.trim(F.regexp_replace(joined, r"(?U)\s+", " ")), F.lit(""))
+
+
+def spans(elements: Column) -> Column:
+    return F.transform(elements, lambda e: F.struct(e["node"].alias("node"), e["last"].alias("last")))
+
+
+def in_any(element: Column, tops: Column) -> Column:
+    return F.exists(tops, lambda top: is_inside(element, top))
 
 
 def first(array: Column) -> Column:
@@ -43,12 +63,12 @@ def first(array: Column) -> Column:
 # ------------------------------------------------------------------ X2: visible text
 def with_visible_text(pages: DataFrame) -> DataFrame:
     """Adds ``lines`` (one per block, spaces collapsed) and ``visible_text``."""
-    skipped = F.transform(of_tag(*fv.SKIP_TAGS, "title"), lambda e: e["node"])
+    skipped = spans(of_tag(*fv.SKIP_TAGS, "title"))
     pages = barrier(pages.withColumn("_skip", skipped), "_skip")
     pages = pages.withColumn(
         "_texts",
         F.transform(
-            F.filter(E, lambda e: (e["tag"] == "#text") & ~F.arrays_overlap(e["path"], F.col("_skip"))),
+            F.filter(E, lambda e: (e["tag"] == "#text") & ~in_any(e, F.col("_skip"))),
             lambda e: F.struct(e["text"].alias("text"), e["line"].alias("line")),
         ),
     )
@@ -96,7 +116,7 @@ def with_head_facts(pages: DataFrame, url: str = "url") -> DataFrame:
 
     og_keys = F.array_distinct(F.transform(F.filter("_metas", lambda m: m["key"].startswith("og:")), lambda m: m["key"]))
     pages = pages.withColumns({
-        "title": blank_to_null(subtree_text(first(of_tag("title"))["node"])),
+        "title": blank_to_null(subtree_text(first(of_tag("title")))),
         "meta_description": meta("description"),
         "viewport": meta("viewport"),
         "generator": meta("generator"),
@@ -119,14 +139,12 @@ def _at_most(values: Column, limit: int | None) -> Column:
 def with_structure_facts(pages: DataFrame, max_h2: int | None = None, max_menu: int | None = None) -> DataFrame:
     """Headings, menu labels, forms, images, missing alternative texts and map embeds; the limits cut only where a caller names them."""
     def headings(tag: str) -> Column:
-        return F.filter(F.transform(of_tag(tag), lambda e: subtree_text(e["node"])), lambda t: t != "")
+        return F.filter(F.transform(of_tag(tag), lambda e: subtree_text(e)), lambda t: t != "")
 
-    root = F.coalesce(first(of_tag("nav"))["node"], first(of_tag("header"))["node"])
+    root = F.coalesce(first(of_tag("nav")), first(of_tag("header")))
     pages = barrier(pages.withColumn("_menu", root), "_menu")
     labels = F.transform(
-        F.filter(E, lambda e: (e["tag"] == "a") & is_true(F.array_contains(e["path"], F.col("_menu")))),
-        lambda e: subtree_text(e["node"]),
-    )
+        F.filter(F.coalesce(subtree(F.col("_menu")), F.slice(E, 1, 0)), lambda e: e["tag"] == "a"), lambda e: subtree_text(e))
     return pages.withColumns({
         "h1": headings("h1"),
         "h2": _at_most(headings("h2"), max_h2),

@@ -65,7 +65,7 @@ query("A10_page_profiles", "page_id long, profiles string", "SELECT page_id, 'in
 query("X8_emails_in_text", "doc_id long, emails string", r"""WITH e AS (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')] AS m FROM {documents})
     SELECT doc_id, array_to_string(""" + _ordered_distinct("m") + """, '|') AS emails FROM e""")(
     lambda d: pf.with_contact_facts(d.documents.select("doc_id", F.col("text").alias("visible_text"), F.array().cast(
-        "array<struct<node:int,parent:int,tag:string,attrs:map<string,string>,text:string,line:int,path:array<int>>>").alias("elements"))).select(
+        "array<struct<node:int,parent:int,tag:string,attrs:map<string,string>,text:string,line:int,last:int>>").alias("elements"))).select(
         "doc_id", F.array_join("emails", "|").alias("emails")))
 query("X8_X9_page_contacts", "page_id long, tel_links string, first_phone string, first_email string", """SELECT page_id, 'tel:+569' || CAST(40000000 + page_id AS VARCHAR) AS tel_links,
     '+569' || CAST(40000000 + page_id AS VARCHAR) AS first_phone, 'ventas' || CAST(page_id AS VARCHAR) || '@neg.cl' AS first_email FROM {html_pages}""")(
