@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,19 +154,20 @@ def _streamed(d: Inputs) -> DataFrame:
     checks, keys = cut_lineage(checks), cut_lineage(keys)
     feed_columns = [c for c in listings.columns if not c.endswith("_stored") or c == "known_stored"]
     bounds = listings.agg(F.max("rank")).first()[0] // 4 + 1
-    for part in range(4):  # files appear in rank order, as a growing feed writes them
-        listings.select(*[c for c in feed_columns if c != "target"]).filter(F.floor(F.col("rank") / bounds) == part).coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    shown = listings.select(*[c for c in feed_columns if c != "target"])
     stored = d.contacted.select(
         F.lit(fv.PRINT_NUMBER).alias("kind"), F.regexp_replace("phone_e164", r"^\+", "").alias("value"), F.lit(-1).cast("long").alias("run_id"),
         F.lit(-1).cast("long").alias("listing_id"))
     stored.write.parquet(f"{root}/prints/batch=-1")  # what was known before the first batch
-    feed = spark.readStream.schema(listings.select(*[c for c in feed_columns if c != "target"]).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
 
     def expand(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = batch.select("listing_id")
         return checks.join(ids, "listing_id", "left_semi"), keys.join(ids, "listing_id", "left_semi")
 
-    intake.start_intake(feed, root, 12, expand, None).awaitTermination()
+    for part in range(4):  # the feed grows in rank order; each run of the stream decides what is new in it
+        shown.filter(F.floor(F.col("rank") / bounds) == part).write.mode("append").parquet(f"{root}/feed")
+        feed = spark.readStream.schema(shown.schema).parquet(f"{root}/feed")
+        intake.start_intake(feed, root, 12, expand, None).awaitTermination()
     return with_stage(spark.read.parquet(f"{root}/outcomes"))
 
 
@@ -179,10 +179,8 @@ def _live(d: Inputs) -> DataFrame:
     spark, root = d.spark, work_folder(d.spark, "live")
     d.events.select((F.col("user_id") % 7).alias("run_id"), F.col("event_type").alias("outcome")).repartition(3).write.parquet(f"{root}/outcomes")
     stream = spark.readStream.schema("run_id long, outcome string").option("maxFilesPerTrigger", 1).parquet(f"{root}/outcomes")
-    name = f"live_{uuid.uuid4().hex}"
-    counted = intake.live_counters(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    counted.option("checkpointLocation", f"{root}/progress").start().awaitTermination()
-    return spark.table(name).withColumnRenamed("count", "n")
+    intake.start_counters(stream, root).awaitTermination()
+    return intake.read_counters(spark, root)
 
 
 query("T2_live_counters", "run_id long, outcome string, n long", "SELECT user_id % 7 AS run_id, event_type AS outcome, count(*) AS n FROM {events} GROUP BY 1, 2")(_live)

@@ -128,9 +128,10 @@ query("S5_place_catalog", "name string, folded string, ambiguous boolean", """SE
 def _catalog_file(d: Inputs) -> DataFrame:
     name = _text("Ñandú ", F.col("n_name"))
     regions = d.nation.join(d.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list(name).alias("names"), F.collect_list(F.when(F.col("n_regionkey") == 0, name)).alias("amb"))
-    document = regions.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("r_name", "names"))).alias("regiones"), F.flatten(F.collect_list("amb")).alias("ambiguas"))
+    # One document for each region: a catalog is read from as many files as there are.
+    documents = regions.select(F.to_json(F.struct(F.create_map("r_name", "names").alias("regiones"), F.col("amb").alias("ambiguas"))).alias("value"))
     folder = work_folder(d.spark, "catalog")
-    document.coalesce(1).write.json(folder)
+    documents.write.text(folder)
     return scans.place_catalog(d.spark, folder)
 
 

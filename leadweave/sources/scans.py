@@ -23,16 +23,27 @@ def read_snapshot(spark: SparkSession, path: str, table: str) -> DataFrame:
     return upgrade(spark.read.parquet(path), table)
 
 
+def _line_number() -> Column:
+    """A sortable place of each line: file name, start of its split, place in the split."""
+    return F.struct(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
 def contact_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a pasted contact list; byte-order mark and blank lines removed, file order kept."""
     lines = spark.read.text(path)
-    lines = lines.select(F.regexp_replace("value", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("line_no"))
+    lines = lines.select(F.regexp_replace("value", "^﻿", "").alias("line"), _line_number().alias("line_no"))
     return lines.filter(F.trim("line") != "")
 
 
 def place_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Place names of a region file, distinct, folded, with the ambiguous flag."""
-    text = spark.read.text(path, wholetext=True)
+    """Place names of region files, distinct, folded, with the ambiguous flag.
+
+    A file holds one document over several lines, or one document on each line.
+    """
+    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
+    by_line = F.forall(lines, lambda line: F.try_parse_json(line).isNotNull())
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("value"))
     schema = "regiones map<string,array<string>>, ambiguas array<string>"
     return catalog_from_json(text.select(F.from_json("value", schema).alias("c")))
 
@@ -48,7 +59,7 @@ def catalog_from_json(catalogs: DataFrame) -> DataFrame:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Daily log files as rows: day of the file, moment, level, message."""
     raw = spark.read.text(path).select(
-        "value", F.regexp_extract(F.col("_metadata.file_name"), LOG_DAY, 1).alias("_day"), F.monotonically_increasing_id().alias("line_no"))
+        "value", F.regexp_extract(F.col("_metadata.file_name"), LOG_DAY, 1).alias("_day"), _line_number().alias("line_no"))
     return parse_log_lines(raw.withColumn("day", F.col("_day").try_cast("date")).drop("_day"))
 
 

@@ -87,6 +87,21 @@ def start_intake(
         **(trigger or {"availableNow": True})).start()
 
 
+def start_counters(outcomes: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep running counters of a stream as files: each batch writes the counters it changed, a replayed one writes them again."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_batch_path(root, "counters", batch_id))
+
+    return live_counters(outcomes).writeStream.outputMode("update").foreachBatch(on_batch).option(
+        "checkpointLocation", f"{root.rstrip('/')}/_counting").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_counters(spark: SparkSession, root: str) -> DataFrame:
+    """The newest value of every counter: ``run_id, outcome, n``."""
+    changes = spark.read.schema("run_id long, outcome string, count long, batch long").parquet(f"{root.rstrip('/')}/counters")
+    return changes.groupBy("run_id", "outcome").agg(F.max_by("count", "batch").alias("n"))
+
+
 def live_counters(outcomes: DataFrame) -> DataFrame:
     """Running outcome counts per run over a stream of outcomes (update mode; one row per run and outcome)."""
     return outcomes.groupBy("run_id", "outcome").count()
