@@ -14,11 +14,11 @@ at least ``LEAD`` subwords of context where the text has them, by batched masked
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -54,7 +54,10 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 class Subwords(dict):
-    """Word (lower-cased UTF-8) to its subword ids; kept for words seen before, emptied when it grows too large."""
+    """Word (lower-cased UTF-8) to the bytes of its subword ids, 32 bits each; kept for words seen before, emptied when it grows too large.
+
+    A word with its leading space is one piece for the merges; ids of many words are joined as bytes.
+    """
 
     def __init__(self, path: str, pattern: str, always: Iterable[bytes] = ()):
         super().__init__()
@@ -66,17 +69,23 @@ class Subwords(dict):
         """Which ids begin a word: those that carry its leading space, and the end."""
         return np.array([self.encoding.decode_single_token_bytes(i).startswith(b" ") for i in range(self.end)] + [True])
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
             self.update(self.always)
-        value = self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
-        if len(value) <= 64:
+        value = array("i", self.encoding._encode_single_piece(b" " + word)).tobytes()
+        if len(value) <= 256:
             self[word] = value
         return value
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.array([*chain.from_iterable(map(self.__getitem__, words)), self.end], np.int32)
+        """The ids of a text and the end."""
+        return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32), np.int32(self.end))
+
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and how many each has."""
+        found = list(map(self.__getitem__, words))
+        return np.frombuffer(b"".join(found), np.int32).astype(np.int64), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
 # The model ------------------------------------------------------------------------------------------
@@ -344,9 +353,7 @@ def subword_counts(vocabulary: DataFrame, ends: int, path: str, pattern: str) ->
         subwords = Subwords(path, pattern)
         total = np.zeros(subwords.end + 1, np.int64)
         for batch in batches:
-            found = [subwords[w] for w in batch.column(0).to_pylist()]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            ids, sizes = subwords.flat(batch.column(0).to_pylist())
             np.add.at(total, ids, np.repeat(batch.column(1).to_numpy(), sizes))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
@@ -368,9 +375,7 @@ def pair_counts(vocabulary: DataFrame, counts: np.ndarray, path: str, pattern: s
         subwords, group = Subwords(path, pattern), shared.value
         total = np.zeros(len(group) * (GROUPS + 1), np.int64)
         for batch in batches:
-            found = [subwords[w] for w in batch.column(0).to_pylist()]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            ids, sizes = subwords.flat(batch.column(0).to_pylist())
             if len(ids):
                 column = np.r_[GROUPS, group[ids[:-1]]]
                 column[(np.cumsum(sizes) - sizes)[sizes > 0]] = GROUPS
@@ -400,11 +405,11 @@ def training_windows(train: DataFrame, path: str, pattern: str) -> DataFrame:
                 count = len(words) // BLOCK_WORDS + 1
                 for block in range(crc32(text.as_py() or b"") % SHARE, count, SHARE):
                     begin = block * BLOCK_WORDS
-                    before = subwords[words[begin - 1]][-1:] if begin else [subwords.end]
+                    before = np.frombuffer(subwords[words[begin - 1]][-4:], np.int32)[0] if begin else subwords.end
                     ids = subwords.ids(words[begin : begin + BLOCK_WORDS])
                     ids = ids[:-1] if begin + BLOCK_WORDS <= len(words) else ids
                     line = np.full(WINDOW + 1, -1, np.int32)
-                    line[0] = before[0]
+                    line[0] = before
                     line[1 : 1 + min(WINDOW, len(ids))] = ids[:WINDOW]
                     out.append(line.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
@@ -505,12 +510,11 @@ def score_language(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", t
                 for text in part.column(1):
                     words = lower_words(text.as_py())
                     counts = Counter(words)
-                    frequent = counts.keys() & logs.keys()
-                    rest = list(counts.keys() - frequent)
+                    rest = [w for w in counts if w not in logs]
                     times = list(map(counts.__getitem__, rest))
                     tokens.append(len(words) + 1)
                     known.append(len(words) - sum(times) + (known_ends > 0))
-                    base.append(sum([logs[w] * counts[w] for w in frequent]) + float(np.log10((known_ends + 1) / size)))
+                    base.append(sum([logs[w] * n for w, n in counts.items() if w in logs]) + float(np.log10((known_ends + 1) / size)))
                     cold_words += rest
                     cold_counts += times
                     ends.append(len(cold_words))
