@@ -397,3 +397,12 @@ DAY_LIST_LIMIT = 30
 SEARCH_LIST_LIMIT = 500
 MAX_LISTINGS = 120
 FRESH_DAYS = 30
+
+# FIXED VALUES: identifiers of place pages, the view part of their paths, and what contact links carry.
+PLACE_ID_PATTERN = r"(?:place_id[:=]|query_place_id=|!19s)(ChI[A-Za-z0-9_-]{10,})"
+FEATURE_ID_PATTERN = r"(?i)!1s(0x[0-9a-f]+:0x[0-9a-f]+)"
+CID_PATTERN = r"[?&]cid=(\d+)"
+MAP_VIEW_PATTERN = r"/@-?\d+(?:\.\d+)?,-?\d+(?:\.\d+)?(?:,[\d.]+[a-z]?)*"
+LINK_DIGITS_PATTERN = r"(?:wa\.me/|phone=)\+?(\d{8,})"
+SHOWN_DIGITS_PATTERN = r"wa\.me/(\d+)"
+SHORT_LINK_PRINT_PATTERN = r"(?i)((?:wa\.link|walink\.co)/[^/?#\s]+|wa\.me/message/[^/?#\s]+)"

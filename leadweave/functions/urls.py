@@ -269,9 +269,9 @@ def with_link_kind(df: DataFrame, url: str, out: str, keep: str | None = None) -
 def place_key(url: ColumnLike) -> Column:
     """Stable place identifier carried by a map URL: official id, else feature id, else cid."""
     u = text_or_empty(url)
-    official = F.regexp_extract(u, r"(?:place_id[:=]|query_place_id=|!19s)(ChI[A-Za-z0-9_-]{10,})", 1)
-    feature = F.lower(F.regexp_extract(u, r"(?i)!1s(0x[0-9a-f]+:0x[0-9a-f]+)", 1))
-    cid = F.regexp_extract(u, r"[?&]cid=(\d+)", 1)
+    official = F.regexp_extract(u, fv.PLACE_ID_PATTERN, 1)
+    feature = F.lower(F.regexp_extract(u, fv.FEATURE_ID_PATTERN, 1))
+    cid = F.regexp_extract(u, fv.CID_PATTERN, 1)
     return (
         F.when(official != "", F.concat(F.lit("place_id:"), official))
         .when(feature != "", F.concat(F.lit("ftid:"), feature))
@@ -292,7 +292,7 @@ def with_canonical_place_url(df: DataFrame, url: str, out: str) -> DataFrame:
     pairs = F.col(t + "pairs")
     own_query = F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
     kept = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), encode_pairs(pairs))).otherwise("")
-    without_view = F.regexp_replace(path, r"/@-?\d+(?:\.\d+)?,-?\d+(?:\.\d+)?(?:,[\d.]+[a-z]?)*", "")
+    without_view = F.regexp_replace(path, fv.MAP_VIEW_PATTERN, "")
     df = df.withColumn(
         out,
         F.when(F.col(url).isNull(), None)
@@ -335,12 +335,12 @@ def with_site_key(df: DataFrame, url: str, out: str, normal: str | None = None)
 # ------------------------------------------------------------------ F9: number inside a contact link
 def contact_link_digits(url: ColumnLike) -> Column:
     """Digits (8 or more) carried by a contact link."""
-    return blank_to_null(F.regexp_extract(text_or_empty(url), r"(?:wa\.me/|phone=)\+?(\d{8,})", 1))
+    return blank_to_null(F.regexp_extract(text_or_empty(url), fv.LINK_DIGITS_PATTERN, 1))
 
 
 def shown_link_digits(url: ColumnLike) -> Column:
     """Digits of a direct chat link, any length (the number shown next to a lead)."""
-    return blank_to_null(F.regexp_extract(text_or_empty(url), r"wa\.me/(\d+)", 1))
+    return blank_to_null(F.regexp_extract(text_or_empty(url), fv.SHOWN_DIGITS_PATTERN, 1))
 
 
 # ------------------------------------------------------------------ F31 and others
@@ -369,7 +369,7 @@ def with_link_print(df: DataFrame, url: str, out: str) -> DataFrame:
     df = df.withColumns({
         t + "number": number_key(contact_link_digits(target)),
         t + "short": F.lower(F.regexp_extract(
-            target, r"(?i)((?:wa\.link|walink\.co)/[^/?#\s]+|wa\.me/message/[^/?#\s]+)", 1)),
+            target, fv.SHORT_LINK_PRINT_PATTERN, 1)),
     })
     number, short = F.col(t + "number"), F.col(t + "short")
     is_contact = kind == fv.KIND_CONTACT
