@@ -18,6 +18,7 @@ from leadweave.functions.phones import contact_digits, with_contact_number
 from leadweave.functions.text import scan_variants
 from leadweave.functions.urls import with_joined
 from leadweave.operators.page_facts import in_any, spans
+from leadweave.operators.skew import hot_safe_lookup
 from leadweave.session import cut_lineage
 
 E = "elements"
@@ -350,7 +351,7 @@ def resolve_short_links(urls: DataFrame, redirects: DataFrame, url: str = "url",
 
 def shortlink_candidates(shortlinks: DataFrame, resolved: DataFrame, key: str = "page_id") -> DataFrame:
     """Mentions that resolved short links add; unresolved ones come out ignored and broken."""
-    joined = shortlinks.join(resolved, "url", "left")
+    joined = hot_safe_lookup(cut_lineage(shortlinks), resolved, ["url"])
     dead = joined.filter(F.col("final_url").isNull())
     live = joined.filter(F.col("final_url").isNotNull()).withColumn(
         "shown", F.concat("evidence", F.lit(" → "), "final_url")
@@ -385,4 +386,4 @@ def merge_candidates(candidates: DataFrame, site: str = "site_id") -> DataFrame:
 def broken_links(checked: DataFrame, checks: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """Links or images whose last check still fails: ``checks(url, attempt, reason)``, reason NULL when fine."""
     last = checks.groupBy(F.col("url").alias(url)).agg(F.max_by("reason", "attempt").alias("reason")).filter(F.col("reason").isNotNull())
-    return checked.select(key, url).distinct().join(last, url).select(key, url, "reason")
+    return hot_safe_lookup(cut_lineage(checked.select(key, url).distinct()), last, [url], "inner").select(key, url, "reason")

@@ -15,6 +15,7 @@ from leadweave.functions.expr import blank_to_null, exact_lookup
 from leadweave.functions.phones import number_key
 from leadweave.functions.urls import contact_link_digits, place_key, with_canonical_place_url, with_link_print, with_social
 from leadweave.operators.fusion import merge_maps
+from leadweave.operators.skew import lookup_known
 
 
 # ------------------------------------------------------------------ J4
@@ -22,23 +23,10 @@ def find_business(lookups: DataFrame, businesses: DataFrame, place: str = "place
     """Adds ``business_id``: match by place id; when missing or unmatched, by canonical URL."""
     by_place = businesses.filter(F.col("place_id").isNotNull()).groupBy(F.col("place_id").alias(place)).agg(F.min("id").alias("_by_place"))
     by_url = businesses.filter(F.col("google_maps_url").isNotNull()).groupBy(F.col("google_maps_url").alias(url)).agg(F.min("id").alias("_by_url"))
-    found = _join_known(_join_known(lookups, by_place, place), by_url, url)
+    found = lookup_known(lookup_known(lookups, by_place, place), by_url, url)
     return found.withColumn("business_id", F.coalesce("_by_place", "_by_url")).drop("_by_place", "_by_url")
 
 
-def _join_known(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Left join in which rows with a NULL key are dealt out evenly: each gets a salt of its own, which matches nothing.
-
-    A plain left join would send all rows without a key to one task.
-    """
-    columns = [c for c in lookup.columns if c != key]
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]), F.lit(100_003))).otherwise(-1)
-    right = lookup.select(F.col(key).cast("string").alias("_known_key"), F.lit(-1).cast("long").alias("_known_salt"), *columns)
-    salted = rows.withColumns({"_salt": salt.cast("long"), "_key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
-    match = (F.col("_key") == F.col("_known_key")) & (F.col("_salt") == F.col("_known_salt"))
-    return salted.join(right, match, "left").select(*rows.columns, *columns)
-
-
 # ------------------------------------------------------------------ U1
 def upsert_businesses(snapshot: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """New snapshot after a batch of partial businesses (NULL means not supplied).

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 from leadweave import fixed_values as fv
 from leadweave.functions.phones import pretty_number
 from leadweave.operators.identity import business_prints, print_rank
-from leadweave.operators.skew import hot_safe_lookup
+from leadweave.operators.skew import hot_safe_lookup, lookup_known
 from leadweave.session import cut_lineage
 
 RANK = "rank long"
@@ -39,7 +39,7 @@ def owner_of_prints(fingerprints: DataFrame, contacted: DataFrame, businesses: D
     stored = businesses.select(
         F.col("id").alias("business_id"), F.col("business_name").alias("_bname"), F.col("discarded_at").isNotNull().alias("_gone"), F.lit(True).alias("_b")
     )
-    owned = prints.join(people, "contacted_id", "left").join(stored, "business_id", "left")
+    owned = lookup_known(lookup_known(prints, people, "contacted_id"), stored, "business_id")
     row = F.struct(
         F.col("contacted_id").isNull().alias("late"), "id", "contacted_id", "business_id",
         F.coalesce(F.when(F.col("contacted_id").isNotNull(), F.col("_c")).otherwise(F.col("_b")), F.lit(False)).alias("has_owner"),
