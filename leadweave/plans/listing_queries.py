@@ -181,11 +181,19 @@ query("S12_evidence_documents", "site_id long, name string, findings long, visib
 query("S14_place_cards", "run_id long, listings long", "SELECT run_id, count(*) AS listings FROM {listings} GROUP BY 1")(lambda d: _cards(d))
 
 
-def _cards(d: Inputs) -> DataFrame:
+def _card_rows(d: Inputs) -> DataFrame:
     folder = work_folder(d.spark, "cards")
     d.listings.select("run_id", F.col("position").cast("int").alias("position"), F.lit("n").alias("name"), F.col("place").alias("url"), F.lit(True).alias("card_seen"),
                       F.lit(None).cast("string").alias("website"), F.lit(None).cast("string").alias("phone_e164")).write.parquet(folder)
-    return scans.place_cards(d.spark, folder).groupBy("run_id").agg(F.count("*").alias("listings"))
+    return scans.place_cards(d.spark, folder)
+
+
+def _cards(d: Inputs) -> DataFrame:
+    return _card_rows(d).groupBy("run_id").agg(F.count("*").alias("listings"))
+
+
+query("E3_card_rows", "run_id long, position long, name string, url string, card_seen boolean, website string", """SELECT run_id, position, 'n' AS name, place AS url, true AS card_seen,
+    NULL AS website FROM {listings}""")(_card_rows)
 
 
 query("P23_compact_facts", "page_id long, columns string", "SELECT page_id, 'page_id,title,enlaces_internos' AS columns FROM {html_pages}")(
