@@ -88,7 +88,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
 
     * Vectors that are null or empty or hold a null or non-finite component take no part, nor do rows
       without an id. Vectors of different lengths are searched apart, so only equal lengths meet.
-    * Ties go to the smaller id. A row is never its own result; rows that share its id aren't either.
+    * Ties go to the smaller id. A row is never its own result; rows that share its id aren't either,
+      and rows repeated in full count once.
     * With fewer than ``k`` candidates all are returned. An empty table gives an empty result.
     """
     rows = stage(quantized(vectors, is_query, id_col, vector_col, scale).withColumn("_size", F.size("_vec")), "vectors")

@@ -305,7 +305,7 @@ def test_bpe_tables(docs, rows, monkeypatch):
 # Top k -----------------------------------------------------------------------------------------------
 
 def brute_top(rows, k):
-    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    usable = dict.fromkeys((i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v))  # repeated rows count once
     out = []
     for i, q in usable:
         if i % 20 == 0:
