@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples are the positives; every other training text is unlabelled, whatever its
-label says, because a missing or zero label doesn't make a text clean. Numpy classifiers over word
+Texts with a confirmed toxic label are the positives, all of them; every other training text is
+unlabelled, whatever its label says, because a missing or zero label doesn't make a text clean. Numpy classifiers over word
 and word-beginning features minimise the risk that the class prior corrects: the part of the
 unlabelled risk that the positives explain is taken out, and never below zero.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.llm.common import Hidden, fold_of
+from leadweave.llm.common import Hidden, fold_of, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
@@ -81,6 +81,21 @@ def _hash_share(id_column: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(id_column, F.lit("sample")), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)
 
 
+def _maybe_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose id is not in ``ids`` (one column): a bit for each hash, 4 MB for any number of ids.
+
+    It only spares shuffling texts. Ids that share a bit pass, so an exact join has to follow.
+    """
+    kind = rows.schema[id_col].dataType
+    place = lambda c: F.pmod(F.xxhash64(c.cast(kind)), F.lit(1 << 25))
+    bits = ids.where(F.col(ids.columns[0]).isNotNull()).select(place(F.col(ids.columns[0])).alias("_place")).groupBy(
+        F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    at = F.bitmap_bit_position(place(F.col(id_col))).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(F.col(id_col))) == F.col("_bucket")).where(
+        F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*rows.columns)
+
+
 def _candidates(positive: DataFrame, least: int, most: int) -> list[str]:
     """Features of at least ``least`` positive documents, the most frequent first, ``most`` of them at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,30 +214,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     nothing = ToxicityModel([], np.full((1, 1), np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
     if not count["p"]:
         return nothing
-    chosen = known.where(F.col(label_col) == 1).where(_hash_share(F.col(id_col), min(1.0, options.max_positive / count["p"]))).select(
-        F.col(id_col).alias("_positive")).distinct()
-    # At most about max_positive ids: a bounded sample, small enough to be sent to all tasks.
-    train = docs.where(fold_of(F.col(id_col), folds) != held_out).select(id_col, F.col(text_col).cast("string").alias("_text")).join(
-        F.broadcast(chosen), F.col(id_col) == F.col("_positive"), "left")
-    positive, unlabelled = train.where("_positive IS NOT NULL").select("_text"), train.where("_positive IS NULL")
-    total = docs.where(fold_of(F.col(id_col), folds) != held_out).count()
-    candidates = _candidates(positive, max(2, count["p"] // 1000), options.max_candidates)
-    if not candidates or total <= 1:
+    # Texts of training rows with any confirmed toxic label. They alone are positive and nothing else is left out of the unlabelled pool.
+    train = docs.where(fold_of(F.col(id_col), folds) != held_out).select(id_col, F.col(text_col).cast("string").alias("_text"))
+    toxic = known.where(F.col(label_col) == 1).select(F.col(id_col).alias("_positive")).distinct()
+    labelled = known.select(F.col(id_col).alias("_labelled")).distinct()
+    confirmed = stage(_maybe_in(train, id_col, toxic).join(toxic, F.col(id_col) == F.col("_positive"), "left_semi"), "confirmed")
+    total, n_pos = train.count(), confirmed.count()
+    n_unl, n_known = total - n_pos, train.select(id_col).join(labelled, F.col(id_col) == F.col("_labelled"), "left_semi").count()
+    if not n_pos or not n_unl:
+        return nothing
+    positive = confirmed.where(_hash_share(F.col(id_col), min(1.0, options.max_positive / n_pos))).select("_text")
+    candidates = _candidates(positive, max(2, n_pos // 1000), options.max_candidates)
+    if not candidates:
         return nothing
-    pos_counts, unl_counts = _document_counts(positive, candidates), _document_counts(unlabelled.select("_text"), candidates)
-    n_pos, n_unl = max(1, min(count["p"], options.max_positive)), max(1, total - min(count["p"], options.max_positive))
+    pos_counts, all_counts = _document_counts(confirmed.select("_text"), candidates), _document_counts(train.select("_text"), candidates)
+    unl_counts = {f: n - pos_counts.get(f, 0) for f, n in all_counts.items()}
     odds = {f: np.log((pos_counts.get(f, 0) + 0.5) / (n_pos + 1)) - np.log((unl_counts.get(f, 0) + 0.5) / (n_unl + 1)) for f in candidates}
     # Strength of evidence: log odds in units of their standard error.
     strength = {f: odds[f] / np.sqrt(1 / (pos_counts.get(f, 0) + 0.5) + 1 / (unl_counts.get(f, 0) + 0.5)) for f in candidates}
     features = sorted((f for f in candidates if odds[f] >= options.min_log_odds and strength[f] >= options.min_strength), key=lambda f: (-strength[f], f))[: options.max_features]
     if not features:
         return nothing
-    sample = unlabelled.where(_hash_share(F.col(id_col), min(1.0, options.max_unlabelled / max(1, total)))).select("_text")
+    # Confirmed ids of the same share of hashes: no more of them than rows in the sample, so they can be sent to all tasks.
+    in_sample = _hash_share(F.col(id_col), min(1.0, options.max_unlabelled / total))
+    sampled_toxic = confirmed.where(in_sample).select(F.col(id_col).alias("_positive")).distinct()
+    sample = train.where(in_sample).join(F.broadcast(sampled_toxic), F.col(id_col) == F.col("_positive"), "left_anti").select("_text")
     pos_rows, unl_rows = _vectors(positive, features), _vectors(sample, features)
     if len(pos_rows[0]) < 2 or len(unl_rows[0]) < 2:
         return nothing
     # The prior of the unlabelled pool: confirmed positives are outside it, unlabelled ones at their usual share inside.
-    prior = min(max(share * max(0, total - count["n"]) / max(1, total - count["p"]), 1e-3), 0.999)
+    prior = min(max(n_pos / n_known * (total - n_known) / n_unl, 1e-3), 0.999)
     fitted = [fit_pu(pos_rows, unl_rows, prior, len(features), options, options.seed + k) for k in range(options.classifiers)]
     return ToxicityModel(features, np.array([np.r_[w, b] for w, b in fitted]))
 

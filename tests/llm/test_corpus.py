@@ -259,6 +259,22 @@ def test_toxicity_held_out(toxic_tables):
     assert again.features == model.features and np.allclose(again.weights, model.weights)
 
 
+def test_toxicity_pool_has_no_confirmed_text(toxic_tables, monkeypatch):
+    """However few positives the fit reads, no confirmed one is in the unlabelled pool, and the prior is of the rows counted."""
+    docs, labels, truth = toxic_tables
+    fits, fit_pu = [], toxicity.fit_pu
+    monkeypatch.setattr(toxicity, "fit_pu", lambda *a: fits.append(a) or fit_pu(*a))
+    more = labels.unionByName(labels.where("toxic = 1")).unionByName(labels.sparkSession.createDataFrame([(90_000, 1, 1)], labels.schema))
+    toxicity.fit_toxicity(docs, more, options=toxicity.FitOptions(max_positive=30, classifiers=1))
+    train = [k for k in [*truth, 5000, 5001, ""] if crc32(str(k).encode()) % 3 != 1]
+    known = [k for k in train if k in truth and k % 2 == 0]
+    toxic = [k for k in known if truth[k]]
+    positive, unlabelled, prior = fits[0][:3]
+    assert len(positive[0]) - 1 < 50 < len(toxic)
+    assert len(unlabelled[0]) - 1 == len(train) - len(toxic)
+    assert prior == pytest.approx(len(toxic) / len(known) * (len(train) - len(known)) / (len(train) - len(toxic)))
+
+
 def test_toxicity_without_labels_and_clashing(spark, docs, clashing, toxic_tables):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs, none)
