@@ -96,8 +96,8 @@ def _maybe_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
         F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*rows.columns)
 
 
-def _candidates(positive: DataFrame, least: int, most: int) -> list[str]:
-    """Features of at least ``least`` positive documents, the most frequent first, ``most`` of them at most."""
+def _candidates(positive: DataFrame, least: int, most: int) -> dict[str, int]:
+    """Features of at least ``least`` positive documents with their number, the most frequent first, ``most`` of them at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
@@ -109,7 +109,7 @@ def _candidates(positive: DataFrame, least: int, most: int) -> list[str]:
         yield _counted(found, "n")
 
     counts = positive.mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return [r["feature"] for r in counts.orderBy(F.desc("n"), "feature").limit(most).collect()]
+    return {r["feature"]: r["n"] for r in counts.orderBy(F.desc("n"), "feature").limit(most).collect()}
 
 
 def _counted(found: Counter, name: str) -> pa.RecordBatch:
@@ -223,18 +223,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     n_unl, n_known = total - n_pos, train.select(id_col).join(labelled, F.col(id_col) == F.col("_labelled"), "left_semi").count()
     if not n_pos or not n_unl:
         return nothing
-    positive = confirmed.where(_hash_share(F.col(id_col), min(1.0, options.max_positive / n_pos))).select("_text")
-    candidates = _candidates(positive, max(2, n_pos // 1000), options.max_candidates)
-    if not candidates:
+    # The threshold is a share of the rows that are counted: all confirmed ones.
+    pos_counts = _candidates(confirmed.select("_text"), max(2, n_pos // 1000), options.max_candidates)
+    if not pos_counts:
         return nothing
-    pos_counts, all_counts = _document_counts(confirmed.select("_text"), candidates), _document_counts(train.select("_text"), candidates)
-    unl_counts = {f: n - pos_counts.get(f, 0) for f, n in all_counts.items()}
-    odds = {f: np.log((pos_counts.get(f, 0) + 0.5) / (n_pos + 1)) - np.log((unl_counts.get(f, 0) + 0.5) / (n_unl + 1)) for f in candidates}
+    all_counts = _document_counts(train.select("_text"), list(pos_counts))
+    unl_counts = {f: all_counts.get(f, 0) - n for f, n in pos_counts.items()}
+    odds = {f: np.log((n + 0.5) / (n_pos + 1)) - np.log((unl_counts[f] + 0.5) / (n_unl + 1)) for f, n in pos_counts.items()}
     # Strength of evidence: log odds in units of their standard error.
-    strength = {f: odds[f] / np.sqrt(1 / (pos_counts.get(f, 0) + 0.5) + 1 / (unl_counts.get(f, 0) + 0.5)) for f in candidates}
-    features = sorted((f for f in candidates if odds[f] >= options.min_log_odds and strength[f] >= options.min_strength), key=lambda f: (-strength[f], f))[: options.max_features]
+    strength = {f: odds[f] / np.sqrt(1 / (n + 0.5) + 1 / (unl_counts[f] + 0.5)) for f, n in pos_counts.items()}
+    features = sorted((f for f in pos_counts if odds[f] >= options.min_log_odds and strength[f] >= options.min_strength), key=lambda f: (-strength[f], f))[: options.max_features]
     if not features:
         return nothing
+    positive = confirmed.where(_hash_share(F.col(id_col), min(1.0, options.max_positive / n_pos))).select("_text")
     # Confirmed ids of the same share of hashes: no more of them than rows in the sample, so they can be sent to all tasks.
     in_sample = _hash_share(F.col(id_col), min(1.0, options.max_unlabelled / total))
     sampled_toxic = confirmed.where(in_sample).select(F.col(id_col).alias("_positive")).distinct()

@@ -275,6 +275,12 @@ def test_toxicity_pool_has_no_confirmed_text(toxic_tables, monkeypatch):
     assert prior == pytest.approx(len(toxic) / len(known) * (len(train) - len(known)) / (len(train) - len(toxic)))
 
 
+def test_toxicity_features_come_from_all_confirmed_texts(toxic_tables):
+    """A small fit sample loses no rare toxic word."""
+    few, all_rows = (toxicity.fit_toxicity(*toxic_tables[:2], options=toxicity.FitOptions(max_positive=n, classifiers=1, steps=5)) for n in (3, 20_000))
+    assert few.features == all_rows.features and {"=meanword", "=vilstema", "=vilstemden"} <= set(few.features)
+
+
 def test_toxicity_without_labels_and_clashing(spark, docs, clashing, toxic_tables):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs, none)
