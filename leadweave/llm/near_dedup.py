@@ -20,7 +20,9 @@ shingle is one shingle; a text without words has an empty set and is linked with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +33,32 @@ from pyspark.sql import functions as F
 from leadweave.llm.common import Hidden, lower_words, stage
 
 SHINGLE_WORDS = 5
-#: At a similarity of 0.85 no band is shared about once in 80,000 pairs, at 0.9 once in 80 million.
-BANDS, BAND_ROWS = 24, 6
-#: A pair whose signatures agree in a smaller share is not confirmed on full sets. At a true
-#: similarity of 0.85 and 144 minima the share is below 0.70 less than once in a million pairs.
-SIGNATURE_SHARE = 0.70
+#: A pair just similar enough shares no band at most so often, and its signatures agree in too few minima at most so often.
+BAND_MISS, SIGNATURE_MISS = 1 / 80_000, 2e-6
+#: Minima of a signature: at most so many, as long as bands of one row do.
+MOST_MINIMA = 150
 BLOCK = 768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _WORD_CACHE = 300_000
 
 
+@lru_cache(maxsize=None)
+def candidate_settings(percent: int) -> tuple[int, int, int]:
+    """Bands, rows of a band and least number of equal minima for pairs of at least ``percent``.
+
+    The longest bands that keep both bounds at exactly this similarity: 24 bands of 6 and 101 of 144
+    equal minima at 85, 29 bands of 5 and 92 of 145 at 80.
+    """
+    p = min(max(percent / 100, 0.01), 0.99)
+    fits = [(math.ceil(math.log(BAND_MISS) / math.log1p(-(p**rows))), rows) for rows in range(1, MOST_MINIMA + 1)]
+    bands, rows = [f for f in fits if f[1] == 1 or f[0] * f[1] <= MOST_MINIMA][-1]
+    minima, below, least = bands * rows, 0.0, 0
+    while (below := below + math.comb(minima, least) * p**least * (1 - p) ** (minima - least)) <= SIGNATURE_MISS:
+        least += 1
+    return bands, rows, least
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, kept for words seen before; emptied when it grows too large."""
 
@@ -87,10 +104,12 @@ def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) ->
     return best
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, percent: int = 85) -> DataFrame:
     """``_id, n_shingles, _set`` (hash of the set; null if empty), ``_sig`` and ``_bands``."""
+    count, rows, _ = candidate_settings(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, functions = WordHashes(), hash_functions(BANDS * BAND_ROWS)
+        words, functions = WordHashes(), hash_functions(count * rows)
         for batch in batches:
             sizes, sets, sigs, bands = [], [], [], []
             for text in batch.column(1):
@@ -102,7 +121,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = signature(shingles, functions)
                 sets.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 sigs.append(own.tobytes())
-                bands.append([xxhash.xxh64_intdigest(own[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)])
+                bands.append([xxhash.xxh64_intdigest(own[k * rows : (k + 1) * rows].tobytes(), k) - (1 << 63) for k in range(count)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["_id", "n_shingles", "_set", "_sig", "_bands"])
@@ -140,16 +159,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
 
 def similar_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in ``SIGNATURE_SHARE`` of all minima."""
+    """The pairs whose signatures agree in at least ``_least`` minima, a column of ``sigs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
-                keep = pa.array(np.flatnonzero((a == b).mean(axis=1) >= SIGNATURE_SHARE), pa.int64())
+                keep = pa.array(np.flatnonzero((a == b).sum(axis=1) >= batch.column(4).to_numpy()), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    one, two = sigs.select(F.col("_id").alias("a"), F.col("_sig").alias("_sig_a")), sigs.select(F.col("_id").alias("b"), F.col("_sig").alias("_sig_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "_sig_a", "_sig_b").mapInArrow(run, "a long, b long")
+    one, two = sigs.select(F.col("_id").alias("a"), F.col("_sig").alias("_sig_a"), "_least"), sigs.select(F.col("_id").alias("b"), F.col("_sig").alias("_sig_b"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "_sig_a", "_sig_b", "_least").mapInArrow(run, "a long, b long")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -197,12 +216,12 @@ class _Side:
 
 def _likely(left: _Side, k: int, right: _Side, band: int, percent: int) -> np.ndarray:
     """Members of ``right`` in other components than left member ``k`` whose first shared band is ``band`` and whose signature agrees."""
-    own = left.size[k]
+    own, (count, rows, least) = left.size[k], candidate_settings(percent)
     other = np.flatnonzero((100 * np.minimum(right.size, own) >= percent * np.maximum(right.size, own)) & (right.component != left.component[k]))
     if len(other):
         equal = right.sig[other] == left.sig[k]
-        bands = equal.reshape(len(other), BANDS, BAND_ROWS).all(axis=2)
-        other = other[(equal.mean(axis=1) >= SIGNATURE_SHARE) & (bands.argmax(axis=1) == band)]
+        bands = equal.reshape(len(other), count, rows).all(axis=2)
+        other = other[(equal.sum(axis=1) >= least) & (bands.argmax(axis=1) == band)]
     return other
 
 
@@ -291,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * Rows with a null id are never linked: their component is null and they are kept.
     * An empty table gives an empty result.
     """
-    sigs = stage(signatures(docs, id_col, text_col), "signatures")
+    sigs = stage(signatures(docs, id_col, text_col, percent), "signatures")
     usable = sigs.where("_id IS NOT NULL AND _set IS NOT NULL")
     classes = usable.groupBy("_set").agg(F.min("_id").alias("rep"), F.count("*").alias("_n"))
     members = stage(usable.select("_id", "_set").join(classes, "_set").select("_id", "rep", "_n"), "members")
@@ -303,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = stage(banded.join(shared, ["_k", "_band"]), "bands")
 
     first = full.where("_id != _pivot").select(F.least("_pivot", "_id").alias("a"), F.greatest("_pivot", "_id").alias("b")).distinct()
-    small = reps.select("_id", "_sig")
+    small = reps.select("_id", "_sig", F.lit(candidate_settings(percent)[2]).alias("_least"))
     links = stage(confirmed(similar_signatures(first, small), docs, id_col, text_col, percent).unionByName(same_id), "links")
     found = connected_components(links)
 

@@ -142,6 +142,19 @@ def test_block_search_links_what_pivots_miss(spark, monkeypatch):
     assert plain(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_near(rows, 85)
 
 
+def test_near_copy_stage_links_at_80_percent(spark):
+    """Pairs from 0.80 up to 0.85 lose a copy in the pipeline's stage; the settings follow from the percentage."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        base = sentence(rng, 104).split()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:30], f"one{k}", *base[31:60], f"two{k}", *base[61:]]))]
+    assert len(brute_near(rows, 85)) == 80 and all(r[3] for r in brute_near(rows, 85))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()} == {i for i, _, _, kept in brute_near(rows, 80) if kept} == set(range(0, 80, 2))
+    assert near_dedup.candidate_settings(85) == (24, 6, 101) and near_dedup.candidate_settings(80)[:2] == (29, 5)
+
+
 def test_near_duplicates_empty_and_clashing(spark, docs, clashing):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
     left = near_dedup.drop_near_duplicates(clashing)
