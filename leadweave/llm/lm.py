@@ -5,8 +5,8 @@ come from the counted words. They fix what the model predicts: each frequent sub
 own and the others share classes by frequency, so P(id) = P(class | context) * P(id | class, id before).
 The attention model gives the first factor and the corpus counts the second.
 
-The model is trained in numpy by federated averaging: every training text gives the same share of
-its word blocks, each task takes optimiser steps over its own blocks, and the weights are averaged
+The model is trained in numpy by federated averaging: every training text is read whole in the
+windows of scoring, each task takes optimiser steps over its own windows, and the weights are averaged
 in two levels. Scoring cuts a text into overlapping windows; each subword is predicted once, with
 at least ``LEAD`` subwords of context where the text has them, by batched masked attention.
 """
@@ -19,7 +19,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,10 @@ WIDTH, CLASSES, OWN_CLASSES = 16, 64, 48
 OWN_ROWS, SHARED_ROWS = 4096, 1024
 #: Words whose counts every task holds: at most so many, none longer than so many bytes. All other words are joined.
 HOT_WORDS, HOT_BYTES = 1 << 17, 64
-#: Every training text gives one in SHARE of its blocks of BLOCK_WORDS words to the model's training.
-SHARE, BLOCK_WORDS, ROUNDS, BATCH = 16, 12, 2, 128
+#: Rounds of federated averaging; each reads its own part of the training texts, so one pass covers all of them.
+ROUNDS, BATCH = 2, 128
+#: Windows that a task trains on at once.
+PART_WINDOWS = 8192
 #: Groups of the id before, by frequency; the weight of P(id | class) where an id and its group are rare together.
 GROUPS, SMOOTH = 128, 10.0
 _CACHE = 250_000
@@ -272,11 +273,13 @@ def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def gradients(model: Model, rows: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss and gradients for windows of input rows and target classes (-1 where there is none)."""
+    """Mean loss and gradients for windows of input rows and target classes (-1 where there is none; such inputs are in no softmax)."""
     scale = np.float32(WIDTH**-0.5)
+    away = np.where(rows < 0, -1e4, 0).astype(np.float32)[:, None, :]
+    rows = np.maximum(rows, 0)
     x = model.embed[rows] + model.place
     q, k, v = x @ model.query * scale, x @ model.key, x @ model.value
-    score = q @ k.transpose(0, 2, 1) + _causal(0)
+    score = q @ k.transpose(0, 2, 1) + _causal(0) + away
     score -= score.max(axis=2, keepdims=True)
     att = np.exp(score)
     att /= att.sum(axis=2, keepdims=True)
@@ -391,35 +394,26 @@ def pair_counts(vocabulary: DataFrame, counts: np.ndarray, path: str, pattern: s
     return pairs
 
 
-def training_windows(train: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``ids`` (WINDOW + 1 of them, -1 where the block ends early): one in SHARE of every text's word blocks.
+def text_windows(ids: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Input and target ids of the windows of scoring, at most PART_WINDOWS at once; every id of the text is a target once.
 
-    Which block of a text comes first follows from its bytes. The id before a block is its first context.
+    -1 stands where there is none: inputs before and after a text, targets there and in the lead of a window.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path, pattern)
-        for batch in batches:
-            out = []
-            for text in batch.column(0):
-                words = lower_words(text.as_py())
-                count = len(words) // BLOCK_WORDS + 1
-                for block in range(crc32(text.as_py() or b"") % SHARE, count, SHARE):
-                    begin = block * BLOCK_WORDS
-                    before = np.frombuffer(subwords[words[begin - 1]][-4:], np.int32)[0] if begin else subwords.end
-                    ids = subwords.ids(words[begin : begin + BLOCK_WORDS])
-                    ids = ids[:-1] if begin + BLOCK_WORDS <= len(words) else ids
-                    line = np.full(WINDOW + 1, -1, np.int32)
-                    line[0] = before
-                    line[1 : 1 + min(WINDOW, len(ids))] = ids[:WINDOW]
-                    out.append(line.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
-
-    return train.mapInArrow(run, "ids binary")
-
-
-def train_model(windows: DataFrame, classes: Classes, rate: float = 0.01) -> Model:
-    """Federated averaging over the tasks of ``windows``; averages of averages, so that few models reach the driver."""
-    spark = windows.sparkSession
+    before, count = np.append(np.int32(end), ids[:-1]), -(-len(ids) // STRIDE)
+    for part in range(0, count, PART_WINDOWS):
+        begin, stop = part * STRIDE, min(len(ids), (part + PART_WINDOWS) * STRIDE)
+        lead, size = min(LEAD, begin), LEAD - (begin - stop) // STRIDE * STRIDE
+        inputs, targets = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        inputs[LEAD - lead : LEAD + stop - begin] = before[begin - lead : stop]
+        targets[LEAD : LEAD + stop - begin] = ids[begin:stop]
+        rows, target = (np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::STRIDE].copy() for line in (inputs, targets))
+        target[:, :LEAD] = -1
+        yield rows, target
+
+
+def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rate: float = 0.01) -> Model:
+    """Federated averaging over the tasks of ``texts`` (one column of bytes), whole texts, each in one round; averages of averages, so that few models reach the driver."""
+    spark = texts.sparkSession
     model = new_model(classes.prior)
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model, replace(classes, inside=None)))
@@ -428,15 +422,22 @@ def train_model(windows: DataFrame, classes: Classes, rate: float = 0.01) -> Mod
             from pyspark import TaskContext
 
             model, classes = shared.value
-            number, seen = TaskContext.get().partitionId(), 0
+            subwords = Subwords(path, pattern)
+            number, seen, held, count = TaskContext.get().partitionId(), 0, [], 0
+
+            def trained() -> Model:
+                ids, wanted = (np.concatenate(parts) for parts in zip(*held, strict=True))
+                return train_locally(model, np.where(ids >= 0, classes.row[ids], -1), np.where(wanted >= 0, classes.of[wanted], -1), rate / (turn + 1), 1000 * turn + number)
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32).reshape(batch.num_rows, -1)
-                rows = np.where(ids[:, :-1] >= 0, classes.row[ids[:, :-1]], 0)
-                target = np.where(ids[:, 1:] >= 0, classes.of[ids[:, 1:]], -1)
-                model = train_locally(model, rows, target, rate / (turn + 1), 1000 * turn + number)
-                seen += len(rows)
+                for text in batch.column(0):
+                    for part in text_windows(subwords.ids(lower_words(text.as_py())), subwords.end):
+                        held.append(part)
+                        count += len(part[0])
+                        if count >= PART_WINDOWS:
+                            model, seen, held, count = trained(), seen + count, [], 0
+            if count:
+                model, seen = trained(), seen + count
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([number % 16], pa.int32()), pa.array([float(seen)]), pa.array([model.pack()], pa.binary())], ["part", "weight", "model"])
 
@@ -450,9 +451,10 @@ def train_model(windows: DataFrame, classes: Classes, rate: float = 0.01) -> Mod
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["part", "weight", "model"])
 
         kind = "part int, weight double, model binary"
-        parts = windows.mapInArrow(run, kind).repartition(16, "part").mapInArrow(average, kind).collect()
+        own = texts.where(F.pmod(F.xxhash64("_text", F.lit("round")), F.lit(ROUNDS)) == turn)
+        parts = own.mapInArrow(run, kind).repartition(16, "part").mapInArrow(average, kind).collect()
         if not parts:
-            break
+            continue
         total = sum(r["weight"] for r in parts)
         model = Model.unpack(sum(np.frombuffer(r["model"], np.float32) * (r["weight"] / total) for r in parts))
     return model
@@ -466,7 +468,7 @@ def fit_language_model(train: DataFrame, path: str, pattern: str, text_col: str
     row = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     counts = subword_counts(vocabulary, ends, path, pattern)
     classes = make_classes(counts, Subwords(path, pattern).begins_word(), pair_counts(vocabulary, counts, path, pattern))
-    model = train_model(stage(training_windows(texts, path, pattern), "windows"), classes)
+    model = train_model(texts, classes, path, pattern)
     return LanguageModel(classes, model, vocabulary, row["n"] + ends, row["v"] + (ends > 0), ends, path, pattern)
 
 

@@ -496,6 +496,22 @@ def test_windows_score_each_token_once_and_sum_to_one():
         assert np.allclose(np.bincount(classes.of, np.exp(classes.inside[:, column]), minlength=lm.CLASSES)[np.unique(classes.of)], 1, atol=1e-4)
 
 
+def test_training_windows_hold_every_id_once(spark, monkeypatch):
+    """Short texts, texts of one long word and texts over several parts: each id is a target once, after the id before it."""
+    monkeypatch.setattr(lm, "PART_WINDOWS", 2)
+    for n in (1, 5, 24, 25, 48, 49, 500):
+        ids = np.arange(n, dtype=np.int32)
+        parts = list(lm.text_windows(ids, 999))
+        rows, target = (np.concatenate(p) for p in zip(*parts))
+        assert target[target >= 0].tolist() == ids.tolist() and all(len(p[0]) <= 2 for p in parts)
+        assert rows[target >= 0].tolist() == [999, *range(n - 1)]
+    texts = ["short", "two words", "x" * 900, None, sentence(random.Random(4), 700)]
+    model = lm.fit_language_model(spark.createDataFrame([(t,) for t in texts], "text string"), BYTE_BPE, public_tokenizers.PATTERN)
+    subwords = lm.Subwords(BYTE_BPE, public_tokenizers.PATTERN)
+    assert model.ends == 5 and sum(len(subwords.ids(lower_words((t or "").encode()))) for t in texts) > 500
+    assert not np.allclose(model.model.embed, lm.new_model(model.classes.prior).embed)
+
+
 def test_gradients_and_training():
     classes, rng = small_classes(), np.random.default_rng(2)
     model = lm.new_model(classes.prior)
