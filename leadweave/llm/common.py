@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,25 @@ class Hidden:
         return [F.col(f"`{n}`").alias(c) for c, n in self.names.items()]
 
 
+def presence_bits(places: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each number of the only column of ``places`` (0 to 2**bits - 1): 2**bits / 8 bytes, whatever the rows.
+
+    Read a bit with ``has_bit``. Different things may share a place, so a set bit says "maybe" and a clear one "no".
+    """
+    place = F.col(places.columns[0])
+    parts = places.where(place.isNotNull()).groupBy(F.shiftright(place, 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("part")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in parts:
+        part = np.frombuffer(row["part"], np.uint8)[: len(out)]
+        out[row["bucket"] * 4096 : row["bucket"] * 4096 + len(part)] = part
+    return out
+
+
+def has_bit(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and a lost executor never replays it."""
     spark = df.sparkSession
