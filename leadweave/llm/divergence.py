@@ -14,12 +14,12 @@ its size doesn't depend on the corpus, and no term ever pairs the sources that u
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,50 +27,113 @@ from pyspark.sql import functions as F
 from leadweave.llm.common import has_bit, presence_bits, stage
 
 #: Bytes of the prefixes of each level; after the last one each level is four times as long as the one before.
-LEVELS = (2, 4, 8, 16)
+LEVELS = (4, 12, 32)
 BITS = 26
 #: Kept terms of a block and sources of a tile when sources are compared.
 BLOCK_TERMS, TILE = 2048, 256
 END = b" "
-_COUNTER = 300_000
+#: Text that a task takes apart at once, and counts that it adds up before it hands them on.
+PART_BYTES, MOST_SUMS = 8 << 20, 4_000_000
 #: Letters A-Z lowered, other ASCII to a space; bytes of other characters stay.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 SCALE = 1_000_000_000
 
 
-def letter_terms(text: bytes | None) -> list[bytes]:
-    """Runs of letters and of characters beyond ASCII in a UTF-8 text, with A-Z lowered."""
-    return text.translate(LETTERS).split() if text else []
-
-
-def _places(prefixes: list[bytes], lang: bytes) -> np.ndarray:
+def _places(langs: list[bytes], prefixes: list[bytes]) -> np.ndarray:
     """The bit of each prefix: the first bits of the 64-bit hash that the table side computes by column function."""
-    lang += b"\0"
-    return np.fromiter((xxhash.xxh64_intdigest(lang + p, 42) for p in prefixes), np.uint64, len(prefixes)) >> np.uint64(64 - BITS)
+    found = (xxhash.xxh64_intdigest(lang + b"\0" + p, 42) for lang, p in zip(langs, prefixes, strict=True))
+    return np.fromiter(found, np.uint64, len(prefixes)) >> np.uint64(64 - BITS)
 
 
 def _place(prefix: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), prefix)), 64 - BITS)
 
 
-class Extensions(dict):
-    """Term to the prefix that a level counts for it (None: its shorter prefix was discarded, or ended before). Emptied when too large."""
-
-    def __init__(self, lang: bytes, before: int, length: int | None, bits: np.ndarray | None):
-        super().__init__()
-        self.lang, self.before, self.length, self.bits = lang, before, length, bits
-
-    def learn(self, terms: set[bytes]) -> None:
-        new = [t for t in terms if t not in self]
-        if len(self) > _COUNTER:
-            self.clear()
-            new = list(terms)
-        whole = [t + END for t in new]
-        if self.bits is None:
-            self.update((t, w[: self.length]) for t, w in zip(new, whole, strict=True))
-            return
-        going = has_bit(self.bits, _places([w[: self.before] for w in whole], self.lang)) if new else []
-        self.update((t, w[: self.length] if go and len(w) > self.before else None) for t, w, go in zip(new, whole, going, strict=True))
+class Terms:
+    """All terms of some texts as positions in one buffer, and codes for their prefixes without a Python object a term."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buffer = END.join(texts).translate(LETTERS) + END * 9
+        letters = np.frombuffer(self.buffer, np.uint8)
+        bounds = np.flatnonzero(np.diff(np.r_[False, letters != 32].view(np.int8)))
+        self.start, self.length = bounds[::2], bounds[1::2] - bounds[::2]
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        self.doc = np.searchsorted(begins, self.start, "right") - 1
+        # Eight bytes from every position on, as one number.
+        self.eight = np.lib.stride_tricks.as_strided(np.frombuffer(self.buffer, "<u8", 1), (len(letters) - 8,), (1,))
+
+    def codes(self, own: np.ndarray, groups: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each of the terms ``own``, the same exactly for the same group and prefix of at most ``limit`` bytes, end byte included; and one term for each number."""
+        sizes = self.length[own] + 1 if limit is None else np.minimum(self.length[own] + 1, limit)
+        code, used = groups.astype(np.int64), int(groups.max(initial=-1)) + 1
+        going, at = np.arange(len(own)), 0
+        while len(going):
+            part = self.eight[self.start[own[going]] + at]
+            left = np.minimum(sizes[going] - at, 8).astype(np.uint64)
+            part = part << (np.uint64(64) - left * np.uint64(8))
+            chunk, values = pd.factorize(part)
+            pair, found = pd.factorize(code[going] * len(values) + chunk)
+            code[going] = used + pair
+            used += len(found)
+            at += 8
+            going = going[sizes[going] > at]
+        code, values = pd.factorize(code)
+        some = np.empty(len(values), np.int64)
+        some[code[::-1]] = own[::-1]
+        return code, some
+
+    def prefixes(self, some: np.ndarray, limit: int | None) -> list[bytes]:
+        """The prefixes of some terms, end byte included where they reach it."""
+        sizes = self.length[some] + 1 if limit is None else np.minimum(self.length[some] + 1, limit)
+        return [self.buffer[s:e] for s, e in zip(self.start[some].tolist(), (self.start[some] + sizes).tolist(), strict=True)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``PART_BYTES`` of text; a longer text is a part of its own."""
+    for batch in batches:
+        begin, size = 0, 0
+        for row, length in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+            if size and size + length > PART_BYTES:
+                yield batch.slice(begin, row - begin)
+                begin, size = row, 0
+            size += length
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
+class Sums:
+    """Counts by (group, bytes), added up over a task's parts and handed on when there are too many."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.groups, self.words, self.held, self.rows = names, {}, {}, [], 0
+
+    def add(self, groups: list[tuple], words: list[bytes], group: np.ndarray, word: np.ndarray, counts: np.ndarray) -> None:
+        """``group`` and ``word`` are positions in the two lists."""
+        of_group = np.array([self.groups.setdefault(g, len(self.groups)) for g in groups], np.int64)
+        of_word = np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int64)
+        self.held.append((of_word[word] << 24 | of_group[group], counts))
+        self.rows += len(counts)
+        if self.rows > MOST_SUMS:
+            self._merge()
+
+    def _merge(self) -> None:
+        if self.held:
+            keys, counts = (np.concatenate(p) for p in zip(*self.held, strict=True))
+            at, keys = pd.factorize(keys)
+            self.held, self.rows = [(keys, np.bincount(at, counts, len(keys)).astype(np.int64))], len(keys)
+
+    @property
+    def full(self) -> bool:
+        return self.rows > MOST_SUMS // 2 and len(self.held) == 1 or len(self.groups) > 1 << 20
+
+    def take(self) -> pa.RecordBatch:
+        self._merge()
+        keys, counts = self.held[0] if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        group, word = pa.array(keys & 0xFFFFFF), pa.array(keys >> 24)
+        columns = [pa.array([g[i] for g in self.groups], pa.string()).take(group) for i in range(len(self.names) - 2)]
+        batch = pa.RecordBatch.from_arrays([*columns, pa.array(list(self.words), pa.binary()).take(word), pa.array(counts)], self.names)
+        self.__init__(self.names)
+        return batch
 
 
 def _level(texts: DataFrame, before: int, length: int, bits: np.ndarray | None) -> DataFrame:
@@ -78,34 +141,24 @@ def _level(texts: DataFrame, before: int, length: int, bits: np.ndarray | None)
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-        known: dict[str, Extensions] = {}
-        held = 0
-
-        def batch_of() -> pa.RecordBatch:
-            sizes = [len(c) for c in found.values()]
-            langs = pa.array(list(found), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            return pa.RecordBatch.from_arrays(
-                [langs, pa.array([p for c in found.values() for p in c], pa.binary()), pa.array([n for c in found.values() for n in c.values()], pa.int64())], ["lang", "prefix", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                terms = set(letter_terms(text.as_py()))
-                if lang not in known:
-                    if len(known) >= 64:
-                        known.clear()
-                    known[lang] = Extensions(lang.encode(), before, length, shared.value)
-                own, counter = known[lang], found.setdefault(lang, Counter())
-                own.learn(terms)
-                prefixes = set(map(own.__getitem__, terms))
-                prefixes.discard(None)
-                held -= len(counter)
-                counter.update(prefixes)
-                held += len(counter)
-                if held > _COUNTER:
-                    yield batch_of()
-                    found, held = {}, 0
-        yield batch_of()
+        sums, bits = Sums(["lang", "prefix", "n"]), shared.value
+        for part in _parts(batches):
+            terms = Terms(part.column(2).to_pylist())
+            of_doc, langs = pd.factorize(part.column(0).to_numpy(zero_copy_only=False))
+            own = np.arange(len(terms.start))
+            if bits is not None:
+                own = own[terms.length >= before]
+                code, some = terms.codes(own, of_doc[terms.doc[own]], before)
+                open_ones = has_bit(bits, _places([langs[i].encode() for i in of_doc[terms.doc[some]]], terms.prefixes(some, before)))
+                own = own[open_ones[code]]
+            if not len(own):
+                continue
+            code, some = terms.codes(own, of_doc[terms.doc[own]], length)
+            each = pd.unique(terms.doc[own] * len(some) + code) % len(some)  # once a document
+            sums.add([(g,) for g in langs], terms.prefixes(some, length), of_doc[terms.doc[some]], np.arange(len(some)), np.bincount(each, minlength=len(some)))
+            if sums.full:
+                yield sums.take()
+        yield sums.take()
 
     return texts.mapInArrow(run, "lang string, prefix binary, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
 
@@ -126,38 +179,28 @@ def kept_terms(texts: DataFrame, least: int) -> DataFrame:
 
 def term_counts(texts: DataFrame, kept: DataFrame) -> DataFrame:
     """``lang, source, term, c``: occurrences of the kept terms in each group that has any."""
-    shared = texts.sparkSession.sparkContext.broadcast(presence_bits(kept.select(_place(F.col("term"))), BITS))
+    shared = texts.sparkSession.sparkContext.broadcast(presence_bits(kept.select(_place(F.concat("term", F.lit(END)))), BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], Counter] = {}
-        known: dict[str, dict[bytes, bool]] = {}
-        held = 0
-
-        def batch_of() -> pa.RecordBatch:
-            sizes, groups = [len(c) for c in found.values()], list(found)
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in groups], pa.string()).take(at), pa.array([g[1] for g in groups], pa.string()).take(at),
-                 pa.array([t for c in found.values() for t in c], pa.binary()), pa.array([n for c in found.values() for n in c.values()], pa.int64())], ["lang", "source", "term", "c"])
-
-        for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                counts = Counter(letter_terms(text.as_py()))
-                passes = known.setdefault(lang, {})
-                if len(passes) > _COUNTER or len(known) > 64:
-                    known.clear()
-                    passes = known.setdefault(lang, {})
-                new = [t for t in counts if t not in passes]
-                if new:
-                    passes.update(zip(new, has_bit(shared.value, _places(new, lang.encode())).tolist(), strict=True))
-                counter = found.setdefault((lang, source), Counter())
-                held -= len(counter)
-                counter.update({t: n for t, n in counts.items() if passes[t]})
-                held += len(counter)
-                if held > _COUNTER:
-                    yield batch_of()
-                    found, held = {}, 0
-        yield batch_of()
+        sums, bits = Sums(["lang", "source", "term", "c"]), shared.value
+        for part in _parts(batches):
+            terms = Terms(part.column(2).to_pylist())
+            if not len(terms.start):
+                continue
+            lang_of, langs = pd.factorize(part.column(0).to_numpy(zero_copy_only=False))
+            group_of, groups = pd.factorize(pd.Series(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), dtype=object))
+            code, some = terms.codes(np.arange(len(terms.start)), lang_of[terms.doc], None)
+            words = terms.prefixes(some, None)
+            on = has_bit(bits, _places([langs[i].encode() for i in lang_of[terms.doc[some]]], words))
+            number = np.cumsum(on) - 1  # of the kept ones
+            own = np.flatnonzero(on[code])
+            if len(own):
+                count = int(on.sum())
+                pair, pairs = pd.factorize(group_of[terms.doc[own]] * count + number[code[own]])
+                sums.add(list(groups), [w[:-1] for w, good in zip(words, on, strict=True) if good], pairs // count, pairs % count, np.bincount(pair))
+            if sums.full:
+                yield sums.take()
+        yield sums.take()
 
     counted = texts.mapInArrow(run, "lang string, source string, term binary, c long").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"))
     return counted.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")

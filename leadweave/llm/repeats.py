@@ -5,13 +5,16 @@
    windows have equal anchors at equal places, so two documents that share a window share its anchor.
 2. Join. Anchors of two or more documents are kept; a bit for each (8 MB at most) spares tasks most of
    the others, and a join on the anchor takes out the rest.
-3. Extend. A joined seed is extended to the left and right to each window that it anchors. Windows of
-   one seed are grouped by their hash; in a group the smallest document id is the one that keeps the
-   passage. Windows that overlap grow together to maximal repeats.
+3. Extend. A joined seed is extended to the left and right over all windows that it anchors. Equal
+   extents are one group with its smallest document id; where extents of one anchor differ, they are
+   compared window by window, and a window's smallest id is that of all extents that have it. The
+   document with the smallest id keeps the passage. Windows that overlap grow together to maximal
+   repeats.
 
 Groups are aggregated before and after the shuffle and joined as plain tables, so a passage that a third of
 all documents share is split by adaptive execution; no pair of documents is ever formed. Texts
-are shuffled only for documents that lose words. A window is told by 128 bits: its own hash and its seed's.
+are shuffled only for documents that lose words. An extent is told by 128 bits, a window by 96: its own
+hash and its anchor's.
 """
 
 from __future__ import annotations
@@ -91,8 +94,12 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, _id long")
 
 
-def _seeded_windows(texts: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
-    """``anchor, _id, _hash, start, windows``: hashes of the windows from ``start`` on that an anchor with a set bit has."""
+def _seeds(texts: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
+    """``anchor, extent, _id, _hash, start, windows``: places of anchors with a set bit.
+
+    A seed's windows are those that it anchors, from word ``start`` on, as short hashes that count only
+    with the anchor's; ``extent`` is the hash of all words they cover (the first and the last window do).
+    """
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +116,18 @@ def _seeded_windows(texts: DataFrame, window: int, bits: np.ndarray) -> DataFram
                 sizes = np.diff(np.r_[starts, len(at)])
                 on = has_bit(bits, best[starts] >> np.uint64(64 - BITS))
                 if on.any():
-                    parts.append((best[starts][on], np.full(on.sum(), number), starts[on], sizes[on], run_hashes(words, window)[np.repeat(on, sizes)]))
+                    hashes = run_hashes(words, window)
+                    last = hashes[(starts + sizes - 1)[on]]
+                    extent = (hashes[starts[on]] ^ (last >> np.uint64(17) | last << np.uint64(47))) * _MIX + sizes[on].astype(np.uint64)
+                    parts.append((best[starts][on], extent, np.full(on.sum(), number), starts[on], sizes[on], (hashes >> np.uint64(32)).astype(np.uint32)[np.repeat(on, sizes)]))
             if parts:
-                anchor, number, start, size, windows = (np.concatenate(p) for p in zip(*parts, strict=True))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), _long(windows))
+                anchor, extent, number, start, size, windows = (np.concatenate(p) for p in zip(*parts, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(windows.view(np.int32), pa.int32()))
                 at = pa.array(number)
-                yield pa.RecordBatch.from_arrays([_long(anchor), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), lists], ["anchor", "_id", "_hash", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([_long(anchor), _long(extent), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), lists],
+                                                 ["anchor", "extent", "_id", "_hash", "start", "windows"])
 
-    return texts.mapInArrow(run, "anchor long, _id long, _hash long, start int, windows array<long>")
+    return texts.mapInArrow(run, "anchor long, extent long, _id long, _hash long, start int, windows array<int>")
 
 
 def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -124,11 +135,17 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     shared = _anchor_rows(texts, window).groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor")
     shared = stage(shared, "anchors")
     bits = presence_bits(shared.select(F.shiftrightunsigned("anchor", 64 - BITS)), BITS)
-    seeds = stage(_seeded_windows(texts, window, bits).join(shared, "anchor", "left_semi"), "seeds")
-    windows = seeds.select("anchor", "_id", "_hash", "start", F.posexplode("windows").alias("_more", "window"))
-    firsts = stage(windows.groupBy("anchor", "window").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor", "window", "lo"), "firsts")
-    again = windows.join(firsts, ["anchor", "window"]).where(F.col("_id") > F.col("lo"))
-    return again.groupBy("_id", "_hash").agg(F.collect_list(F.col("start") + F.col("_more")).alias("starts"))
+    seeds = stage(_seeds(texts, window, bits).join(shared, "anchor", "left_semi"), "seeds")
+    # Seeds that extend equally are one extent; only its windows are compared with those of other extents.
+    extents = stage(seeds.groupBy("anchor", "extent").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.any_value("windows").alias("windows")), "extents")
+    windows = extents.select("anchor", "extent", "hi", "lo", F.posexplode("windows").alias("at", "window"))
+    firsts = stage(windows.groupBy("anchor", "window").agg(F.min("lo").alias("first"), F.max("hi").alias("_last")).where("first < _last").drop("_last"), "firsts")
+    taken = windows.join(firsts, ["anchor", "window"]).where(F.col("hi") > F.col("first")).groupBy("anchor", "extent").agg(
+        F.collect_list(F.struct("at", "first")).alias("_windows"))
+    again = seeds.drop("windows").join(stage(taken, "taken"), ["anchor", "extent"])
+    mine = F.filter("_windows", lambda w: w["first"] < F.col("_id"))
+    starts = again.select("_id", "_hash", F.transform(mine, lambda w: F.col("start") + w["at"]).alias("starts")).where(F.size("starts") > 0)
+    return starts.groupBy("_id", "_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def maximal_spans(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
