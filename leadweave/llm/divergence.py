@@ -202,7 +202,8 @@ def term_counts(texts: DataFrame, kept: DataFrame) -> DataFrame:
                 yield sums.take()
         yield sums.take()
 
-    counted = texts.mapInArrow(run, "lang string, source string, term binary, c long").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"))
+    # Tasks have added up what they can; dealt by term once, the sum and the join need no other exchange.
+    counted = texts.mapInArrow(run, "lang string, source string, term binary, c long").repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"))
     return counted.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
 
 
