@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from leadweave.llm.common import has_bit, presence_bits, stage
 
 SEED, BITS = 6, 26
-_CACHE = 300_000
+PART_WORDS = 1 << 20
+_CACHE = 500_000
 _LAST = (1 << 63) - 1
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -46,13 +49,17 @@ class _Hashes(dict):
         return value
 
 
+@lru_cache(maxsize=None)
+def _factors(length: int) -> np.ndarray:
+    return np.random.default_rng(length).integers(0, 1 << 63, length, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of ``length`` words."""
-    factors = np.random.default_rng(length).integers(0, 1 << 63, length, np.uint64) * np.uint64(2) + np.uint64(1)
-    count = len(words) - length + 1
+    count = max(0, len(words) - length + 1)
     value = np.zeros(count, np.uint64)
-    for k in range(length):
-        value += words[k : k + count] * factors[k]
+    for k, factor in enumerate(_factors(length)):
+        value += words[k : k + count] * factor
     value ^= value >> np.uint64(29)
     value *= _MIX
     value ^= value >> np.uint64(32)
@@ -63,33 +70,65 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window its anchor's hash and place. Places never decrease, so the windows of one anchor follow each other."""
     seeds = run_hashes(words, SEED)
-    count = len(words) - window + 1
-    best, at = seeds[:count].copy(), np.arange(count)
+    count = max(0, len(words) - window + 1)
+    best, at = seeds[:count], np.arange(count)
     for k in range(1, window - SEED + 1):
         other = seeds[k : k + count]
         better = other <= best
-        best[better], at[better] = other[better], np.flatnonzero(better) + k
+        best, at = np.where(better, other, best), np.where(better, np.arange(k, k + count), at)
     return best, at
 
 
+@dataclass(frozen=True)
+class Passages:
+    """The anchors of some documents, one entry for each: its hash, its row in the batch, its first window's word in the document, its windows."""
+
+    anchor: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    first: np.ndarray  # the first window's place among all words
+    words: np.ndarray
+
+
+def passages(texts: pa.Array, known: _Hashes, window: int) -> Iterator[Passages]:
+    """Documents with at least a window, about ``PART_WORDS`` words at once; their words lie one after another."""
+    rows, held, total = [], [], 0
+
+    def found() -> Passages:
+        words, sizes = np.concatenate(held), np.array([len(h) for h in held])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        best, at = anchors(words, window)
+        whole = np.flatnonzero(doc[: len(at)] == doc[window - 1 :])  # windows inside one document
+        new = np.flatnonzero(np.r_[True, np.diff(at[whole]) != 0])
+        first = whole[new]
+        return Passages(best[first], np.array(rows)[doc[first]], first - (np.cumsum(sizes) - sizes)[doc[first]], np.diff(np.r_[new, len(whole)]), first, words)
+
+    for row, text in enumerate(texts):
+        words = text.as_py().split()
+        if len(words) < window:
+            continue
+        rows.append(row)
+        held.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        total += len(words)
+        if total >= PART_WORDS:
+            yield found()
+            rows, held, total = [], [], 0
+    if rows:
+        yield found()
+
+
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
-    """``anchor, _id``: the distinct anchors of each document."""
+    """``anchor, _id``: the anchors of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            found, owners = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                words = text.as_py().split()
-                if len(words) >= window:
-                    own = np.unique(anchors(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window)[0])
-                    found.append(own)
-                    owners.append(np.full(len(own), doc_id, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(found)), pa.array(np.concatenate(owners))], ["anchor", "_id"])
+            for found in passages(batch.column(2), known, window):
+                yield pa.RecordBatch.from_arrays([_long(found.anchor), batch.column(0).take(pa.array(found.row))], ["anchor", "_id"])
 
     return texts.mapInArrow(run, "anchor long, _id long")
 
@@ -105,26 +144,18 @@ def _seeds(texts: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = _Hashes(), shared.value
         for batch in batches:
-            parts: list[tuple] = []
-            for number, text in enumerate(batch.column(2)):
-                words = text.as_py().split()
-                if len(words) < window:
+            for found in passages(batch.column(2), known, window):
+                on = np.flatnonzero(has_bit(bits, found.anchor >> np.uint64(64 - BITS)))
+                if not len(on):
                     continue
-                words = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                best, at = anchors(words, window)
-                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                sizes = np.diff(np.r_[starts, len(at)])
-                on = has_bit(bits, best[starts] >> np.uint64(64 - BITS))
-                if on.any():
-                    hashes = run_hashes(words, window)
-                    last = hashes[(starts + sizes - 1)[on]]
-                    extent = (hashes[starts[on]] ^ (last >> np.uint64(17) | last << np.uint64(47))) * _MIX + sizes[on].astype(np.uint64)
-                    parts.append((best[starts][on], extent, np.full(on.sum(), number), starts[on], sizes[on], (hashes >> np.uint64(32)).astype(np.uint32)[np.repeat(on, sizes)]))
-            if parts:
-                anchor, extent, number, start, size, windows = (np.concatenate(p) for p in zip(*parts, strict=True))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(windows.view(np.int32), pa.int32()))
-                at = pa.array(number)
-                yield pa.RecordBatch.from_arrays([_long(anchor), _long(extent), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), lists],
+                hashes, first, size = run_hashes(found.words, window), found.first[on], found.size[on]
+                ends = np.cumsum(size)
+                each = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
+                last = hashes[first + size - 1]
+                extent = (hashes[first] ^ (last >> np.uint64(17) | last << np.uint64(47))) * _MIX + size.astype(np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array((hashes[each] >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()))
+                at = pa.array(found.row[on])
+                yield pa.RecordBatch.from_arrays([_long(found.anchor[on]), _long(extent), batch.column(0).take(at), batch.column(1).take(at), pa.array(found.start[on], pa.int32()), lists],
                                                  ["anchor", "extent", "_id", "_hash", "start", "windows"])
 
     return texts.mapInArrow(run, "anchor long, extent long, _id long, _hash long, start int, windows array<int>")
