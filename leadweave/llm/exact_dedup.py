@@ -1,10 +1,11 @@
 """Exact deduplication: sorted runs of text digests, merged in rounds.
 
 Column functions only. Every row becomes (digest, length, second digest, doc_id); no text is
-shuffled. Rows are first combined into runs, one for each group of input partitions; then runs are
-exchanged and merged ``fan_in`` at a time until one run is left, and every level keeps, for each
-text, the identifier that survives and the number of rows. A run is not one task: it is spread over
-the shuffle by digest, so the last run of a large table is as parallel as the first.
+shuffled. Rows are first sorted and combined into runs, one for each group of input partitions; in
+binomial rounds run r then meets run r XOR 2^k, and the two are merged in digest order, until one run is
+left. Every level keeps, for each text, the identifier that survives and the number of rows. A run is
+not one task: it is spread over the shuffle by digest, so the last run of a large table is as parallel
+as the first.
 
 A digest alone doesn't decide: the length in characters and an independent 64-bit hash are part of the
 key at every level, so two texts are called equal only where all three agree.
@@ -26,20 +27,23 @@ def text_digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("*", F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha"), F.length(text).alias("_length"), F.xxhash64(text).alias("_check"))
 
 
-def merged_runs(digests: DataFrame, id_col: str, keep: str = "max", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def merged_runs(digests: DataFrame, id_col: str, keep: str = "max", rounds: int = 4) -> DataFrame:
     """One row for each text: its digest columns, ``keep_id`` and ``group_size``.
 
-    The first level combines rows before they are shuffled, so a text with very many copies leaves
-    each task as one row. Each round deals the runs by run and digest, sorts them and merges.
+    Tasks sort their rows by digest and combine equal ones before anything is shuffled, so a text with
+    very many copies leaves each task as one row. That gives ``2 ** rounds`` sorted runs. In round k the
+    runs r and r XOR 2^k meet: both are dealt by digest, sorted and merged, and of equal keys the
+    surviving identifier and the number of rows stay. The survivor is kept with a flag before it, so a
+    null identifier loses; such a pair has no hash aggregate, which makes every level a sort and a merge.
     """
     best = F.max if keep == "max" else F.min
-    run = digests.select(F.pmod(F.spark_partition_id(), F.lit(runs)).alias("_run"), *DIGEST, id_col).groupBy("_run", *DIGEST).agg(
-        best(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        run = run.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int")).repartition("_run", "_sha").sortWithinPartitions("_run", *DIGEST).groupBy(
-            "_run", *DIGEST).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return run.drop("_run")
+    known = F.col(id_col).isNotNull() if keep == "max" else F.col(id_col).isNull()
+    rows = digests.select(F.pmod(F.spark_partition_id(), F.lit(1 << rounds)).alias("_run"), *DIGEST, F.struct(known.alias("flag"), F.col(id_col).alias("id")).alias("_best"))
+    run = rows.groupBy("_run", *DIGEST).agg(best("_best").alias("_best"), F.count("*").alias("group_size"))
+    for k in range(rounds):
+        met = run.withColumn("_run", F.col("_run").bitwiseAND(F.lit(~(1 << k)))).repartition("_run", "_sha")
+        run = met.groupBy("_run", *DIGEST).agg(best("_best").alias("_best"), F.sum("group_size").alias("group_size"))
+    return run.select(*DIGEST, F.col("_best.id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
