@@ -48,8 +48,8 @@ class FitOptions:
 
 
 def word_features(word: str) -> list[str]:
-    """The word itself and its beginnings; very long words only have beginnings."""
-    whole = ["=" + word] if len(word) <= LONGEST_WORD else []
+    """The word itself and its beginnings; a run too long for a word, as in scripts without spaces, its beginnings and the three-letter pieces inside it."""
+    whole = ["=" + word] if len(word) <= LONGEST_WORD else sorted({"~" + word[i : i + 3] for i in range(len(word) - 2)})
     return whole + ["^" + word[:n] for n in PREFIXES if n < len(word)]
 
 
@@ -63,7 +63,9 @@ class FeatureWords(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= _CACHE:
             self.clear()
-        value = self[word] = tuple(self.numbers[f] for f in word_features(word) if f in self.numbers)
+        value = tuple(self.numbers[f] for f in word_features(word) if f in self.numbers)
+        if len(word) <= LONGEST_WORD:
+            self[word] = value
         return value
 
 
@@ -206,7 +208,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  folds: int = 3, held_out: int = 1, options: FitOptions = FitOptions()) -> ToxicityModel:
     """Learn from labels outside fold ``held_out`` and from the texts of the same folds.
 
-    Without labels, positives or unlabelled texts, the model is a bias at the prior (0.5 without labels).
+    Without labels, positives or unlabelled texts, as with empty tables, the model is a bias at the prior
+    (0.5 without labels).
     """
     known = labels.where(fold_of(F.col(id_col), folds) != held_out).where(F.col(label_col).isNotNull())
     count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col(label_col) == 1).cast("long")), F.lit(0)).alias("p")).first()
@@ -218,7 +221,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     train = docs.where(fold_of(F.col(id_col), folds) != held_out).select(id_col, F.col(text_col).cast("string").alias("_text"))
     toxic = known.where(F.col(label_col) == 1).select(F.col(id_col).alias("_positive")).distinct()
     labelled = known.select(F.col(id_col).alias("_labelled")).distinct()
-    confirmed = stage(_maybe_in(train, id_col, toxic).join(toxic, F.col(id_col) == F.col("_positive"), "left_semi"), "confirmed")
+    # Written down in between: the optimiser would else join first and shuffle all texts.
+    maybe = stage(_maybe_in(train, id_col, toxic), "maybe-confirmed")
+    confirmed = stage(maybe.join(toxic, F.col(id_col) == F.col("_positive"), "left_semi"), "confirmed")
     total, n_pos = train.count(), confirmed.count()
     n_unl, n_known = total - n_pos, train.select(id_col).join(labelled, F.col(id_col) == F.col("_labelled"), "left_semi").count()
     if not n_pos or not n_unl:
