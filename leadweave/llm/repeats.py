@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from leadweave.llm.common import has_bit, presence_bits, stage
 
 SEED, BITS = 6, 26
-PART_WORDS = 1 << 20
-_CACHE = 500_000
+PART_WORDS = 1 << 17
+_CACHE = 250_000
 _LAST = (1 << 63) - 1
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
