@@ -56,15 +56,15 @@ def copyright_years(text: ColumnLike) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda y: y != ""), lambda y: y.cast("int"))))
 
 
-def snippet(line: Column, pattern: str) -> Column:
-    """Up to 160 characters around the first match, with ellipses where text was cut."""
-    start = F.greatest(F.regexp_instr(line, F.lit(pattern)) - 1 - fv.SNIPPET_WIDTH // 2, F.lit(0))
+def snippet(line: Column, pattern: str, width: int = fv.SNIPPET_WIDTH) -> Column:
+    """Up to ``width`` characters around the first match, with ellipses where text was cut."""
+    start = F.greatest(F.regexp_instr(line, F.lit(pattern)) - 1 - width // 2, F.lit(0))
     cut = F.concat(
         F.when(start > 0, "…").otherwise(""),
-        F.trim(F.substring(line, start + 1, F.lit(fv.SNIPPET_WIDTH))),
+        F.trim(F.substring(line, start + 1, F.lit(width))),
         F.lit("…"),
     )
-    return F.when(F.length(line) <= fv.SNIPPET_WIDTH, line).otherwise(cut)
+    return F.when(F.length(line) <= width, line).otherwise(cut)
 
 
 # ------------------------------------------------------------------ F22 - F25, F32
@@ -73,9 +73,9 @@ def page_words(title: ColumnLike, text: ColumnLike) -> Column:
     return F.lower(fold_accents(F.concat(F.coalesce(as_col(title), F.lit("")), F.lit("\n"), F.coalesce(as_col(text), F.lit("")))))
 
 
-def dead_reason_of(words: Column, text: ColumnLike) -> Column:
-    """``dead_site_reason`` over words already prepared (they are tested several times)."""
-    short = F.length(F.coalesce(as_col(text), F.lit(""))) <= fv.PLACEHOLDER_MAX_TEXT
+def dead_reason_of(words: Column, text: ColumnLike, placeholder_length: int = fv.PLACEHOLDER_MAX_TEXT) -> Column:
+    """``dead_site_reason`` over words already prepared (they are tested several times). Only a text of at most ``placeholder_length`` characters can be a placeholder."""
+    short = F.length(F.coalesce(as_col(text), F.lit(""))) <= placeholder_length
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for reason, pattern in fv.DEAD_SITE_PATTERNS.items():
         chain = chain.when(words.rlike(pattern), reason)
@@ -89,13 +89,14 @@ def dead_site_reason(title: ColumnLike, text: ColumnLike) -> Column:
     return dead_reason_of(page_words(title, text), text)
 
 
-def is_bot_wall(title: ColumnLike, text: ColumnLike) -> Column:
-    head = F.substring(F.coalesce(as_col(text), F.lit("")), 1, fv.BOT_WALL_TEXT)
+def is_bot_wall(title: ColumnLike, text: ColumnLike, head_length: int = fv.BOT_WALL_TEXT) -> Column:
+    """A wall says so in its title or in the first ``head_length`` characters; farther down the words are content (a rule of the product)."""
+    head = F.substring(F.coalesce(as_col(text), F.lit("")), 1, head_length)
     return F.concat(F.coalesce(as_col(title), F.lit("")), F.lit("\n"), head).rlike(fv.BOT_WALL_PATTERN)
 
 
-def needs_render(text: ColumnLike) -> Column:
-    return F.length(F.trim(F.coalesce(as_col(text), F.lit("")))) < fv.RENDER_MIN_TEXT
+def needs_render(text: ColumnLike, least: int = fv.RENDER_MIN_TEXT) -> Column:
+    return F.length(F.trim(F.coalesce(as_col(text), F.lit("")))) < least
 
 
 def http_error_reason(status: ColumnLike) -> Column:
@@ -111,13 +112,13 @@ def _mentions(text: Column, hints: list[str]) -> Column:
     return hit
 
 
-def friendly_error(error_type: ColumnLike, message: ColumnLike) -> Column:
-    """A failure message in plain words; unknown ones keep their type and first line."""
+def friendly_error(error_type: ColumnLike, message: ColumnLike, most: int = 300) -> Column:
+    """A failure message in plain words; unknown ones keep their type and first line, of ``most`` characters."""
     text = F.coalesce(as_col(message), F.lit(""))
     chain = F.when(as_col(error_type) == "ReviewTimeout", text)
     for hints, words in fv.FRIENDLY_ERRORS:
         chain = chain.when(_mentions(text, hints), words)
-    first_line = F.substring(F.regexp_extract(text, r"^([^\n\r]*)", 1), 1, 300)
+    first_line = F.substring(F.regexp_extract(text, r"^([^\n\r]*)", 1), 1, most)
     return chain.otherwise(F.concat(as_col(error_type), F.lit(": "), first_line))
 
 

@@ -105,10 +105,10 @@ def _unwrap_once(u: Column) -> Column:
     return F.when(u.rlike(_WRAPPER), F.coalesce(target, u)).otherwise(u)
 
 
-def with_unwrapped(df: DataFrame, url: str, out: str) -> DataFrame:
-    """Target of a search-engine ``/url?q=`` wrapper, followed up to three levels."""
+def with_unwrapped(df: DataFrame, url: str, out: str, levels: int = 3) -> DataFrame:
+    """Target of a search-engine ``/url?q=`` wrapper, followed up to ``levels`` levels (three by the product's rule)."""
     df = df.withColumn(out, F.trim(text_or_empty(url)))
-    for _ in range(3):
+    for _ in range(levels):
         df = df.withColumn(out, _unwrap_once(F.col(out)))
     return barrier(df, out)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leadweave import fixed_values as fv
 from leadweave.functions.expr import barrier, exact_lookup, is_true
 from leadweave.functions.phones import contact_digits, with_contact_number
-from leadweave.functions.text import scan_variants
+from leadweave.functions.text import scan_variants, unescape_entities
 from leadweave.functions.urls import with_joined
 from leadweave.operators.page_facts import in_any, spans
 from leadweave.operators.skew import hot_safe_lookup
@@ -159,8 +159,8 @@ def _link_matches(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _plugin_matches(text: Column, near_cue: bool) -> Column:
-    """Numbers in widget settings; in scripts a cue word must stand within 300 characters."""
+def _plugin_matches(text: Column, near_cue: bool, cue_window: int = fv.CUE_WINDOW) -> Column:
+    """Numbers in widget settings; in scripts a cue word must stand within ``cue_window`` characters (a rule of the product)."""
     pattern = F.lit(fv.PLUGIN_NUMBER_PATTERN)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     found = F.arrays_zip(whole.alias("whole"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("raw"))
@@ -171,9 +171,9 @@ def _plugin_matches(text: Column, near_cue: bool) -> Column:
             return F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
 
         start = lambda i: length_of(F.slice(between, F.lit(1), i + 1)) + length_of(F.slice(whole, F.lit(1), i))
-        from_ = lambda i: F.greatest(start(i) - fv.CUE_WINDOW, F.lit(0))
+        from_ = lambda i: F.greatest(start(i) - cue_window, F.lit(0))
         window = lambda m, i: F.substring(
-            text, from_(i) + 1, start(i) - from_(i) + F.length(m["whole"]) + fv.CUE_WINDOW
+            text, from_(i) + 1, start(i) - from_(i) + F.length(m["whole"]) + cue_window
         )
         found = F.filter(found, lambda m, i: window(m, i).rlike(fv.CONTACT_CUE_PATTERN))
     return F.transform(found, lambda m: F.struct(F.lit("plugin").alias("kind"), m["raw"].alias("raw"), m["whole"].alias("link")))
@@ -315,38 +315,58 @@ def carries_number(url: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def redirect_edges(redirects: DataFrame) -> DataFrame:
+    """``url, next``: where each captured address leads, absolute. Addresses that lead nowhere have no row.
+
+    ``redirects(url, location[, body[, status]])``: the Location header counts first; without one, a page
+    (``status`` 200, where there is such a column) that refreshes itself to another address leads there.
+    Several captures of one address count as the one with the smallest target.
+    """
+    target = F.nullif(F.trim(F.coalesce("location", F.lit(""))), F.lit(""))
+    if "body" in redirects.columns:
+        refresh = F.nullif(unescape_entities(F.regexp_extract(F.coalesce("body", F.lit("")), fv.META_REFRESH_PATTERN, 1)), F.lit(""))
+        page = (F.col("status") == 200) if "status" in redirects.columns else F.lit(True)
+        target = F.coalesce(target, F.when(page, refresh))
+    found = redirects.select("url", target.alias("_target")).filter(F.col("url").isNotNull() & F.col("_target").isNotNull())
+    once = found.groupBy("url").agg(F.min("_target").alias("_target"))
+    return with_joined(once, "url", "_target", "next").select("url", "next")
+
+
 def resolve_short_links(urls: DataFrame, redirects: DataFrame, url: str = "url", max_hops: int | None = None) -> DataFrame:
-    """Final contact address of each distinct short link over the redirect table.
+    """Final contact address of each distinct short link over the redirect table (``redirect_edges``).
 
-    ``redirects(url, location)`` holds one row per address. Addresses are made distinct first, so
-    a link repeated on a third of all pages is followed once. Links are followed until every one
-    has ended or come back to an address it has been at; ``max_hops`` ends them earlier.
+    Pointer doubling: every address points some hops ahead, and a round replaces its pointer by the
+    pointer of the address it points to, so a chain of n hops takes log2(n) rounds. Addresses whose end
+    is known leave the rounds and are only looked up. A pointer also carries the smallest address it
+    has passed: where that is the address itself, it lies on a cycle, and all that passed it lead nowhere.
+
+    Links are followed to their end by default; with ``max_hops``, those that end later are unresolved.
     """
-    state = urls.select(F.col(url).alias("url")).distinct().select(
-        "url", F.col("url").alias("at"), F.array("url").alias("path"), F.lit(None).cast("string").alias("final_url"), F.lit(True).alias("open")
-    )
-    edges = redirects.filter(F.col("location").isNotNull() & (F.col("location") != "")).groupBy(F.col("url").alias("at")).agg(
-        F.min("location").alias("location")
-    )
-    hop = 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        step = state.join(edges, "at", "left")
-        step = with_joined(step.withColumn("location", F.coalesce("location", F.lit(""))), "at", "location", "next")
-        step = step.withColumn("_moved", F.col("open") & (F.col("location") != "") & ~F.array_contains("path", F.col("next")))
-        step = step.withColumn("_done", F.col("_moved") & carries_number(F.col("next")))
-        state = step.select(
-            "url",
-            F.when(F.col("_moved"), F.col("next")).otherwise(F.col("at")).alias("at"),
-            F.when(F.col("_moved"), F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("_done"), F.col("next")).otherwise(F.col("final_url")).alias("final_url"),
-            (F.col("_moved") & ~F.col("_done")).alias("open"),
-        )
-        if max_hops is None:
-            state = cut_lineage(state)
-            if state.filter("open").isEmpty():
-                break
-    return state.select("url", "final_url")
+    edges = redirect_edges(redirects).withColumn("_ends", carries_number(F.col("next")))
+    nothing = F.lit(None).cast("string")
+    state = cut_lineage(barrier(edges, "_ends").select(
+        "url", F.when(~F.col("_ends"), F.col("next")).alias("at"), F.lit(1).cast("long").alias("hops"), F.col("next").alias("least"),
+        F.when(F.col("_ends"), F.col("next")).alias("final_url"), (~F.col("_ends")).alias("open")))
+    settled, moving, reach = [state.filter(~F.col("open"))], state.filter("open"), 1
+    while not moving.isEmpty() and (max_hops is None or reach < max_hops):
+        known = reduce(DataFrame.unionByName, [*settled, moving]).select(
+            F.col("url").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("least").alias("_least"), F.col("final_url").alias("_final"), F.col("open").alias("_open"))
+        step = hot_safe_lookup(moving, known, ["at"])
+        step = step.select(
+            "url", F.when(F.col("_open"), F.col("_at")).alias("at"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+            F.least("least", F.when(F.col("_open"), F.col("_least"))).alias("least"), F.col("_final").alias("final_url"), F.coalesce("_open", F.lit(False)).alias("open"))
+        step = cut_lineage(step)
+        going = step.filter("open")
+        cycles = going.filter(F.col("least") == F.col("url")).select("least", F.lit(True).alias("_cycle"))
+        if not cycles.isEmpty():
+            looped = cut_lineage(hot_safe_lookup(going, cycles, ["least"]))
+            on_cycle = F.coalesce("_cycle", F.lit(False))
+            settled.append(looped.filter(on_cycle).withColumns({"open": F.lit(False), "at": nothing, "final_url": nothing}).drop("_cycle").select(*step.columns))
+            going = looped.filter(~on_cycle).select(*step.columns)
+        settled.append(step.filter(~F.col("open")))
+        moving, reach = going, reach * 2
+    ended = reduce(DataFrame.unionByName, settled).filter(F.col("final_url").isNotNull() & (F.lit(True) if max_hops is None else F.col("hops") <= max_hops))
+    return urls.select(F.col(url).alias("url")).distinct().join(ended.select("url", "final_url"), "url", "left")
 
 
 def shortlink_candidates(shortlinks: DataFrame, resolved: DataFrame, key: str = "page_id") -> DataFrame:

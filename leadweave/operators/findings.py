@@ -60,12 +60,16 @@ def status_findings() -> Column:
 # meta_description, viewport, phones, tel_links, trust_kinds, places, builders,
 # copyright_years, has_map, has_local_business, visible_text) plus business_name and city.
 
-def with_site_flags(sites: DataFrame) -> DataFrame:
-    """F33 and the intermediate values the rules share."""
+def _at_most(values: Column | str, limit: int | None) -> Column:
+    return (F.col(values) if isinstance(values, str) else values) if limit is None else F.slice(values, 1, limit)
+
+
+def with_site_flags(sites: DataFrame, name_words_needed: int = 2) -> DataFrame:
+    """F33 and the intermediate values the rules share. A name counts as seen by its first ``name_words_needed`` longer words (a rule of the product)."""
     text = F.lower(fold_accents(F.coalesce("visible_text", F.lit(""))))
     name_words = F.slice(F.filter(
         F.split(F.trim(F.lower(fold_accents(F.coalesce("business_name", F.lit(""))))), r"\s+"), lambda w: F.length(w) >= 4
-    ), 1, 2)
+    ), 1, name_words_needed)
     sites = sites.withColumns({
         "_text": text,
         "_city": F.lower(fold_accents(F.coalesce("city", F.lit("")))),
@@ -94,8 +98,8 @@ def _yes_no(ok: Column, yes: str, no: str) -> Column:
     return F.when(ok, yes).otherwise(no)
 
 
-def seo_checks() -> Column:
-    """The seven local-SEO checks, in report order (over ``with_site_flags``)."""
+def seo_checks(max_places: int | None = None) -> Column:
+    """The seven local-SEO checks, in report order (over ``with_site_flags``); all places are named, or the first ``max_places``."""
     h1 = F.col("h1")
     places = F.col("places")
     area = F.col("_covers")
@@ -109,7 +113,7 @@ def seo_checks() -> Column:
             F.when(F.size(h1) > 0, F.concat(F.lit(": “"), F.get(h1, F.lit(0)), F.lit("”"))).otherwise(""))),
         _check("meta_descripcion", F.coalesce("meta_description", F.lit("")) != "", _yes_no(
             F.coalesce("meta_description", F.lit("")) != "", "Tiene descripción para Google", "No tiene descripción para Google (meta description)")),
-        _check("cobertura", area, F.when(F.size(places) > 0, F.concat(F.lit("Menciona: "), F.array_join(F.slice(places, 1, 8), ", ")))
+        _check("cobertura", area, F.when(F.size(places) > 0, F.concat(F.lit("Menciona: "), F.array_join(_at_most(places, max_places), ", ")))
                .when(area, "Menciona su ciudad").otherwise("No menciona comunas ni zona de cobertura")),
         _check("nombre_direccion_telefono", together, _yes_no(
             together, "Nombre, zona y teléfono visibles", "Falta mostrar juntos el nombre, la dirección o zona y el teléfono")),
@@ -121,7 +125,7 @@ def seo_checks() -> Column:
     )
 
 
-def info_checks() -> Column:
+def info_checks(max_places: int | None = None) -> Column:
     """The nine-item information checklist; one is left NULL for judgment."""
     menu = F.lower(fold_accents(F.array_join(F.concat("menu_items", "h2"), " ")))
     text, kinds = F.col("_text"), F.col("trust_kinds")
@@ -130,7 +134,7 @@ def info_checks() -> Column:
     hours = text.rlike(fv.HOURS_WORD_PATTERN)
     trust = F.arrays_overlap(kinds, F.array(F.lit("certificaciones"), F.lit("garantía"), F.lit("experiencia")))
     testimonials, reviews = F.array_contains(kinds, "testimonios"), F.array_contains(kinds, "reseñas")
-    area = F.filter(seo_checks(), lambda c: c["key"] == "cobertura")
+    area = F.filter(seo_checks(max_places), lambda c: c["key"] == "cobertura")
     return F.concat(
         F.array(_check("servicios", services, _yes_no(services, "Muestra sus servicios", "No hay una sección clara de servicios"))),
         area,
@@ -148,14 +152,17 @@ def info_checks() -> Column:
     )
 
 
-def _broken_rows(column: str) -> Column:
-    return F.transform(F.slice(column, 1, 10), lambda b: F.concat(b["url"], F.lit(" — "), b["reason"]))
+def _broken_rows(column: str, limit: int | None) -> Column:
+    return F.transform(_at_most(column, limit), lambda b: F.concat(b["url"], F.lit(" — "), b["reason"]))
+
 
+def rule_findings(today: Column, max_names: int | None = None, max_buttons: int | None = None, max_rows: int | None = None, max_places: int | None = None) -> Column:
+    """R10-R22 for an open site, in rule order, absent ones dropped (over ``with_site_flags``).
 
-def rule_findings(today: Column) -> Column:
-    """R10-R22 for an open site, in rule order, absent ones dropped (over ``with_site_flags``)."""
+    Button names, broken contact buttons, broken links or images and places are all reported; a caller's limit keeps the first ones.
+    """
     fakes = F.col("_fakes")
-    named = F.array_join(F.transform(F.slice(fakes, 1, 3), lambda t: F.concat(F.lit("“"), t, F.lit("”"))), ", ")
+    named = F.array_join(F.transform(_at_most(fakes, max_names), lambda t: F.concat(F.lit("“"), t, F.lit("”"))), ", ")
     has_desktop, has_mobile, has_facts = F.col("has_desktop"), F.col("has_mobile"), F.col("has_facts")
 
     def nothing(device: str) -> Column:
@@ -171,7 +178,7 @@ def rule_findings(today: Column) -> Column:
     files = F.when(has_desktop, F.concat(F.col("requests").cast("string"), F.lit(" archivos, "), F.col("weight_kb").cast("string"), F.lit(" KB")))
     year = F.array_max("copyright_years")
     templates = F.filter("builders", lambda b: b["name"].isin(fv.TEMPLATE_BUILDERS))
-    missing = F.transform(F.filter(seo_checks(), lambda c: ~c["ok"]), lambda c: c["detail"])
+    missing = F.transform(F.filter(seo_checks(max_places), lambda c: ~c["ok"]), lambda c: c["detail"])
     shot = F.when(has_desktop, F.col("shot_desktop"))
     rules = [
         _only(F.size(fakes) > 0, finding(
@@ -182,7 +189,7 @@ def rule_findings(today: Column) -> Column:
             F.transform(fakes, lambda t: F.concat(F.lit("Elemento sin enlace en la primera pantalla: "), t)), 7, shot)),
         _only(F.size("wa_broken") > 0, finding(
             "whatsapp_roto", "El botón de WhatsApp de la web no funciona",
-            "Un cliente que quiere escribir por WhatsApp no logra abrir el chat.", "alta", F.slice("wa_broken", 1, 5), 7)),
+            "Un cliente que quiere escribir por WhatsApp no logra abrir el chat.", "alta", _at_most("wa_broken", max_buttons), 7)),
         _only(~F.col("wa_on_site"), finding(
             "sin_whatsapp_web", "La web no tiene un botón de WhatsApp",
             "Para escribirle, el cliente tiene que buscar y copiar el número a mano.", "alta", None, 7)),
@@ -218,10 +225,10 @@ def rule_findings(today: Column) -> Column:
             "Nada en la web le confirma al visitante que otros clientes quedaron conformes.", "media", None, 8)),
         _only(F.size("broken_links") > 0, finding(
             "enlaces_rotos", F.concat(F.size("broken_links").cast("string"), F.lit(" enlace(s) de la web llevan a páginas que no existen")),
-            "El cliente hace clic y llega a un error.", "media", _broken_rows("broken_links"), 9)),
+            "El cliente hace clic y llega a un error.", "media", _broken_rows("broken_links", max_rows), 9)),
         _only(F.size("broken_images") > 0, finding(
             "imagenes_rotas", F.concat(F.size("broken_images").cast("string"), F.lit(" imagen(es) de la web no cargan")),
-            "Se ven cuadros vacíos o íconos de imagen rota.", "media", _broken_rows("broken_images"), 3)),
+            "Se ven cuadros vacíos o íconos de imagen rota.", "media", _broken_rows("broken_images", max_rows), 3)),
         _only(has_facts & (year <= F.year(today) - 2), finding(
             "copyright_antiguo", F.concat(F.lit("El pie de página muestra el año "), year.cast("string"), F.lit(": la web se ve desactualizada")),
             "Da la impresión de que nadie la mantiene.", "media", F.array(F.concat(F.lit("Año del copyright: "), year.cast("string"))), 10)),
@@ -253,9 +260,9 @@ def link_errors() -> Column:
     )
 
 
-def review_sites(sites: DataFrame, today: Column) -> DataFrame:
-    """Findings, SEO checks, checklist and link errors of each reviewed site."""
-    flagged = with_site_flags(sites).withColumn("_rules", rule_findings(today))
+def review_sites(sites: DataFrame, today: Column, max_names: int | None = None, max_buttons: int | None = None, max_rows: int | None = None, max_places: int | None = None) -> DataFrame:
+    """Findings, SEO checks, checklist and link errors of each reviewed site, whole unless a limit is named (``rule_findings``)."""
+    flagged = with_site_flags(sites).withColumn("_rules", rule_findings(today, max_names, max_buttons, max_rows, max_places))
     ok = F.col("status") == fv.SITE_OK
     down = finding("web_caida", "Su web no funciona", F.coalesce("reason", F.lit("La web no abre.")), "alta", F.array("url"))
     social = finding(
@@ -266,8 +273,8 @@ def review_sites(sites: DataFrame, today: Column) -> DataFrame:
     facts = ok & F.col("has_facts")
     out = flagged.withColumns({
         "findings": F.when(ok, by_severity(F.col("_rules"))).otherwise(short.cast(f"array<{FINDING_DDL}>")),
-        "seo_local": F.when(facts, seo_checks()).otherwise(none),
-        "info_checklist": F.when(facts, info_checks()).otherwise(none),
+        "seo_local": F.when(facts, seo_checks(max_places)).otherwise(none),
+        "info_checklist": F.when(facts, info_checks(max_places)).otherwise(none),
         "link_errors": F.when(ok, link_errors()).otherwise(F.array().cast(NO_TEXTS)),
     })
     out = out.drop(*[c for c in out.columns if c.startswith("_")])

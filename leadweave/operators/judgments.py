@@ -68,8 +68,10 @@ def _has_evidence(items: Column) -> Column:
     return is_true(F.exists(items, lambda e: F.trim(e) != ""))
 
 
-def clean_answers(answers: DataFrame) -> DataFrame:
-    """Answers reduced to what carries evidence, within the caps, plus the log of what was dropped.
+def clean_answers(answers: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """Answers reduced to what carries evidence, plus the log of what was dropped.
+
+    All items with evidence stay; ``caps`` (the product's are ``fixed_values.JUDGMENT_CAPS``) keeps the first ones of a section.
 
     One projection: an answer is a bounded document, so its lists are handled in place.
     """
@@ -94,9 +96,10 @@ def clean_answers(answers: DataFrame) -> DataFrame:
 
     notes = [F.transform(params, drop_note)]
     columns = {"params": ordered}
-    for section, cap in fv.JUDGMENT_CAPS.items():
+    for section in fv.JUDGMENT_CAPS:
         items = F.col("answer." + section)
-        columns[section] = F.slice(F.filter(items, lambda x: _has_evidence(x["evidencia"])), 1, cap)
+        good = F.filter(items, lambda x: _has_evidence(x["evidencia"]))
+        columns[section] = good if caps is None or section not in caps else F.slice(good, 1, caps[section])
         word = fv.JUDGMENT_WORDS[section]
         notes.append(_section_notes(items, word))
     columns["discarded"] = F.array_compact(F.concat(*notes))

@@ -300,12 +300,12 @@ def verification_counters(found: DataFrame) -> DataFrame:
 
 def day_rollup(
     searches: DataFrame, search_results: DataFrame, businesses: DataFrame, tz: str,
-    recent: int | None = fv.SEARCH_LIST_LIMIT, days: int | None = fv.DAY_LIST_LIMIT,
+    recent: int | None = None, days: int | None = None,
 ) -> DataFrame:
     """Per local day, distinct current leads and the distinct queries in first-seen order.
 
-    Leads are counted per (day, business) first, so no distinct set is held for a busy day. The
-    two limits are the report's own (newest searches considered, days shown).
+    Leads are counted per (day, business) first, so no distinct set is held for a busy day. All
+    searches and days count; ``recent`` (newest searches considered) and ``days`` (days shown) limit a report.
     """
     considered = newest_searches(searches, recent) if recent else searches
     dated = considered.select(F.col("id").alias("search_id"), "query", "created_at", tx.local_day("created_at", tz).alias("day"))

@@ -84,12 +84,12 @@ query("J8_D6_flag_contacted", _DUP_OUT, _J6.replace("{{extra}}", """f.contacted_
       AND p.id IN (SELECT id FROM {businesses} WHERE duplicate_reason IS NULL AND discard_reason IS NULL)"""))(
     lambda d: suppression.flag_contacted(d.businesses_full(), fingerprints(d), d.contacted))
 query("J9_backfill_prints", "id long, kind string, value string", f"""WITH {PRINTS_SQL} SELECT p.id, kind, value FROM prints p JOIN {{businesses}} b ON b.id = p.id
-    WHERE {PROSPECTED} AND b.id NOT IN (SELECT business_id FROM {{search_results}} WHERE position = 7)""")(
+    WHERE {PROSPECTED} AND b.id NOT IN (SELECT id FROM {{contacted}})""")(
     lambda d: suppression.missing_prints(
-        d.businesses_full(), d.search_results.filter("position = 7").select("business_id"), leads.already_prospected()))
-query("J10_locality_to_place", "id long, commune string", """WITH c AS (SELECT translate(n_name, '0123456789_', 'abcdefghij-') AS name FROM {nation} WHERE n_regionkey < 3)
+        d.businesses_full(), d.contacted.select(F.col("id").alias("business_id")), leads.already_prospected()))
+query("J10_locality_to_place", "id long, commune string", """WITH c AS (SELECT translate(n_name, '0123456789_', 'abcdefghij-') AS name FROM {nation})
     SELECT b.id, c.name AS commune FROM {businesses} b LEFT JOIN c ON lower(c.name) = lower(b.city)""")(
-    lambda d: d.businesses.select("id", F.lower("city").alias("folded")).join(d.nation.filter("n_regionkey < 3").select(
+    lambda d: d.businesses.select("id", F.lower("city").alias("folded")).join(d.nation.select(
         F.expr("translate(n_name, '0123456789_', 'abcdefghij-')").alias("commune"), F.lower(F.expr("translate(n_name, '0123456789_', 'abcdefghij-')")).alias("folded")), "folded", "left"))
 
 # ------------------------------------------------------------------ D4, D5, A3, W19
@@ -143,8 +143,8 @@ query("A3_run_counters", "run_id long, leads long, skipped long, duplicates long
       count(*) FILTER (WHERE outcome LIKE 'duplicate%') AS duplicates, count(*) FILTER (WHERE outcome LIKE 'no_website%') AS no_website,
       count(*) FILTER (WHERE outcome = 'untouched') AS untouched FROM walk WHERE n >= 0 GROUP BY 1""")(
     lambda d: suppression.run_counters(suppression.suppress_repeats(*listing_inputs(d))))
-query("D5_known_places", "listing_id long", "SELECT listing_id FROM {listings} l WHERE NOT EXISTS (SELECT 1 FROM {search_results} r WHERE r.business_id = l.listing_id AND position = 7)")(
-    lambda d: d.listings.join(d.search_results.filter("position = 7").select(F.col("business_id").alias("listing_id")), "listing_id", "left_anti"))
+query("D5_known_places", "listing_id long", "SELECT listing_id FROM {listings} l WHERE NOT EXISTS (SELECT 1 FROM {contacted} c WHERE c.id = l.listing_id)")(
+    lambda d: d.listings.join(d.contacted.select(F.col("id").alias("listing_id")), "listing_id", "left_anti"))
 
 
 def _streamed(d: Inputs) -> DataFrame:

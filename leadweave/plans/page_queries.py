@@ -75,7 +75,7 @@ query("X9_phones_in_text", "id long, phones string", """SELECT id, CASE WHEN pho
     lambda d: d.businesses.select("id", F.concat(F.lit("Llama al "), F.coalesce(ph.pretty_number(F.expr("substr(phone_e164, 2)")), F.lit("")), F.lit(" o escribe. Desde 1998, RUT 76.123.456-7.")).alias("t")).select(
         "id", F.array_join(ph.phones_in_text("t"), "|").alias("phones")))
 query("X10_menu", "page_id long, menu string", f"""WITH m AS (SELECT page_id, [trim(x) for x in regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1)] AS items FROM {{html_pages}})
-    SELECT page_id, array_to_string(({_ordered_distinct('items')})[1:40], '|') AS menu FROM m""")(
+    SELECT page_id, array_to_string({_ordered_distinct('items')}, '|') AS menu FROM m""")(
     lambda d: pf.with_structure_facts(parsed(d)).select("page_id", F.array_join("menu_items", "|").alias("menu")))
 query("X11_builders", "page_id long, builders string", "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'WordPress|Tema WordPress: astra' ELSE '' END AS builders FROM {html_pages}")(
     lambda d: pf.with_builders(d.html_pages).select("page_id", F.array_join(F.transform("builders", lambda b: b["name"]), "|").alias("builders")))
@@ -121,16 +121,21 @@ query("J16_broken_links", "page_id long, url string, reason string", """
 
 def _redirects(d: Inputs) -> DataFrame:
     k = F.col("c_custkey")
-    return d.customer.select(F.concat(F.lit("https://wa.link/c"), k.cast("string")).alias("url"), F.when(
-        k % 8 == 0, F.concat(F.lit("https://api.whatsapp.com/send?phone=569"), (30000000 + k).cast("string"))).when(k % 8 < 7, F.concat(F.lit("/c"), (k - 1).cast("string"))).alias("location"))
+    ahead = F.concat(F.lit("/c"), (k - 1).cast("string"))
+    refreshing = k % 8 == 3  # every eighth address answers with a page that refreshes itself
+    return d.customer.select(
+        F.concat(F.lit("https://wa.link/c"), k.cast("string")).alias("url"),
+        F.when(k % 8 == 0, F.concat(F.lit("https://api.whatsapp.com/send?phone=569"), (30000000 + k).cast("string"))).when((k % 8 < 7) & ~refreshing, ahead).alias("location"),
+        F.when(refreshing, F.concat(F.lit('<html><head><meta http-equiv="Refresh" content="0; url='), ahead, F.lit('"></head></html>'))).alias("body"),
+        F.when(refreshing, 200).otherwise(302).alias("status"))
 
 
 query("J17_short_links", "url string, final_url string", """SELECT 'https://wa.link/c' || CAST(c_custkey AS VARCHAR) AS url, CASE WHEN c_custkey % 8 <= 6 THEN
     'https://api.whatsapp.com/send?phone=569' || CAST(30000000 + c_custkey - c_custkey % 8 AS VARCHAR) END AS final_url FROM {customer}""")(
     lambda d: cl.resolve_short_links(_redirects(d).select("url"), _redirects(d)))
 query("J17_short_link_candidates", "page_id long, outcome string, number string, evidence string", """WITH s AS (SELECT page_id, 'https://wa.link/c' || CAST(page_id AS VARCHAR) AS e FROM {html_pages} WHERE page_id % 17 = 0)
-    SELECT page_id, CASE WHEN page_id % 8 <= 4 THEN 'candidate' ELSE 'ignored' END AS outcome, CASE WHEN page_id % 8 <= 4 THEN '569' || CAST(30000000 + page_id - page_id % 8 AS VARCHAR) END AS number,
-      CASE WHEN page_id % 8 <= 4 THEN e || ' → https://api.whatsapp.com/send?phone=569' || CAST(30000000 + page_id - page_id % 8 AS VARCHAR) ELSE e END AS evidence FROM s""")(
+    SELECT page_id, CASE WHEN page_id % 8 <= 6 THEN 'candidate' ELSE 'ignored' END AS outcome, CASE WHEN page_id % 8 <= 6 THEN '569' || CAST(30000000 + page_id - page_id % 8 AS VARCHAR) END AS number,
+      CASE WHEN page_id % 8 <= 6 THEN e || ' → https://api.whatsapp.com/send?phone=569' || CAST(30000000 + page_id - page_id % 8 AS VARCHAR) ELSE e END AS evidence FROM s""")(
     lambda d: _resolved(d))
 
 

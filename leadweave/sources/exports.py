@@ -52,7 +52,7 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def evidence_documents(sites: DataFrame, key: str = "site_id", max_text: int | None = None) -> DataFrame:
-    """What a judge of a site sees: business, facts, findings without capture, code scores, text cut at 6000.
+    """What a judge of a site sees: business, facts, findings without capture, code scores, whole text.
 
     ``sites`` carries business columns, ``url``, ``facts`` (struct), ``findings``, ``code_scores``
     and ``visible_text``. Keys of the document are in alphabetical order.

@@ -67,11 +67,31 @@ def test_placement_follows_ancestors(parse):
     assert [got[i] for i in range(len(pages))] == ["header", "footer", "flotante", "flotante", "cuerpo", "header", "header"]
 
 
-def test_short_links_follow_at_most_five_hops(spark):
+def test_short_links_are_followed_to_their_end(spark):
     hops = [(f"https://wa.link/{i}", f"/{i - 1}") for i in range(1, 8)] + [("https://wa.link/0", "https://wa.me/56955551234"), ("https://wa.link/loop", "/loop"), ("https://wa.link/dead", None)]
     redirects = spark.createDataFrame(hops, "url string, location string")
     got = {r["url"].rsplit("/", 1)[1]: r["final_url"] for r in cl.resolve_short_links(redirects, redirects).collect()}
-    assert {k for k, v in got.items() if v} == {"0", "1", "2", "3", "4"} and len(got) == 10
+    assert {k for k, v in got.items() if v} == {str(k) for k in range(8)} and len(got) == 10
+    five = cl.resolve_short_links(redirects, redirects, max_hops=5).filter("final_url IS NOT NULL").collect()
+    assert {r["url"].rsplit("/", 1)[1] for r in five} == {"0", "1", "2", "3", "4"}
+
+
+def test_long_chains_and_cycles_take_logarithmic_rounds(spark, monkeypatch):
+    end = [("https://wa.link/0", "https://wa.me/56955551234", None, 302)]
+    chain = [(f"https://wa.link/{i}", None if i % 3 == 0 else f"/{i - 1}", f"<meta http-equiv=refresh content='0;url=/{i - 1}'>" if i % 3 == 0 else None, 200 if i % 3 == 0 else 302) for i in range(1, 41)]
+    cycle = [(f"https://wa.link/z{i}", f"/z{(i + 1) % 11}", None, 302) for i in range(11)] + [("https://wa.link/a0", "/z3", None, 302)] + [(f"https://wa.link/a{i}", f"/a{i - 1}", None, 302) for i in range(1, 9)]
+    other = [("https://wa.link/x", "", "<meta http-equiv='refresh' content='0; url=/1'>", 404), ("https://wa.link/y", None, None, None), ("https://wa.link/q", None, '<META content="0; url=https://wa.me/56955551234?text=a&amp;b=c" http-equiv="refresh">', 200),
+             ("https://wa.link/r", None, '<meta http-equiv="refresh" content="0; url=https://wa.me/56955551234?a=1&amp;b=2">', 200), (None, "/1", None, 302)]
+    redirects = spark.createDataFrame(end + chain + cycle + other, "url string, location string, body string, status int")
+    rounds = []
+    plain = cl.hot_safe_lookup
+    monkeypatch.setattr(cl, "hot_safe_lookup", lambda rows, lookup, keys, *a: rounds.append(keys) or plain(rows, lookup, keys, *a))
+    asked = redirects.select("url").unionByName(redirects.select("url")).unionByName(spark.createDataFrame([("https://wa.link/unknown",)], "url string"))
+    got = {r["url"]: r["final_url"] for r in cl.resolve_short_links(asked, redirects).collect()}
+    assert {u for u, f in got.items() if f} == {r[0] for r in end + chain} | {"https://wa.link/r"}
+    assert got["https://wa.link/r"] == "https://wa.me/56955551234?a=1&b=2" and len(got) == len(end + chain + cycle + other) + 1
+    assert sum(keys == ["at"] for keys in rounds) <= 7
+    assert cl.resolve_short_links(asked, redirects.limit(0)).filter("final_url IS NULL").count() == len(got)
 
 
 def test_link_work_has_no_python_and_no_nested_loop(spark):
