@@ -213,7 +213,7 @@ def _rate(count: Column, total: Column, terms: Column) -> Column:
     return F.when(terms == 0, F.lit(1).cast("long")).otherwise(1 + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * whole(count + 2), whole(total + 2 * terms)))
 
 
-def _compare_tiles(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _compare_tiles(key: tuple, rows: pd.DataFrame, tile: int) -> pd.DataFrame:
     """Sum of (p-q)^2 div (p+q) over one block of terms for every pair of sources, the first from one tile and the second from the other."""
     lang, _, first, second = key
     sources = rows[rows["term"].isna()].sort_values("number")
@@ -225,7 +225,7 @@ def _compare_tiles(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rate[np.searchsorted(numbers, cells["number"].to_numpy(np.int64)), code] = cells["p"].to_numpy(np.int64)
     rest = int(sources["n_block"].iloc[0]) - len(names)  # terms that none of these sources uses
     name = sources["source"].to_numpy(object)
-    a_side, b_side = np.flatnonzero(numbers // TILE == first), np.flatnonzero(numbers // TILE == second)
+    a_side, b_side = np.flatnonzero(numbers // tile == first), np.flatnonzero(numbers // tile == second)
     out_a, out_b, out = [], [], []
     for a in a_side:
         others = b_side[numbers[b_side] > numbers[a]]
@@ -237,9 +237,8 @@ def _compare_tiles(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out.append(value + rest * (d0 * d0 // s0))
         out_a.append(np.repeat(name[a : a + 1], len(others)))
         out_b.append(name[others])
-    if not out:
-        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
-    return pd.DataFrame({"lang": lang, "source": np.concatenate(out_a), "item": np.concatenate(out_b), "value": np.concatenate(out)})
+    sides = [pd.Series(np.concatenate(side) if side else [], dtype=object) for side in (out_a, out_b)]
+    return pd.DataFrame({"lang": pd.Series([lang] * len(sides[0]), dtype=object), "source": sides[0], "item": sides[1], "value": np.concatenate(out) if out else np.zeros(0, np.int64)})
 
 
 def source_pairs(cells: DataFrame, groups: DataFrame, kept: DataFrame) -> DataFrame:
@@ -257,7 +256,12 @@ def source_pairs(cells: DataFrame, groups: DataFrame, kept: DataFrame) -> DataFr
     own, other = F.floor(F.col("number") / TILE).cast("int"), F.col("_other")
     dealt = per_source.unionByName(per_cell).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "lang", "block", F.least(own, other).alias("first"), F.greatest(own, other).alias("second"), "number", "source", "term", "p", "n_block")
-    halves = dealt.groupBy("lang", "block", "first", "second").applyInPandas(_compare_tiles, "lang string, source string, item string, value long").groupBy(
+    tile = TILE
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _compare_tiles(key, rows, tile)
+
+    halves = dealt.groupBy("lang", "block", "first", "second").applyInPandas(compare, "lang string, source string, item string, value long").groupBy(
         "lang", "source", "item").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct(F.col("source").alias("s"), F.col("item").alias("i")), F.struct(F.col("item").alias("s"), F.col("source").alias("i"))))
     return halves.select("lang", both.alias("_pair"), "value").select("lang", F.col("_pair.s").alias("source"), F.col("_pair.i").alias("item"), "value")

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from leadweave.llm.common import has_bit, presence_bits, stage
 
-SEED, BITS = 6, 26
+SEED, BITS = 5, 26
 PART_WORDS = 1 << 17
-_CACHE = 250_000
+_CACHE = 150_000
 _LAST = (1 << 63) - 1
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -158,7 +158,7 @@ def _seeds(texts: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_long(found.anchor[on]), _long(extent), batch.column(0).take(at), batch.column(1).take(at), pa.array(found.start[on], pa.int32()), lists],
                                                  ["anchor", "extent", "_id", "_hash", "start", "windows"])
 
-    return texts.mapInArrow(run, "anchor long, extent long, _id long, _hash long, start int, windows array<int>")
+    return texts.mapInArrow(run, "anchor long, extent long, _id long, _hash int, start int, windows array<int>")
 
 
 def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -201,7 +201,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     if window < SEED:
         raise ValueError(f"a window has at least {SEED} words")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.col(id_col).alias("_own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    texts = texts.select("_id", F.xxhash64("_text").alias("_hash"), F.col("_text").cast("binary").alias("_text"), "_own")
+    texts = texts.select("_id", F.hash("_text").alias("_hash"), F.col("_text").cast("binary").alias("_text"), "_own")
     again = stage(repeated_windows(texts, window), "repeats")
     # A bit for each document that loses words: the others are finished where they lie, and their texts aren't shuffled.
     place = F.shiftrightunsigned(F.xxhash64("_id", "_hash"), 64 - BITS)
