@@ -17,8 +17,11 @@ from leadweave.functions.phones import normalize_phone, phone_from_tel, phones_i
 from leadweave.functions.urls import (
     same_site, site_host, url_host, with_joined, with_link_kind, with_normalized, with_social, with_unwrapped,
 )
+from leadweave.operators.skew import hot_safe_lookup
 
 E = "elements"
+#: Names of a place catalog that are broadcast at most.
+INDEX_BYTES = 16 << 20
 
 
 def of_tag(*tags: str) -> Column:
@@ -334,29 +337,26 @@ def merge_page_lists(pages: DataFrame, *columns: str, site: str = "site_id", ord
 def place_mentions(pages: DataFrame, catalog: DataFrame, key: str = "page_id") -> DataFrame:
     """Catalog places named in each page's lines, in order of appearance.
 
-    Lines become word n-grams joined to the catalog by equality, so cost grows with the text and
-    not with text times catalog; the exact rule (word boundaries, capitals and context of
+    The catalog is indexed by the first word of each name: a distinct word of a line opens only the
+    names that begin with it, so cost grows with the text and not with text times catalog, and no
+    n-gram is formed. The index is broadcast up to ``INDEX_BYTES`` of names; a larger one is joined by
+    word, frequent words where they are. The exact rule (word boundaries, capitals and context of
     ambiguous names) is checked on the few hits. ``catalog`` is ``place_catalog()`` output.
     """
     lines = pages.select(key, F.posexplode("lines").alias("line_no", "_line")).select(
         key, "line_no", tx.fold_accents("_line").alias("line")
     )
     lines = lines.withColumn("_words", F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)\w+"), F.lit(0)))
-    names = catalog.select("name", "folded", "ambiguous", F.regexp_extract_all(F.lower("folded"), F.lit(r"(?U)\w+"), F.lit(0)).alias("_name"))
-    longest = names.agg(F.coalesce(F.max(F.size("_name")), F.lit(0))).first()[0]
-    if longest == 0:
-        return lines.groupBy(key).agg(F.array().cast("array<string>").alias("places")).filter(F.size("places") > 0)
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(
-            F.size("_words") >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("_words", i, F.lit(n)), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(1, longest + 1)
-    ])))
-    hits = (
-        lines.select(key, "line_no", "line", F.explode(grams).alias("gram"))
-        .join(names.withColumn("gram", F.array_join("_name", " ")).drop("_name"), "gram")
-    )
+    names = catalog.select("name", "folded", "ambiguous", F.regexp_extract_all(F.lower("folded"), F.lit(r"(?U)\w+"), F.lit(0)).alias("_name")).filter(F.size("_name") > 0)
+    names = names.select(F.get("_name", F.lit(0)).alias("word"), F.struct(
+        "name", "folded", "ambiguous", F.concat(F.lit(" "), F.array_join("_name", " "), F.lit(" ")).alias("spaced")).alias("place"))
+    index = names.groupBy("word").agg(F.collect_list("place").alias("_opens"))
+    # One row for each distinct word of a line; the line's words, spaced, tell whether the rest of a name follows.
+    words = lines.select(key, "line_no", "line", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_spaced"), F.explode(F.array_distinct("_words")).alias("word"))
+    size = catalog.agg(F.coalesce(F.sum(F.octet_length("name") + F.octet_length("folded")), F.lit(0))).first()[0]
+    opened = words.join(F.broadcast(index), "word") if size <= INDEX_BYTES else hot_safe_lookup(words, index, ["word"], "inner")
+    begun = opened.select(key, "line_no", "line", F.explode(F.filter("_opens", lambda p: F.col("_spaced").contains(p["spaced"]))).alias("_place"))
+    hits = begun.select(key, "line_no", "line", "_place.name", "_place.folded", "_place.ambiguous")
     quoted = F.concat(F.lit(r"\Q"), F.col("folded"), F.lit(r"\E"))
     upper = F.concat(F.lit(r"\Q"), F.upper("folded"), F.lit(r"\E"))
     pattern = F.when(

@@ -139,11 +139,12 @@ def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max
         "accepted", F.when(~F.col("_accept"), F.lit(False))
     ).drop("_open", "_accept")
     state = cut_lineage(open_state)
-    # Only listings that can be opened take part; their prints are fixed for the whole loop.
+    # Only listings that can be opened take part. Evaluation is semi-naive: hits stay on the listing, so a round reads
+    # what open listings ask and leave behind and what was registered in the round before, nothing older.
     asks = keys.select("listing_id", F.lit("key").alias("stage"), F.lit("key").alias("kind"), "value").unionByName(
         checks.select("listing_id", "stage", "kind", "value")
-    ).join(state.select("listing_id"), "listing_id", "left_semi")
-    asks = cut_lineage(asks.distinct())
+    ).distinct().join(state.select("listing_id", "rank"), "listing_id")
+    asks = cut_lineage(asks)
     leaves = cut_lineage(_registrations(state, checks, keys).distinct())
     settled: list[DataFrame] = []
     newly: DataFrame | None = None
@@ -156,8 +157,7 @@ def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max
         per_print = registered.groupBy("kind", "value").agg(
             F.min(F.when(F.col("state"), F.col("rank"))).alias("lo"), F.min(F.when(F.col("state").isNull(), F.col("rank"))).alias("maybe")
         )
-        asked = asks.join(state.select("listing_id", "rank"), "listing_id")
-        met = hot_safe_lookup(asked, per_print, ["kind", "value"], "inner")
+        met = hot_safe_lookup(asks, per_print, ["kind", "value"], "inner")
         definite, possible = F.coalesce(F.col("lo") < F.col("rank"), F.lit(False)), F.coalesce(F.col("maybe") < F.col("rank"), F.lit(False))
 
         def any_at(test: Column, *stages: str) -> Column:
@@ -202,6 +202,9 @@ def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max
         # A listing half decided stays; what it newly leaves behind still counts for the others.
         newly = decided.filter(done & (F.col("opened") | F.col("accepted"))).select("listing_id", "rank", "run_id", "opened", "accepted")
         state = decided.filter(~done).drop("new_open", "new_accept")
+        alive = state.select("listing_id")
+        asks = cut_lineage(asks.join(alive, "listing_id", "left_semi"))
+        leaves = cut_lineage(leaves.join(alive.unionByName(newly.select("listing_id")), "listing_id", "left_semi"))
     if not settled:
         return state.select("listing_id", "run_id", "rank", "opened", "accepted")
     out = settled[0]

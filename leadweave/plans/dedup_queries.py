@@ -148,17 +148,21 @@ query("D5_known_places", "listing_id long", "SELECT listing_id FROM {listings} l
 
 
 def _streamed(d: Inputs) -> DataFrame:
-    """The same listings decided as a growing feed of files, one micro-batch after another."""
+    """The same listings decided as a growing feed of files, one micro-batch after another, and everything the batches stored."""
     spark, root = d.spark, work_folder(d.spark, "intake")
     listings, checks, keys = listing_inputs(d)
     checks, keys = cut_lineage(checks), cut_lineage(keys)
     feed_columns = [c for c in listings.columns if not c.endswith("_stored") or c == "known_stored"]
     bounds = listings.agg(F.max("rank")).first()[0] // 4 + 1
-    shown = listings.select(*[c for c in feed_columns if c != "target"])
+    shown = listings.select(
+        *[c for c in feed_columns if c not in ("target", "place")], F.col("place").alias("place_id"),
+        F.concat(F.lit("https://www.google.com/maps/place/"), F.regexp_replace("place", ":", "")).alias("google_maps_url"),
+        F.concat(F.lit("Negocio "), F.col("listing_id").cast("string")).alias("business_name"))
+    store = intake.intake_store(spark, root, most_folders=3)
     stored = d.contacted.select(
-        F.lit(fv.PRINT_NUMBER).alias("kind"), F.regexp_replace("phone_e164", r"^\+", "").alias("value"), F.lit(-1).cast("long").alias("run_id"),
-        F.lit(-1).cast("long").alias("listing_id"))
-    stored.write.parquet(f"{root}/prints/batch=-1")  # what was known before the first batch
+        F.col("id"), F.lit(fv.PRINT_NUMBER).alias("kind"), F.regexp_replace("phone_e164", r"^\+", "").alias("value"), F.lit(None).cast("long").alias("business_id"),
+        F.col("id").alias("contacted_id"), now().alias("created_at"))
+    store.commit(-1, {"prints": stored})  # what was known before the first batch
 
     def expand(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = batch.select("listing_id")
@@ -167,11 +171,22 @@ def _streamed(d: Inputs) -> DataFrame:
     for part in range(4):  # the feed grows in rank order; each run of the stream decides what is new in it
         shown.filter(F.floor(F.col("rank") / bounds) == part).write.mode("append").parquet(f"{root}/feed")
         feed = spark.readStream.schema(shown.schema).parquet(f"{root}/feed")
-        intake.start_intake(feed, root, 12, expand, None).awaitTermination()
-    return with_stage(spark.read.parquet(f"{root}/outcomes"))
-
-
-query("T1_T3_incremental_intake", "listing_id long, outcome string", f"{_WALK} SELECT n AS listing_id, outcome FROM walk WHERE n >= 0")(_streamed)
+        intake.start_intake(feed, store, 12, expand, now()).awaitTermination()
+    outcomes = store.read("outcomes")
+    opened = intake.opened_listings(outcomes).join(d.listings.select("listing_id", F.col("place").alias("place_id")), "listing_id").join(
+        store.read("businesses").select("place_id", F.col("id").alias("business_id"), "business_name"), "place_id")
+    linked = opened.join(store.read("links").select(F.col("search_id").alias("run_id"), "business_id", F.col("position").alias("link_position")), ["run_id", "business_id"])
+    owned = store.read("prints").filter("business_id IS NOT NULL").groupBy("business_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("="), "value"))), "|").alias("prints"))
+    stored_rows = linked.join(owned, "business_id", "left").select("listing_id", "business_id", "business_name", "link_position", "prints")
+    return with_stage(outcomes).join(stored_rows, "listing_id", "left")
+
+
+query("T1_T3_incremental_intake", "listing_id long, outcome string, business_id long, business_name string, link_position long, prints string", f"""{_WALK},
+  placed AS (SELECT n, outcome, position, 'Negocio ' || n AS business_name, CASE WHEN outcome = 'lead' AND len(post) > 0 THEN array_to_string(list_sort(list_distinct(post)), '|') END AS prints,
+      row_number() OVER (ORDER BY n // ((SELECT max(rank) FROM {{listings}}) // 4 + 1), replace(place, ':', '')) AS business_id
+    FROM walk JOIN li ON li.rank = walk.n WHERE outcome IN ('lead', 'not_lead', 'duplicate:place', 'duplicate:post', 'no_website:place'))
+    SELECT w.n AS listing_id, w.outcome, p.business_id, p.business_name, p.position AS link_position, p.prints FROM walk w LEFT JOIN placed p ON p.n = w.n WHERE w.n >= 0""")(_streamed)
 
 
 def _live(d: Inputs) -> DataFrame:

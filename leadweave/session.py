@@ -45,10 +45,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so a lost executor never replays the loop.
+    """Write ``df`` to the shared folder and read it back, so a lost executor never replays the loop.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where nothing is
-    configured (local runs, tests) a folder of our own is set.
+    configured (local runs, tests) a folder of our own is set. An eager checkpoint would compute
+    ``df`` twice, and what is read back here still prunes columns.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = work_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
