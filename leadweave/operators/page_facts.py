@@ -7,8 +7,12 @@ partially aggregated ``groupBy`` per page.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadweave import fixed_values as fv
 from leadweave.functions import text as tx
@@ -160,42 +164,50 @@ def with_structure_facts(pages: DataFrame, max_h2: int | None = None, max_menu:
 
 
 # ------------------------------------------------------------------ X5: structured data
+def json_objects(text: str | None) -> list[dict]:
+    """Objects of a JSON-LD text that have a type, in document order: members of arrays and of ``@graph`` at any depth. A text that is no JSON has none."""
+    try:
+        opened = [iter([json.loads(text or "")])]
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while opened:  # the members being walked, outermost first
+        value = next(opened[-1], opened)
+        if value is opened:
+            opened.pop()
+        elif isinstance(value, list):
+            opened.append(iter(value))
+        elif isinstance(value, dict):
+            if "@type" in value:
+                kinds = value["@type"] if isinstance(value["@type"], list) else [value["@type"]]
+                found.append({"types": [str(k) for k in kinds if k], "body": json.dumps(value, ensure_ascii=False)})
+            if "@graph" in value:
+                opened.append(iter([value["@graph"]]))
+    return found
+
+
+_TYPED = pa.list_(pa.struct([("types", pa.list_(pa.string())), ("body", pa.string())]))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("types", T.ArrayType(T.StringType())), T.StructField("body", T.StringType())])))
+def typed_objects(texts: pa.Array) -> pa.Array:
+    return pa.array([[o for text in page or [] for o in json_objects(text)] for page in texts.to_pylist()], _TYPED)
+
+
 def with_structured_data(pages: DataFrame) -> DataFrame:
     """Distinct JSON-LD types and the first business-like object (as JSON text).
 
-    Arrays and ``@graph`` members are flattened two levels deep.
+    Arrays and ``@graph`` members are followed to any depth, in document order. A tree of unknown depth is the
+    one thing here that array functions cannot walk, so the script texts (nothing else of the page) go
+    through an Arrow function.
     """
     scripts = F.filter(of_tag("script"), lambda e: F.lower(attr(e, "type")) == "application/ld+json")
-    pages = pages.withColumn("_docs", F.filter(
-        F.transform(scripts, lambda e: F.try_parse_json(e["text"])), lambda v: v.isNotNull()
-    ))
-
-    def members(v: Column) -> Column:
-        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
-
-    def with_graph(v: Column) -> Column:
-        graph = F.try_variant_get(v, "$['@graph']", "variant")
-        listed = F.try_variant_get(v, "$['@graph']", "array<variant>")
-        return F.concat(F.array(v), F.coalesce(listed, F.when(graph.isNotNull(), F.array(graph)), F.array().cast("array<variant>")))
-
-    def types(v: Column) -> Column:
-        return F.coalesce(
-            F.try_variant_get(v, "$['@type']", "array<string>"),
-            F.array_compact(F.array(F.try_variant_get(v, "$['@type']", "string"))),
-        )
-
-    for _ in range(2):
-        pages = pages.withColumn("_docs", F.flatten(F.transform("_docs", members)))
-        pages = pages.withColumn("_docs", F.flatten(F.transform("_docs", with_graph)))
-    typed = F.filter("_docs", lambda v: F.try_variant_get(v, "$['@type']", "variant").isNotNull())
-    pages = pages.withColumn(
-        "_typed", F.transform(typed, lambda v: F.struct(types(v).alias("types"), F.to_json(v).alias("body")))
-    )
+    pages = pages.withColumn("_typed", typed_objects(F.transform(scripts, lambda e: e["text"])))
     is_business = lambda t: t.isin(fv.LOCAL_BUSINESS_TYPES) | t.endswith("Business")
     return pages.withColumns({
         "json_ld_types": F.array_distinct(F.flatten(F.transform("_typed", lambda o: o["types"]))),
         "local_business": first(F.filter("_typed", lambda o: F.exists(o["types"], is_business)))["body"],
-    }).drop("_docs", "_typed")
+    }).drop("_typed")
 
 
 # ------------------------------------------------------------------ X11: site builders (raw HTML)

@@ -148,7 +148,8 @@ def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max
     leaves = cut_lineage(_registrations(state, checks, keys).distinct())
     settled: list[DataFrame] = []
     newly: DataFrame | None = None
-    while not state.isEmpty():
+    left = kept = state.count()
+    while left:
         active = state.select("listing_id", "rank", "run_id", "opened", "accepted")
         pool = active if newly is None else active.unionByName(newly.select(*active.columns))
         registered = leaves.join(pool.select("listing_id", "opened", "accepted"), "listing_id").select(
@@ -202,9 +203,11 @@ def decide_listings(listings: DataFrame, checks: DataFrame, keys: DataFrame, max
         # A listing half decided stays; what it newly leaves behind still counts for the others.
         newly = decided.filter(done & (F.col("opened") | F.col("accepted"))).select("listing_id", "rank", "run_id", "opened", "accepted")
         state = decided.filter(~done).drop("new_open", "new_accept")
-        alive = state.select("listing_id")
-        asks = cut_lineage(asks.join(alive, "listing_id", "left_semi"))
-        leaves = cut_lineage(leaves.join(alive.unionByName(newly.select("listing_id")), "listing_id", "left_semi"))
+        left = state.count()
+        if left * 2 <= kept:  # written anew only when half is gone, so all rewriting together is at most as much as there was
+            kept, alive = left, state.select("listing_id")
+            asks = cut_lineage(asks.join(alive, "listing_id", "left_semi"))
+            leaves = cut_lineage(leaves.join(alive.unionByName(newly.select("listing_id")), "listing_id", "left_semi"))
     if not settled:
         return state.select("listing_id", "run_id", "rank", "opened", "accepted")
     out = settled[0]

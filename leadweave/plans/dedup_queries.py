@@ -246,10 +246,10 @@ query("U4_U14_replace_prints", "kind string, value string, business_id long, con
     SELECT kind, value, business_id, contacted_id FROM fingerprints WHERE business_id IS NULL OR business_id NOT IN (SELECT id FROM {{businesses}} WHERE {IS_LEAD})
     UNION ALL SELECT kind, value, id, NULL FROM prints WHERE id IN (SELECT id FROM {{businesses}} WHERE {IS_LEAD})""")(
     lambda d: identity.replace_prints(fingerprints(d).withColumn("created_at", now()), _fresh_prints(d), now()))
-query("U7_merge_maps", "id long, a string, b string, c string", """SELECT id, CASE WHEN id % 2 = 0 THEN 'right' ELSE 'left' END AS a, 'left' AS b, CASE WHEN id % 2 = 0 THEN 'right' END AS c FROM {businesses}""")(
+query("U7_merge_maps", "id long, a string, b string, c string", """SELECT id, CASE WHEN id % 2 = 0 THEN coalesce(website, business_name) ELSE business_name END AS a, city AS b, CASE WHEN id % 2 = 0 THEN phone_e164 END AS c FROM {businesses}""")(
     lambda d: d.businesses.select("id", merge_maps(
-        F.create_map(F.lit("a"), F.lit("left"), F.lit("b"), F.lit("left")),
-        F.when(F.col("id") % 2 == 0, F.create_map(F.lit("a"), F.lit("right"), F.lit("c"), F.lit("right"))).otherwise(F.create_map().cast("map<string,string>"))).alias("m")
+        F.create_map(F.lit("a"), "business_name", F.lit("b"), "city"),
+        F.when(F.col("id") % 2 == 0, F.create_map(F.lit("a"), "website", F.lit("c"), "phone_e164")).otherwise(F.create_map().cast("map<string,string>"))).alias("m")
     ).select("id", F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"), F.try_element_at("m", F.lit("c")).alias("c")))
 query("U12_schema_upgrade", "id long, business_name string, broken boolean, duplicate_reason string, columns long", """
     SELECT id, business_name, false AS broken, CAST(NULL AS VARCHAR) AS duplicate_reason, 37 AS columns FROM {businesses}""")(
@@ -262,6 +262,23 @@ query("U13_mark_duplicates", "id long, duplicate_of_id long, marked boolean", _J
         suppression.find_duplicates(identity.business_prints(d.businesses_full()), suppression.owner_of_prints(fingerprints(d), d.contacted, d.businesses_full())).select(
             "id", "duplicate_of_id", "duplicate_reason")).withColumn("marked", F.col("duplicate_reason").isNotNull()).filter("marked"))
 
+
+
+def _unmarked(d: Inputs) -> DataFrame:
+    """Every third business is no duplicate any more: its reason goes and its prints count again."""
+    businesses = d.businesses_full()
+    own = identity.business_prints(businesses).join(businesses.select("id", F.col("duplicate_reason").isNull().alias("registered")), "id")
+    plain, prints = identity.unmark_duplicates(businesses, own.withColumnRenamed("id", "business_id"), businesses.filter("id % 3 = 0").select("id"))
+    counted = prints.groupBy(F.col("business_id").alias("id")).agg(F.count_if("registered").alias("registered"), F.count("*").alias("prints"))
+    return plain.select("id", "duplicate_reason").join(counted, "id", "left").fillna(0, ["registered", "prints"])
+
+
+query("U13_unmark_duplicates", "id long, duplicate_reason string, registered long, prints long", f"""WITH {PRINTS_SQL},
+    n AS (SELECT id, count(*) AS prints FROM prints GROUP BY 1)
+    SELECT b.id, CASE WHEN b.id % 3 = 0 THEN NULL ELSE duplicate_reason END AS duplicate_reason,
+      CASE WHEN b.id % 3 = 0 OR duplicate_reason IS NULL THEN coalesce(prints, 0) ELSE 0 END AS registered, coalesce(prints, 0) AS prints
+    FROM {{businesses}} b LEFT JOIN n ON n.id = b.id""")(_unmarked)
+
 # ------------------------------------------------------------------ X23, A6, U5
 _LINES = r"""lines AS (SELECT line_no, trim(line) AS line, line_no % 6 AS k, '+5693' || CAST(1000000 + line_no % 400 AS VARCHAR) AS e164 FROM {contact_lines} WHERE line_no % 6 <> 4),
   parsed AS (SELECT line_no, k <> 3 AS ok, CASE k WHEN 0 THEN 'taller ' || line_no WHEN 1 THEN 'estudio ' || line_no WHEN 2 THEN 'sin columnas ' || line_no WHEN 5 THEN '(sin nombre)' END AS name,

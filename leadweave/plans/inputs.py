@@ -159,7 +159,7 @@ VIEWS = {
           || CASE WHEN page_id % 3 = 0 THEN '<form action="/c"></form>' ELSE '' END
           || CASE WHEN page_id % 4 = 0 THEN '<iframe src="https://www.google.com/maps/embed?pb=1"></iframe>' ELSE '' END
           || '<p>© ' || CAST(2015 + page_id % 10 AS STRING) || ' Negocio. Garantía total.</p>'
-          || CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Plumber","name":"N' || CAST(page_id AS STRING) || '"},{"@type":["Thing","Offer"]}]}</script>' ELSE '' END
+          || CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Plumber","name":"N' || CAST(page_id AS STRING) || '"},[[[{"@type":["Thing","Offer"]}]]],{"@graph":{"@graph":[{"@graph":[{"@type":"Deep' || CAST(page_id AS STRING) || '"}]}]}}]}</script>' ELSE '' END
           || '</footer>' AS html, page_id % 50 AS site_id
         FROM {pages} JOIN {nation} ON n_nationkey = page_id % 25""",
     "contact_lines": """

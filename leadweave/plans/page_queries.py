@@ -52,7 +52,7 @@ query("X3_head_facts", "page_id long, title string, meta_description string, lan
 query("X4_headings", "page_id long, h1 string, h2 string", f"""SELECT page_id, trim(regexp_replace({_ENTITIES.format(t="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '\\s+', ' ', 'g')) AS h1,
     'Servicios|Zona ' || CAST(page_id AS VARCHAR) AS h2 FROM {{html_pages}}""")(
     lambda d: pf.with_structure_facts(parsed(d)).select("page_id", F.array_join("h1", "|").alias("h1"), F.array_join("h2", "|").alias("h2")))
-query("X5_structured_data", "page_id long, types string, business_name string", """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Plumber|Thing|Offer' ELSE '' END AS types,
+query("X5_structured_data", "page_id long, types string, business_name string", """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Plumber|Thing|Offer|Deep' || CAST(page_id AS VARCHAR) ELSE '' END AS types,
     CASE WHEN page_id % 5 = 0 THEN 'N' || CAST(page_id AS VARCHAR) END AS business_name FROM {html_pages}""")(
     lambda d: pf.with_structured_data(parsed(d)).select("page_id", F.array_join("json_ld_types", "|").alias("types"), F.get_json_object("local_business", "$.name").alias("business_name")))
 query("X6_hrefs", "page_id long, hrefs string", f"WITH {_HREFS} SELECT page_id, array_to_string({_ordered_distinct('links')}, '|') AS hrefs FROM hrefs")(

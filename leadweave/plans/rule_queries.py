@@ -143,8 +143,8 @@ query("A17_link_errors", "site_id long, errors long, first string", f"""WITH {_S
 query("F33_A18_flags", "site_id long, overflow boolean, zoomed_out boolean, last_year long", """SELECT id AS site_id, id % 11 <> 0 AND CASE WHEN id % 9 = 0 THEN 500 ELSE 390 END > CASE WHEN id % 8 = 0 THEN 980 ELSE 390 END + 2 AS overflow,
     id % 11 <> 0 AND id % 8 = 0 AS zoomed_out, 2010 + id % 16 AS last_year FROM {businesses}""")(
     lambda d: findings.with_site_flags(reviewed_sites(d)).withColumn("last_year", F.array_max("copyright_years")))
-query("R26_region_of_site", "site_id long, region string", "SELECT id AS site_id, 'CL' AS region FROM {businesses}")(
-    lambda d: d.businesses.select(F.col("id").alias("site_id"), ph.phone_region("phone_e164").alias("region")))
+query("R26_region_of_site", "site_id long, region string", """SELECT id AS site_id, CASE id % 12 WHEN 4 THEN 'MX' WHEN 5 THEN 'AR' WHEN 6 THEN 'US' WHEN 7 THEN 'ES' WHEN 11 THEN 'ES' ELSE 'CL' END AS region FROM {phones}""")(
+    lambda d: d.phones.select(F.col("id").alias("site_id"), ph.normalize_phone("raw").alias("e164")).select("site_id", ph.phone_region("e164").alias("region")))
 query("P24_P25_analysis_rows", "site_id long, scores string, shots string, opportunity_level string, rubric_version string", f"""WITH {_SITES}, e AS (SELECT *,
       CASE WHEN k % 10 <= 2 THEN 0 ELSE CASE WHEN k % 7 = 0 THEN 2 WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 1 THEN 2 ELSE 0 END END AS errors FROM s)
     SELECT k AS site_id, '5=' || speed || ',9=' || CASE WHEN errors <= 0 THEN 10 WHEN errors <= 1 THEN 8 WHEN errors <= 3 THEN 6 WHEN errors <= 6 THEN 4 ELSE 2 END AS scores,

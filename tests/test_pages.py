@@ -94,6 +94,28 @@ def test_long_chains_and_cycles_take_logarithmic_rounds(spark, monkeypatch):
     assert cl.resolve_short_links(asked, redirects.limit(0)).filter("final_url IS NULL").count() == len(got)
 
 
+def test_structured_data_of_any_depth(parse):
+    deep = '{"@type":"Dentist","name":"D"}'
+    for _ in range(60):
+        deep = '{"@graph":[[' + deep + "]]}"
+    script = lambda text: f'<script type="application/ld+json">{text}</script>'
+    pages = parse(
+        script('[[[{"@type":["A",null,"B"],"@graph":{"@graph":[{"@type":"C"}]}}]]]') + script("{bad") + script('{"@type":"A"}'), script(deep), script("[" * 100_000), "<p>x</p>",
+        script('{"name":"no type","address":{"@type":"Inside"}}'))
+    found = {r["page_id"]: r for r in pf.with_structured_data(pages).collect()}
+    assert found[0]["json_ld_types"] == ["A", "B", "C"] and found[0]["local_business"] is None
+    assert found[1]["json_ld_types"] == ["Dentist"] and '"name": "D"' in found[1]["local_business"]
+    assert [found[k]["json_ld_types"] for k in (2, 3, 4)] == [[], [], []]
+
+
+def test_place_words_need_no_exchange(spark, parse):
+    catalog = spark.createDataFrame([("San Juan", "San Juan", False), ("San", "San", False), ("San Juan de la Costa", "San Juan de la Costa", False)], "name string, folded string, ambiguous boolean")
+    pages = pf.with_visible_text(parse("<p>en San Juan de la Costa</p>", "<p>San; san  juan</p>", "<p>sanjuan</p>"))
+    found = pf.place_mentions(pages, catalog)
+    assert {r["page_id"]: r["places"] for r in found.collect()} == {0: ["San", "San Juan", "San Juan de la Costa"], 1: ["San", "San Juan"]}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_link_work_has_no_python_and_no_nested_loop(spark):
     links = spark.range(10).select(F.col("id"), F.concat(F.lit("https://a.cl/"), F.col("id").cast("string")).alias("url"))
     from leadweave.functions.urls import with_link_print

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadweave.operators import skew
+from leadweave.operators import skew, suppression
 from leadweave.operators.suppression import run_counters, suppress_repeats
 
 FLAGS = ["known_stored", "card_has_site", "card_stored", "readable", "place_stored", "site_open", "is_lead", "post_stored"]
@@ -76,6 +76,18 @@ def test_rounds_equal_the_sequential_rule(spark, seed, hot):
         assert got[r["repeat_of"]] == "lead"
 
 
+def test_rounds_of_a_chain_read_less_and_less(spark, monkeypatch):
+    """Each listing shares a print with the one before, so the chain is decided link by link."""
+    rows = [{"listing_id": i, "rank": i, "run_id": 0, "position": i + 1, "target": 99, "keys": [f"k{i}"], "card": [], "place": [], "post": [f"numero:{i}", f"numero:{i + 1}"], "known_stored": False,
+             "card_has_site": True, "card_stored": False, "readable": True, "place_stored": False, "site_open": True, "is_lead": True, "post_stored": False} for i in range(12)]
+    asked = []
+    plain = suppression.hot_safe_lookup
+    monkeypatch.setattr(suppression, "hot_safe_lookup", lambda r, *a: asked.append(r.count()) or plain(r, *a))
+    out = suppress_repeats(*frames(spark, rows), max_listings=25)
+    assert {r["listing_id"]: r["outcome"] for r in out.collect()} == {i: "lead" if i % 2 == 0 else "duplicate" for i in range(12)}
+    assert len(asked) >= 6 and asked == [*sorted(asked[:-1], reverse=True), asked[-1]] and asked[-2] * 2 <= asked[0]
+
+
 def test_hot_keys_are_looked_up_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(skew, "MIN_HOT_ROWS", 50)
     rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
