@@ -104,13 +104,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     * A null host or path is a site of its own. Sites without labels have the posterior of the level above.
     * Null and empty texts have zero features and are scored like any other.
+    * Of several labels of one id the lowest counts; rows that repeat an id are scored each, with its label.
     * Without labels the rate is 0.5 and the evidence 0. An empty table gives an empty result.
+      Other columns are not read.
     """
     host, path = F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), F.coalesce(F.col(path_col).cast("string"), F.lit("\0"))
     keyed = docs.withColumn("_host", host).withColumn("_path", path)
     rows = stage(with_features(keyed, id_col, text_col, ["_host", "_path"]), "features")
-    known = labels.where(F.col(label_col).isNotNull()).where(fold_of(F.col(id_col), folds) != held_out).select(
-        F.col(id_col), F.col(label_col).cast("double").alias("_y")).dropDuplicates([id_col])
+    known = labels.where(F.col(label_col).isNotNull()).where(fold_of(F.col(id_col), folds) != held_out).groupBy(id_col).agg(
+        F.min(F.col(label_col).cast("double")).alias("_y"))
     labelled = stage(rows.join(known, id_col), "labelled")
     total = labelled.agg(F.count("*").alias("n"), F.coalesce(F.avg("_y"), F.lit(0.5)).alias("rate")).first()
     prior = min(max(total["rate"], 1e-3), 1 - 1e-3)

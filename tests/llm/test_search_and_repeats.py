@@ -243,3 +243,21 @@ def test_toxicity_shuffles_no_text_below_its_bits(spark, monkeypatch):
     toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int"))
     plans = dict(staged)
     assert "LeftSemi" not in plans["maybe-confirmed"] and "LeftSemi" in plans["confirmed"] and "_place" not in plans["confirmed"]
+
+
+def test_quality_takes_the_lowest_of_conflicting_labels(spark):
+    from leadweave.llm.quality import score_quality
+
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["ka", "lo", "mi."] if k % 4 else ["|", "??", "1"]) for _ in range(30)), f"h{k % 3}", "p") for k in range(120)]
+    rows += [rows[3], (3, "another text", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    plain_labels = [(k, int(k % 4 > 0)) for k in range(120)]
+    lowest = [(k, 0 if k % 5 == 0 else v) for k, v in plain_labels]
+    score = lambda d, pairs: sorted((r["doc_id"], round(r["score"], 9)) for r in score_quality(d, spark.createDataFrame(pairs, "doc_id long, quality int")).collect())
+    wanted = score(docs, lowest)
+    assert score(docs, [*plain_labels, *[(k, 0) for k in range(0, 120, 5)], (7, None), (None, 1)]) == wanted and len(wanted) == 122
+    extra = docs.select("*", *[F.lit("own").alias(n) for n in ("_host", "_path", "_x", "_y", "_salt", "evidence", "score")])
+    assert score(extra, lowest) == wanted
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert score_quality(docs.limit(0), empty).collect() == [] and score_quality(docs, empty).count() == 122
