@@ -272,48 +272,66 @@ def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def gradients(model: Model, rows: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss and gradients for windows of input rows and target classes (-1 where there is none; such inputs are in no softmax)."""
+def gradients(model: Model, rows: np.ndarray, target: np.ndarray, lead: int = 0) -> tuple[float, list[np.ndarray]]:
+    """Mean loss and gradients for windows of input rows and target classes (-1 where there is none; such inputs are in no softmax).
+
+    The first ``lead`` positions are context only: they have no targets, and nothing is predicted there.
+    """
     scale = np.float32(WIDTH**-0.5)
+    ones = np.ones(WINDOW, np.float32)
     away = np.where(rows < 0, -1e4, 0).astype(np.float32)[:, None, :]
-    rows = np.maximum(rows, 0)
-    x = model.embed[rows] + model.place
-    q, k, v = x @ model.query * scale, x @ model.key, x @ model.value
-    score = q @ k.transpose(0, 2, 1) + _causal(0) + away
-    score -= score.max(axis=2, keepdims=True)
-    att = np.exp(score)
-    att /= att.sum(axis=2, keepdims=True)
-    hidden = att @ v + model.embed[rows]
+    rows, target = np.maximum(rows, 0), target[:, lead:]
+    embedded = model.embed[rows]
+    x = embedded + model.place
+    asking = x[:, lead:]
+    q, k, v = asking @ model.query * scale, x @ model.key, x @ model.value
+    att = q @ k.transpose(0, 2, 1)
+    att += _causal(lead)
+    if away.any():
+        att += away
+    # Where no exponent can pass 60, the usual shift by the maximum is left out; a window always sees its own place.
+    norm = lambda a: float(np.sqrt(np.einsum("...i,...i->...", a, a).max(initial=0)))
+    if norm(q) * norm(k) > 60:
+        att -= att.max(axis=2, keepdims=True)
+    np.exp(att, out=att)
+    att /= (att @ ones)[..., None]
+    hidden = att @ v + embedded[:, lead:]
     logits = hidden @ model.out + model.bias
-    logits -= logits.max(axis=2, keepdims=True)
-    share = np.exp(logits)
-    total = share.sum(axis=2, keepdims=True)
-    share /= total
+    if norm(hidden) * norm(model.out.T) + float(np.abs(model.bias).max()) > 60:
+        logits -= logits.max(axis=2, keepdims=True)
     keep = target >= 0
     count = max(1, int(keep.sum()))
     at = np.nonzero(keep)
-    loss = float((np.log(total[..., 0][at]) - logits[(*at, target[at])]).sum() / count)
+    own = logits[(*at, target[at])]
+    share = np.exp(logits, out=logits)
+    total = share @ np.ones(CLASSES, np.float32)
+    loss = float((np.log(total[at]) - own).sum() / count)
+    share /= total[..., None]
     share[(*at, target[at])] -= 1
     share *= (keep / np.float32(count))[..., None].astype(np.float32)
     d_hidden = share @ model.out.T
-    d_att = d_hidden @ v.transpose(0, 2, 1)
-    d_score = att * (d_att - (d_att * att).sum(axis=2, keepdims=True))
+    d_score = d_hidden @ v.transpose(0, 2, 1)
+    d_score -= np.einsum("bij,bij->bi", d_score, att)[..., None]
+    d_score *= att
     d_q, d_k, d_v = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q, att.transpose(0, 2, 1) @ d_hidden
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    d_x = d_q @ model.query.T + d_k @ model.key.T + d_v @ model.value.T
+    d_x = d_k @ model.key.T + d_v @ model.value.T
+    d_x[:, lead:] += d_q @ model.query.T
+    d_embed = d_x.copy()
+    d_embed[:, lead:] += d_hidden
     return loss, [
-        _summed(rows.ravel(), flat(d_x + d_hidden), len(model.embed)), d_x.sum(axis=0), flat(x).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v),
+        _summed(rows.ravel(), flat(d_embed), len(model.embed)), d_x.sum(axis=0), flat(asking).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v),
         flat(hidden).T @ flat(share), flat(share).sum(axis=0)]
 
 
-def train_locally(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int) -> Model:
-    """One pass of Adam over a task's windows."""
+def train_locally(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int, lead: int = 0) -> Model:
+    """One pass of Adam over a task's windows, whose first ``lead`` positions have no targets."""
     arrays = [a.copy() for a in model.arrays()]
     moment, square = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
     order = np.random.default_rng(seed).permutation(len(rows))
     for step, begin in enumerate(range(0, len(order), BATCH), 1):
         part = order[begin : begin + BATCH]
-        _, grads = gradients(Model(*arrays), rows[part], target[part])
+        _, grads = gradients(Model(*arrays), rows[part], target[part], lead)
         for a, g, m, s in zip(arrays, grads, moment, square, strict=True):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
@@ -412,7 +430,9 @@ def text_windows(ids: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rate: float = 0.01) -> Model:
-    """Federated averaging over the tasks of ``texts`` (one column of bytes), whole texts, each in one round; averages of averages, so that few models reach the driver."""
+    """Seeds and averages are per task, so weights, and with them ``score``, depend on how the input is partitioned.
+
+    Federated averaging over the tasks of ``texts`` (one column of bytes), whole texts, each in one round; averages of averages, so that few models reach the driver."""
     spark = texts.sparkSession
     model = new_model(classes.prior)
     for turn in range(ROUNDS):
@@ -427,7 +447,7 @@ def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rat
 
             def trained() -> Model:
                 ids, wanted = (np.concatenate(parts) for parts in zip(*held, strict=True))
-                return train_locally(model, np.where(ids >= 0, classes.row[ids], -1), np.where(wanted >= 0, classes.of[wanted], -1), rate / (turn + 1), 1000 * turn + number)
+                return train_locally(model, np.where(ids >= 0, classes.row[ids], -1), np.where(wanted >= 0, classes.of[wanted], -1), rate / (turn + 1), 1000 * turn + number, LEAD)
 
             for batch in batches:
                 for text in batch.column(0):

@@ -261,3 +261,16 @@ def test_quality_takes_the_lowest_of_conflicting_labels(spark):
     assert score(extra, lowest) == wanted
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert score_quality(docs.limit(0), empty).collect() == [] and score_quality(docs, empty).count() == 122
+
+
+def test_gradients_leave_out_the_lead(spark):
+    from leadweave.llm import lm
+
+    rng = np.random.default_rng(5)
+    model = lm.new_model(np.zeros(lm.CLASSES, np.float32))
+    rows, target = rng.integers(-1, 60, (9, lm.WINDOW)), rng.integers(-1, 20, (9, lm.WINDOW))
+    rows[:, lm.LEAD :] = abs(rows[:, lm.LEAD :])
+    target[:, : lm.LEAD] = -1
+    whole, short = lm.gradients(model, rows, target), lm.gradients(model, rows, target, lm.LEAD)
+    assert whole[0] == pytest.approx(short[0], rel=1e-5)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole[1], short[1], strict=True))
