@@ -406,3 +406,62 @@ MAP_VIEW_PATTERN = r"/@-?\d+(?:\.\d+)?,-?\d+(?:\.\d+)?(?:,[\d.]+[a-z]?)*"
 LINK_DIGITS_PATTERN = r"(?:wa\.me/|phone=)\+?(\d{8,})"
 SHOWN_DIGITS_PATTERN = r"wa\.me/(\d+)"
 SHORT_LINK_PRINT_PATTERN = r"(?i)((?:wa\.link|walink\.co)/[^/?#\s]+|wa\.me/message/[^/?#\s]+)"
+
+# FIXED VALUES: three-digit area codes of Argentina (11 has two digits, all others four) and of Canada.
+AR_AREAS = (
+    "220|221|223|230|236|237|249|260|261|263|264|266|280|291|294|297|298|299|336|341|342|343|345|348|"
+    "351|353|358|362|364|370|376|379|380|381|383|385|387|388"
+)
+CA_AREAS = (
+    "204|226|236|249|250|257|263|289|306|343|354|365|367|368|382|403|416|418|428|431|437|438|450|468|474|506|514|519|548|"
+    "579|581|584|587|604|613|639|647|672|683|705|709|742|753|778|780|782|807|819|825|867|873|879|902|905|942"
+)
+# FIXED VALUES: the numbering plan. Region, calling code, trunk prefix, valid national numbers, possible
+# mobiles, and the international grouping of full numbers (first matching rule wins).
+NUMBERING_PLAN = [
+    ("CL", "56", "", r"(?:2[1-3]|3[2-5]|[47][1-35]|5[1-3578]|6[13-57]|8[1-9]|9[2-9])\d{7}|600\d{7,8}|800\d{6}", r"9[2-9]\d{7}", (
+        (r"^56(9)(\d{4})(\d{4})$", "+56 $1 $2 $3"), (r"^56(2)([1-3]\d{3})(\d{4})$", "+56 $1 $2 $3"), (r"^56([3-8]\d)(\d{3})(\d{4})$", "+56 $1 $2 $3"))),
+    ("AR", "54", "0", r"9?(?:11\d{8}|[23]\d{9})", r"9(?:11\d{8}|[23]\d{9})", (
+        (r"^549(11)(\d{4})(\d{4})$", "+54 9 $1 $2-$3"), (rf"^549({AR_AREAS})(\d{{3}})(\d{{4}})$", "+54 9 $1 $2-$3"),
+        (r"^549([23]\d{3})(\d{2})(\d{4})$", "+54 9 $1 $2-$3"), (r"^54(11)(\d{4})(\d{4})$", "+54 $1 $2-$3"),
+        (rf"^54({AR_AREAS})(\d{{3}})(\d{{4}})$", "+54 $1 $2-$3"), (r"^54([23]\d{3})(\d{2})(\d{4})$", "+54 $1 $2-$3"))),
+    ("MX", "52", "", r"[2-9]\d{9}", r"[2-9]\d{9}", (
+        (r"^52(33|5[56]|81)(\d{4})(\d{4})$", "+52 $1 $2 $3"), (r"^52([2-9]\d{2})(\d{3})(\d{4})$", "+52 $1 $2 $3"))),
+    ("CA", "1", "", rf"(?:{CA_AREAS})[2-9]\d{{6}}", rf"(?:{CA_AREAS})[2-9]\d{{6}}", ()),
+    ("US", "1", "", r"[2-9]\d{2}[2-9]\d{6}", r"[2-9]\d{2}[2-9]\d{6}", ((r"^1(\d{3})(\d{3})(\d{4})$", "+1 $1-$2-$3"),)),
+    ("ES", "34", "", r"[89]\d{8}|6\d{8}|7[1-9]\d{7}", r"6\d{8}|7[1-9]\d{7}", ((r"^34(\d{3})(\d{2})(\d{2})(\d{2})$", "+34 $1 $2 $3 $4"),)),
+    ("PE", "51", "0", r"9\d{8}|1\d{7}|(?:4[1-4]|5[1-46]|6[1-7]|7[2-46]|8[2-4])\d{6}", r"9\d{8}", (
+        (r"^51(9\d{2})(\d{3})(\d{3})$", "+51 $1 $2 $3"), (r"^51(1)(\d{7})$", "+51 $1 $2"), (r"^51([4-8]\d)(\d{6})$", "+51 $1 $2"))),
+    ("CO", "57", "0", r"3[0-57]\d{8}|60[1-8]\d{7}", r"3[0-57]\d{8}", ((r"^57(\d{3})(\d{7})$", "+57 $1 $2"),)),
+    ("BR", "55", "0", r"(?:[14689][1-9]|2[12478]|3[1-578]|5[13-5]|7[13-579])(?:9\d{8}|[2-5]\d{7})", r"(?:[14689][1-9]|2[12478]|3[1-578]|5[13-5]|7[13-579])9\d{8}", (
+        (r"^55(\d{2})(9\d{4})(\d{4})$", "+55 $1 $2-$3"), (r"^55(\d{2})(\d{4})(\d{4})$", "+55 $1 $2-$3"))),
+    ("UY", "598", "0", r"9[1-9]\d{6}|[24]\d{7}", r"9[1-9]\d{6}", ((r"^598(9\d)(\d{3})(\d{3})$", "+598 $1 $2 $3"), (r"^598([24]\d{3})(\d{4})$", "+598 $1 $2"))),
+    ("PY", "595", "0", r"9(?:51|6[129]|7[1-9]|8[1-8]|9[1-5])\d{6}|21\d{6,7}", r"9(?:51|6[129]|7[1-9]|8[1-8]|9[1-5])\d{6}", (
+        (r"^595(9\d{2})(\d{6})$", "+595 $1 $2"), (r"^595(21)(\d{3})(\d{3,4})$", "+595 $1 $2 $3"))),
+    ("BO", "591", "0", r"[67]\d{7}|[2-4]\d{7}", r"[67]\d{7}", ((r"^591([67]\d{7})$", "+591 $1"), (r"^591([2-4])(\d{7})$", "+591 $1 $2"))),
+    ("EC", "593", "0", r"9\d{8}|[2-7][2-7]\d{6}", r"9\d{8}", ((r"^593(9\d)(\d{3})(\d{4})$", "+593 $1 $2 $3"), (r"^593([2-7])(\d{3})(\d{4})$", "+593 $1-$2-$3"))),
+    ("VE", "58", "0", r"4(?:1[24-8]|2[246])\d{7}|2\d{9}", r"4(?:1[24-8]|2[246])\d{7}", ((r"^58(\d{3})(\d{7})$", "+58 $1-$2"),)),
+    ("CR", "506", "", r"(?:5[07]|[67]\d|8[3-9])\d{6}|2[24-7]\d{6}", r"(?:5[07]|[67]\d|8[3-9])\d{6}", ((r"^506(\d{4})(\d{4})$", "+506 $1 $2"),)),
+    ("PA", "507", "", r"6\d{7}|[2-57-9]\d{6}", r"6\d{7}", ((r"^507(6\d{3})(\d{4})$", "+507 $1-$2"), (r"^507(\d{3})(\d{4})$", "+507 $1-$2"))),
+    ("GT", "502", "", r"[2-7]\d{7}", r"[3-5]\d{7}", ((r"^502(\d{4})(\d{4})$", "+502 $1 $2"),)),
+    ("SV", "503", "", r"[267]\d{7}", r"[67]\d{7}", ((r"^503(\d{4})(\d{4})$", "+503 $1 $2"),)),
+    ("HN", "504", "", r"[237-9]\d{7}", r"[37-9]\d{7}", ((r"^504(\d{4})(\d{4})$", "+504 $1-$2"),)),
+    ("NI", "505", "", r"[2578]\d{7}", r"[578]\d{7}", ((r"^505(\d{4})(\d{4})$", "+505 $1 $2"),)),
+    ("FR", "33", "0", r"[1-59]\d{8}|6\d{8}|7[3-9]\d{7}", r"6\d{8}|7[3-9]\d{7}", ((r"^33(\d)(\d{2})(\d{2})(\d{2})(\d{2})$", "+33 $1 $2 $3 $4 $5"),)),
+    ("IT", "39", "", r"3\d{8,9}|0\d{5,10}", r"3\d{8,9}", ((r"^39(3\d{2})(\d{3})(\d{3,4})$", "+39 $1 $2 $3"), (r"^39(0[26])(\d{3,4})(\d{4})$", "+39 $1 $2 $3"))),
+    ("GB", "44", "0", r"7[1-57-9]\d{8}|[12]\d{9}|3\d{9}", r"7[1-57-9]\d{8}", (
+        (r"^44(7\d{3})(\d{6})$", "+44 $1 $2"), (r"^44(2\d)(\d{4})(\d{4})$", "+44 $1 $2 $3"),
+        (r"^44(1\d1|11\d|3\d{2})(\d{3})(\d{4})$", "+44 $1 $2 $3"), (r"^44(1\d{3})(\d{6})$", "+44 $1 $2"))),
+    ("DE", "49", "0", r"1(?:5\d{9}|[67]\d{8,9})|[2-9]\d{6,10}", r"1(?:5\d{9}|[67]\d{8,9})", (
+        (r"^49(15\d{2})(\d{7})$", "+49 $1 $2"), (r"^49(1[67]\d)(\d{7,8})$", "+49 $1 $2"), (r"^49(30|40|69|89)(\d{5,9})$", "+49 $1 $2"))),
+    ("PT", "351", "", r"9[1-36]\d{7}|2\d{8}", r"9[1-36]\d{7}", (
+        (r"^351(2[12])(\d{3})(\d{4})$", "+351 $1 $2 $3"), (r"^351(\d{3})(\d{3})(\d{3})$", "+351 $1 $2 $3"))),
+]
+# FIXED VALUES: legacy marks inside a full number (code first, trunk digits already gone) and their modern form.
+PHONE_REWRITES = [
+    (r"^521(\d{10})$", "52$1"),
+    (r"^52(?:01|04[45])(\d{10})$", "52$1"),
+    (r"^549?1115(\d{8})$", "54911$1"),
+    (rf"^549?({AR_AREAS})15(\d{{7}})$", "549$1$2"),
+    (r"^549?([23]\d{3})15(\d{6})$", "549$1$2"),
+]

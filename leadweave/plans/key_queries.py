@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
@@ -9,6 +12,7 @@ from leadweave.functions import phones as ph
 from leadweave.functions import text as tx
 from leadweave.functions import urls as ur
 from leadweave.operators import identity
+from leadweave.plans.inputs import Inputs
 from leadweave.plans.registry import query
 
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -106,6 +110,57 @@ query("F16_contact_number", "id long, number string, broken boolean, noted boole
       CASE WHEN e164 IS NULL THEN NULL ELSE id % 12 IN (1, 2) END AS broken,
       e164 IS NOT NULL AND id % 12 IN (1, 2) AS noted FROM c""")(
     lambda d: ph.with_contact_number(d.phones, "raw", "c").select("id", F.col("c_number").alias("number"), F.col("c_broken").alias("broken"), F.col("c_note").isNotNull().alias("noted")))
+# Numbers of the customers of each nation: region, digits before the tail as written abroad and at home, tail length, mobile, shown pieces of the tail.
+_NATIONAL = [
+    ("PE", "+519", "9", 8, True, "+51 9", (2, " ", 3, " ", 3)), ("PE", "+511", "01", 7, False, "+51 1 ", (7,)), ("CO", "+573", "3", 9, True, "+57 3", (2, " ", 7)),
+    ("CO", "+57601", "601", 7, False, "+57 601 ", (7,)), ("BR", "+55119", "0119", 8, True, "+55 11 9", (4, "-", 4)), ("BR", "+55213", "0213", 7, False, "+55 21 3", (3, "-", 4)),
+    ("UY", "+59894", "094", 6, True, "+598 94 ", (3, " ", 3)), ("PY", "+595981", "0981", 6, True, "+595 981 ", (6,)), ("BO", "+5917", "7", 7, True, "+591 7", (7,)),
+    ("EC", "+59399", "099", 7, True, "+593 99 ", (3, " ", 4)), ("VE", "+58412", "0412", 7, True, "+58 412-", (7,)), ("CR", "+50688", "88", 6, True, "+506 88", (2, " ", 4)),
+    ("PA", "+5076", "6", 7, True, "+507 6", (3, "-", 4)), ("GT", "+5025", "5", 7, True, "+502 5", (3, " ", 4)), ("SV", "+5037", "7", 7, True, "+503 7", (3, " ", 4)),
+    ("HN", "+5049", "9", 7, True, "+504 9", (3, "-", 4)), ("NI", "+5058", "8", 7, True, "+505 8", (3, " ", 4)), ("FR", "+336", "06", 8, True, "+33 6 ", (2, " ", 2, " ", 2, " ", 2)),
+    ("IT", "+39347", "347", 7, True, "+39 347 ", (3, " ", 4)), ("IT", "+3906", "06", 8, False, "+39 06 ", (4, " ", 4)), ("GB", "+4474", "074", 8, True, "+44 74", (2, " ", 6)),
+    ("GB", "+4420", "020", 8, False, "+44 20 ", (4, " ", 4)), ("DE", "+49151", "0151", 8, True, "+49 151", (1, " ", 7)), ("PT", "+35191", "91", 7, True, "+351 91", (1, " ", 3, " ", 3)),
+    ("CA", "+1416", "416", 7, True, "+1 416-", (3, "-", 4)),
+]
+
+
+def _tail(row: tuple) -> str:
+    return f"lpad(CAST(c_custkey % {10 ** row[3]} AS STRING), {row[3]}, '0')"
+
+
+def _pieces(row: tuple) -> str:
+    at, parts = 1, [f"'{row[5]}'"]
+    for piece in row[6]:
+        parts.append(f"'{piece}'" if isinstance(piece, str) else f"substr({_tail(row)}, {at}, {piece})")
+        at += 0 if isinstance(piece, str) else piece
+    return " || ".join(parts)
+
+
+def _by_nation(shape: Callable[[tuple], str]) -> str:
+    return "CASE c_nationkey " + " ".join(f"WHEN {n} THEN {shape(row)}" for n, row in enumerate(_NATIONAL)) + " END"
+
+
+# A Canadian tail that begins with 0 or 1 is no number: it stays NULL.
+_NO_NUMBER = f"c_nationkey = 24 AND {_tail(_NATIONAL[24])} < '2'"
+query("F11_F12_F13_F14_F16_number_plan", "id long, e164 string, region string, mobile boolean, shown string, link_number string, broken boolean", f"""
+    WITH n AS (SELECT c_custkey AS id, {_by_nation(lambda r: f"'{r[1]}' || " + _tail(r))} AS e164, {_by_nation(lambda r: f"'{r[0]}'")} AS region,
+      {_by_nation(lambda r: str(r[4]).lower())} AS mobile, {_by_nation(_pieces)} AS shown, {_NO_NUMBER} AS none FROM {{customer}})
+    SELECT id, CASE WHEN NOT none THEN e164 END AS e164, CASE WHEN none THEN 'ZZ' ELSE region END AS region, mobile AND NOT none AS mobile, CASE WHEN NOT none THEN shown END AS shown,
+      CASE WHEN NOT none THEN substr(e164, 2) END AS link_number, CASE WHEN NOT none THEN false END AS broken FROM n""")(lambda d: _number_plan(d))
+
+
+def _number_plan(d: Inputs) -> DataFrame:
+    """Even customers write their number as at home (with the trunk digit), odd ones as from abroad."""
+    abroad, home = (F.expr(_by_nation(lambda r, i=i: f"'{r[i]}' || " + _tail(r))) for i in (1, 2))
+    numbers = d.customer.select(
+        F.col("c_custkey").alias("id"), F.expr(_by_nation(lambda r: f"'{r[0]}'")).alias("home"), F.when(F.col("c_custkey") % 2 == 0, home).otherwise(abroad).alias("raw"),
+        F.concat(F.lit("https://wa.me/"), F.regexp_replace(abroad, "[+]", "")).alias("link"))
+    numbers = numbers.withColumn("e164", ph.normalize_phone("raw", F.col("home"))).withColumn("digits", F.regexp_extract("link", r"(\d+)$", 1))
+    return ph.with_contact_number(numbers, "digits", "c", F.col("home")).select(
+        "id", "e164", ph.phone_region("e164", "ZZ").alias("region"), ph.is_probable_mobile("e164").alias("mobile"), ph.pretty_number("e164").alias("shown"),
+        F.col("c_number").alias("link_number"), F.col("c_broken").alias("broken"))
+
+
 query("F17_fold_accents", "doc_id long, folded string", "SELECT doc_id, strip_accents(text) AS folded FROM {documents}")(
     lambda d: d.documents.select("doc_id", tx.fold_accents("text").alias("folded")))
 query("F18_address_locality", "id long, locality string", "SELECT id, city AS locality FROM {businesses}")(

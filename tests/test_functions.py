@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from leadweave.functions import phones as ph
@@ -57,6 +58,30 @@ def test_phones(apply):
     assert apply(["Fono +56 9 5555 1234 o (2) 2345 6789, RUT 76.123.456-7, 1998"], lambda d: ph.phones_in_text("a")) == [["+56955551234", "+56223456789"]]
 
 
+def test_numbers_of_many_countries(apply):
+    rows = [("+51 987 654 321", "CL"), ("(01) 234 5678", "PE"), ("+44 (0)20 7946 0958", "CL"), ("06 12 34 56 78", "FR"), ("06 1234 5678", "IT"), ("(416) 555-0199", "US"),
+            ("0 11 91234-5678", "BR"), ("+57 601 2345678", "CL"), ("+81 90 1234 5678", "CL"), ("0049 1512 3456789", "CL"), ("", "XX"), (None, None)]
+    numbers = ["+51987654321", "+5112345678", "+442079460958", "+33612345678", "+390612345678", "+14165550199", "+5511912345678", "+576012345678", None, "+4915123456789", None, None]
+    assert apply(rows, lambda d: ph.normalize_phone("a", F.col("b")), "a string, b string") == numbers
+    assert apply(numbers[:8], lambda d: ph.phone_region("a", "ZZ")) == ["PE", "PE", "GB", "FR", "IT", "CA", "BR", "CO"]
+    assert apply(numbers[:8], lambda d: ph.is_probable_mobile("a")) == [True, False, False, True, False, True, True, False]
+    assert apply(numbers[:8], lambda d: ph.pretty_number("a")) == [
+        "+51 987 654 321", "+51 1 2345678", "+44 20 7946 0958", "+33 6 12 34 56 78", "+39 06 1234 5678", "+1 416-555-0199", "+55 11 91234-5678", "+57 601 2345678"]
+    assert apply(["Tel. +51 1 2345678, +57 321 1234567 y +56955551234"], lambda d: ph.phones_in_text("a")) == [["+5112345678", "+573211234567", "+56955551234"]]
+
+
+def test_plan_is_a_table(spark, apply):
+    rows = [("JP", "81", "0", r"[1-9]\d{8,9}", r"[7-9]0\d{8}", [(r"^81(\d{2})(\d{4})(\d{4})$", "+81 $1-$2-$3")])]
+    schema = "region string, code string, trunk string, valid string, mobile string, display array<struct<pattern:string,shown:string>>"
+    plan = ph.plan_from_table(spark.createDataFrame(rows, schema))
+    assert apply(["090-1234-5678", "+81 (0)90 1234 5678", "+56955551234"], lambda d: ph.normalize_phone("a", "JP", plan)) == ["+819012345678", "+819012345678", None]
+    assert apply(["+819012345678"], lambda d: F.concat_ws("/", ph.phone_region("a", "ZZ", plan), ph.is_probable_mobile("a", plan).cast("string"), ph.pretty_number("a", plan))) == ["JP/true/+81 90-1234-5678"]
+    with pytest.raises(ValueError):
+        ph.plan_from_table(spark.createDataFrame(rows * 3, schema), max_rows=2)
+    with pytest.raises(ValueError):
+        ph.NumberingPlan([("A", "5", "", r"\d+", "", ()), ("B", "56", "", r"\d+", "", ())])
+
+
 def test_texts(apply):
     assert apply(["Ñandú ÁÉ"], lambda d: tx.fold_accents("a")) == ["Nandu AE"]
     assert apply(["© 2018–2022 X", "2010 derechos reservados", "Desde 1998"], lambda d: tx.copyright_years("a")) == [[2022], [2010], []]

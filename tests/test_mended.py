@@ -54,11 +54,12 @@ def test_place_names_across_punctuation_and_long_names(spark):
 
 
 def test_short_link_host_and_foreign_number(spark):
-    body = "<a href='https://walink.co/abc12'>Escribir</a><a href='https://wa.me/51987654321'>Perú</a><a href='https://wa.me/123'>mal</a>"
+    body = "<a href='https://walink.co/abc12'>Escribir</a><a href='https://wa.me/51987654321'>Perú</a><a href='https://wa.me/819012345678'>Japón</a><a href='https://wa.me/123'>mal</a>"
     found = cl.contact_mentions(parse_pages(cl.with_fallback_text(pages(spark, body)), keep=["page_id", "url", "region", "fallback_text"])).collect()
     assert any(r["outcome"] == "shortlink" and "walink.co/abc12" in r["url"] for r in found)
     broken = {r["evidence"]: r["ignored_broken"] for r in found if r["outcome"] == "ignored"}
-    assert [v for e, v in broken.items() if "51987654321" in e] == [False]
+    assert [v for e, v in broken.items() if "819012345678" in e] == [False]
+    assert [(r["number"], r["broken"]) for r in found if r["outcome"] == "candidate"] == [("51987654321", False)]
 
 
 def test_numeric_references(apply):
