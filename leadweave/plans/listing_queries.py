@@ -9,11 +9,12 @@ from leadweave import fixed_values as fv
 from leadweave.functions.phones import pretty_number
 from leadweave.operators import judgments, leads, listings, site_status
 from leadweave.operators.page_elements import parse_pages
+from leadweave.plans.fusion_queries import _ERROR_SQL, _responses
 from leadweave.plans.inputs import Inputs
 from leadweave.plans.mart_queries import LEADS_SQL, all_leads, ranked
 from leadweave.plans.registry import query
 from leadweave.session import work_folder
-from leadweave.sources import exports, scans
+from leadweave.sources import exports, plugins, scans
 
 
 def _text(*parts: Column | str) -> Column:
@@ -225,9 +226,52 @@ query("E3_E4_E5_plugged_frames", "listings long, answers long, unusable long, pl
 
 def _plugged(d: Inputs) -> DataFrame:
     """Any frame of cards, of model responses or of catalog names takes the place of the built-in source."""
-    from leadweave.plans.fusion_queries import _responses
     answers = judgments.read_responses(_responses(d)).agg(
         F.count_if(F.col("error").isNull()).alias("answers"), F.count_if(F.col("error").isNotNull()).alias("unusable")).withColumn("one", F.lit(1))
     cards = _cards(d).agg(F.sum("listings").alias("listings")).withColumn("one", F.lit(1))
     names = _catalog_file(d).agg(F.count("*").alias("places")).withColumn("one", F.lit(1))
     return answers.join(cards, "one").join(names, "one")
+
+
+def _written(d: Inputs, documents: DataFrame, key: str) -> str:
+    """JSON lines in one folder for each key, as a capturing program leaves them."""
+    folder = work_folder(d.spark, "capture")
+    documents.write.partitionBy(key).text(folder)
+    plugins.register_sources(d.spark)
+    return folder
+
+
+query("E3_plugged_cards", "run_id long, position long, name string, url string, card_seen boolean, website string", """SELECT run_id, position, 'n' || CAST(position AS VARCHAR) AS name, place AS url, position % 2 = 0 AS card_seen,
+    CASE WHEN position % 3 = 0 THEN 'https://n.cl/' || CAST(run_id AS VARCHAR) END AS website FROM {listings}""")(lambda d: _plugged_cards(d))
+
+
+def _plugged_cards(d: Inputs) -> DataFrame:
+    card = F.to_json(F.struct("position", _text("n", _s("position")).alias("name"), F.col("place").alias("url"), (F.col("position") % 2 == 0).alias("card_seen"),
+                              F.when(F.col("position") % 3 == 0, _text("https://n.cl/", _s("run_id"))).alias("website")))
+    folder = _written(d, d.listings.repartition("run_id").select("run_id", card.alias("value")), "run_id")
+    return d.spark.read.format("captured_cards").load(folder)
+
+
+query("E4_plugged_judgments", "site_id long, error string, params long, problems long, strengths long", f"""WITH c AS (SELECT conv_id * 100 + turn AS site_id, {_ERROR_SQL} AS error FROM {{conversations}})
+    SELECT site_id, error, CASE WHEN error IS NULL THEN 3 END AS params, CASE WHEN error IS NULL THEN 2 END AS problems, CASE WHEN error IS NULL THEN 1 END AS strengths FROM c""")(lambda d: _plugged_judgments(d))
+
+
+def _plugged_judgments(d: Inputs) -> DataFrame:
+    answers = _responses(d).select(
+        F.to_json(F.struct("site_id", "stop_reason", "response")).alias("value"), _text("m", (F.col("conv_id") % 3).cast("string")).alias("provider"))
+    read = d.spark.read.format("captured_judgments").load(_written(d, answers, "provider"))
+    size = lambda name: F.when(F.col("error").isNull(), F.size(F.col("answer")[name]))
+    return judgments.read_responses(read).select("site_id", "error", size("parametros").alias("params"), size("problemas").alias("problems"), size("puntos_fuertes").alias("strengths"))
+
+
+query("E5_plugged_catalog", "country string, name string, folded string, ambiguous boolean", """SELECT DISTINCT upper(r_name) AS country, 'Ñandú ' || n_name AS name, 'Nandu ' || n_name AS folded, n_regionkey = 0 AS ambiguous
+    FROM {nation} JOIN {region} ON r_regionkey = n_regionkey""")(lambda d: _plugged_catalog(d))
+
+
+def _plugged_catalog(d: Inputs) -> DataFrame:
+    """The place names of the nations, one document for each region; each name with the country its folder names."""
+    name = _text("Ñandú ", F.col("n_name"))
+    regions = d.nation.join(d.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list(name).alias("names"), F.collect_list(F.when(F.col("n_regionkey") == 0, name)).alias("amb"))
+    documents = regions.select(F.to_json(F.struct(F.create_map("r_name", "names").alias("regiones"), F.col("amb").alias("ambiguas"))).alias("value"), F.upper("r_name").alias("country"))
+    rows = d.spark.read.format("region_catalogs").load(_written(d, documents, "country"))
+    return rows.select("country", "name").distinct().join(plugins.catalog_names(rows), "name")
