@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed_values as fv
 from leadweave.functions import scoring
-from leadweave.operators import actions, contact_links, fusion, judgments, leads, site_status
+from leadweave.operators import actions, contact_links, fusion, judgments, leads, site_status, verification
+from leadweave.operators.page_elements import parse_pages
 from leadweave.plans.inputs import Inputs
 from leadweave.plans.registry import query
+from leadweave.session import cut_lineage
 
 _RANKS = """CASE source WHEN 'manual' THEN -1 WHEN 'maps' THEN 0 WHEN 'web' THEN 1 WHEN 'linktree' THEN 2 ELSE 3 END AS sr,
   CASE placement WHEN 'flotante' THEN 0 WHEN 'header' THEN 0 WHEN 'cuerpo' THEN 1 ELSE 2 END AS pr"""
@@ -108,6 +110,50 @@ def _verified(d: Inputs) -> DataFrame:
     return out.withColumns({"note": F.try_element_at("field_sources", F.lit("website_status")), "old_site": F.try_element_at("field_sources", F.lit("website_maps"))})
 
 
+# ------------------------------------------------------------------ J18, U15, U6: captured pages to the final decision
+# Customers by form: 0 link page with an own site, 1 without, 2 closed; 3 own site with a link page, 4 alone, 5 down; 6 own site not captured yet, 7 no address.
+_FORMS = f"""f AS (SELECT c_custkey AS site_id, c_custkey % 8 AS form, '569' || CAST(30000000 + c_custkey AS VARCHAR) AS low, '569' || CAST(40000000 + c_custkey AS VARCHAR) AS high,
+      'https://own' || CAST(c_custkey AS VARCHAR) || '.cl/' AS own, 'https://linktr.ee/n' || CAST(c_custkey AS VARCHAR) AS page, CASE WHEN c_custkey % 5 = 0 THEN '569' || CAST(70000000 + c_custkey AS VARCHAR) END AS maps FROM {{customer}}),
+    n AS (SELECT *, CASE WHEN form IN (0, 4) THEN high WHEN form IN (1, 3) THEN low END AS found, CASE WHEN form IN (0, 4) THEN 'web' WHEN form IN (1, 3) THEN 'linktree' END AS found_in FROM f)"""
+query("J18_U15_U6_verified_contacts", "site_id long, website string, website_status string, instagram string, whatsapp_status string, whatsapp_url string, whatsapp_source string, multiple boolean, site_source string",
+      f"""WITH {_FORMS} SELECT site_id, CASE WHEN form = 0 THEN own WHEN form IN (3, 4, 5) THEN own WHEN form = 7 THEN NULL ELSE page END AS website,
+      CASE WHEN form IN (0, 3, 4) THEN '{fv.SITE_OK}' WHEN form = 1 THEN '{fv.SITE_ONLY_SOCIAL}' WHEN form IN (2, 5) THEN '{fv.SITE_DOWN}' ELSE 'VIEJO' END AS website_status,
+      CASE WHEN form IN (0, 1, 3) THEN 'https://www.instagram.com/n' || CAST(site_id AS VARCHAR) END AS instagram,
+      CASE WHEN form > 5 THEN 'VIEJO' WHEN maps IS NOT NULL OR found IS NOT NULL THEN '{fv.CONTACT_VERIFIED}' ELSE '{fv.CONTACT_NOT_FOUND}' END AS whatsapp_status,
+      CASE WHEN form > 5 THEN 'https://wa.me/1' ELSE 'https://wa.me/' || coalesce(maps, found) END AS whatsapp_url,
+      CASE WHEN form > 5 THEN 'vieja' WHEN maps IS NOT NULL THEN 'maps' ELSE found_in END AS whatsapp_source, form <= 5 AND (form = 0 OR (maps IS NOT NULL AND found IS NOT NULL)) AS multiple,
+      CASE WHEN form = 0 THEN 'web propia enlazada desde su Linktree (' || page || ')' END AS site_source FROM n""")(
+    lambda d: verification.verify_businesses(*_to_verify(d)).businesses.withColumns({
+        "multiple": F.col("whatsapp_multiple_numbers"), "site_source": F.try_element_at("field_sources", F.lit("website"))}))
+query("J18_addresses_to_capture", "address string", f"WITH {_FORMS} SELECT own AS address FROM n WHERE form = 6")(lambda d: verification.verify_businesses(*_to_verify(d)).to_capture)
+
+
+def _to_verify(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Businesses with their last decision, stored candidates (of Maps, and stale ones of the web), captured pages."""
+    k, form = F.col("c_custkey"), F.col("c_custkey") % 8
+    number = lambda base: F.concat(F.lit("569"), (base + k).cast("string"))
+    own, page = F.concat(F.lit("https://own"), k.cast("string"), F.lit(".cl/")), F.concat(F.lit("https://linktr.ee/n"), k.cast("string"))
+    none = F.lit(None).cast("string")
+    businesses = d.customer.select(
+        k.alias("site_id"), F.when(form.isin(3, 4, 5), own).when(form != 7, page).alias("website"), F.lit("VIEJO").alias("website_status"), none.alias("instagram"), none.alias("facebook"),
+        F.create_map().cast("map<string,string>").alias("field_sources"), none.alias("phone_e164"), F.lit("VIEJO").alias("whatsapp_status"), F.lit("https://wa.me/1").alias("whatsapp_url"),
+        F.lit("vieja").alias("whatsapp_source"), none.alias("whatsapp_evidence"), F.lit(False).alias("whatsapp_multiple_numbers"), none.alias("whatsapp_confidence"), F.lit(False).alias("whatsapp_broken_button"))
+    stored = d.customer.select(k.alias("site_id"), F.explode(F.array_compact(F.array(
+        F.when(k % 5 == 0, F.struct(F.lit("maps").alias("source"), number(70_000_000).alias("number"))),
+        F.struct(F.lit("web").alias("source"), number(80_000_000).alias("number"))))).alias("c")).select("site_id", "c.*").withColumns({
+            "url": F.concat(F.lit("https://wa.me/"), "number"), "placement": F.lit("cuerpo"), "evidence": F.lit("e"), "broken": F.lit(False), "arrival": F.lit(0)})
+    link = lambda url: F.concat(F.lit('<a href="'), url, F.lit('">x</a>'))
+    chat = lambda base: link(F.concat(F.lit("https://wa.me/"), number(base)))
+    profile = link(F.concat(F.lit("https://www.instagram.com/n"), k.cast("string"), F.lit("/")))
+    on_link_page = F.when(form.isin(0, 1, 2, 3, 6), F.concat(F.lit("<body>"), chat(30_000_000), profile, F.when(form.isin(0, 6), link(own)).otherwise("")))
+    on_site = F.when(form.isin(0, 3, 4, 5), F.concat(F.lit("<body>"), F.when(form != 3, chat(40_000_000)).otherwise(""), F.when(form == 3, link(page)).otherwise("")))
+    capture = lambda n, url, html, fine: F.when(html.isNotNull(), F.struct(
+        (k * 2 + n).alias("page_id"), url.alias("url"), html.alias("html"), fine.alias("read_content"), F.when(fine, fv.SITE_OK).otherwise(fv.SITE_DOWN).alias("status"),
+        F.when(~fine, "fallo").alias("reason"), url.alias("final_url")))
+    pages = d.customer.select(F.explode(F.array_compact(F.array(capture(0, page, on_link_page, form != 2), capture(1, own, on_site, form != 5)))).alias("p")).select("p.*")
+    return businesses, stored, cut_lineage(parse_pages(pages))
+
+
 # ------------------------------------------------------------------ U10, U11
 query("U10_U11_manual_actions", "id long, whatsapp_check string, whatsapp_confidence string, discarded boolean, confirmed_number string", """
     WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY ts DESC, event_id DESC) AS rn FROM {actions} WHERE action <> 'view') x WHERE rn = 1),
