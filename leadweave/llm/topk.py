@@ -43,7 +43,10 @@ class Block:
         count = len(self.ids)
         seen, depth, before = np.zeros(count, bool), FIRST_DEPTH, 0
         open_ = np.arange(len(queries))
-        kept_scores, kept_at = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
+        # Integer vectors keep integer scores; the least integer then stands for "nothing yet".
+        whole = self.vectors.dtype.kind == "i"
+        self.nothing = np.iinfo(np.int64).min if whole else -np.inf
+        kept_scores, kept_at = np.full((len(queries), k), self.nothing, np.int64 if whole else np.float64), np.full((len(queries), k), -1, np.int64)
         while len(open_):
             depth = min(depth, count)
             touched = np.unique(np.concatenate([self.lists[:, before:depth].ravel(), self.lists[:, count - depth : count - before].ravel()]))
@@ -65,8 +68,8 @@ class Block:
     def _merge(self, query_ids: np.ndarray, queries: np.ndarray, open_: np.ndarray, new: np.ndarray, k: int, kept_scores: np.ndarray, kept_at: np.ndarray) -> None:
         for begin in range(0, len(open_), 512):
             part = open_[begin : begin + 512]
-            found = (queries[part] @ self.vectors[new].T).astype(np.float64)
-            found[self.ids[new][None, :] == query_ids[part][:, None]] = -np.inf
+            found = (queries[part] @ self.vectors[new].T).astype(kept_scores.dtype)
+            found[self.ids[new][None, :] == query_ids[part][:, None]] = self.nothing
             both = np.concatenate([kept_scores[part], found], axis=1)
             at = np.concatenate([kept_at[part], np.broadcast_to(new, found.shape)], axis=1)
             if both.shape[1] > 4 * k:
@@ -77,9 +80,9 @@ class Block:
                 order = np.argsort(~keep, axis=1, kind="stable")[:, :width] if width < both.shape[1] // 2 else np.broadcast_to(np.arange(both.shape[1]), both.shape)
                 both, at = np.take_along_axis(both, order, 1), np.take_along_axis(at, order, 1)
             id_ = np.where(at >= 0, self.ids[at], np.iinfo(np.int64).max)
-            order = np.lexsort((id_, -both), axis=1)[:, :k]
+            order = np.lexsort((id_, ~both if both.dtype.kind == "i" else -both), axis=1)[:, :k]
             kept_scores[part] = np.take_along_axis(both, order, 1)
-            kept_at[part] = np.where(np.isneginf(kept_scores[part]), -1, np.take_along_axis(at, order, 1))
+            kept_at[part] = np.where(kept_scores[part] == self.nothing, -1, np.take_along_axis(at, order, 1))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -90,6 +93,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
       without an id. Vectors of different lengths are searched apart, so only equal lengths meet.
     * Ties go to the smaller id. A row is never its own result; rows that share its id aren't either,
       and rows repeated in full count once.
+    * Scores are exact up to 2^63; vectors whose scores might pass it are refused.
     * With fewer than ``k`` candidates all are returned. An empty table gives an empty result.
     """
     rows = stage(quantized(vectors, is_query, id_col, vector_col, scale).withColumn("_size", F.size("_vec")), "vectors")
@@ -102,13 +106,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     columns = ["_size", "_part", "_qpart", "_asks", "_id", "_vec"]
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        stack = lambda rows: np.array(rows["_vec"].tolist(), np.int64).astype(np.float64)
+        stack = lambda rows: np.array(rows["_vec"].tolist(), np.int64)
+        largest = lambda values: max(int(values.max()), -int(values.min()))
         own, asks = group[~group["_asks"]], group[group["_asks"]]
         if not len(own) or not len(asks):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         # Products of integers are exact in float32 below 2^24 and in float64 below 2^53; larger ones stay integers.
         left, right = stack(asks), stack(own)
-        limit = np.abs(left).max() * np.abs(right).max() * left.shape[1]
+        limit = largest(left) * largest(right) * left.shape[1]
+        if limit >= 2**63:
+            raise ValueError("scores of these vectors may not fit 64-bit integers: use a smaller scale")
         kind = np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else np.int64
         ids, query_ids = own["_id"].to_numpy(), asks["_id"].to_numpy()
         row, found, score = Block(ids, right.astype(kind)).search(query_ids, left.astype(kind), k)
