@@ -113,13 +113,18 @@ class LicenseMatcher:
                 self.by_word.setdefault(word, []).append(name)
 
     def stretches(self, places: list[int], length: int) -> Iterator[tuple[int, int]]:
-        """Runs of places with gaps below the template's length, cut into windows of twice the length that overlap by half."""
+        """Runs of places with gaps up to twice the template's length, cut into windows of two and a half lengths, one at each half.
+
+        So every stretch of up to twice the length lies whole in some window.
+        """
+        step = max(1, length // 2)
+        window = 2 * length + step
         begin = 0
         for k in range(1, len(places) + 1):
-            if k == len(places) or places[k] - places[k - 1] > length:
+            if k == len(places) or places[k] - places[k - 1] > 2 * length:
                 first, last = places[begin], places[k - 1] + 1
-                for at in range(first, max(first + 1, last - length), length) if last - first > 2 * length else [first]:
-                    yield at, min(last, at + 2 * length)
+                for at in range(first, max(first + 1, last - window + step), step):
+                    yield at, min(last, at + window)
                 begin = k
 
     def find(self, text: str) -> list[tuple[str, float, int, int]]:
@@ -136,13 +141,17 @@ class LicenseMatcher:
             if sum((Counter(words[i] for i in own) & self.counts[name]).values()) < least:
                 continue
             found = []
-            for begin, end in self.stretches(own, len(template)):
+            pieces = list(self.stretches(own, len(template)))
+            while pieces:
+                begin, end = pieces.pop()
                 part = words[begin:end]
                 if sum((Counter(part) & self.counts[name]).values()) < least:
                     continue
                 pairs = align(part, template)
                 if len(pairs) >= least:
-                    found.append((name, len(pairs) / len(template), begin + pairs[0][0], begin + pairs[-1][0] + 1))
+                    first, last = begin + pairs[0][0], begin + pairs[-1][0] + 1
+                    found.append((name, len(pairs) / len(template), first, last))
+                    pieces += [(begin, first), (last, end)]  # another notice may stand next to it
             taken: list[tuple[int, int]] = []
             for match in sorted(found, key=lambda m: (-m[1], m[3] - m[2], m[2])):
                 if all(match[3] <= b or match[2] >= e for b, e in taken):

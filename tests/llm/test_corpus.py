@@ -203,6 +203,78 @@ def test_license_scan(spark):
     assert not [r for r in got if r["doc_id"] in (3, 4, 6)]
 
 
+def brute_align(a, b):
+    """Patience alignment by its definition: the longest increasing choice of unique common words, tried exhaustively by length."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in brute_align(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return brute_align(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    both = [(a.index(w), b.index(w)) for w in a if a.count(w) == 1 and b.count(w) == 1]
+    best = []
+    for pair in both:  # longest chains that end at each pair
+        chains = [chain for end, chain in best if end[1] < pair[1]]
+        best.append((pair, max(chains, key=len, default=[]) + [pair]))
+    return max((chain for _, chain in best), key=len, default=[])
+
+
+def test_alignment_against_brute_force():
+    """Without repeated words there is nothing to recurse into, so lengths equal the longest increasing run; all pairs match and increase."""
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefghij") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        got = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+        assert len(got) >= len(brute_align(a, b)) if len(set(a)) < len(a) or len(set(b)) < len(b) else len(got) == len(brute_align(a, b))
+
+
+def brute_licenses(text, templates, coverage):
+    """Templates that any window of the text, of any place and length, covers."""
+    words, found = license_scan.words_of(text), set()
+    for name, template in templates.items():
+        own = license_scan.words_of(template)
+        for begin in range(len(words)):
+            for end in range(begin + 1, min(len(words), begin + 2 * len(own)) + 1):
+                if words[begin] == own[0] and len(license_scan.align(words[begin:end], own)) >= coverage * len(own):
+                    found.add(name)
+    return found
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(12)
+    templates = {"one": "use of this file is granted free of charge", "two": "all rights reserved", "three": "share this work alike under these very terms"}
+    rows = []
+    for k in range(80):
+        parts = [sentence(rng, rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 3)):
+            words = templates[rng.choice(list(templates))].split()
+            if rng.random() < 0.5:
+                words[rng.randrange(1, len(words))] = rng.choice(["kalo", ""])
+            if rng.random() < 0.5:
+                words.insert(rng.randrange(1, len(words) + 1), sentence(rng, rng.randint(1, 4)))
+            parts += [" ".join(words), sentence(rng, rng.choice([0, 0, 12]))]
+        rows.append((k, "\n".join(parts)))
+    rows += [(80, None), (81, ""), (0, rows[0][1])]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    found = defaultdict(set)
+    for r in got:
+        found[r["doc_id"]].add(r["license"])
+        part = license_scan.words_of(dict(rows)[r["doc_id"]])[r["first_word"] : r["end_word"]]
+        assert len(part) >= 0.8 * len(templates[r["license"]].split()) and r["coverage"] >= 0.8
+        assert len(license_scan.align(part, license_scan.words_of(templates[r["license"]]))) == round(r["coverage"] * len(templates[r["license"]].split()))
+    # A stretch of up to twice the notice is always found; a longer one may be.
+    missed = {k: brute_licenses(text or "", templates, 0.8) - found[k] for k, text in rows}
+    assert not any(missed.values()) and found[80] == found[81] == set()
+    assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string"), templates).count() == 0
+
+
+def test_notices_next_to_each_other(spark):
+    text = "Some words before. All rights reserved. All rights reserved.\nAll rights reserved."
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, text)] * 2, "doc_id long, text string")).where("license = 'All-rights-reserved'").collect()
+    assert sorted((r["first_word"], r["end_word"]) for r in got) == [(3, 6)] * 2 + [(6, 9)] * 2 + [(9, 12)] * 2
+
+
 # Secrets ---------------------------------------------------------------------------------------------
 
 def brute_secrets(text):
@@ -363,6 +435,17 @@ def test_top_k(spark, block):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_beyond_floating_point(spark):
+    """Scores near 2^56 that differ by ones: floating point would round them together."""
+    rng = random.Random(8)
+    rows = [(k, [2.0**22 + rng.randrange(-300, 300) / 64, -(2.0**22) + rng.randrange(2) / 64]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = plain(topk.top_k(frame, F.col("vec_id") % 20 == 0, 20, block=64).collect())
+    assert got == brute_top(rows, 20) and len({row[3] % 64 for row in got}) > 8
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     vectors = np.zeros((5000, 4))
@@ -399,6 +482,47 @@ def test_sparse_sites_shrink(spark):
     assert 0.1 < got["tiny"]["path_posterior"] < 0.55
 
 
+def brute_posteriors(rows, prior):
+    """Shrunken rates of hosts and of their paths, by the formulas of the module, over plain lists."""
+    def strength(groups):
+        spread = sum((y - n * m) ** 2 / n for n, y, m in groups)
+        chance, weight = sum(m * (1 - m) for _, _, m in groups), sum(n * m * (1 - m) for n, _, m in groups)
+        r = max(0.0, spread - chance) / max(1e-9, weight - chance)
+        return min(1e6, max(1.0, 1 / max(r, 1e-6) - 1)) if weight else 1.0
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for host, path, y in rows:
+        hosts[host].append(y)
+        paths[host, path].append(y)
+    s = strength([(len(v), sum(v), prior) for v in hosts.values()])
+    above = {h: (sum(v) + s * prior) / (len(v) + s) for h, v in hosts.items()}
+    t = strength([(len(v), sum(v), above[h]) for (h, _), v in paths.items()])
+    return {(h, p): (above[h], (sum(v) + t * above[h]) / (len(v) + t)) for (h, p), v in paths.items()}
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = random.Random(9)
+    rate = {(h, p): rng.random() for h in "abcdefgh" for p in "xyz"}
+    rows = [(h, p, float(rng.random() < r)) for (h, p), r in rate.items() for _ in range(rng.randint(1, 60))]
+    got = quality.site_posteriors(spark.createDataFrame(rows, "_host string, _path string, _y double"), 0.4).collect()
+    wanted = brute_posteriors(rows, 0.4)
+    assert {(r["_host"], r["_path"]) for r in got} == set(wanted) and len(got) == len(wanted)
+    for r in got:
+        assert (r["host_posterior"], r["path_posterior"]) == pytest.approx(wanted[r["_host"], r["_path"]])
+
+
+def test_quality_repeats_conflicts_and_clashing(spark):
+    docs = [(k, "word " * (k % 7 + 1), "s", "l", "x", 1.0) for k in range(40)] + [(0, "word", "s", "l", "x", 1.0)] * 2
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, _host string, evidence double")
+    labels = spark.createDataFrame([(k, v) for k in range(40) for v in (1, 0)] + [(99, 1), (1, None)], "doc_id long, quality int")
+    got = quality.score_quality(frame, labels).collect()
+    assert len(got) == 42 and sum(r["doc_id"] == 0 for r in got) == 3
+    low = quality.score_quality(frame, labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))).collect()
+    assert sorted((r["doc_id"], round(r["score"], 9)) for r in got) == sorted((r["doc_id"], round(r["score"], 9)) for r in low)
+    assert quality.score_quality(frame.limit(0), labels).count() == 0
+    assert {r["evidence"] for r in quality.score_quality(frame, labels.limit(0)).collect()} == {0.0}
+
+
 # Mixing ----------------------------------------------------------------------------------------------
 
 def test_mixing(docs, rows):
