@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadweave.schemas import FINDING_DDL
+from leadweave.sources.scans import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+#: Tables that are only looked up.
+SMALL = ("region", "nation")
+#: Views whose rows are parsed or matched at length.
+COSTLY = ("html_pages", "urls")
+
 VIEWS = {
     "businesses": """
         SELECT c_custkey AS id,
@@ -216,14 +222,23 @@ def duck(sql: str) -> str:
 class Inputs:
     """The given tables and derived inputs of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, dealt: bool = False) -> None:
         self.spark = spark
         self.folder = folder
+        self._dealt = dealt
+
+    @property
+    def dealt(self) -> Inputs:
+        """The same tables for jobs that work long on each row: a scan of few splits uses all task slots."""
+        return Inputs(self.spark, self.folder, dealt=True)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
+        return spread(scan) if self._dealt and name not in SMALL else scan
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in COSTLY and not self._dealt:
+            return getattr(self.dealt, name)
         if name in VIEWS:
             # Braces that are no placeholders (JSON inside text) are doubled for Spark's formatter.
             sql = re.sub(r"\{\{([a-z]\w*)\}\}", r"{\1}", VIEWS[name].replace("{", "{{").replace("}", "}}"))

@@ -63,7 +63,7 @@ def panels(d: Inputs) -> DataFrame:
         '<div class="review">Me atendió por <a href="https://wa.me/56911111111">wa.me/56911111111</a></div>',
         "<div><h2>Del propietario</h2><p>Descripción de ", _s("id"), "</p></div><div><h2>Opciones de servicio</h2><ul><li aria-label=\"Ofrece domicilio\">A</li><li>Retiro</li></ul></div>",
         "<div><h2>Reseñas</h2><ul><li>no</li></ul></div></div>")
-    return d.businesses.select(F.col("id").alias("page_id"), _text("https://www.google.com/maps/place/n", _s("id"), "/@-34.1,-70.7,17z?hl=es").alias("url"), html.alias("html"))
+    return d.dealt.businesses.select(F.col("id").alias("page_id"), _text("https://www.google.com/maps/place/n", _s("id"), "/@-34.1,-70.7,17z?hl=es").alias("url"), html.alias("html"))
 
 
 def _catalog(d: Inputs) -> DataFrame:

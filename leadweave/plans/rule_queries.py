@@ -20,7 +20,7 @@ def fetched_sites(d: Inputs) -> DataFrame:
     long_text = F.rpad(F.lit("Gasfitería a domicilio. "), 400, "texto ")
     case = lambda table, other=None: _case(k, table, other)
     none = F.lit(None).cast("string")
-    return d.events.select(
+    return d.dealt.events.select(
         F.col("event_id").alias("site_id"),
         case({1: "https://www.instagram.com/x", 2: "https://wa.me/56987654321", 3: "https://linktr.ee/x", 4: "tel:123"}, F.lit("https://neg.cl/")).alias("url"),
         case({5: none, 14: none, 10: "https://www.instagram.com/neg/", 11: "https://accounts.google.com/v3/signin", 3: "https://linktr.ee/x"}, F.lit("https://neg.cl/inicio")).alias("f_final_url"),

@@ -18,6 +18,17 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer splits than the session has task slots, dealt out evenly over all slots.
+
+    One small file is one split, and costly work on its rows (pages, patterns) would keep one core
+    busy. A scan of many splits is returned as it is: no exchange is added where there is much to
+    move. Column pruning and filters still reach the files, rows and values are the same either way.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
+
+
 def read_snapshot(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A snapshot of any schema version, brought to the current columns."""
     return upgrade(spark.read.parquet(path), table)

@@ -63,3 +63,21 @@ def test_queries_equal_their_sql(spark, name):
     cursor = con.execute(entry.oracle_sql()[name])
     order = [[c[0] for c in cursor.description].index(c) for c in columns]
     assert sorted(repr([r[c] for c in columns]) for r in frame.collect()) == sorted(repr([r[i] for i in order]) for r in cursor.fetchall())
+
+
+def test_scans_of_few_splits_are_dealt_out_and_others_left(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS kind", "concat('text ', id) AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(16).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "many"))
+    slots = spark.sparkContext.defaultParallelism
+    dealt = scans.spread(one)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert dealt.rdd.getNumPartitions() == slots == len(sizes) and max(sizes) < 2 * 1000 / slots
+    assert sorted(dealt.collect()) == sorted(one.collect())
+    assert scans.spread(many.repartition(2 * slots)).rdd.getNumPartitions() == 2 * slots
+    # Filters and columns still reach the files.
+    plan = dealt.filter("kind = 3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(kind,3)" in plan and "ReadSchema: struct<id:bigint,kind:bigint>" in plan
+    empty = scans.spread(one.filter("id < 0"))
+    assert empty.count() == 0 and empty.columns == one.columns
