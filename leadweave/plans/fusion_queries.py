@@ -134,7 +134,7 @@ def _to_verify(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     number = lambda base: F.concat(F.lit("569"), (base + k).cast("string"))
     own, page = F.concat(F.lit("https://own"), k.cast("string"), F.lit(".cl/")), F.concat(F.lit("https://linktr.ee/n"), k.cast("string"))
     none = F.lit(None).cast("string")
-    businesses = d.customer.select(
+    businesses = d.dealt.customer.select(
         k.alias("site_id"), F.when(form.isin(3, 4, 5), own).when(form != 7, page).alias("website"), F.lit("VIEJO").alias("website_status"), none.alias("instagram"), none.alias("facebook"),
         F.create_map().cast("map<string,string>").alias("field_sources"), none.alias("phone_e164"), F.lit("VIEJO").alias("whatsapp_status"), F.lit("https://wa.me/1").alias("whatsapp_url"),
         F.lit("vieja").alias("whatsapp_source"), none.alias("whatsapp_evidence"), F.lit(False).alias("whatsapp_multiple_numbers"), none.alias("whatsapp_confidence"), F.lit(False).alias("whatsapp_broken_button"))
@@ -150,7 +150,7 @@ def _to_verify(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     capture = lambda n, url, html, fine: F.when(html.isNotNull(), F.struct(
         (k * 2 + n).alias("page_id"), url.alias("url"), html.alias("html"), fine.alias("read_content"), F.when(fine, fv.SITE_OK).otherwise(fv.SITE_DOWN).alias("status"),
         F.when(~fine, "fallo").alias("reason"), url.alias("final_url")))
-    pages = d.customer.select(F.explode(F.array_compact(F.array(capture(0, page, on_link_page, form != 2), capture(1, own, on_site, form != 5)))).alias("p")).select("p.*")
+    pages = d.dealt.customer.select(F.explode(F.array_compact(F.array(capture(0, page, on_link_page, form != 2), capture(1, own, on_site, form != 5)))).alias("p")).select("p.*")
     return businesses, stored, cut_lineage(parse_pages(pages))
 
 
