@@ -5,11 +5,11 @@
    windows have equal anchors at equal places, so two documents that share a window share its anchor.
 2. Join. Anchors of two or more documents are kept; a bit for each (8 MB at most) spares tasks most of
    the others, and a join on the anchor takes out the rest.
-3. Extend. A joined seed is extended to the left and right over all windows that it anchors. Equal
-   extents are one group with its smallest document id; where extents of one anchor differ, they are
-   compared window by window, and a window's smallest id is that of all extents that have it. The
-   document with the smallest id keeps the passage. Windows that overlap grow together to maximal
-   repeats.
+3. Extend. A seed is extended to the left and right over all windows that it anchors. Where an anchor
+   has one extent, the join has settled it: the smallest document id has all its windows first. Other
+   extents are compared window by window (8 MB of bits tell tasks whose windows to send), and a window's
+   smallest id is that of all extents that have it. The document with the smallest id keeps the passage.
+   Windows that overlap grow together to maximal repeats.
 
 Groups are aggregated before and after the shuffle and joined as plain tables, so a passage that a third of
 all documents share is split by adaptive execution; no pair of documents is ever formed. Texts
@@ -34,19 +34,94 @@ from leadweave.llm.common import has_bit, presence_bits, stage
 
 SEED, BITS = 5, 26
 PART_WORDS = 1 << 17
-_CACHE = 150_000
 _LAST = (1 << 63) - 1
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-class _Hashes(dict):
-    """Word to 64-bit hash, kept for words seen before; emptied when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Words are found and hashed in pieces of about so many bytes; longer words than these are hashed one by one.
+PART_BYTES, _LONG_WORD = 1 << 19, 64
+SLICE_ROWS = 512
+
+
+def _in_words(data: np.ndarray) -> np.ndarray:
+    return (data != 32) & (data - np.uint8(9) > 4)
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words in ``data``, the bytes of a piece of text."""
+    inside = np.empty(len(data) + 2, bool)
+    inside[0] = inside[-1] = False
+    inside[1:-1] = _in_words(data)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time for all words that have as many."""
+    size = end - first
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    value = size.astype(np.uint64) * _MIX2
+    on = np.flatnonzero(size <= _LONG_WORD)
+    for k in range(0, _LONG_WORD, 8):
+        on = on[size[on] > k]
+        if not len(on):
+            break
+        rest = np.maximum(0, 8 - (size[on] - k)).astype(np.uint64) * np.uint64(8)
+        part = value[on] ^ eights[first[on] + k] << rest >> rest
+        part *= _MIX
+        part ^= part >> np.uint64(32)
+        part *= _MIX2
+        value[on] = part ^ part >> np.uint64(29)
+    for at in np.flatnonzero(size > _LONG_WORD):
+        value[at] = xxhash.xxh3_64_intdigest(data[first[at] : end[at]])
+    return value
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SLICE_ROWS``, so that what is made of a batch stays small; the batch is let go before the next."""
+    for batch in batches:
+        left, batch = [batch.slice(begin, SLICE_ROWS) for begin in range(batch.num_rows - 1 - (batch.num_rows - 1) % SLICE_ROWS, -1, -SLICE_ROWS)], None
+        while left:
+            yield left.pop()
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The bytes of about ``PART_BYTES`` of texts with the starts of each in them, and the first one's row.
+
+    Texts follow each other with a space between. A longer text is one piece.
+    """
+    held, starts, total, begin = [], [], 0, 0
+    for row, text in enumerate(texts):
+        held.append(text.as_py())
+        starts.append(total)
+        total += len(held[-1]) + 1
+        if total >= PART_BYTES:
+            yield np.frombuffer(b" ".join(held), np.uint8), np.array(starts), begin
+            held, starts, total, begin = [], [], 0, row + 1
+    if held:
+        yield np.frombuffer(b" ".join(held), np.uint8), np.array(starts), begin
+
+
+def hashed_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and word hashes of each text."""
+    for data, starts, begin in _pieces(texts):
+        parts, own = [], []
+        cut = 0
+        while cut < len(data):  # a long text is read in parts that end where no word does not
+            stop = min(len(data), cut + 2 * PART_BYTES)
+            while stop < len(data) and _in_words(data[stop : stop + 4096]).all():
+                stop += 4096
+            stop = min(len(data), stop + int(_in_words(data[stop : stop + 4096]).argmin())) if stop < len(data) else len(data)
+            first, end = word_places(data[cut:stop])
+            parts.append(word_hashes(data[cut:stop], first, end))
+            own.append(first + cut)
+            cut = stop
+        if not parts:
+            continue
+        words = np.concatenate(parts)
+        edges = np.append(np.searchsorted(np.concatenate(own), starts), len(words))
+        for row, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True), begin):
+            yield row, words[a:b]
 
 
 @lru_cache(maxsize=None)
@@ -71,12 +146,14 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window its anchor's hash and place. Places never decrease, so the windows of one anchor follow each other."""
     seeds = run_hashes(words, SEED)
     count = max(0, len(words) - window + 1)
-    best, at = seeds[:count], np.arange(count)
-    for k in range(1, window - SEED + 1):
-        other = seeds[k : k + count]
-        better = other <= best
-        best, at = np.where(better, other, best), np.where(better, np.arange(k, k + count), at)
-    return best, at
+    # Smallest of 2, 4, 8 ... seeds in a row, then of two such runs that overlap to the width wanted.
+    best, at, width, wanted = seeds, np.arange(len(seeds)), 1, window - SEED + 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        better = best[step:] <= best[:-step]
+        best, at = np.where(better, best[step:], best[:-step]), np.where(better, at[step:], at[:-step])
+        width += step
+    return best[:count], at[:count]
 
 
 @dataclass(frozen=True)
@@ -91,7 +168,7 @@ class Passages:
     words: np.ndarray
 
 
-def passages(texts: pa.Array, known: _Hashes, window: int) -> Iterator[Passages]:
+def passages(texts: pa.Array, window: int) -> Iterator[Passages]:
     """Documents with at least a window, about ``PART_WORDS`` words at once; their words lie one after another."""
     rows, held, total = [], [], 0
 
@@ -104,12 +181,11 @@ def passages(texts: pa.Array, known: _Hashes, window: int) -> Iterator[Passages]
         first = whole[new]
         return Passages(best[first], np.array(rows)[doc[first]], first - (np.cumsum(sizes) - sizes)[doc[first]], np.diff(np.r_[new, len(whole)]), first, words)
 
-    for row, text in enumerate(texts):
-        words = text.as_py().split()
+    for row, words in hashed_words(texts):
         if len(words) < window:
             continue
         rows.append(row)
-        held.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        held.append(words)
         total += len(words)
         if total >= PART_WORDS:
             yield found()
@@ -122,51 +198,65 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
+def _extents(found: Passages, hashes: np.ndarray) -> np.ndarray:
+    """The hash of all words that each anchor's windows cover (the first and the last window do); ``hashes`` are the windows'."""
+    last = hashes[found.first + found.size - 1]
+    return (hashes[found.first] ^ (last >> np.uint64(17) | last << np.uint64(47))) * _MIX + found.size.astype(np.uint64)
+
+
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
-    """``anchor, _id``: the anchors of each document."""
+    """``anchor, extent, _id``: the anchors of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        for batch in batches:
-            for found in passages(batch.column(2), known, window):
-                yield pa.RecordBatch.from_arrays([_long(found.anchor), batch.column(0).take(pa.array(found.row))], ["anchor", "_id"])
+        for batch in _slices(batches):
+            for found in passages(batch.column(2), window):
+                extent = _extents(found, run_hashes(found.words, window))
+                yield pa.RecordBatch.from_arrays([_long(found.anchor), _long(extent), batch.column(0).take(pa.array(found.row))], ["anchor", "extent", "_id"])
 
-    return texts.mapInArrow(run, "anchor long, _id long")
+    return texts.mapInArrow(run, "anchor long, extent long, _id long")
 
 
-def _seeds(texts: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
-    """``anchor, extent, _id, _hash, start, windows``: places of anchors with a set bit.
+def _seeds(texts: DataFrame, window: int, bits: np.ndarray, mixed: np.ndarray) -> DataFrame:
+    """``anchor, extent, _id, _hash, start, size, windows``: places of anchors with a bit set in ``bits``.
 
-    A seed's windows are those that it anchors, from word ``start`` on, as short hashes that count only
-    with the anchor's; ``extent`` is the hash of all words they cover (the first and the last window do).
+    A seed's windows are the ``size`` that it anchors, from word ``start`` on. Where the anchor's bit in
+    ``mixed`` is clear ``windows`` is null; else it has them as short hashes that count only with the anchor's.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared = texts.sparkSession.sparkContext.broadcast((bits, mixed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = _Hashes(), shared.value
-        for batch in batches:
-            for found in passages(batch.column(2), known, window):
-                on = np.flatnonzero(has_bit(bits, found.anchor >> np.uint64(64 - BITS)))
+        bits, mixed = shared.value
+        for batch in _slices(batches):
+            for found in passages(batch.column(2), window):
+                place = found.anchor >> np.uint64(64 - BITS)
+                on = np.flatnonzero(has_bit(bits, place))
                 if not len(on):
                     continue
                 hashes, first, size = run_hashes(found.words, window), found.first[on], found.size[on]
-                ends = np.cumsum(size)
-                each = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
-                last = hashes[first + size - 1]
-                extent = (hashes[first] ^ (last >> np.uint64(17) | last << np.uint64(47))) * _MIX + size.astype(np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array((hashes[each] >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()))
+                listed = has_bit(mixed, place[on])
+                ends = np.cumsum(np.where(listed, size, 0))
+                each = np.repeat(first[listed] - (ends - size)[listed], size[listed]) + np.arange(ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array((hashes[each] >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()),
+                                                 mask=pa.array(~listed))
                 at = pa.array(found.row[on])
-                yield pa.RecordBatch.from_arrays([_long(found.anchor[on]), _long(extent), batch.column(0).take(at), batch.column(1).take(at), pa.array(found.start[on], pa.int32()), lists],
-                                                 ["anchor", "extent", "_id", "_hash", "start", "windows"])
+                yield pa.RecordBatch.from_arrays(
+                    [_long(found.anchor[on]), _long(_extents(found, hashes)[on]), batch.column(0).take(at), batch.column(1).take(at), pa.array(found.start[on], pa.int32()), pa.array(size, pa.int32()), lists],
+                    ["anchor", "extent", "_id", "_hash", "start", "size", "windows"])
 
-    return texts.mapInArrow(run, "anchor long, extent long, _id long, _hash int, start int, windows array<int>")
+    return texts.mapInArrow(run, "anchor long, extent long, _id long, _hash int, start int, size int, windows array<int>")
 
 
 def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     """``_id, _hash, starts``: for each document the windows that a document with a smaller id has too."""
-    shared = _anchor_rows(texts, window).groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = _anchor_rows(texts, window).groupBy("anchor").agg(
+        F.min("_id").alias("least"), F.max("_id").alias("most"), (F.min("extent") < F.max("extent")).alias("mixed")).where("least < most").drop("most")
     shared = stage(shared, "anchors")
-    bits = presence_bits(shared.select(F.shiftrightunsigned("anchor", 64 - BITS)), BITS)
-    seeds = stage(_seeds(texts, window, bits).join(shared, "anchor", "left_semi"), "seeds")
+    place = F.shiftrightunsigned("anchor", 64 - BITS)
+    bits, mixed = (presence_bits(some.select(place), BITS) for some in (shared, shared.where("mixed")))
+    # Where an anchor has one extent, its smallest id has all its windows first.
+    joined = _seeds(texts, window, bits, mixed).join(shared, "anchor").where("mixed OR _id > least")
+    joined = stage(joined.withColumn("windows", F.when(F.col("mixed"), F.col("windows"))).drop("least"), "seeds")
+    plain = joined.where("NOT mixed").select("_id", "_hash", F.sequence("start", F.col("start") + F.col("size") - 1).alias("starts"))
+    seeds = joined.where("mixed").drop("mixed", "size")
     # Seeds that extend equally are one extent; only its windows are compared with those of other extents.
     extents = stage(seeds.groupBy("anchor", "extent").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.any_value("windows").alias("windows")), "extents")
     windows = extents.select("anchor", "extent", "hi", "lo", F.posexplode("windows").alias("at", "window"))
@@ -176,7 +266,7 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     again = seeds.drop("windows").join(stage(taken, "taken"), ["anchor", "extent"])
     mine = F.filter("_windows", lambda w: w["first"] < F.col("_id"))
     starts = again.select("_id", "_hash", F.transform(mine, lambda w: F.col("start") + w["at"]).alias("starts")).where(F.size("starts") > 0)
-    return starts.groupBy("_id", "_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return plain.unionByName(starts).groupBy("_id", "_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def maximal_spans(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,12 +299,16 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def touched(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             on = has_bit(bits.value, batch.column(4).to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array(on == want))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.nulls(batch.num_rows, pa.list_(pa.int32()))], ["_own", "_text", "starts"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
             counts, removed, shas, spans, kept_texts = [], [], [], [], []
             for text, starts in zip(batch.column(1), batch.column(2), strict=True):
                 words = text.as_py().split()
@@ -237,8 +331,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     numbered = texts.withColumn("_place", place)
     schema = numbered.schema
-    whole = numbered.mapInArrow(lambda b: touched(b, False), schema).select("_own", "_text", F.lit(None).cast("array<int>").alias("starts"))
     cut = numbered.mapInArrow(lambda b: touched(b, True), schema).join(again, ["_id", "_hash"], "left").select("_own", "_text", "starts")
     out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<first: long, end: long>>, kept_text string"
-    result = whole.mapInArrow(finish, out).unionByName(cut.mapInArrow(finish, out))
+    result = numbered.mapInArrow(lambda b: finish(whole(touched(b, False))), out).unionByName(cut.mapInArrow(finish, out))
     return result if with_text else result.drop("kept_text")
