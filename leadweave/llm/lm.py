@@ -182,6 +182,21 @@ def _causal(first: int) -> np.ndarray:
     return np.where(np.arange(WINDOW)[None, :] <= first + np.arange(WINDOW - first)[:, None], 0, -1e4).astype(np.float32)
 
 
+def exponents(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp of ``values``, its sums over the last axis, and what was subtracted before: each row's maximum, or 0 where no sum overflows or vanishes without."""
+    ones = np.ones(values.shape[-1], np.float32)
+    summed = lambda a: (a.reshape(-1, a.shape[-1]) @ ones).reshape(a.shape[:-1])
+    if values.max(initial=0) <= 60:
+        out = np.exp(values)
+        total = summed(out)
+        if total.min(initial=1) > 1e-20:
+            return out, total, 0.0
+    top = values.max(axis=-1)
+    out = values - top[..., None]
+    np.exp(out, out=out)
+    return out, summed(out), top
+
+
 class Scorer:
     """Tables derived from a model for scoring: projections of every input row and position are computed once.
 
@@ -203,13 +218,8 @@ class Scorer:
         self.right = np.c_[embed @ model.key, away, embed @ model.value]
         self.right_place = np.c_[model.place @ model.key, column(places, 0), model.place @ model.value]
         self.mask = _causal(LEAD)
-        # Where no exponent can pass 60, the usual shift by the maximum is left out.
-        norm = lambda x: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max())
-        query, key, value = (norm(self.left[:, :WIDTH]) + norm(self.left_place[:, :WIDTH]), norm(self.right[:, :WIDTH]) + norm(self.right_place[:, :WIDTH]),
-                             norm(self.right[:, WIDTH + 1 :]) + norm(self.right_place[:, WIDTH + 1 :]))
-        self.shift = max(query * key, (value + norm(embed)) * norm(model.out.T) + float(np.abs(model.bias).max())) > 60
 
-    def log10(self, documents: list[np.ndarray], windows: int = 256) -> np.ndarray:
+    def log10(self, documents: list[np.ndarray], windows: int = 64) -> np.ndarray:
         """log10 probability of each document, an array of ids whose last is the end id."""
         sums = np.zeros(len(documents))
         lines, targets, owners, held = [], [], [], 0
@@ -239,37 +249,30 @@ class Scorer:
         lines = np.arange(windows * STRIDE)
         for begin in range(0, len(rows), windows):
             part, target = rows[begin : begin + windows], targets[begin : begin + windows].ravel()
-            right = self.right[part]
+            right = self.right.take(part, axis=0)
             right += self.right_place
-            left = self.left[part[:, LEAD:]]
+            left = self.left.take(part[:, LEAD:], axis=0)
             left += self.left_place
             score = left[:, :, : WIDTH + 1] @ right[:, :, : WIDTH + 1].transpose(0, 2, 1)
             score += self.mask
-            if self.shift:
-                score -= score.max(axis=2, keepdims=True)
-            np.exp(score, out=score)
-            hidden = score @ right[:, :, WIDTH + 1 :]
-            hidden /= score.sum(axis=2, keepdims=True)
+            share, total, _ = exponents(score)
+            hidden = share @ right[:, :, WIDTH + 1 :]
+            hidden /= total[..., None]
             hidden += left[:, :, WIDTH + 1 :]
             logits = hidden.reshape(-1, WIDTH) @ self.model.out
             logits += self.model.bias
-            if self.shift:
-                logits -= logits.max(axis=1, keepdims=True)
+            _, total, top = exponents(logits)
             own = logits[lines[: len(target)], target]
-            np.exp(logits, out=logits)
-            own -= np.log(logits @ np.ones(CLASSES, np.float32))
+            own -= np.log(total) + top
             own[target < 0] = 0
             sums += np.bincount(owners[begin : begin + windows], own.reshape(-1, STRIDE).sum(axis=1, dtype=np.float64), minlength=len(sums))
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sum of the rows of ``values`` by number."""
-    out = np.zeros((size, values.shape[1]), np.float32)
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out[ordered[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+    width = values.shape[1]
+    places = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(places, values.ravel(), minlength=size * width).astype(np.float32).reshape(size, width)
 
 
 def gradients(model: Model, rows: np.ndarray, target: np.ndarray, lead: int = 0) -> tuple[float, list[np.ndarray]]:
@@ -278,50 +281,46 @@ def gradients(model: Model, rows: np.ndarray, target: np.ndarray, lead: int = 0)
     The first ``lead`` positions are context only: they have no targets, and nothing is predicted there.
     """
     scale = np.float32(WIDTH**-0.5)
-    ones = np.ones(WINDOW, np.float32)
     away = np.where(rows < 0, -1e4, 0).astype(np.float32)[:, None, :]
     rows, target = np.maximum(rows, 0), target[:, lead:]
-    embedded = model.embed[rows]
+    embedded = model.embed.take(rows, axis=0)
     x = embedded + model.place
-    asking = x[:, lead:]
-    q, k, v = asking @ model.query * scale, x @ model.key, x @ model.value
+    asking = np.ascontiguousarray(x[:, lead:])
+    # Products with a shared matrix are taken over all windows at once, not window by window.
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    times = lambda a, matrix: (flat(a) @ matrix).reshape(*a.shape[:-1], -1)
+    q, k, v = times(asking, model.query * scale), times(x, model.key), times(x, model.value)
     att = q @ k.transpose(0, 2, 1)
     att += _causal(lead)
     if away.any():
         att += away
-    # Where no exponent can pass 60, the usual shift by the maximum is left out; a window always sees its own place.
-    norm = lambda a: float(np.sqrt(np.einsum("...i,...i->...", a, a).max(initial=0)))
-    if norm(q) * norm(k) > 60:
-        att -= att.max(axis=2, keepdims=True)
-    np.exp(att, out=att)
-    att /= (att @ ones)[..., None]
+    att, total, _ = exponents(att)
+    att /= total[..., None]
     hidden = att @ v + embedded[:, lead:]
-    logits = hidden @ model.out + model.bias
-    if norm(hidden) * norm(model.out.T) + float(np.abs(model.bias).max()) > 60:
-        logits -= logits.max(axis=2, keepdims=True)
+    logits = times(hidden, model.out)
+    logits += model.bias
     keep = target >= 0
     count = max(1, int(keep.sum()))
     at = np.nonzero(keep)
     own = logits[(*at, target[at])]
-    share = np.exp(logits, out=logits)
-    total = share @ np.ones(CLASSES, np.float32)
-    loss = float((np.log(total[at]) - own).sum() / count)
-    share /= total[..., None]
-    share[(*at, target[at])] -= 1
-    share *= (keep / np.float32(count))[..., None].astype(np.float32)
-    d_hidden = share @ model.out.T
+    share, total, top = exponents(logits)
+    loss = float(((np.log(total) + top)[at] - own).sum() / count)
+    each = np.float32(1) / np.float32(count)
+    share *= np.where(keep, each / total, np.float32(0))[..., None]
+    share[(*at, target[at])] -= each
+    d_hidden = times(share, model.out.T)
     d_score = d_hidden @ v.transpose(0, 2, 1)
     d_score -= np.einsum("bij,bij->bi", d_score, att)[..., None]
     d_score *= att
     d_q, d_k, d_v = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q, att.transpose(0, 2, 1) @ d_hidden
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    d_x = d_k @ model.key.T + d_v @ model.value.T
-    d_x[:, lead:] += d_q @ model.query.T
+    d_x = times(d_k, model.key.T)
+    d_x += times(d_v, model.value.T)
+    d_x[:, lead:] += times(d_q, model.query.T)
     d_embed = d_x.copy()
     d_embed[:, lead:] += d_hidden
     return loss, [
         _summed(rows.ravel(), flat(d_embed), len(model.embed)), d_x.sum(axis=0), flat(asking).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v),
-        flat(hidden).T @ flat(share), flat(share).sum(axis=0)]
+        flat(hidden).T @ flat(share), np.ones(len(flat(share)), np.float32) @ flat(share)]
 
 
 def train_locally(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int, lead: int = 0) -> Model:

@@ -654,6 +654,39 @@ def test_gradients_and_training():
     assert lm.gradients(trained, rows, target)[0] < 0.5 * lm.gradients(model, rows, target)[0]
 
 
+def test_exponents_of_any_size():
+    """Sums neither overflow nor vanish, and rows are shifted by their maximum only where they would."""
+    rng = np.random.default_rng(3)
+    for scale, offset, shifted in ((1, 0, False), (8, 0, False), (1, 500, True), (1, -500, True), (300, 0, True)):
+        values = (rng.standard_normal((5, 7, 16)) * scale + offset).astype(np.float32)
+        values[0, :, 3] = -1e4
+        out, total, top = lm.exponents(values)
+        exact = np.logaddexp.reduce(values.astype(np.float64), axis=-1)
+        assert np.allclose(np.log(total) + top, exact, rtol=1e-5, atol=1e-4)
+        assert np.allclose(out / total[..., None], np.exp(values - exact[..., None]), atol=1e-4)
+        assert (not np.isscalar(top)) == shifted
+    assert lm.exponents(np.zeros((0, 4), np.float32))[1].shape == (0,)
+
+
+def test_sums_by_row_and_large_weights():
+    """Weights of any size give finite gradients and scores that agree in loss; sums by row are those of a plain loop."""
+    rng = np.random.default_rng(4)
+    rows, values = rng.integers(0, 9, 500), rng.standard_normal((500, 3)).astype(np.float32)
+    expected = np.zeros((12, 3))
+    np.add.at(expected, rows, values)
+    assert np.allclose(lm._summed(rows, values, 12), expected, atol=1e-4)
+    classes = small_classes()
+    model = lm.new_model(classes.prior)
+    ids = np.r_[rng.integers(0, 199, 60), 199].astype(np.int32)
+    for factor in (1, 6):
+        grown = lm.Model(*[a * np.float32(factor) for a in model.arrays()])
+        inputs, wanted = next(lm.text_windows(ids, 199))
+        loss, grads = lm.gradients(grown, np.where(inputs >= 0, classes.row[inputs], -1), np.where(wanted >= 0, classes.of[wanted], -1), lm.LEAD)
+        assert math.isfinite(loss) and all(np.isfinite(g).all() for g in grads)
+        inside = classes.inside[ids, classes.columns(ids)].sum(dtype=np.float64)
+        assert lm.Scorer(grown, classes, 199).log10([ids])[0] == pytest.approx((inside - loss * len(ids)) / lm.LN10, rel=1e-4)
+
+
 # The pipeline ----------------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, tmp_path):
