@@ -16,14 +16,15 @@ from __future__ import annotations
 import base64
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave.llm.common import fold_of, lower_words, stage
@@ -60,10 +61,10 @@ class Subwords(dict):
     A word with its leading space is one piece for the merges; ids of many words are joined as bytes.
     """
 
-    def __init__(self, path: str, pattern: str, always: Iterable[bytes] = ()):
-        super().__init__()
+    def __init__(self, path: str, pattern: str, always: Mapping[bytes, bytes] | None = None):
+        super().__init__(always or {})
         self.encoding = _encoding(path, pattern)
-        self.always = {w: self[w] for w in always}
+        self.always = always or {}
         self.end = self.encoding.max_token_value + 1
 
     def begins_word(self) -> np.ndarray:
@@ -83,11 +84,6 @@ class Subwords(dict):
         """The ids of a text and the end."""
         return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32), np.int32(self.end))
 
-    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words and how many each has."""
-        found = list(map(self.__getitem__, words))
-        return np.frombuffer(b"".join(found), np.int32).astype(np.int64), np.fromiter(map(len, found), np.int64, len(found)) // 4
-
 
 # The model ------------------------------------------------------------------------------------------
 
@@ -107,7 +103,7 @@ class Classes:
 
     def columns(self, ids: np.ndarray) -> np.ndarray:
         out = np.full(len(ids), GROUPS, np.int64)
-        out[1:][~self.first[ids[1:]]] = self.group[ids[:-1]][~self.first[ids[1:]]]
+        out[1:] = np.where(self.first.take(ids[1:]), GROUPS, self.group.take(ids[:-1]))
         return out
 
 
@@ -177,6 +173,11 @@ def new_model(prior: np.ndarray, seed: int = 11) -> Model:
                  draw(WIDTH, CLASSES, scale=0.05), prior.astype(np.float32))
 
 
+def _windows(line: np.ndarray) -> np.ndarray:
+    """The windows of a line whose first LEAD places are context and whose others fill whole strides."""
+    return line.take(np.arange(0, len(line) - LEAD, STRIDE)[:, None] + np.arange(WINDOW))
+
+
 def _causal(first: int) -> np.ndarray:
     """0 where the query at window position ``first + i`` may look, else a large negative number."""
     return np.where(np.arange(WINDOW)[None, :] <= first + np.arange(WINDOW - first)[:, None], 0, -1e4).astype(np.float32)
@@ -186,13 +187,13 @@ def exponents(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray |
     """exp of ``values``, its sums over the last axis, and what was subtracted before: each row's maximum, or 0 where no sum overflows or vanishes without."""
     ones = np.ones(values.shape[-1], np.float32)
     summed = lambda a: (a.reshape(-1, a.shape[-1]) @ ones).reshape(a.shape[:-1])
-    if values.max(initial=0) <= 60:
+    with np.errstate(over="ignore", invalid="ignore"):
         out = np.exp(values)
         total = summed(out)
-        if total.min(initial=1) > 1e-20:
-            return out, total, 0.0
+    if total.max(initial=0) < 1e26 and total.min(initial=1) > 1e-20:
+        return out, total, 0.0
     top = values.max(axis=-1)
-    out = values - top[..., None]
+    np.subtract(values, top[..., None], out=out)
     np.exp(out, out=out)
     return out, summed(out), top
 
@@ -219,14 +220,14 @@ class Scorer:
         self.right_place = np.c_[model.place @ model.key, column(places, 0), model.place @ model.value]
         self.mask = _causal(LEAD)
 
-    def log10(self, documents: list[np.ndarray], windows: int = 64) -> np.ndarray:
+    def log10(self, documents: list[np.ndarray], windows: int = 128) -> np.ndarray:
         """log10 probability of each document, an array of ids whose last is the end id."""
         sums = np.zeros(len(documents))
         lines, targets, owners, held = [], [], [], 0
         for number, ids in enumerate(documents):
             inputs = np.empty(len(ids), np.int32)
-            inputs[0], inputs[1:] = self.classes.row[self.end], self.classes.row[ids[:-1]]
-            classes = self.classes.of[ids]
+            inputs[0], inputs[1:] = self.classes.row[self.end], self.classes.row.take(ids[:-1])
+            classes = self.classes.of.take(ids)
             sums[number] += self.classes.inside[ids, self.classes.columns(ids)].sum(dtype=np.float64)
             for begin in range(0, len(ids), STRIDE * 1024):  # a very long text comes in parts that overlap as windows do
                 end = min(len(ids), begin + STRIDE * 1024)
@@ -234,7 +235,7 @@ class Scorer:
                 line, target = np.full(LEAD + count * STRIDE, self.pad, np.int32), np.full(count * STRIDE, -1, np.int32)
                 line[LEAD - lead : LEAD + end - begin] = inputs[begin - lead : end]
                 target[: end - begin] = classes[begin:end]
-                lines.append(np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::STRIDE])
+                lines.append(_windows(line))
                 targets.append(target.reshape(count, STRIDE))
                 owners.append(np.full(count, number))
                 held += count
@@ -270,9 +271,12 @@ class Scorer:
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sum of the rows of ``values`` by number."""
-    width = values.shape[1]
-    places = (rows[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(places, values.ravel(), minlength=size * width).astype(np.float32).reshape(size, width)
+    counts = np.bincount(rows, minlength=size)
+    present = np.flatnonzero(counts)
+    order = np.argsort(rows.astype(np.uint16) if size <= 1 << 16 else rows, kind="stable")
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[present] = np.add.reduceat(values.take(order, axis=0), (np.cumsum(counts) - counts)[present], axis=0)
+    return out
 
 
 def gradients(model: Model, rows: np.ndarray, target: np.ndarray, lead: int = 0) -> tuple[float, list[np.ndarray]]:
@@ -280,9 +284,10 @@ def gradients(model: Model, rows: np.ndarray, target: np.ndarray, lead: int = 0)
 
     The first ``lead`` positions are context only: they have no targets, and nothing is predicted there.
     """
+    windows, width = rows.shape
     scale = np.float32(WIDTH**-0.5)
     away = np.where(rows < 0, -1e4, 0).astype(np.float32)[:, None, :]
-    rows, target = np.maximum(rows, 0), target[:, lead:]
+    rows, target = np.maximum(rows, 0), target[:, lead:].ravel()
     embedded = model.embed.take(rows, axis=0)
     x = embedded + model.place
     asking = np.ascontiguousarray(x[:, lead:])
@@ -295,32 +300,38 @@ def gradients(model: Model, rows: np.ndarray, target: np.ndarray, lead: int = 0)
     if away.any():
         att += away
     att, total, _ = exponents(att)
-    att /= total[..., None]
-    hidden = att @ v + embedded[:, lead:]
-    logits = times(hidden, model.out)
+    total = total[..., None]
+    mixed = att @ v
+    mixed /= total
+    hidden = flat(mixed + embedded[:, lead:])
+    logits = hidden @ model.out
     logits += model.bias
+    own_at = (np.arange(len(target)), target)
+    own = logits[own_at]
+    share, sums, top = exponents(logits)
     keep = target >= 0
     count = max(1, int(keep.sum()))
-    at = np.nonzero(keep)
-    own = logits[(*at, target[at])]
-    share, total, top = exponents(logits)
-    loss = float(((np.log(total) + top)[at] - own).sum() / count)
-    each = np.float32(1) / np.float32(count)
-    share *= np.where(keep, each / total, np.float32(0))[..., None]
-    share[(*at, target[at])] -= each
-    d_hidden = times(share, model.out.T)
-    d_score = d_hidden @ v.transpose(0, 2, 1)
-    d_score -= np.einsum("bij,bij->bi", d_score, att)[..., None]
+    loss = float((np.log(sums) + top - own)[keep].sum() / count)
+    # Rows are scaled where they are narrow: ``share`` times ``each`` is the gradient of the logits, ``att`` divided by ``total`` the attention.
+    share[own_at] -= sums
+    each = (keep * np.float32(1 / count) / sums)[:, None]
+    d_hidden = share @ model.out.T
+    d_hidden *= each
+    hidden *= each
+    d_hidden = d_hidden.reshape(mixed.shape)
+    d_mixed = d_hidden / total
+    d_score = d_mixed @ v.transpose(0, 2, 1)
+    d_score -= np.einsum("bij,bij->bi", d_mixed, mixed)[..., None]
     d_score *= att
-    d_q, d_k, d_v = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q, att.transpose(0, 2, 1) @ d_hidden
+    d_q, d_k, d_v = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q, att.transpose(0, 2, 1) @ d_mixed
     d_x = times(d_k, model.key.T)
     d_x += times(d_v, model.value.T)
     d_x[:, lead:] += times(d_q, model.query.T)
-    d_embed = d_x.copy()
-    d_embed[:, lead:] += d_hidden
+    d_place = (np.ones(windows, np.float32) @ d_x.reshape(windows, -1)).reshape(width, WIDTH)
+    d_x[:, lead:] += d_hidden
     return loss, [
-        _summed(rows.ravel(), flat(d_embed), len(model.embed)), d_x.sum(axis=0), flat(asking).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v),
-        flat(hidden).T @ flat(share), np.ones(len(flat(share)), np.float32) @ flat(share)]
+        _summed(rows.ravel(), flat(d_x), len(model.embed)), d_place, flat(asking).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v),
+        hidden.T @ share, each[:, 0] @ share]
 
 
 def train_locally(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int, lead: int = 0) -> Model:
@@ -331,10 +342,20 @@ def train_locally(model: Model, rows: np.ndarray, target: np.ndarray, rate: floa
     for step, begin in enumerate(range(0, len(order), BATCH), 1):
         part = order[begin : begin + BATCH]
         _, grads = gradients(Model(*arrays), rows[part], target[part], lead)
+        level = float((1 - 0.99**step) ** 0.5)
+        pace = rate * level / (1 - 0.9**step)
         for a, g, m, s in zip(arrays, grads, moment, square, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            a -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.99
+            np.square(g, out=g)
+            g *= 0.01
+            s += g
+            np.sqrt(s, out=g)
+            g += 1e-8 * level
+            np.divide(m, g, out=g)
+            g *= pace
+            a -= g
     return Model(*arrays)
 
 
@@ -344,7 +365,7 @@ def train_locally(model: Model, rows: np.ndarray, target: np.ndarray, rate: floa
 class LanguageModel:
     classes: Classes
     model: Model
-    vocabulary: DataFrame  # word, n over the training texts
+    vocabulary: DataFrame  # word, n over the training texts, ids
     tokens: int            # N, ends included
     distinct: int          # V, the end included
     ends: int              # training texts
@@ -367,35 +388,49 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def subword_counts(vocabulary: DataFrame, ends: int, path: str, pattern: str) -> np.ndarray:
-    """Corpus count of every id, from the counted words; as many numbers come back as there are ids."""
+def with_ids(vocabulary: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Adds ``ids``, the subword ids of each word (32 bits each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(path, pattern)
-        total = np.zeros(subwords.end + 1, np.int64)
         for batch in batches:
-            ids, sizes = subwords.flat(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(subwords.__missing__, batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
+
+    return vocabulary.select("word", "n").mapInArrow(run, "word binary, n long, ids binary")
+
+
+def _flat_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words and how many each has."""
+    found = ids.to_pylist()
+    return np.frombuffer(b"".join(found), np.int32).astype(np.int64), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+def subword_counts(vocabulary: DataFrame, ends: int, end: int) -> np.ndarray:
+    """Corpus count of every id, from the counted words; as many numbers come back as there are ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(end + 1, np.int64)
+        for batch in batches:
+            ids, sizes = _flat_ids(batch.column(0))
             np.add.at(total, ids, np.repeat(batch.column(1).to_numpy(), sizes))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    end = Subwords(path, pattern).end
     counts = np.zeros(end + 1, np.int64)
-    table = vocabulary.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    table = vocabulary.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts[table["id"].to_numpy()] = table["n"].to_numpy()
     counts[end] = ends
     return counts
 
 
-def pair_counts(vocabulary: DataFrame, counts: np.ndarray, path: str, pattern: str) -> np.ndarray:
+def pair_counts(vocabulary: DataFrame, counts: np.ndarray) -> np.ndarray:
     """Corpus count of every id by column (``Classes``), from the counted words; bounded by ids times columns."""
     group = id_groups(counts)
     shared = vocabulary.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, group = Subwords(path, pattern), shared.value
+        group = shared.value
         total = np.zeros(len(group) * (GROUPS + 1), np.int64)
         for batch in batches:
-            ids, sizes = subwords.flat(batch.column(0).to_pylist())
+            ids, sizes = _flat_ids(batch.column(0))
             if len(ids):
                 column = np.r_[GROUPS, group[ids[:-1]]]
                 column[(np.cumsum(sizes) - sizes)[sizes > 0]] = GROUPS
@@ -403,7 +438,7 @@ def pair_counts(vocabulary: DataFrame, counts: np.ndarray, path: str, pattern: s
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
-    table = vocabulary.select("word", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table = vocabulary.select("ids", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(len(counts) * (GROUPS + 1), np.float64)
     pairs[table["at"].to_numpy()] = table["n"].to_numpy()
     pairs = pairs.reshape(len(counts), GROUPS + 1)
@@ -420,20 +455,21 @@ def text_windows(ids: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.nda
     for part in range(0, count, PART_WINDOWS):
         begin, stop = part * STRIDE, min(len(ids), (part + PART_WINDOWS) * STRIDE)
         lead, size = min(LEAD, begin), LEAD - (begin - stop) // STRIDE * STRIDE
-        inputs, targets = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        inputs, targets = np.full(size, -1, np.int32), np.full(size - LEAD, -1, np.int32)
         inputs[LEAD - lead : LEAD + stop - begin] = before[begin - lead : stop]
-        targets[LEAD : LEAD + stop - begin] = ids[begin:stop]
-        rows, target = (np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::STRIDE].copy() for line in (inputs, targets))
-        target[:, :LEAD] = -1
+        targets[: stop - begin] = ids[begin:stop]
+        rows, target = _windows(inputs), np.full((len(targets) // STRIDE, WINDOW), -1, np.int32)
+        target[:, LEAD:] = targets.reshape(-1, STRIDE)
         yield rows, target
 
 
-def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rate: float = 0.01) -> Model:
+def train_model(encoded: DataFrame, lm: LanguageModel, rate: float = 0.01) -> Model:
     """Seeds and averages are per task, so weights, and with them ``score``, depend on how the input is partitioned.
 
-    Federated averaging over the tasks of ``texts`` (one column of bytes), whole texts, each in one round; averages of averages, so that few models reach the driver."""
-    spark = texts.sparkSession
-    model = new_model(classes.prior)
+    Federated averaging over the tasks of ``encoded`` (``encode_texts``), whole texts, each in one round; averages of averages, so that few models reach the driver."""
+    spark = encoded.sparkSession
+    classes, end = lm.classes, len(lm.classes.of) - 1
+    model = lm.model
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model, replace(classes, inside=None)))
 
@@ -441,7 +477,6 @@ def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rat
             from pyspark import TaskContext
 
             model, classes = shared.value
-            subwords = Subwords(path, pattern)
             number, seen, held, count = TaskContext.get().partitionId(), 0, [], 0
 
             def trained() -> Model:
@@ -449,8 +484,8 @@ def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rat
                 return train_locally(model, np.where(ids >= 0, classes.row[ids], -1), np.where(wanted >= 0, classes.of[wanted], -1), rate / (turn + 1), 1000 * turn + number, LEAD)
 
             for batch in batches:
-                for text in batch.column(0):
-                    for part in text_windows(subwords.ids(lower_words(text.as_py())), subwords.end):
+                for packed in batch.column(0):
+                    for part in text_windows(unpack_ids(packed.as_buffer(), end), end):
                         held.append(part)
                         count += len(part[0])
                         if count >= PART_WINDOWS:
@@ -470,7 +505,7 @@ def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rat
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["part", "weight", "model"])
 
         kind = "part int, weight double, model binary"
-        own = texts.where(F.pmod(F.xxhash64("_text", F.lit("round")), F.lit(ROUNDS)) == turn)
+        own = encoded.where(F.col("_turn") == turn).select("_ids")
         parts = own.mapInArrow(run, kind).repartition(16, "part").mapInArrow(average, kind).collect()
         if not parts:
             continue
@@ -479,20 +514,26 @@ def train_model(texts: DataFrame, classes: Classes, path: str, pattern: str, rat
     return model
 
 
-def fit_language_model(train: DataFrame, path: str, pattern: str, text_col: str = "text") -> LanguageModel:
-    """Learn from all rows of ``train``. Null texts are empty; an empty table gives zero counts and an untrained model."""
-    texts = train.select(F.col(text_col).cast("binary").alias("_text"))
-    vocabulary = stage(word_counts(texts), "words")
+def count_corpus(train: DataFrame, path: str, pattern: str, text_col: str = "text") -> LanguageModel:
+    """The counts over all rows of ``train``, with an untrained model. Null texts are empty; an empty table gives zero counts."""
+    vocabulary = stage(with_ids(word_counts(train.select(F.col(text_col).cast("binary"))), path, pattern), "words")
     ends = train.count()
     row = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    counts = subword_counts(vocabulary, ends, path, pattern)
-    classes = make_classes(counts, Subwords(path, pattern).begins_word(), pair_counts(vocabulary, counts, path, pattern))
-    model = train_model(texts, classes, path, pattern)
-    return LanguageModel(classes, model, vocabulary, row["n"] + ends, row["v"] + (ends > 0), ends, path, pattern)
+    subwords = Subwords(path, pattern)
+    counts = subword_counts(vocabulary, ends, subwords.end)
+    classes = make_classes(counts, subwords.begins_word(), pair_counts(vocabulary, counts))
+    return LanguageModel(classes, new_model(classes.prior), vocabulary, row["n"] + ends, row["v"] + (ends > 0), ends, path, pattern)
+
+
+def fit_language_model(train: DataFrame, path: str, pattern: str, text_col: str = "text") -> LanguageModel:
+    """Learn from all rows of ``train``. Null texts are empty; an empty table gives zero counts and an untrained model."""
+    lm = count_corpus(train, path, pattern, text_col)
+    texts = train.select(F.lit(None).cast("int").alias("_id"), text_col)
+    return replace(lm, model=train_model(encode_texts(texts, lm, "_id", text_col, F.lit(True)), lm))
 
 
-def _hot_words(vocabulary: DataFrame) -> dict[bytes, int]:
-    """The most frequent words, at most HOT_WORDS: whole steps of the count, from the top, as long as they fit."""
+def _hot_words(vocabulary: DataFrame) -> dict[bytes, tuple[int, bytes]]:
+    """Count and ids of the most frequent words, at most HOT_WORDS: whole steps of the count, from the top, as long as they fit."""
     step = F.floor(F.log2("n") * 16).cast("int")
     short = vocabulary.where(F.length("word") <= HOT_BYTES).withColumn("_step", step)
     least, total = 1 << 30, 0
@@ -501,28 +542,35 @@ def _hot_words(vocabulary: DataFrame) -> dict[bytes, int]:
         if total > HOT_WORDS:
             break
         least = row["_step"]
-    table = short.where(F.col("_step") >= least).select("word", "n").toArrow()
-    return dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True))
+    table = short.where(F.col("_step") >= least).select("word", "n", "ids").toArrow()
+    return {w: (n, ids) for w, n, ids in zip(*(table[c].to_pylist() for c in ("word", "n", "ids")), strict=True)}
 
 
-def score_language(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` for each row of ``docs``.
+def pack_ids(ids: np.ndarray, end: int) -> bytes:
+    return ids.astype(np.uint16 if end < 1 << 16 else np.int32).tobytes()
 
-    Null and empty texts are one token, the end. Rows are told apart by a number of their own, so
-    repeated rows and ids each get their result. An empty table gives an empty result.
+
+def unpack_ids(packed: bytes | pa.Buffer, end: int) -> np.ndarray:
+    return np.frombuffer(packed, np.uint16 if end < 1 << 16 else np.int32).astype(np.int32)
+
+
+def encode_texts(docs: DataFrame, lm: LanguageModel, id_col: str, text_col: str, trains: Column) -> DataFrame:
+    """Reads every text once, for training and scoring: its ids, what the frequent words say about it, and its other words for a join.
+
+    ``_turn`` is the round in which a text trains, null where ``trains`` is not true. ``_row`` numbers the rows, so
+    repeated rows and ids each get their result.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((_hot_words(lm.vocabulary), replace(lm, vocabulary=None)))
-    known_ends, size = lm.ends, lm.tokens + lm.distinct + 1
+    shared = spark.sparkContext.broadcast(_hot_words(lm.vocabulary))
+    known_ends, size, path, pattern = lm.ends, lm.tokens + lm.distinct + 1, lm.path, lm.pattern
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hot, lm = shared.value
-        logs = {w: float(np.log10((n + 1) / size)) for w, n in hot.items()}
-        subwords = Subwords(lm.path, lm.pattern, hot)
-        scorer = Scorer(lm.model, lm.classes, subwords.end)
+        logs = {w: float(np.log10((n + 1) / size)) for w, (n, _) in shared.value.items()}
+        subwords = Subwords(path, pattern, {w: ids for w, (_, ids) in shared.value.items()})
+        unknown, end_log = repeat(float("nan")), float(np.log10((known_ends + 1) / size))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
@@ -530,37 +578,68 @@ def score_language(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", t
                 tokens, known, base, ids, cold_words, cold_counts, ends = [], [], [], [], [], [], [0]
                 for text in part.column(1):
                     words = lower_words(text.as_py())
-                    counts = Counter(words)
-                    rest = [w for w in counts if w not in logs]
-                    times = list(map(counts.__getitem__, rest))
+                    values = np.fromiter(map(logs.get, words, unknown), np.float64, len(words))
+                    rare = np.isnan(values)
+                    rest = Counter(compress(words, rare.tolist()))
                     tokens.append(len(words) + 1)
-                    known.append(len(words) - sum(times) + (known_ends > 0))
-                    base.append(sum([logs[w] * n for w, n in counts.items() if w in logs]) + float(np.log10((known_ends + 1) / size)))
+                    known.append(len(words) - rest.total() + (known_ends > 0))
+                    base.append(float(values.sum(where=~rare)) + end_log)
                     cold_words += rest
-                    cold_counts += times
+                    cold_counts += rest.values()
                     ends.append(len(cold_words))
-                    ids.append(subwords.ids(words))
+                    ids.append(pack_ids(subwords.ids(words), subwords.end))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(range(number, number + part.num_rows), pa.int64()), part.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(scorer.log10(ids), pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(cold_words, pa.binary()), pa.array(cold_counts, pa.int64())], ["word", "n"]))],
-                    ["_row", id_col, "n_tokens", "_known", "_base", "score", "_cold"])
+                    pa.array(range(number, number + part.num_rows), pa.int64()), part.column(0), part.column(2), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                    pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(cold_words, pa.binary()), pa.array(cold_counts, pa.int64())], ["word", "n"]))],
+                    ["_row", id_col, "_turn", "_ids", "n_tokens", "_known", "_base", "_cold"])
                 number += part.num_rows
 
-    scored = stage(docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(
-        run, f"_row long, `{id_col}` {kind}, n_tokens long, _known long, _base double, score double, _cold array<struct<word: binary, n: long>>"), "scored")
-    rare = scored.select("_row", F.explode("_cold").alias("_word")).select("_row", F.col("_word.word").alias("word"), F.col("_word.n").alias("_times"))
+    text = F.col(text_col).cast("binary")
+    turn = F.when(trains, F.pmod(F.xxhash64(text, F.lit("round")), F.lit(ROUNDS)).cast("int")).alias("_turn")
+    return stage(docs.select(F.col(id_col), text, turn).mapInArrow(
+        run, f"_row long, `{id_col}` {kind}, _turn int, _ids binary, n_tokens long, _known long, _base double, _cold array<struct<word: binary, n: long>>"), "encoded")
+
+
+def score_encoded(encoded: DataFrame, lm: LanguageModel, id_col: str) -> DataFrame:
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast((lm.model, lm.classes))
+    size, end = lm.tokens + lm.distinct + 1, len(lm.classes.of) - 1
+    kind = encoded.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value, end)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 128):
+                part = batch.slice(begin, 128)
+                score = scorer.log10([unpack_ids(packed.as_buffer(), end) for packed in part.column(0)])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score, pa.float64())], [*part.schema.names[1:], "score"])
+
+    scored = stage(encoded.select("_ids", "_row", F.col(id_col), "n_tokens", "_known", "_base").mapInArrow(
+        run, f"_row long, `{id_col}` {kind}, n_tokens long, _known long, _base double, score double"), "scored")
+    rare = encoded.select("_row", F.explode("_cold").alias("_word")).select("_row", F.col("_word.word").alias("word"), F.col("_word.n").alias("_times"))
     # Rare words carry few rows each, so this join has no hot key; the frequent ones were looked up in place.
-    counted = rare.join(lm.vocabulary, "word", "left")
+    counted = rare.join(lm.vocabulary.select("word", "n"), "word", "left")
     sums = counted.groupBy("_row").agg(
         F.sum(F.col("_times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(size)))).alias("_rare_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("_times")).otherwise(0)).alias("_rare_known"))
-    return scored.drop("_cold").join(sums, "_row", "left").select(
+    return scored.join(sums, "_row", "left").select(
         F.col(id_col), "n_tokens", (F.col("_known") + F.coalesce("_rare_known", F.lit(0))).alias("n_known"), F.lit(lm.tokens).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_rare_base", F.lit(0.0))).alias("base_score"), "score")
 
 
+def score_language(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` for each row of ``docs``.
+
+    Null and empty texts are one token, the end. Rows are told apart by a number of their own, so
+    repeated rows and ids each get their result. An empty table gives an empty result.
+    """
+    return score_encoded(encode_texts(docs, lm, id_col, text_col, F.lit(False)), lm, id_col)
+
+
 def score_held_out(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
-    """Fit on the rows outside fold ``held_out`` and score all rows; adds ``held_out``."""
-    lm = fit_language_model(docs.where(fold_of(F.col(id_col), folds) != held_out), path, pattern, text_col)
-    return score_language(docs, lm, id_col, text_col).select(
+    """Fit on the rows outside fold ``held_out`` and score all rows; adds ``held_out``. Each text is encoded once for both."""
+    trains = fold_of(F.col(id_col), folds) != held_out
+    lm = count_corpus(docs.where(trains), path, pattern, text_col)
+    encoded = encode_texts(docs, lm, id_col, text_col, trains)
+    return score_encoded(encoded, replace(lm, model=train_model(encoded, lm)), id_col).select(
         F.col(id_col), (fold_of(F.col(id_col), folds) == held_out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -318,3 +318,29 @@ def test_gradients_leave_out_the_lead(spark):
     whole, short = lm.gradients(model, rows, target), lm.gradients(model, rows, target, lm.LEAD)
     assert whole[0] == pytest.approx(short[0], rel=1e-5)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole[1], short[1], strict=True))
+
+
+def test_texts_are_encoded_once_for_training_and_scoring(spark, monkeypatch):
+    """Training and scoring read the ids of one pass over the texts; ids, rounds, frequent and other words are those of each text."""
+    import public_tokenizers
+
+    from leadweave.llm import lm
+    from leadweave.llm.common import fold_of, lower_words
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = [None, "", "The cat", "the cat the dog \u00e9t\u00e9", "x" * 300, "a b c " * 40, "the cat"] * 3
+    docs = spark.createDataFrame([(i if i % 8 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "HOT_WORDS", 3)
+    made, encode = [], lm.encode_texts
+    monkeypatch.setattr(lm, "encode_texts", lambda *args: made.append(encode(*args)) or made[-1])
+    got = lm.score_held_out(docs, path, pattern).collect()
+    assert len(made) == 1 and "text" not in made[0].columns and len(got) == len(texts)
+    subwords = lm.Subwords(path, pattern)
+    found = Counter((r["doc_id"], tuple(lm.unpack_ids(r["_ids"], subwords.end).tolist()), r["n_tokens"], r["_turn"] is None) for r in made[0].collect())
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", (fold_of(F.col("doc_id"), 7) == 2).alias("h")).collect()}
+    expected = Counter()
+    for i, t in enumerate(texts):
+        words = lower_words((t or "").encode())
+        expected[(i if i % 8 else None, tuple(subwords.ids(words).tolist()), len(words) + 1, held[i if i % 8 else None])] += 1
+    assert found == expected and {r["_turn"] for r in made[0].collect()} <= {None, *range(lm.ROUNDS)} and any(held.values())
+    assert all(lm.unpack_ids(lm.pack_ids(np.arange(9), end), end).tolist() == list(range(9)) for end in (50_256, 70_000))
